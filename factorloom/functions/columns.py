@@ -39,6 +39,21 @@ def log_ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(inside, F.ln(F.try_divide(numerator, denominator)))
 
 
+def rank_correlation(left: Column, right: Column) -> Column:
+    """Aggregate Pearson correlation of ranks.
+
+    Sums of half-integer ranks are exact, so uncorrelated ranks give exactly zero and the
+    sign of a date's rank IC never depends on summation order.
+    """
+
+    def cross(a: Column, b: Column) -> Column:
+        return F.sum(a * b) - F.sum(a) * F.sum(b) / F.count(F.lit(1))
+
+    varies = (F.max(left) > F.min(left)) & (F.max(right) > F.min(right))
+    scale = F.sqrt(cross(left, left) * cross(right, right))
+    return F.when(varies, F.try_divide(cross(left, right), scale))
+
+
 def log_if_positive(value: Column) -> Column:
     return F.when(value > 0, F.ln(value))
 

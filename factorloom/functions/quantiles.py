@@ -20,7 +20,7 @@ SKETCH_ACCURACY = 20_000
 
 def order_statistics(
     frame: DataFrame,
-    group: str,
+    group: Sequence[str],
     value: str,
     probabilities: Sequence[float],
     *,
@@ -28,12 +28,12 @@ def order_statistics(
 ) -> DataFrame:
     """The two order statistics around each quantile, one row per (group, probability).
 
-    Columns: group, probability, n, low, high, fraction; the linear quantile is
-    ``low + fraction * (high - low)``. ``group`` must have few distinct values.
+    Columns: the group, probability, n, low, high, fraction; the linear quantile is
+    ``low + fraction * (high - low)``. The groups must be few, as channels are.
     """
-    rows = frame.filter(F.col(value).isNotNull()).select(group, value)
+    rows = frame.filter(F.col(value).isNotNull()).select(*group, value)
     # One number per group; two ranks of slack cover the rounding of small groups.
-    smallest = rows.groupBy(group).agg(F.count(value).alias("n")).agg(F.min("n")).first()[0]
+    smallest = rows.groupBy(*group).agg(F.count(value).alias("n")).agg(F.min("n")).first()[0]
     margin = 3.0 / accuracy + 2.0 / (smallest or 1)
     while True:
         chosen = _select(rows, group, value, probabilities, accuracy, margin)
@@ -45,14 +45,14 @@ def order_statistics(
 
 def _select(
     rows: DataFrame,
-    group: str,
+    group: Sequence[str],
     value: str,
     probabilities: Sequence[float],
     accuracy: int,
     margin: float,
 ) -> DataFrame:
     edges = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probabilities for s in (-1, 1)})
-    sketch = rows.groupBy(group).agg(
+    sketch = rows.groupBy(*group).agg(
         F.count(value).alias("n"),
         F.min(value).alias("_min"),
         F.max(value).alias("_max"),
@@ -67,7 +67,7 @@ def _select(
 
     brackets = materialize(
         sketch.select(
-            group,
+            *group,
             "n",
             F.explode(
                 F.array(
@@ -81,48 +81,48 @@ def _select(
                     ]
                 )
             ).alias("b"),
-        ).select(group, "n", "b.*"),
+        ).select(*group, "n", "b.*"),
         "brackets",
     )
     target = (F.col("n") - 1) * F.col("probability")
     wanted = brackets.select(
-        group,
+        *group,
         "probability",
         "n",
         F.floor(target).alias("_k"),
         F.least(F.floor(target) + 1, F.col("n") - 1).alias("_k_next"),
         (target - F.floor(target)).alias("fraction"),
     )
-    nested = brackets.groupBy(group).agg(
+    nested = brackets.groupBy(*group).agg(
         F.collect_list(F.struct("probability", "lo", "hi")).alias("_brackets")
     )
     # Each row either lies below a bracket (only counted), inside it, or above (dropped).
     # Bounded broadcast: one row per group, a handful of brackets each.
-    marked = rows.join(F.broadcast(nested), group).select(
-        group,
+    marked = rows.join(F.broadcast(nested), list(group)).select(
+        *group,
         F.col(value).alias("_value"),
         F.explode(F.filter("_brackets", lambda b: F.col(value) <= b["hi"])).alias("_b"),
     )
     tallies = (
         marked.select(
-            group,
+            *group,
             F.col("_b.probability").alias("probability"),
             F.when(F.col("_value") >= F.col("_b.lo"), F.col("_value")).alias("_value"),
         )
-        .groupBy(group, "probability", "_value")
+        .groupBy(*group, "probability", "_value")
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     # NULL sorts first: the rows below the bracket open the running count.
-    running = Window.partitionBy(group, "probability").orderBy(F.col("_value").asc_nulls_first())
+    running = Window.partitionBy(*group, "probability").orderBy(F.col("_value").asc_nulls_first())
     placed = tallies.withColumn("_upto", F.sum("_rows").over(running)).join(
-        F.broadcast(wanted), [group, "probability"], "right"
+        F.broadcast(wanted), [*group, "probability"], "right"
     )
 
     def holds(index: str) -> Column:
         inside = (F.col("_upto") - F.col("_rows") <= F.col(index)) & (F.col(index) < F.col("_upto"))
         return F.max(F.when(inside, F.col("_value")))
 
-    return placed.groupBy(group, "probability").agg(
+    return placed.groupBy(*group, "probability").agg(
         F.first("n").alias("n"),
         holds("_k").alias("low"),
         holds("_k_next").alias("high"),

@@ -120,18 +120,50 @@ def fit_robust_scaler(
     Clipping keeps the order of values, so the quartiles of the clipped values come from the
     clipped order statistics of the raw ones: one selection serves all five quantiles.
     """
+    training = features.filter(F.col("trade_date") <= F.lit(train_end))
+    return _robust_parameters(training, (), channels, winsor_lower, winsor_upper)
+
+
+def fit_robust_scalers(
+    features: DataFrame,
+    train_ends: dict[str, dt.date],
+    channels: Sequence[str] = CHANNELS,
+    winsor_lower: float = 0.005,
+    winsor_upper: float = 0.995,
+) -> DataFrame:
+    """The same parameters per fold_id, all folds in one pass over the features."""
+    ends = F.array(
+        *[
+            F.struct(F.lit(fold).alias("fold_id"), F.lit(end).alias("train_end"))
+            for fold, end in train_ends.items()
+        ]
+    )
+    inside = F.filter(ends, lambda f: F.col("trade_date") <= f["train_end"])
+    training = features.withColumn("_fold", F.explode(inside)).withColumn(
+        "fold_id", F.col("_fold.fold_id")
+    )
+    return _robust_parameters(training, ("fold_id",), channels, winsor_lower, winsor_upper)
+
+
+def _robust_parameters(
+    training: DataFrame,
+    by: Sequence[str],
+    channels: Sequence[str],
+    winsor_lower: float,
+    winsor_upper: float,
+) -> DataFrame:
     if not 0 <= winsor_lower < winsor_upper <= 1:
         raise ValueError("winsor quantiles must satisfy 0 <= lower < upper <= 1")
-    training = features.filter(F.col("trade_date") <= F.lit(train_end))
-    long = training.unpivot([], list(channels), "channel", "value")
+    group = [*by, "channel"]
+    long = training.unpivot(list(by), list(channels), "channel", "value")
     names = {"lower": winsor_lower, "q25": 0.25, "median": 0.5, "q75": 0.75, "upper": winsor_upper}
-    stats = order_statistics(long, "channel", "value", sorted(set(names.values())))
+    stats = order_statistics(long, group, "value", sorted(set(names.values())))
 
     def pick(probability: float):
         row = F.when(F.col("probability") == probability, F.struct("low", "high", "fraction"))
         return F.max(row)
 
-    wide = stats.groupBy("channel").agg(
+    wide = stats.groupBy(*group).agg(
         F.first("n").alias("train_observations"), *[pick(p).alias(k) for k, p in names.items()]
     )
 
@@ -154,7 +186,7 @@ def fit_robust_scaler(
 
     scale = (clipped("q75") - clipped("q25")) / IQR_TO_SIGMA
     return bounds.select(
-        "channel",
+        *group,
         "winsor_lower_value",
         "winsor_upper_value",
         clipped("median").alias("median"),

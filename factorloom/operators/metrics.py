@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.columns import correlation
+from factorloom.functions.columns import correlation, rank_correlation
 from factorloom.functions.ranking import largest_group, with_average_rank, with_position
 
 # Cost scenarios in basis points, quantiles, sessions per year.
@@ -49,7 +49,7 @@ def daily_ic(
     return ranked.groupBy(*date).agg(
         F.count(F.lit(1)).alias("n"),
         correlation(F.col("_score"), F.col("_target")).alias("ic"),
-        correlation(F.col("_score_rank"), F.col("_target_rank")).alias("rank_ic"),
+        rank_correlation(F.col("_score_rank"), F.col("_target_rank")).alias("rank_ic"),
     )
 
 

@@ -126,8 +126,10 @@ def paired_delta(
 
 
 def _verdict(frame: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
-    found = F.array(*[F.when(broken, F.lit(text)) for broken, text in rules])
-    reasons = F.filter(found, lambda reason: reason.isNotNull())
+    none = F.array().cast("array<string>")
+    reasons = F.concat(
+        *[F.when(broken, F.array(F.lit(text))).otherwise(none) for broken, text in rules]
+    )
     return frame.withColumn("reasons", reasons).withColumns(
         {
             "passed": F.size("reasons") == 0,

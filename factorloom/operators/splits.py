@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import CHANNELS
-from factorloom.operators.features import fit_robust_scaler
+from factorloom.operators.features import fit_robust_scalers
 
 
 @dataclass(frozen=True)
@@ -108,14 +108,7 @@ def walk_forward_scalers(
     features: DataFrame, folds: Sequence[SplitDates], channels: Sequence[str] = CHANNELS
 ) -> DataFrame:
     """Scaler parameters refitted on each fold's own training rows."""
-    fitted = [
-        fit_robust_scaler(features, f.train_end, channels).withColumn("fold_id", F.lit(f.fold_id))
-        for f in folds
-    ]
-    result = fitted[0]
-    for part in fitted[1:]:
-        result = result.unionByName(part)
-    return result
+    return fit_robust_scalers(features, {f.fold_id: f.train_end for f in folds}, channels)
 
 
 def _tail_start(sample_index: DataFrame, fraction: float, keep: int) -> DataFrame:

@@ -145,7 +145,7 @@ def map_eod_bars(
     return _with_identity(rows, metadata, provider).select(
         "security_id",
         display_symbol(F.col("provider_symbol")).alias("symbol"),
-        F.try_to_date("date", F.lit("yyyy-MM-dd")).alias("trade_date"),
+        F.try_to_date("date", "yyyy-MM-dd").alias("trade_date"),
         "open",
         "high",
         "low",
@@ -169,8 +169,8 @@ def map_eod_bars(
 def map_dividends(
     rows: DataFrame, metadata: DataFrame, *, provider: str, source_revision: str
 ) -> DataFrame:
-    ex_date = F.try_to_date("date", F.lit("yyyy-MM-dd"))
-    declared = F.try_to_date("declarationDate", F.lit("yyyy-MM-dd"))
+    ex_date = F.try_to_date("date", "yyyy-MM-dd")
+    declared = F.try_to_date("declarationDate", "yyyy-MM-dd")
     timely = F.coalesce(declared <= ex_date, F.lit(False))
     return _with_identity(rows, metadata, provider).select(
         "security_id",
@@ -195,7 +195,7 @@ def map_splits(
     new, old = (F.try_element_at(parts, F.lit(i)).try_cast("double") for i in (1, 2))
     valid = (F.size(parts) == 2) & (new > 0) & (old > 0)
     bad = F.raise_error(F.concat(F.lit("invalid split ratio: "), F.col("split"))).cast("double")
-    ex_date = F.try_to_date("date", F.lit("yyyy-MM-dd"))
+    ex_date = F.try_to_date("date", "yyyy-MM-dd")
     return _with_identity(rows, metadata, provider).select(
         "security_id",
         ex_date.alias("ex_date"),

@@ -73,7 +73,7 @@ def coerce_date(frame: DataFrame, column: str) -> DataFrame:
     if isinstance(kind, T.DateType):
         return frame
     if isinstance(kind, T.StringType):
-        return frame.withColumn(column, F.try_to_date(column, F.lit("yyyy-MM-dd")))
+        return frame.withColumn(column, F.try_to_date(column, "yyyy-MM-dd"))
     return frame.withColumn(column, F.col(column).try_cast("date"))
 
 
