@@ -35,12 +35,11 @@ def with_position(
     *,
     size: str | None = None,
     rows_per_group: int | None = None,
-    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Add the 1-based position in ``order`` (a total order), and optionally the group size."""
     if rows_per_group is None:
         rows_per_group = largest_group(frame, group)
-    if rows_per_group <= window_rows:
+    if rows_per_group <= WINDOW_ROWS:
         rows = Window.partitionBy(*group)
         placed = frame.withColumn(name, F.row_number().over(rows.orderBy(*order)).cast("long"))
         return placed.withColumn(size, F.count(F.lit(1)).over(rows)) if size else placed
@@ -55,12 +54,11 @@ def with_average_rank(
     *,
     unique: Sequence[str] = ("security_id",),
     rows_per_group: int | None = None,
-    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Add 1-based ranks of a non-NULL value; ties share their average rank."""
     if rows_per_group is None:
         rows_per_group = largest_group(frame, group)
-    if rows_per_group <= window_rows:
+    if rows_per_group <= WINDOW_ROWS:
         ordered = Window.partitionBy(*group).orderBy(value)
         peers = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
         return frame.withColumn(name, F.rank().over(ordered) + (peers - 1) / 2)

@@ -34,21 +34,19 @@ def forward_return(
     """Entry at the adjusted open of label_start, normal exit at the close of label_end.
 
     Prices are looked up by session number, never by row offset: a frame over exactly the
-    session ``lag`` (or ``horizon``) ahead finds that session's bar or nothing. One
-    partitioning by security replaces two joins of the bars.
+    session ``lag`` (or ``horizon``) ahead finds that session's bar or nothing. Grid rows
+    and bars are stacked, so one exchange by security replaces two joins of the bars.
     """
     calendar = session_offsets(universe, lag, horizon)
-    rows = universe.select(
-        "security_id", "trade_date", "eligible", F.lit(True).alias("_listed")
-    ).repartition("security_id")
+    rows = universe.select("security_id", "trade_date", "eligible", F.lit(True).alias("_listed"))
     prices = bars.select(
         "security_id",
         "trade_date",
         (F.col("open") * F.col("adj_factor")).alias("_adj_open"),
         (F.col("close") * F.col("adj_factor")).alias("_adj_close"),
-    ).repartition("security_id")
+    )
     # A bar on a date outside the calendar can be no entry or exit.
-    timeline = rows.join(prices, ["security_id", "trade_date"], "full").join(
+    timeline = rows.unionByName(prices, allowMissingColumns=True).join(
         F.broadcast(calendar), "trade_date"
     )
 

@@ -7,13 +7,13 @@ Every function takes ``by``: extra group columns under which all state restarts.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import correlation, rank_correlation
 from factorloom.functions.ranking import largest_group, with_average_rank, with_position
+from factorloom.functions.session import materialize
 
 # Cost scenarios in basis points, quantiles, sessions per year.
 COSTS_BPS = (0.0, 10.0, 20.0, 50.0)
@@ -53,19 +53,24 @@ def daily_ic(
     )
 
 
+def _series_columns(value: str, annualization: int) -> dict[str, Column]:
+    n, mean = F.count(value), F.avg(value)
+    deviation = F.when(n > 1, F.stddev_samp(value)).when(n == 1, 0.0)
+    return {
+        "dates": n,
+        "mean": mean,
+        "std": deviation,
+        "ir": F.when(deviation > 0, mean / deviation * F.sqrt(F.lit(float(annualization)))),
+        "positive_ratio": F.avg((F.col(value) > 0).cast("double")),
+    }
+
+
 def aggregate_series(
     daily: DataFrame, value: str, by: Sequence[str] = (), annualization: int = ANNUALIZATION
 ) -> DataFrame:
     """Dates, mean, deviation (0 for one date), annualised ratio and positive share."""
-    n, mean = F.count(value), F.avg(value)
-    deviation = F.when(n > 1, F.stddev_samp(value)).when(n == 1, 0.0)
-    return daily.groupBy(*by).agg(
-        n.alias("dates"),
-        mean.alias("mean"),
-        deviation.alias("std"),
-        F.when(deviation > 0, mean / deviation * F.sqrt(F.lit(float(annualization)))).alias("ir"),
-        F.avg((F.col(value) > 0).cast("double")).alias("positive_ratio"),
-    )
+    columns = _series_columns(value, annualization)
+    return daily.groupBy(*by).agg(*[c.alias(name) for name, c in columns.items()])
 
 
 def aggregate_ic(
@@ -207,15 +212,13 @@ def score_summary(
     date = [*by, "asof_date"]
     if rows_per_group is None:
         rows_per_group = largest_group(predictions, date)
-    daily = daily_ic(predictions, score, by, rows_per_group)
-
-    def series(value: str) -> DataFrame:
-        stats = aggregate_series(daily, value, by)
-        named = {"dates": "dates", "mean": "mean", "std": "std", "ir": "ir", "positive_ratio": "positive"}
-        return stats.select(*by, *[F.col(k).alias(f"{value}_{v}") for k, v in named.items()])
-
-    # One grouping serves both series; the daily table holds one row per date.
-    stats = reduce(lambda a, b: a.join(b, list(by)), [series("ic"), series("rank_ic")])
+    stats = daily_ic(predictions, score, by, rows_per_group).groupBy(*by).agg(
+        *[
+            column.alias(f"{series}_{name.removesuffix('_ratio')}")
+            for series in ("ic", "rank_ic")
+            for name, column in _series_columns(series, ANNUALIZATION).items()
+        ]
+    )
     book = daily_portfolio(
         predictions, score, by, costs_bps=costs_bps, rows_per_group=rows_per_group
     )
@@ -261,6 +264,8 @@ def evaluate_score(
     book = daily_portfolio(
         predictions, score, costs_bps=costs_bps, rows_per_group=rows_per_group
     )
+    # One row per date each; stored, since the tables and their averages are both results.
+    daily, book = materialize(daily, "daily-ic"), materialize(book, "daily-portfolio")
     return {
         "daily_ic": daily,
         "daily_portfolio": book,

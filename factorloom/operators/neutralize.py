@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import is_finite
+from factorloom.functions.session import materialize
 
 # Quality labels of a date.
 MISSING = "unavailable_missing_point_in_time_exposures"
@@ -68,13 +69,17 @@ def _industry_terms(predictions: DataFrame, by: Sequence[str], score: str) -> Da
         .otherwise(AVAILABLE)
     )
     slope = F.when(c("_varies"), F.try_divide(c("_cross"), c("_within"))).otherwise(0.0)
-    return dated.select(
-        *date,
-        INDUSTRY,
-        "_score_mean",
-        "_cap_mean",
-        slope.alias("_slope"),
-        quality.alias("quality"),
+    # Stored: its true size then decides between a broadcast and a skew-split shuffle join.
+    return materialize(
+        dated.select(
+            *date,
+            INDUSTRY,
+            "_score_mean",
+            "_cap_mean",
+            slope.alias("_slope"),
+            quality.alias("quality"),
+        ),
+        "industry-terms",
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import is_finite
+from factorloom.functions.session import materialize
 from factorloom.operators.neutralize import neutralize
 
 SIGNAL_AVAILABLE = "after_close"
@@ -40,7 +41,9 @@ def prediction_frame(
         .join(exposures, "sample_id", "left")
         .drop("sample_id")
     )
-    return neutralize(_with_lineage(joined, model_id, checkpoint_hash, dataset_id))
+    # Stored once: the neutralisation reads it for its sums and for the residuals.
+    stored = materialize(_with_lineage(joined, model_id, checkpoint_hash, dataset_id), "scored")
+    return neutralize(stored)
 
 
 def live_factor_frame(
@@ -65,9 +68,8 @@ def live_factor_frame(
         )
         .drop("sample_id")
     )
-    return neutralize(
-        _with_execution(_with_lineage(joined, model_id, checkpoint_hash, dataset_id))
-    )
+    factors = _with_execution(_with_lineage(joined, model_id, checkpoint_hash, dataset_id))
+    return neutralize(materialize(factors, "live-scored"))
 
 
 def factor_frame(predictions: DataFrame) -> DataFrame:

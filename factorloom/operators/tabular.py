@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.columns import CHANNELS, is_finite, trailing
+from factorloom.functions.columns import CHANNELS, is_finite
+from factorloom.functions.rolling import STATISTICS, rolling_name, with_rolling
 
 # Default statistics windows, in sessions.
 WINDOWS = (5, 20, 60, 120, 252)
@@ -25,7 +26,7 @@ def multiscale_columns(
         for c in channels
         for name in [
             f"{c}__last",
-            *[f"{c}__{stat}_{w}" for w in usable for stat in ("mean", "std", "min", "max")],
+            *[rolling_name(c, stat, w) for w in usable for stat in STATISTICS],
         ]
     ]
 
@@ -43,7 +44,7 @@ def multiscale_features(
     The narrow index is joined first: the wide result of the windows is never exchanged,
     and all windows share one layout and one sort by security and date.
     """
-    multiscale_columns(channels, windows, context_length)
+    columns = multiscale_columns(channels, windows, context_length)
     usable = [w for w in windows if w <= context_length]
     carried = [
         c
@@ -56,31 +57,10 @@ def multiscale_features(
         .repartition("security_id")
         .join(marks.repartition("security_id"), ["security_id", "trade_date"], "left")
     )
-    statistics = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
-
-    def rolled(channel: str, statistic: str, window: int) -> Column:
-        value, frame = F.col(channel), trailing(window)
-        full = F.count(value).over(frame) == window
-        return F.when(full, statistics[statistic](value).over(frame))
-
-    wide = rows.select(
-        "security_id",
-        F.col("trade_date").alias("asof_date"),
-        *carried,
-        *[
-            column
-            for c in channels
-            for column in [
-                F.col(c).alias(f"{c}__last"),
-                *[
-                    rolled(c, stat, w).alias(f"{c}__{stat}_{w}")
-                    for w in usable
-                    for stat in ("mean", "std", "min", "max")
-                ],
-            ]
-        ],
+    rolled = with_rolling(rows, channels, usable).filter("sample_id IS NOT NULL")
+    return rolled.withColumnsRenamed({c: f"{c}__last" for c in channels}).select(
+        "security_id", F.col("trade_date").alias("asof_date"), *carried, *columns
     )
-    return wide.filter("sample_id IS NOT NULL")
 
 
 def multiscale_inference_features(

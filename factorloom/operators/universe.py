@@ -217,7 +217,8 @@ def build_universe(
     max_daily_symbols: int | None = None,
 ) -> DataFrame:
     """The full grid with listing states and eligibility, from bars alone."""
-    calendar = session_calendar(bars)
+    # Stored once: the bars are scanned for their dates a single time.
+    calendar = materialize(session_calendar(bars), "calendar")
     grid = session_grid(build_security_ranges(bars, calendar), calendar)
     grid = listed_days(adv20(attach_observations(grid, bars)))
     grid = grid.withColumns(

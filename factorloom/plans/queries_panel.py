@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import CHANNELS
+from factorloom.functions.session import materialize
 from factorloom.operators import features as ft
 from factorloom.operators import tabular as tb
 from factorloom.operators import universe as un
@@ -20,7 +21,7 @@ KEYS = ["security_id", "trade_date"]
 
 
 def _grid(s: Stage) -> DataFrame:
-    calendar = un.session_calendar(s.bars)
+    calendar = materialize(un.session_calendar(s.bars), "calendar")
     return un.session_grid(un.build_security_ranges(s.bars, calendar), calendar)
 
 
