@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.session import materialize
-
 SKETCH_ACCURACY = 20_000
 
 
@@ -32,14 +30,13 @@ def order_statistics(
     ``low + fraction * (high - low)``. The groups must be few, as channels are.
     """
     rows = frame.filter(F.col(value).isNotNull()).select(*group, value)
-    # One number per group; two ranks of slack cover the rounding of small groups.
-    smallest = rows.groupBy(*group).agg(F.count(value).alias("n")).agg(F.min("n")).first()[0]
-    margin = 3.0 / accuracy + 2.0 / (smallest or 1)
+    margin = 3.0 / accuracy
     while True:
-        chosen = _select(rows, group, value, probabilities, accuracy, margin)
-        selected = materialize(chosen, "quantiles")
-        if margin >= 1 or selected.filter("low IS NULL OR high IS NULL").isEmpty():
-            return selected
+        selected = _select(rows, group, value, probabilities, accuracy, margin)
+        # A few rows per group.
+        found = selected.collect()
+        if all(row["low"] is not None and row["high"] is not None for row in found):
+            return frame.sparkSession.createDataFrame(found, selected.schema)
         margin *= 16
 
 
@@ -52,48 +49,41 @@ def _select(
     margin: float,
 ) -> DataFrame:
     edges = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probabilities for s in (-1, 1)})
-    sketch = rows.groupBy(*group).agg(
-        F.count(value).alias("n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        F.percentile_approx(value, edges, accuracy).alias("_edges"),
+    # One row per group, fixed on the driver: the sketch may differ when computed again,
+    # and every later step must use the same brackets.
+    sketches = (
+        rows.groupBy(*group)
+        .agg(
+            F.count(value).alias("n"),
+            F.min(value).alias("low"),
+            F.max(value).alias("high"),
+            F.percentile_approx(value, edges, accuracy).alias("edges"),
+        )
+        .collect()
     )
 
-    def edge(probability: float, side: int) -> Column:
-        wanted = min(max(probability + side * margin, 0.0), 1.0)
-        if wanted == 0.0:
-            return F.col("_min")
-        return F.col("_max") if wanted == 1.0 else F.element_at("_edges", edges.index(wanted) + 1)
+    def bracket(sketch, probability: float) -> tuple:
+        n, ends = sketch["n"], [sketch["low"], sketch["high"]]
+        # In a small group the margin spans less than a rank or two: take all of it.
+        if n * margin >= 2:
+            for i, side in enumerate((-1, 1)):
+                edge = min(max(probability + side * margin, 0.0), 1.0)
+                if 0.0 < edge < 1.0:
+                    ends[i] = sketch["edges"][edges.index(edge)]
+        target = (n - 1) * probability
+        k = int(target)
+        key = tuple(sketch[g] for g in group)
+        return (*key, float(probability), n, *ends, k, min(k + 1, n - 1), target - k)
 
-    brackets = materialize(
-        sketch.select(
-            *group,
-            "n",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(float(p)).alias("probability"),
-                            edge(p, -1).alias("lo"),
-                            edge(p, 1).alias("hi"),
-                        )
-                        for p in probabilities
-                    ]
-                )
-            ).alias("b"),
-        ).select(*group, "n", "b.*"),
-        "brackets",
-    )
-    target = (F.col("n") - 1) * F.col("probability")
-    wanted = brackets.select(
-        *group,
-        "probability",
-        "n",
-        F.floor(target).alias("_k"),
-        F.least(F.floor(target) + 1, F.col("n") - 1).alias("_k_next"),
-        (target - F.floor(target)).alias("fraction"),
+    number = rows.schema[value].dataType.simpleString()
+    columns = [
+        *[f"{g} {rows.schema[g].dataType.simpleString()}" for g in group],
+        f"probability double, n long, lo {number}, hi {number}, _k long, _k_next long, fraction double",
+    ]
+    wanted = rows.sparkSession.createDataFrame(
+        [bracket(s, p) for s in sketches for p in probabilities], ", ".join(columns)
     )
-    nested = brackets.groupBy(*group).agg(
+    nested = wanted.groupBy(*group).agg(
         F.collect_list(F.struct("probability", "lo", "hi")).alias("_brackets")
     )
     # Each row either lies below a bracket (only counted), inside it, or above (dropped).
@@ -115,7 +105,7 @@ def _select(
     # NULL sorts first: the rows below the bracket open the running count.
     running = Window.partitionBy(*group, "probability").orderBy(F.col("_value").asc_nulls_first())
     placed = tallies.withColumn("_upto", F.sum("_rows").over(running)).join(
-        F.broadcast(wanted), [*group, "probability"], "right"
+        F.broadcast(wanted), [*group, "probability"]
     )
 
     def holds(index: str) -> Column:

@@ -254,23 +254,39 @@ def stability_by_size(predictions: DataFrame, **options) -> DataFrame:
     return score_summary(bucketed, ["size_bucket"], **options)
 
 
-def evaluate_score(
+def stacked_scores(predictions: DataFrame) -> DataFrame:
+    """One row per prediction and score it has, raw or neutralized."""
+    pairs = F.array(
+        *[
+            F.struct(F.lit(name).alias("score"), F.col(f"score_{name}").alias("value"))
+            for name in ("raw", "neutralized")
+        ]
+    )
+    return (
+        predictions.select("security_id", "asof_date", "target", F.explode(pairs).alias("s"))
+        .filter("s.value IS NOT NULL")
+        .select("security_id", "asof_date", "target", "s.*")
+    )
+
+
+def evaluate_scores(
     predictions: DataFrame,
-    score: str = "score_raw",
     costs_bps: Sequence[float] = COSTS_BPS,
     rows_per_group: int | None = None,
 ) -> dict[str, DataFrame]:
-    daily = daily_ic(predictions, score, rows_per_group=rows_per_group)
+    """Daily and aggregated tables of both scores, keyed by score, in one pass each."""
+    by, scores = ["score"], stacked_scores(predictions)
+    daily = daily_ic(scores, "value", by, rows_per_group)
     book = daily_portfolio(
-        predictions, score, costs_bps=costs_bps, rows_per_group=rows_per_group
+        scores, "value", by, costs_bps=costs_bps, rows_per_group=rows_per_group
     )
     # One row per date each; stored, since the tables and their averages are both results.
     daily, book = materialize(daily, "daily-ic"), materialize(book, "daily-portfolio")
     return {
         "daily_ic": daily,
         "daily_portfolio": book,
-        "ic": aggregate_ic(daily),
-        "portfolio": aggregate_portfolio(book),
+        "ic": aggregate_ic(daily, by),
+        "portfolio": aggregate_portfolio(book, by),
     }
 
 
@@ -279,23 +295,18 @@ def evaluate_predictions(
 ) -> dict[str, DataFrame]:
     """All metric tables of one stored prediction table.
 
-    The neutralised score is left out when no row has one. The largest date is measured
-    once, and bounds every sub-group.
+    The neutralized score has no rows where none is available. The largest date is
+    measured once, and bounds every sub-group.
     """
     rows = largest_group(predictions, ["asof_date"])
     options = {"costs_bps": costs_bps, "rows_per_group": rows}
-    result = {
-        f"raw_{name}": table
-        for name, table in evaluate_score(predictions, "score_raw", **options).items()
+    return {
+        **evaluate_scores(predictions, **options),
+        "cross_section": cross_section_stats(predictions),
+        "by_year": stability_by_year(predictions, **options),
+        "by_industry": stability_by_industry(predictions, **options),
+        "by_size": stability_by_size(predictions, **options),
     }
-    if not predictions.filter("score_neutralized IS NOT NULL").isEmpty():
-        for name, table in evaluate_score(predictions, "score_neutralized", **options).items():
-            result[f"neutralized_{name}"] = table
-    result["cross_section"] = cross_section_stats(predictions)
-    result["by_year"] = stability_by_year(predictions, **options)
-    result["by_industry"] = stability_by_industry(predictions, **options)
-    result["by_size"] = stability_by_size(predictions, **options)
-    return result
 
 
 def compare_runs(

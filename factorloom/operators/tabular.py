@@ -81,26 +81,16 @@ def multiscale_inference_features(
 def fit_tabular_preprocessor(tabular: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: mean and population deviation over finite values."""
 
-    def finite(name: str) -> Column:
-        return F.when(is_finite(F.col(name)), F.col(name))
-
-    wide = tabular.agg(
-        *[
-            F.struct(
-                F.coalesce(F.avg(finite(c)), F.lit(0.0)).alias("mean"),
-                F.stddev_pop(finite(c)).alias("deviation"),
-            ).alias(c)
-            for c in columns
-        ]
-    )
-    listed = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(c).alias("fit")) for c in columns]
+    # Long form keeps the generated code small however many columns there are.
+    long = tabular.unpivot([], list(columns), "feature", "value")
+    finite = F.when(is_finite(F.col("value")), F.col("value"))
+    fits = long.groupBy("feature").agg(
+        F.avg(finite).alias("_mean"), F.stddev_pop(finite).alias("_deviation")
     )
-    deviation = F.col("e.fit.deviation")
-    return wide.select(F.explode(listed).alias("e")).select(
-        "e.feature",
-        F.col("e.fit.mean").alias("mean"),
-        F.when(deviation > MIN_SCALE, deviation).otherwise(1.0).alias("scale"),
+    return fits.select(
+        "feature",
+        F.coalesce("_mean", F.lit(0.0)).alias("mean"),
+        F.when(F.col("_deviation") > MIN_SCALE, F.col("_deviation")).otherwise(1.0).alias("scale"),
     )
 
 

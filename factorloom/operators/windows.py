@@ -78,53 +78,55 @@ def patchify(
     starts = F.sequence(F.lit(0), F.lit(patch_count(context_length, length, stride) - 1))
 
     def channel_row(position: int, name: str) -> Column:
-        series = F.transform("values", lambda v: v[position])
-        mask = F.transform("observed_mask", lambda m: m[position])
-
-        def patch(p: Column) -> Column:
-            seen = F.slice(mask, p * stride + 1, length)
-            return F.struct(
-                p.alias("patch_index"),
-                F.slice(series, p * stride + 1, length).alias("patch_values"),
-                seen.alias("patch_mask"),
-                F.exists(seen, lambda o: o).alias("patch_observed"),
-            )
-
         return F.struct(
             F.lit(name).alias("channel"),
-            F.exists(mask, lambda o: o).alias("channel_observed"),
-            F.transform(starts, patch).alias("patches"),
+            F.transform("values", lambda v: v[position]).alias("series"),
+            F.transform("observed_mask", lambda m: m[position]).alias("mask"),
         )
 
+    # Series first, patches after the explode: a series is built once, not once per patch.
     rows = F.array(*[channel_row(i, c) for i, c in enumerate(channels)])
-    return windows.select("sample_id", F.explode(rows).alias("r")).select("sample_id", "r.*")
+    series = windows.select("sample_id", F.explode(rows).alias("r")).select("sample_id", "r.*")
+
+    def patch(p: Column) -> Column:
+        seen = F.slice("mask", p * stride + 1, length)
+        return F.struct(
+            p.alias("patch_index"),
+            F.slice("series", p * stride + 1, length).alias("patch_values"),
+            seen.alias("patch_mask"),
+            F.array_contains(seen, True).alias("patch_observed"),
+        )
+
+    return series.select(
+        "sample_id",
+        "channel",
+        F.array_contains("mask", True).alias("channel_observed"),
+        F.transform(starts, patch).alias("patches"),
+    )
 
 
 def explode_patches(patches: DataFrame) -> DataFrame:
-    return patches.select(
-        "sample_id", "channel", "channel_observed", F.explode("patches").alias("p")
-    ).select("sample_id", "channel", "channel_observed", "p.*")
+    kept = [c for c in patches.columns if c != "patches"]
+    return patches.select(*kept, F.explode("patches").alias("p")).select(*kept, "p.*")
 
 
 def masked_patch_sample(patches: DataFrame, *, ratio: float, seed: int, epoch: int = 0) -> DataFrame:
-    """Mark a fixed share of each row's patches as masked, chosen by a seeded hash."""
+    """One row per patch; a fixed share of each row's patches is masked, by a seeded hash."""
     if not 0 < ratio < 1:
         raise ValueError("ratio must satisfy 0 < ratio < 1")
     total = F.size("patches")
     masked = total - F.floor(total * F.lit(1.0 - ratio)).cast("int")
 
-    def draw(patch: Column) -> Column:
-        return F.xxhash64("sample_id", "channel", patch["patch_index"], F.lit(seed), F.lit(epoch))
+    def draw(p: Column) -> Column:
+        place = F.xxhash64("sample_id", "channel", p, F.lit(seed), F.lit(epoch))
+        return F.struct(place.alias("place"), p.alias("patch"))
 
-    drawn = patches.withColumn("_draws", F.transform("patches", draw))
-    ranked = drawn.withColumn("_cut", F.get(F.sort_array("_draws"), masked - 1))
-    flagged = F.transform(
-        "patches",
-        lambda p, i: p.withField(
-            "masked", F.coalesce(F.get("_draws", i) <= F.col("_cut"), F.lit(False))
-        ),
-    )
-    return ranked.withColumn("patches", flagged).drop("_draws", "_cut")
+    drawn = F.sort_array(F.transform(F.sequence(F.lit(0), total - 1), draw))
+    # Chosen before the explode, so that it is worked out once per row.
+    chosen = patches.withColumn("_chosen", F.slice(drawn, F.lit(1), masked)["patch"])
+    return explode_patches(chosen).withColumn(
+        "masked", F.array_contains(F.col("_chosen"), F.col("patch_index"))
+    ).drop("_chosen")
 
 
 def masked_reconstruction_loss(
@@ -137,28 +139,20 @@ def masked_reconstruction_loss(
     """One row: mean element loss over masked and observed elements, and their number.
 
     Input rows hold arrays ``prediction``, ``patch_values``, ``patch_mask`` and a flag
-    ``masked``. Elements are summed inside each row, then combined map-side.
+    ``masked``. Elements are unrolled inside each task and combined map-side.
     """
     if loss not in ("mse", "huber"):
         raise ValueError("loss must be mse or huber")
     pairs = F.arrays_zip(
         F.col(prediction).alias("p"), F.col("patch_values").alias("a"), F.col("patch_mask").alias("o")
     )
-
-    def element(e: Column) -> Column:
-        gap = e["p"].cast("double") - e["a"].cast("double")
-        if loss == "mse":
-            return gap * gap
-        inner = 0.5 * gap * gap
+    elements = patches.filter("masked").select(F.inline(pairs)).filter("o")
+    gap = F.col("p").cast("double") - F.col("a").cast("double")
+    if loss == "mse":
+        element = gap * gap
+    else:
         outer = huber_delta * (F.abs(gap) - 0.5 * huber_delta)
-        return F.when(F.abs(gap) <= huber_delta, inner).otherwise(outer)
-
-    losses = F.transform(F.filter(pairs, lambda e: e["o"]), element)
-    rows = patches.filter("masked").select(
-        F.size(losses).alias("_n"),
-        F.aggregate(losses, F.lit(0.0), lambda total, x: total + x).alias("_sum"),
-    )
-    return rows.agg(
-        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("loss"),
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("valid_elements"),
+        element = F.when(F.abs(gap) <= huber_delta, 0.5 * gap * gap).otherwise(outer)
+    return elements.agg(
+        F.avg(element).alias("loss"), F.count(F.lit(1)).alias("valid_elements")
     )

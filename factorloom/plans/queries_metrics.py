@@ -178,11 +178,7 @@ def _score_rows(score: str, name: str) -> str:
     _score_rows("score_raw", "raw") + " UNION ALL " + _score_rows("score_neutralized", "neutralized"),
 )
 def _(s: Stage) -> DataFrame:
-    tables = mt.evaluate_predictions(s.predictions)
-    raw, neutralized = (
-        tables[f"{name}_ic"].withColumn("score", F.lit(name)) for name in ("raw", "neutralized")
-    )
-    return raw.unionByName(neutralized)
+    return mt.evaluate_predictions(s.predictions)["ic"]
 
 
 @query(

@@ -474,7 +474,7 @@ def _(s: Stage) -> DataFrame:
 @query("d18_masked_patch_sample")
 def _(s: Stage) -> DataFrame:
     masked = wn.masked_patch_sample(_patches(s), ratio=0.4, seed=17)
-    return wn.explode_patches(masked).select("sample_id", "channel", "patch_index", "masked")
+    return masked.select("sample_id", "channel", "patch_index", "masked")
 
 
 @query(

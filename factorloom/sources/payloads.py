@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.session import materialize
+
 # One JSON object per provider symbol, holding the symbol's list of daily rows.
 EOD_SCHEMA = """
     provider_symbol string,
@@ -306,7 +308,8 @@ def select_top_liquid(
         .join(scoped, "code", "left_semi")
         .withColumn("dollar_liquidity_200d", F.col("close") * F.col("avgvol_200d"))
     )
-    top = rows.orderBy(F.desc("dollar_liquidity_200d"), "code").limit(k)
+    # k rows; stored, so that the check does not rank the market twice.
+    top = materialize(rows.orderBy(F.desc("dollar_liquidity_200d"), "code").limit(k), "top")
     if check and top.count() < k:
         raise ValueError(f"fewer than {k} symbols pass the liquidity floors")
     # At most k rows remain.

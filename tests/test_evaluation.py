@@ -137,8 +137,9 @@ def test_all_metric_tables(predictions):
     assert tables["cross_section"].first()["research_ready"] is False
     assert tables["by_industry"].count() == 2 and tables["by_year"].count() == 1
     assert rows(tables["by_size"].select("size_bucket"), "size_bucket") == [("large",), ("mid",), ("small",)]
-    assert "neutralized_ic" in tables
-    assert "neutralized_ic" not in mt.evaluate_predictions(predictions)
+    assert tables["ic"].count() == 4
+    bare = mt.evaluate_predictions(predictions)
+    assert {r["score"] for r in bare["ic"].collect()} == {"raw"}
 
 
 def index_of(predictions):

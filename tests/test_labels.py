@@ -184,7 +184,7 @@ def test_patches_mask_and_loss(spark):
     masked = wn.masked_patch_sample(patches, ratio=0.4, seed=1)
     again = wn.masked_patch_sample(patches, ratio=0.4, seed=1)
     assert masked.collect() == again.collect()
-    assert wn.explode_patches(masked).filter("masked").count() == 2
+    assert masked.filter("masked").count() == 2
     inputs = flat.withColumns(
         {"masked": F.col("patch_index") < 2, "prediction": F.array(F.lit(5.0))}
     )
