@@ -67,12 +67,20 @@ def with_average_rank(
         F.min("_position").alias("_first"), F.count(F.lit(1)).alias("_peers")
     )
     return (
-        placed.join(ties, [*group, value])
+        _join_same(placed, ties, [*group, value])
         .withColumn(name, F.col("_first") + (F.col("_peers") - 1) / 2)
         .drop("_position", "_first", "_peers")
     )
 
 
+def _join_same(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join each row to its group; a NULL key is a group of its own, as in a window."""
+    marks = {key: f"_key_{key}" for key in keys}
+    renamed = groups.withColumnsRenamed(marks)
+    same = [F.col(key).eqNullSafe(F.col(mark)) for key, mark in marks.items()]
+    return rows.join(renamed, same).drop(*marks.values())
+
+
 def _position_by_sort(
     frame: DataFrame,
     name: str,
@@ -109,9 +117,10 @@ def _position_by_sort(
     starts = numbered.groupBy(*group).agg(
         F.min("_index").alias("_start"), F.count(F.lit(1)).alias("_size")
     )
+    starts = materialize(starts, "group-starts")
     if starts.count() <= BROADCAST_GROUPS:
         starts = F.broadcast(starts)
-    placed = numbered.join(starts, list(group)).withColumn(
+    placed = _join_same(numbered, starts, group).withColumn(
         name, F.col("_index") - F.col("_start") + 1
     )
     if size:

@@ -11,10 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from factorloom.functions.columns import by_security
+from pyspark.sql import DataFrame
 
 STATISTICS = ("mean", "std", "min", "max")
 
@@ -24,18 +21,18 @@ def rolling_name(value: str, statistic: str, window: int) -> str:
 
 
 def _block(part: str, value: str) -> str:
-    return f"_{part}_{value}"
+    return f"`_{part}_{value}`"
 
 
 def _merged(part: str, value: str, window: int) -> str:
-    return f"_{part}_{value}_{window}"
+    return f"`_{part}_{value}_{window}`"
 
 
-def _joint_deviation(left: tuple, right: tuple) -> Column:
+def _joint_deviation(left: tuple, right: tuple) -> str:
     """Squared deviations of two adjacent blocks, each given as (rows, sum, deviations)."""
     (n, total, own), (m, other_total, other) = left, right
-    gap = total / n - other_total / m
-    return own + other + gap * gap * (n * m / (n + m))
+    gap = f"({total} / {n} - {other_total} / {m})"
+    return f"{own} + {other} + {gap} * {gap} * {n * m / (n + m)!r}D"
 
 
 def with_rolling(
@@ -44,27 +41,30 @@ def with_rolling(
     windows: Sequence[int],
     order: str = "trade_date",
 ) -> DataFrame:
-    """Add one column per value, window and statistic; NULL unless the window is full."""
-    over, plain = by_security(order), list(frame.columns)
+    """Add one column per value, window and statistic; NULL unless the window is full.
+
+    The many small expressions are given as SQL text, which keeps plan building short.
+    """
+    plain = [f"`{c}`" for c in frame.columns]
 
-    def back(name: str, rows: int) -> Column:
-        return F.lag(name, rows).over(over) if rows else F.col(name)
+    def back(name: str, rows: int) -> str:
+        over = f"OVER (PARTITION BY security_id ORDER BY {order})"
+        return f"lag({name}, {rows}) {over}" if rows else name
 
-    def doubled(value: str, size: int) -> dict[str, Column]:
+    def doubled(value: str, size: int) -> dict[str, str]:
         """Blocks of twice the size, from the block here and the one before it."""
         total, deviation = _block("sum", value), _block("dev", value)
         low, high = _block("min", value), _block("max", value)
         return {
-            total: F.col(total) + back(total, size),
+            total: f"{total} + {back(total, size)}",
             deviation: _joint_deviation(
-                (size, F.col(total), F.col(deviation)),
-                (size, back(total, size), back(deviation, size)),
+                (size, total, deviation), (size, back(total, size), back(deviation, size))
             ),
-            low: F.least(F.col(low), back(low, size)),
-            high: F.greatest(F.col(high), back(high, size)),
+            low: f"least({low}, {back(low, size)})",
+            high: f"greatest({high}, {back(high, size)})",
         }
 
-    def extended(value: str, window: int, size: int) -> dict[str, Column]:
+    def extended(value: str, window: int, size: int) -> dict[str, str]:
         """The window's sums with this block put before what its lower digits cover."""
         covered = window % size
         total = back(_block("sum", value), covered)
@@ -72,35 +72,30 @@ def with_rolling(
         names = [_merged(part, value, window) for part in ("sum", "dev")]
         if not covered:
             return dict(zip(names, (total, deviation)))
-        recent, recent_deviation = (F.col(name) for name in names)
-        joint = _joint_deviation((covered, recent, recent_deviation), (size, total, deviation))
-        return dict(zip(names, (recent + total, joint)))
+        joint = _joint_deviation((covered, *names), (size, total, deviation))
+        return dict(zip(names, (f"{names[0]} + {total}", joint)))
 
-    def extremes(value: str, window: int, size: int) -> dict[str, Column]:
+    def extremes(value: str, window: int, size: int) -> dict[str, str]:
         """Two overlapping blocks of the largest size cover the window."""
-        picks = {"min": F.least, "max": F.greatest}
         return {
-            _merged(part, value, window): pick(
-                F.col(_block(part, value)), back(_block(part, value), window - size)
+            _merged(part, value, window): (
+                f"{pick}({_block(part, value)}, {back(_block(part, value), window - size)})"
             )
-            for part, pick in picks.items()
+            for part, pick in (("min", "least"), ("max", "greatest"))
         }
 
-    blocks = {
-        name: column
-        for v in values
-        for name, column in {
-            _block("sum", v): F.col(v),
-            _block("dev", v): F.when(F.col(v).isNotNull(), 0.0),
-            _block("min", v): F.col(v),
-            _block("max", v): F.col(v),
-        }.items()
-    }
-    current = frame.withColumns(blocks)
-    finished: dict[str, Column] = {}
+    def select(current: DataFrame, columns: dict[str, str]) -> DataFrame:
+        return current.selectExpr(*plain, *[f"{text} AS {name}" for name, text in columns.items()])
+
+    blocks: dict[str, str] = {}
+    for v in values:
+        blocks.update({_block(part, v): f"`{v}`" for part in ("sum", "min", "max")})
+        blocks[_block("dev", v)] = f"CASE WHEN `{v}` IS NOT NULL THEN 0.0D END"
+    current = select(frame, blocks)
+    finished: dict[str, str] = {}
     size, longest = 1, max(windows)
     while size <= longest:
-        ready: dict[str, Column] = {}
+        ready: dict[str, str] = {}
         for v in values:
             for w in windows:
                 if w & size:
@@ -111,22 +106,26 @@ def with_rolling(
         if 2 * size <= longest:
             for v in values:
                 blocks.update(doubled(v, size))
-        finished = {**{name: F.col(name) for name in finished}, **ready}
-        current = current.select(
-            *plain, *[column.alias(name) for name, column in {**blocks, **finished}.items()]
-        )
+        finished = {**{name: name for name in finished}, **ready}
+        current = select(current, {**blocks, **finished})
         size *= 2
 
-    def statistic(name: str, v: str, w: int) -> Column:
-        total = F.col(_merged("sum", v, w))
+    def statistic(name: str, v: str, w: int) -> str:
+        total = _merged("sum", v, w)
         result = {
-            "mean": total / w,
-            "std": F.sqrt(F.greatest(F.col(_merged("dev", v, w)), F.lit(0.0)) / w),
-            "min": F.col(_merged("min", v, w)),
-            "max": F.col(_merged("max", v, w)),
+            "mean": f"{total} / {w}",
+            "std": f"sqrt(greatest({_merged('dev', v, w)}, 0.0D) / {w})",
+            "min": _merged("min", v, w),
+            "max": _merged("max", v, w),
         }[name]
-        return F.when(total.isNotNull(), result).alias(rolling_name(v, name, w))
-
-    return current.select(
-        *plain, *[statistic(s, v, w) for v in values for w in windows for s in STATISTICS]
+        return f"CASE WHEN {total} IS NOT NULL THEN {result} END"
+
+    return select(
+        current,
+        {
+            f"`{rolling_name(v, s, w)}`": statistic(s, v, w)
+            for v in values
+            for w in windows
+            for s in STATISTICS
+        },
     )

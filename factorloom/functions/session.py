@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators are written for. A join on (security_id, date) may reuse
-# a partitioning on security_id, so a panel is exchanged once per stage.
+# a partitioning on security_id, so a panel is exchanged once per stage. Windows and patches
+# widen rows after their exchange, so small exchanges are not merged below the core count.
 RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
 }

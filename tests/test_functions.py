@@ -25,7 +25,7 @@ def skewed(spark, seed=3):
     """A third of all rows on one date, a third of its scores tied."""
     rng = random.Random(seed)
     data = []
-    for date, count in (("d1", 300), ("d2", 80), ("d3", 1), ("d4", 250)):
+    for date, count in (("d1", 300), ("d2", 80), ("d3", 1), (None, 250)):
         for i in range(count):
             score = 0.5 if rng.random() < 0.34 else rng.gauss(0, 1)
             data.append((date, f"s{i:04d}", score))
@@ -39,24 +39,26 @@ def test_position_and_size(spark, way):
     table, frame = skewed(spark)
     got = with_position(frame, "pos", [F.desc("score"), "id"], ["date"], size="n").toPandas()
     table = table.sort_values(["date", "score", "id"], ascending=[True, False, True])
-    table["pos"] = table.groupby("date").cumcount() + 1
-    table["n"] = table.groupby("date")["id"].transform("size")
+    table["pos"] = table.groupby("date", dropna=False).cumcount() + 1
+    table["n"] = table.groupby("date", dropna=False)["id"].transform("size")
     merged = got.merge(table, on=["date", "id"])
+    assert len(merged) == len(table)
     assert len(got) == len(table)
     assert (merged.pos_x == merged.pos_y).all() and (merged.n_x == merged.n_y).all()
 
 
 def test_global_position(spark, way):
     table, frame = skewed(spark)
-    got = with_position(frame, "pos", ["date", "id"], size="n").orderBy("date", "id").toPandas()
+    got = with_position(frame, "pos", ["date", "id"], size="n").orderBy("pos").toPandas()
     assert got.pos.tolist() == list(range(1, len(table) + 1))
+    assert got.date.isna().tolist()[:250] == [True] * 250 and got.id[250:550].is_monotonic_increasing
     assert set(got.n) == {len(table)}
 
 
 def test_average_rank(spark, way):
     table, frame = skewed(spark)
     got = with_average_rank(frame, "rank", "score", ["date"], unique=["id"]).toPandas()
-    table["rank"] = table.groupby("date")["score"].rank(method="average")
+    table["rank"] = table.groupby("date", dropna=False)["score"].rank(method="average")
     merged = got.merge(table, on=["date", "id"])
     assert len(merged) == len(table)
     assert np.allclose(merged.rank_x, merged.rank_y)
