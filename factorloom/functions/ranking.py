@@ -115,7 +115,7 @@ def _position_by_sort(
             placed = placed.withColumn(size, F.lit(stamped.count()))
         return placed.drop("_index")
     starts = numbered.groupBy(*group).agg(
-        F.min("_index").alias("_start"), F.count(F.lit(1)).alias("_size")
+        F.min("_index").alias("_start"), F.count(F.lit(1)).alias("_group_rows")
     )
     starts = materialize(starts, "group-starts")
     if starts.count() <= BROADCAST_GROUPS:
@@ -124,5 +124,5 @@ def _position_by_sort(
         name, F.col("_index") - F.col("_start") + 1
     )
     if size:
-        placed = placed.withColumn(size, F.col("_size"))
-    return placed.drop("_index", "_start", "_size")
+        placed = placed.withColumn(size, F.col("_group_rows"))
+    return placed.drop("_index", "_start", "_group_rows")

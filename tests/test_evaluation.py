@@ -132,7 +132,7 @@ def test_missing_exposures_stay_missing(predictions):
     assert audit["quality"].startswith("unavailable_missing") and audit["dates"] == 2
 
 
-def test_all_metric_tables(predictions):
+def test_all_metric_tables(predictions, way):
     tables = mt.evaluate_predictions(neutralize(predictions))
     assert tables["cross_section"].first()["research_ready"] is False
     assert tables["by_industry"].count() == 2 and tables["by_year"].count() == 1
