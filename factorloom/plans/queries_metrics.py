@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.columns import CHANNELS
 from factorloom.functions.ranking import with_average_rank
 from factorloom.operators import metrics as mt
 from factorloom.operators import neutralize as nt
 from factorloom.operators import research as rs
 from factorloom.operators import statistics as st
 from factorloom.operators.evaluation import evaluate_prediction_table
-from factorloom.plans.ctes import book, book_mean, d, hac, ic, n, neutral, series
+from factorloom.plans.ctes import book, book_mean, d, hac, ic, neutral, series
 from factorloom.plans.queries_tables import two_runs
 from factorloom.plans.registry import query
 from factorloom.plans.stage import FOLDS, LINEAGE, SEEDS, Stage

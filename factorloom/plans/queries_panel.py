@@ -12,7 +12,7 @@ from factorloom.operators import tabular as tb
 from factorloom.operators import universe as un
 from factorloom.operators import windows as wn
 from factorloom.plans import payload_stage as p
-from factorloom.plans.ctes import d, ln_ratio, n
+from factorloom.plans.ctes import d, n
 from factorloom.plans.registry import on_grid, query
 from factorloom.plans.stage import CONTEXT, REVISION, SPLIT, UNIVERSE_RULES, WINDOWS, Stage
 from factorloom.sources import payloads

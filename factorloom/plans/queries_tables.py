@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.session import fresh_path, materialize, shared_folder
+from factorloom.functions.session import fresh_path, materialize
 from factorloom.operators import quality as q
+from factorloom.operators.metrics import cross_section_stats
 from factorloom.operators.scoring import factor_frame
 from factorloom.plans import payload_stage as p
-from factorloom.plans.ctes import TABLES, d, fold_rows, n
+from factorloom.plans.ctes import d, fold_rows
 from factorloom.plans.registry import query
 from factorloom.plans.stage import (
     CONTEXT,
@@ -167,11 +166,12 @@ def _(s: Stage) -> DataFrame:
 
 
 def _snapshot(s: Stage) -> str:
+    """The snapshot of the stage tables; written on first use, found again afterwards."""
     config = DatasetConfig(
         name="derived", split=SPLIT, context_length=CONTEXT, execution_lag=LAG, horizon=HORIZON
     )
     tables = StandardTables(s.bars, s.universe, delistings=s.delistings)
-    folder, _ = write_snapshot(tables, config, f"{shared_folder(s.spark)}/snapshots")
+    folder, _ = write_snapshot(tables, config, s.snapshot_root)
     return folder
 
 
@@ -204,7 +204,8 @@ def _(s: Stage) -> DataFrame:
     return materialize(factor_frame(s.predictions), "factors")
 
 
-# Contracts: tables with planted faults
+# Contracts. The checks read whole tables in which some securities carry planted faults,
+# picked by the security's number so that SQL can state the expected findings.
 
 
 def faulty_bars(s: Stage) -> DataFrame:
@@ -386,6 +387,7 @@ def _(s: Stage) -> DataFrame:
           FROM samples WHERE split = 'valid')""",
 )
 def _(s: Stage) -> DataFrame:
+    # Planted: every sixth security has no prediction.
     partial = s.predictions.filter(security_number() % 6 != 0)
     return q.prediction_coverage(partial, s.samples, "valid", 0.98)
 
@@ -481,6 +483,7 @@ def _(s: Stage) -> DataFrame:
     changed = s.predictions.withColumn(
         "target", F.when(k % 5 == 0, F.col("target") + 1e-6).otherwise(F.col("target"))
     )
+    # Planted: every sixth security is missing from the index, every fifth target is moved.
     index = s.samples.filter(k % 6 != 0)
     return q.verify_targets(changed, index).select("security_id", "asof_date", "reason")
 
@@ -506,6 +509,7 @@ def two_runs(s: Stage) -> DataFrame:
 )
 def _(s: Stage) -> DataFrame:
     k, second = security_number(), F.col("run_id") == "backward"
+    # Planted in the second run: every eighth security is missing, every seventh moved.
     runs = (
         two_runs(s)
         .filter(~(second & (k % 8 == 0)))
@@ -527,6 +531,7 @@ def _(s: Stage) -> DataFrame:
 )
 def _(s: Stage) -> DataFrame:
     k = security_number()
+    # Planted: every sixth security is missing, every fifth score is moved.
     replayed = s.predictions.filter(k % 6 != 0).withColumn(
         "score_raw", F.when(k % 5 == 0, F.col("score_raw") + 0.01).otherwise(F.col("score_raw"))
     )
@@ -540,6 +545,7 @@ def _(s: Stage) -> DataFrame:
     UNION ALL SELECT DISTINCT fold_id, CAST(99 AS BIGINT), 'e0', 'unexpected' FROM cell_scores""",
 )
 def _(s: Stage) -> DataFrame:
+    # Planted: one fold lacks a model, and a seed outside the plan appears.
     cells = s.cells.filter("NOT (fold_id = 'fold_b' AND model_key = 'e2')")
     surplus = s.cells.filter("model_key = 'e0'").withColumn("seed", F.lit(99).cast("long"))
     return q.matrix_completeness(
@@ -569,8 +575,6 @@ def _(s: Stage) -> DataFrame:
         (VALUES (true), (false), (NULL)) v(source_ready)""",
 )
 def _(s: Stage) -> DataFrame:
-    from factorloom.operators.metrics import cross_section_stats
-
     stats = cross_section_stats(s.predictions, ["split"])
     flags = F.array(F.lit(True), F.lit(False), F.lit(None).cast("boolean"))
     return stats.withColumn("source_ready", F.explode(flags)).select(

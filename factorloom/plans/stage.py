@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.functions.session import materialize, tune
+from factorloom.functions.session import fresh_path, materialize, tune
 from factorloom.operators.features import apply_robust_scaler, build_features, fit_robust_scaler
 from factorloom.operators.indexes import inference_index, sample_index, sample_metadata
 from factorloom.operators.labels import build_labels
@@ -119,6 +119,7 @@ class Stage:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.snapshot_root = fresh_path(spark, "snapshots")
         self._stored: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
