@@ -455,7 +455,7 @@ TABLES: dict[str, str] = {
                   ON v.security_id = t.security_id AND v.asof_date = t.asof_date
               JOIN metadata m ON m.sample_id = t.sample_id,
               (VALUES {', '.join(f"('{m}')" for m in MODEL_SCORES)}) AS a(model_key),
-              (VALUES {', '.join(f"({s})" for s in SEEDS)}) AS b(seed))""",
+              (VALUES {', '.join(f"(CAST({s} AS BIGINT))" for s in SEEDS)}) AS b(seed))""",
     "cell_predictions": neutral(
         "(SELECT fold_id, seed, model_key, security_id, asof_date, target, score_raw, "
         "industry_code, log_float_market_cap FROM cell_scores)",
