@@ -183,11 +183,15 @@ def _joined(spans) -> "F.Column":
     )
 
 
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def op9_pii_spans(spark, sf_dir: str) -> DataFrame:
     found = detect_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+        F.size(F.filter("spans", _of_kind(kind))).cast("long").alias(f"n_{kind}")
         for kind in BASE
     ]
     return found.select(
