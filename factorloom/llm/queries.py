@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from factorloom.llm.flac import op2_flac_media
+from factorloom.llm.html_text import op1_main_text
 from factorloom.llm.pii import op9_pii_spans
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_flac_media": op2_flac_media,
     "op9_pii_spans": op9_pii_spans,
 }
