@@ -5,12 +5,14 @@ from __future__ import annotations
 from factorloom.llm.flac import op2_flac_media
 from factorloom.llm.html_text import op1_main_text
 from factorloom.llm.pii import op9_pii_spans
+from factorloom.llm.quality import op8_quality
 from factorloom.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_flac_media": op2_flac_media,
     "op3_toxicity": op3_toxicity,
+    "op8_quality": op8_quality,
     "op9_pii_spans": op9_pii_spans,
 }
 
