@@ -6,6 +6,7 @@ from factorloom.llm.flac import op2_flac_media
 from factorloom.llm.html_text import op1_main_text
 from factorloom.llm.pii import op9_pii_spans
 from factorloom.llm.quality import op8_quality
+from factorloom.llm.simhash import op10_simhash
 from factorloom.llm.toxicity import op3_toxicity
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op8_quality": op8_quality,
     "op9_pii_spans": op9_pii_spans,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
