@@ -116,15 +116,21 @@ def _with_trie(rows: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def _split_tries(rows: DataFrame, distance: int) -> DataFrame:
-    """Split each trie by two blocks of its free bits. ``fixed`` takes few values."""
-    kinds = [r["fixed"] for r in rows.select("fixed").distinct().collect()]
-    found = None
-    for kind in kinds:
-        fixed = kind & ((1 << BITS) - 1)
-        masks = [fixed | m for m in block_masks(((1 << BITS) - 1) & ~fixed, distance)]
-        part = _with_trie(rows.filter(F.col("fixed") == kind).select("fp"), masks)
-        found = part if found is None else found.unionAll(part)
-    return found
+    """Split each trie by two blocks of its free bits.
+
+    The choices of bits are at most 15 to the power of the splits so far (at distance 4) and
+    do not grow with the rows, so their masks are broadcast.
+    """
+    every = (1 << BITS) - 1
+    masks = [
+        (kind["fixed"], _signed((kind["fixed"] & every) | mask))
+        for kind in rows.select("fixed").distinct().collect()
+        for mask in block_masks(every & ~kind["fixed"], distance)
+    ]
+    choices = rows.sparkSession.createDataFrame(masks, "fixed long, mask long")
+    return rows.join(F.broadcast(choices), "fixed").select(
+        "fp", F.col("mask").alias("fixed"), F.col("fp").bitwiseAND(F.col("mask")).alias("value")
+    )
 
 
 def _bit_count(values: np.ndarray) -> np.ndarray:
@@ -213,16 +219,16 @@ def join_tries(values: np.ndarray, starts: np.ndarray, free: np.ndarray, distanc
         # The children of a node: rows with the bit clear, then rows with it set.
         am, bm = _first_set(values, a0, a1, bit), _first_set(values, b0, b1, bit)
         children = [
-            (a0, am, b0, bm, spent, None),
-            (am, a1, bm, b1, spent, None),
-            (a0, am, bm, b1, spent + 1, None),
+            (a0, am, b0, bm, spent, True),
+            (am, a1, bm, b1, spent, True),
+            (a0, am, bm, b1, spent + 1, True),
             (am, a1, b0, bm, spent + 1, ~same),
         ]
+        below_them = []
         for x0, x1, y0, y1, cost, only in children:
-            there = (x1 > x0) & (y1 > y0) & (cost <= distance)
-            if only is not None:
-                there &= only
-            work.append(tuple(v[there] for v in (x0, x1, y0, y1, bit - 1, open_bits, cost)))
+            there = (x1 > x0) & (y1 > y0) & (cost <= distance) & only
+            below_them.append([v[there] for v in (x0, x1, y0, y1, bit - 1, open_bits, cost)])
+        work.append(tuple(map(np.concatenate, zip(*below_them))))
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = _reduced(left, right, len(values))
