@@ -29,8 +29,8 @@ from factorloom.llm.common import crc_fold, labelled_sample, table, text_slices
 ORDERS = (3, 4, 5)
 BITS = 18
 BUCKETS = 1 << BITS
-KEPT = 8192
-MAX_ROWS = 12_000
+KEPT = 4096
+MAX_ROWS = 8_000
 PRIOR = 10.0
 EPOCHS = 200
 RIDGE = 1e-4
@@ -133,9 +133,9 @@ def fit_logistic(
     weights, bias = np.ones(width), float(np.log(labels.mean() / (1 - labels.mean())))
     sums, bias_sum = np.full(width, 1e-8), 1e-8
     for _ in range(EPOCHS):
-        margin = np.bincount(rows, weights[columns] * values, n) + bias
+        margin = np.bincount(rows, np.take(weights, columns) * values, n) + bias
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels
-        slope = np.bincount(columns, error[rows] * values, width) / n + RIDGE * (weights - 1)
+        slope = np.bincount(columns, np.take(error, rows) * values, width) / n + RIDGE * (weights - 1)
         bias_slope = error.mean()
         sums += slope * slope
         bias_sum += bias_slope * bias_slope
@@ -174,14 +174,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, seed: str =
     features = chosen.mapInArrow(
         _feature_batches(kept), "label int, columns binary, shares binary"
     ).collect()
-    own = [np.frombuffer(r["columns"], np.int32) for r in features]
+    # The order of rows must not depend on how the sample was dealt out.
+    keyed = sorted((r["columns"], r["shares"], r["label"]) for r in features)
+    own = [np.frombuffer(c, np.int32) for c, _, _ in keyed]
     rows = np.repeat(np.arange(len(own)), [len(c) for c in own])
-    columns = np.concatenate(own)
-    shares = np.concatenate([np.frombuffer(r["shares"], np.float32) for r in features])
+    columns = np.concatenate(own).astype(np.int64)
+    shares = np.concatenate([np.frombuffer(v, np.float32) for _, v, _ in keyed])
+    answers = np.array([label for *_, label in keyed], float)
+    del features, keyed, own
     values = SCALE * ratio[kept][columns] * shares
-    answers = np.array([r["label"] for r in features], float)
-    order = np.lexsort((columns, rows))
-    weights, bias = fit_logistic(rows[order], columns[order], values[order], answers, len(kept))
+    weights, bias = fit_logistic(rows, columns, values, answers, len(kept))
     whole = np.rint(weights * ratio[kept] * UNIT).astype(np.int32)
     return Model(kept, whole, round(bias, 9))
 
