@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from factorloom.llm.flac import op2_flac_media
 from factorloom.llm.html_text import op1_main_text
+from factorloom.llm.mixing import OP5_SQL, op5_mixing
 from factorloom.llm.pii import op9_pii_spans
 from factorloom.llm.quality import op8_quality
 from factorloom.llm.simhash import op10_simhash
@@ -13,9 +14,12 @@ QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_flac_media": op2_flac_media,
     "op3_toxicity": op3_toxicity,
+    "op5_mixing": op5_mixing,
     "op8_quality": op8_quality,
     "op9_pii_spans": op9_pii_spans,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": OP5_SQL,
+}
