@@ -8,6 +8,7 @@ from factorloom.llm.mixing import OP5_SQL, op5_mixing
 from factorloom.llm.pii import op9_pii_spans
 from factorloom.llm.quality import op8_quality
 from factorloom.llm.simhash import op10_simhash
+from factorloom.llm.topk import OP6_SQL, op6_topk
 from factorloom.llm.toxicity import op3_toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_flac_media": op2_flac_media,
     "op3_toxicity": op3_toxicity,
     "op5_mixing": op5_mixing,
+    "op6_topk": op6_topk,
     "op8_quality": op8_quality,
     "op9_pii_spans": op9_pii_spans,
     "op10_simhash": op10_simhash,
@@ -22,4 +24,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op5_mixing": OP5_SQL,
+    "op6_topk": OP6_SQL,
 }
