@@ -7,6 +7,7 @@ from factorloom.llm.html_text import op1_main_text
 from factorloom.llm.mixing import OP5_SQL, op5_mixing
 from factorloom.llm.pii import op9_pii_spans
 from factorloom.llm.quality import op8_quality
+from factorloom.llm.repeats import op7_repeats
 from factorloom.llm.simhash import op10_simhash
 from factorloom.llm.topk import OP6_SQL, op6_topk
 from factorloom.llm.toxicity import op3_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
+    "op7_repeats": op7_repeats,
     "op8_quality": op8_quality,
     "op9_pii_spans": op9_pii_spans,
     "op10_simhash": op10_simhash,
