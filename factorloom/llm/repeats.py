@@ -16,7 +16,8 @@ classed by two 64-bit fingerprints of those bytes instead of being sorted by let
 3. The starts of blocks still open are classed one by one.
 
 Counts of an entry stand for all its occurrences, so text that repeats very often costs as much
-as one copy. Results return to the parse by the entry, and to the documents by id and text hash.
+as one copy. Results return to the parse by the entry, and to the documents by 128 bits of hash
+of the text, as equal texts have equal results.
 
 Null and short texts (under LENGTH bytes) have nothing removed. Repeated rows are occurrences of
 each other. Very long texts are parsed in pieces of bounded size.
@@ -153,8 +154,8 @@ def _parse_batches(length: int, reach: int):
                 owner = pa.array(rows[piece])
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": batch.column("doc_id").take(owner),
-                        "text_key": batch.column("text_key").take(owner),
+                        "key": batch.column("key").take(owner),
+                        "more_key": batch.column("more_key").take(owner),
                         "core": inner.view(np.int64),
                         "phrase": outer.view(np.int64),
                         "place": place,
@@ -170,11 +171,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, as they only travel to meet their triggers or spans."""
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch in text_slices(batches):
+        names = [n for n in batch.schema.names if n != "text"]
         raw, offsets = text_buffers(batch.column("text"))
         packed = [squeeze.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_key"), pa.array(packed, pa.binary())],
-            ["doc_id", "text_key", "packed"],
+            [*map(batch.column, names), pa.array(packed, pa.binary())], [*names, "packed"]
         )
 
 
@@ -279,18 +280,19 @@ def _start_batches(length: int, block: int):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+KEYS = ["key", "more_key"]
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(_pack, f"doc_id {kind}, text_key long, packed binary")
+def _keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    text = F.col("text").cast("string")
+    more = F.xxhash64(F.lit("more"), text)
+    return docs.select(*keep, F.xxhash64(text).alias("key"), more.alias("more_key"), text.alias("text"))
 
 
-def _same_document(left: DataFrame, right: DataFrame):
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
+def _packed(docs: DataFrame, *keep: str) -> DataFrame:
+    keyed = _keyed(docs, *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name != "text")
+    return keyed.mapInArrow(_pack, f"{schema}, packed binary")
 
 
 def repeated_offsets(
@@ -302,23 +304,21 @@ def repeated_offsets(
         parse.groupBy(*entry).agg(
             F.count(F.lit(1)).alias("n"),
             # All of one row, as an entry's rows are told apart by nothing else that matters.
-            *[F.first(c).alias(c) for c in ("doc_id", "text_key", "place", "low", "high")],
+            *[F.first(c).alias(c) for c in (*KEYS, "place", "low", "high")],
         ),
         "repeat-entries",
     )
     whole = entries.filter("n > 1").select(*entry, "low", "high")
     mixed = entries.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds"))
     open_ = entries.join(mixed.filter("least = 1 AND kinds > 1").select("core"), "core", "left_semi")
-    asked = open_.groupBy("doc_id", "text_key").agg(
+    asked = open_.groupBy(*KEYS).agg(
         F.collect_list(F.struct("core", "phrase", "n", "place", "low", "high")).alias("asked")
     )
-    texts = _packed(docs)
-    # Rows that share id and text are one text here; a phrase cut out twice would count twice.
-    met = texts.join(asked, _same_document(texts, asked)).select(asked["asked"], "packed")
+    met = _packed(docs).dropDuplicates(KEYS).join(asked, KEYS).select("asked", "packed")
     contexts = materialize(
         met.mapInArrow(
             _context_batches(length), "core long, phrase long, n long, low short, high short, context binary"
-        ).dropDuplicates(entry),
+        ),
         "repeat-contexts",
     )
     blocks = materialize(
@@ -360,15 +360,14 @@ def repeated_offsets(
 def repeated_spans(
     docs: DataFrame, length: int = LENGTH, reach: int = REACH, block: int = BLOCK
 ) -> DataFrame:
-    """(doc_id, text_key, spans) of the documents with repeated strings.
+    """(key, more_key, spans) of the texts with repeated strings.
 
-    A span is start * 2^32 + end in bytes; spans of a document may overlap.
+    A span is start * 2^32 + end in bytes; spans of a text may overlap.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     parse = materialize(
         _keyed(docs).mapInArrow(
             _parse_batches(length, reach),
-            f"doc_id {kind}, text_key long, core long, phrase long, place long, low short, high short",
+            "key long, more_key long, core long, phrase long, place long, low short, high short",
         ),
         "repeat-parse",
     )
@@ -377,9 +376,9 @@ def repeated_spans(
     )
     shared = materialize(parse.join(cores, "core", "left_semi"), "repeat-shared")
     offsets = repeated_offsets(docs, shared, length, reach, block)
-    found = shared.select("doc_id", "text_key", "core", "phrase", "place").join(offsets, ["core", "phrase"])
+    found = shared.select(*KEYS, "core", "phrase", "place").join(offsets, ["core", "phrase"])
     start, end = F.col("place") - F.col("high"), F.col("place") - F.col("low") + length
-    return found.groupBy("doc_id", "text_key").agg(
+    return found.groupBy(*KEYS).agg(
         F.collect_set(F.shiftleft(start, 32).bitwiseOR(end)).alias("spans")
     )
 
@@ -429,11 +428,8 @@ def remove_repeats(
     """(doc_id, n_bytes, runs, kept): removed runs and remaining bytes of every document."""
     tune(docs.sparkSession)
     spans = materialize(repeated_spans(docs, length, reach, block), "repeat-spans")
-    texts = _packed(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    met = texts.join(spans, _same_document(texts, spans), "left").select(
-        texts["doc_id"], "packed", "spans"
-    )
+    met = _packed(docs, "doc_id").join(spans, KEYS, "left").select("doc_id", "packed", "spans")
     return met.mapInArrow(
         _removal_batches,
         f"doc_id {kind}, n_bytes long, runs array<struct<start:long,end:long>>, kept binary",
