@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from factorloom.llm.bpe import op4_bpe
 from factorloom.llm.flac import op2_flac_media
 from factorloom.llm.html_text import op1_main_text
 from factorloom.llm.mixing import OP5_SQL, op5_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_flac_media": op2_flac_media,
     "op3_toxicity": op3_toxicity,
+    "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
     "op7_repeats": op7_repeats,
