@@ -93,6 +93,25 @@ def labelled_sample(
     return known.filter(bucket(F.col("doc_id"), seed, 1 << 20) < share)
 
 
+class Shield:
+    """Keeps all columns of a table through an operator, whatever their names.
+
+    Columns that the operator reads keep their names (the first of each name); all others get
+    names of their own until ``restore`` puts names and order back.
+    """
+
+    def __init__(self, docs: DataFrame, *read: str):
+        self.names, taken, self.inside = docs.columns, set(), []
+        for place, name in enumerate(self.names):
+            own = name in read and name not in taken
+            taken.add(name)
+            self.inside.append(name if own else f"_kept_{place}")
+        self.docs = docs.toDF(*self.inside)
+
+    def restore(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(a).alias(b) for a, b in zip(self.inside, self.names)])
+
+
 def crc_fold(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds, F.lit(0))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.ranking import with_position
 from factorloom.functions.session import materialize
-from factorloom.llm.common import WORD, table, tune
+from factorloom.llm.common import WORD, Shield, table, tune
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -168,12 +168,13 @@ def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     without words are kept once: they cost nothing.
     """
     tune(docs.sparkSession)
-    rows = materialize(sized(docs, seed).select("doc_id", "source", "_size", "_key"), "mix-rows")
-    taken = apply_mix(sized(docs, seed), *plan_mix(rows))
+    shield = Shield(docs, "doc_id", "source", "text")
+    rows = materialize(sized(shield.docs, seed).select("doc_id", "source", "_size", "_key"), "mix-rows")
+    taken = apply_mix(sized(shield.docs, seed), *plan_mix(rows))
     copies = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(1)
     repeated = taken.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        *docs.columns
+    return shield.restore(
+        repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     )
 
 

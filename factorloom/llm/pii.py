@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import table, text_slices
+from factorloom.llm.common import Shield, table, text_slices, tune
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "local_phone", "secret")
@@ -169,11 +169,14 @@ def detect_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """The documents with their spans replaced by kinds; ``n_chars`` follows the new text."""
-    kept = [c for c in docs.columns if c != "text"]
-    clean = detect_pii(docs, keep=tuple(kept)).withColumnRenamed("redacted", "text")
+    tune(docs.sparkSession)
+    shield = Shield(docs, "text", "n_chars")
+    kept = tuple(c for c in shield.inside if c != "text")
+    clean = detect_pii(shield.docs, keep=kept).withColumnRenamed("redacted", "text")
     if "n_chars" in kept:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+        kind = docs.select("n_chars").schema[0].dataType
+        clean = clean.withColumn("n_chars", F.length("text").cast(kind))
+    return shield.restore(clean)
 
 
 def _joined(spans) -> "F.Column":

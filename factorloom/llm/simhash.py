@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.session import materialize
-from factorloom.llm.common import table, text_buffers, text_slices, tune
+from factorloom.llm.common import Shield, table, text_buffers, text_slices, tune
 from factorloom.llm.components import connected_components
 
 SHINGLE = 4
@@ -337,7 +337,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows leave one.
     """
     tune(docs.sparkSession)
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    shield = Shield(docs, "doc_id", "text")
+    keyed = shield.docs.withColumn("_text_key", F.xxhash64("text"))
     found = near_duplicates(keyed, keep=("doc_id", "_text_key"))
     # A component of null ids only has no component_id; its fingerprints keep it apart.
     whole = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_text_key"))
@@ -350,9 +351,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         keyed["doc_id"].eqNullSafe(stays["_id"]) & (keyed["_text_key"] == stays["_key"]),
         "left_semi",
     )
-    rest = [c for c in docs.columns if c != "doc_id"]
+    rest = [c for c in shield.inside if c != "doc_id"]
     once = kept.groupBy("doc_id", "_text_key").agg(F.min(F.struct(*rest)).alias("_row"))
-    return once.select("doc_id", "_row.*").select(*docs.columns)
+    return shield.restore(once.select("doc_id", "_row.*"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.session import materialize
-from factorloom.llm.common import crc_fold, labelled_sample, table, text_slices
+from factorloom.llm.common import Shield, crc_fold, labelled_sample, table, text_slices, tune
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -220,9 +220,11 @@ def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train: Column, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
-    model = fit_toxicity(docs, labels, train)
-    scored = score_toxicity(docs, model, keep=tuple(docs.columns))
-    return scored.filter(F.col("_score") < threshold).select(*docs.columns)
+    tune(docs.sparkSession)
+    shield = Shield(docs, "doc_id", "text")
+    model = fit_toxicity(shield.docs, labels, train)
+    scored = score_toxicity(shield.docs, model, keep=tuple(shield.inside))
+    return shield.restore(scored.filter(F.col("_score") < threshold))
 
 
 FOLDS = 5
