@@ -575,7 +575,10 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         shifts = np.cumsum([0] + [len(arrays[i]) for i in plain])
         at = np.concatenate([starts[i] + shift for i, shift in zip(plain, shifts)])
         after = np.concatenate(
-            [np.append(starts[i][1:], len(arrays[i])) + shift for i, shift in zip(plain, shifts)]
+            [
+                np.append(starts[i], len(arrays[i]))[1:][: len(starts[i])] + shift
+                for i, shift in zip(plain, shifts)
+            ]
         )
         sound = True
         found = np.zeros((len(at), BLOCK), np.int16)
