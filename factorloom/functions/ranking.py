@@ -1,9 +1,8 @@
 """Exact positions and ranks inside groups of any size.
 
-A date's cross-section can be far larger than one task should sort. Each function
-measures its largest group with one map-side-combined count; up to ``WINDOW_ROWS`` rows a
-plain window is used, and beyond that a range-partitioned sort numbers the rows, so that
-no group ever has to fit in one task.
+A date's cross-section can be far larger than one task should sort. Rows are range-partitioned on
+the whole order, so a group of any share of the data spreads over many tasks; each partition's
+rows are numbered and shifted by the rows before it.
 """
 
 from __future__ import annotations
@@ -15,18 +14,10 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.session import materialize
 
-WINDOW_ROWS = 2_000_000
-BROADCAST_GROUPS = 200_000
-
 # monotonically_increasing_id keeps the partition in the upper 31 bits.
 _PARTITION_SHIFT = 33
 
 
-def largest_group(frame: DataFrame, group: Sequence[str]) -> int:
-    sizes = frame.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n")).first()[0] or 0
-
-
 def with_position(
     frame: DataFrame,
     name: str,
@@ -34,16 +25,35 @@ def with_position(
     group: Sequence[str] = (),
     *,
     size: str | None = None,
-    rows_per_group: int | None = None,
 ) -> DataFrame:
-    """Add the 1-based position in ``order`` (a total order), and optionally the group size."""
-    if rows_per_group is None:
-        rows_per_group = largest_group(frame, group)
-    if rows_per_group <= WINDOW_ROWS:
-        rows = Window.partitionBy(*group)
-        placed = frame.withColumn(name, F.row_number().over(rows.orderBy(*order)).cast("long"))
-        return placed.withColumn(size, F.count(F.lit(1)).over(rows)) if size else placed
-    return _position_by_sort(frame, name, order, group, size)
+    """Add the 1-based position in ``order`` (a total order), and optionally the group size.
+
+    The sorted rows are stored once: counts and rows then see the same partitions.
+    """
+    stamped = materialize(
+        frame.orderBy(*group, *order).withColumn("_stamp", F.monotonically_increasing_id()),
+        "sorted",
+    ).withColumn("_part", F.shiftright("_stamp", _PARTITION_SHIFT))
+    within = F.col("_stamp") - F.shiftleft(F.col("_part"), _PARTITION_SHIFT)
+    # A partition holds few groups whole: the rows of each group in each partition, counted
+    # once, give every group's start in every partition.
+    counts = stamped.groupBy("_part", *group).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(within).alias("_first")
+    )
+    by_group = Window.partitionBy(*group)
+    earlier = by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumns(
+        {
+            "_offset": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first"),
+            "_size": F.sum("_rows").over(by_group),
+        }
+    ).select("_part", *group, "_offset", "_size")
+    placed = _join_same(stamped, starts, ["_part", *group]).withColumn(
+        name, within + F.col("_offset") + 1
+    )
+    if size:
+        placed = placed.withColumn(size, F.col("_size"))
+    return placed.select(*frame.columns, name, *([size] if size else []))
 
 
 def with_average_rank(
@@ -53,24 +63,13 @@ def with_average_rank(
     group: Sequence[str],
     *,
     unique: Sequence[str] = ("security_id",),
-    rows_per_group: int | None = None,
 ) -> DataFrame:
     """Add 1-based ranks of a non-NULL value; ties share their average rank."""
-    if rows_per_group is None:
-        rows_per_group = largest_group(frame, group)
-    if rows_per_group <= WINDOW_ROWS:
-        ordered = Window.partitionBy(*group).orderBy(value)
-        peers = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
-        return frame.withColumn(name, F.rank().over(ordered) + (peers - 1) / 2)
-    placed = _position_by_sort(frame, "_position", [value, *unique], group, None)
+    placed = with_position(frame, "_position", [value, *unique], group)
     ties = placed.groupBy(*group, value).agg(
-        F.min("_position").alias("_first"), F.count(F.lit(1)).alias("_peers")
-    )
-    return (
-        _join_same(placed, ties, [*group, value])
-        .withColumn(name, F.col("_first") + (F.col("_peers") - 1) / 2)
-        .drop("_position", "_first", "_peers")
+        (F.min("_position") + (F.count(F.lit(1)) - 1) / 2).alias(name)
     )
+    return _join_same(placed, ties, [*group, value]).select(*frame.columns, name)
 
 
 def _join_same(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -79,50 +78,3 @@ def _join_same(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataF
     renamed = groups.withColumnsRenamed(marks)
     same = [F.col(key).eqNullSafe(F.col(mark)) for key, mark in marks.items()]
     return rows.join(renamed, same).drop(*marks.values())
-
-
-def _position_by_sort(
-    frame: DataFrame,
-    name: str,
-    order: Sequence[Column | str],
-    group: Sequence[str],
-    size: str | None,
-) -> DataFrame:
-    """Sort by group and order, number the rows globally, subtract each group's first number.
-
-    Range partitions split on the whole unique key, so a hot group spreads over many tasks.
-    The sorted rows are stored once: counts and rows then see the same partitions.
-    """
-    stamped = materialize(
-        frame.orderBy(*group, *order).withColumn("_stamp", F.monotonically_increasing_id()),
-        "sorted",
-    ).withColumn("_part", F.shiftright("_stamp", _PARTITION_SHIFT))
-    counts = stamped.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
-    )
-    within = F.col("_stamp") - F.shiftleft(F.col("_part"), _PARTITION_SHIFT)
-    # One row per sort partition: bounded by the partition count.
-    numbered = (
-        stamped.join(F.broadcast(offsets), "_part")
-        .withColumn("_index", F.col("_offset") + within)
-        .drop("_part", "_offset", "_stamp")
-    )
-    if not group:
-        placed = numbered.withColumn(name, F.col("_index") + 1)
-        if size:
-            placed = placed.withColumn(size, F.lit(stamped.count()))
-        return placed.drop("_index")
-    starts = numbered.groupBy(*group).agg(
-        F.min("_index").alias("_start"), F.count(F.lit(1)).alias("_group_rows")
-    )
-    starts = materialize(starts, "group-starts")
-    if starts.count() <= BROADCAST_GROUPS:
-        starts = F.broadcast(starts)
-    placed = _join_same(numbered, starts, group).withColumn(
-        name, F.col("_index") - F.col("_start") + 1
-    )
-    if size:
-        placed = placed.withColumn(size, F.col("_group_rows"))
-    return placed.drop("_index", "_start", "_group_rows")

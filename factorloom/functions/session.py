@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +32,8 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, else the context's checkpoint dir.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a local master may fall back to a temporary folder of this machine, which is deleted
+    when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -42,7 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     key = context.applicationId
     if key not in _local_folders:
-        _local_folders[key] = tempfile.mkdtemp(prefix="factorloom-")
+        _local_folders[key] = folder = tempfile.mkdtemp(prefix="factorloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return _local_folders[key]
 
 

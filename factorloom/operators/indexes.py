@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import by_security, log_if_positive, sample_key
+from factorloom.operators.quality import require_unique
 
 
 def window_bounds(features: DataFrame, context_length: int) -> DataFrame:
@@ -25,8 +26,10 @@ def window_bounds(features: DataFrame, context_length: int) -> DataFrame:
 def sample_index(
     features: DataFrame, labels_with_split: DataFrame, universe: DataFrame, context_length: int
 ) -> DataFrame:
-    """Eligible rows with a full window, a target and a split."""
+    """Eligible rows with a full window, a target and a split; one label and one state each."""
     keys = ["security_id", "trade_date"]
+    require_unique(labels_with_split, ["security_id", "asof_date"], "labels")
+    require_unique(universe, keys, "universe")
     labels = labels_with_split.filter(
         "target IS NOT NULL AND split IS NOT NULL"
     ).withColumnRenamed("asof_date", "trade_date")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.columns import by_security, log_ratio
 from factorloom.functions.session import materialize
+from factorloom.operators.quality import require_unique
 
 
 def session_offsets(universe: DataFrame, lag: int = 1, horizon: int = 5) -> DataFrame:
@@ -143,6 +144,12 @@ def build_labels(
     lag: int = 1,
     horizon: int = 5,
 ) -> DataFrame:
+    """Labels of every grid row; the joins are one to one, so repeated keys stop the job."""
+    day = ["security_id", "trade_date"]
+    require_unique(bars, day, "bars")
+    require_unique(universe, day, "universe")
+    if delistings is not None:
+        require_unique(delistings, ["security_id"], "delistings")
     terms = None if delistings is None else delisting_terms(bars, delistings)
     panel = crosses_delisting(forward_return(bars, universe, lag, horizon), terms)
     panel = panel.withColumn("raw_return", log_ratio(F.col("exit_value"), F.col("entry_value")))

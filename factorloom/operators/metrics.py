@@ -1,7 +1,6 @@
 """Cross-sectional factor metrics: IC, rank IC, quantile spread, turnover, cost, stability.
 
 Every function takes ``by``: extra group columns under which all state restarts.
-``rows_per_group`` may state a known bound on the rows of one date; it is measured otherwise.
 """
 
 from __future__ import annotations
@@ -12,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import correlation, rank_correlation
-from factorloom.functions.ranking import largest_group, with_average_rank, with_position
+from factorloom.functions.ranking import with_average_rank, with_position
 from factorloom.functions.session import materialize
+from factorloom.operators.quality import require_comparable
 
 # Cost scenarios in basis points, quantiles, sessions per year.
 COSTS_BPS = (0.0, 10.0, 20.0, 50.0)
@@ -34,18 +34,15 @@ def daily_ic(
     predictions: DataFrame,
     score: str = "score_raw",
     by: Sequence[str] = (),
-    rows_per_group: int | None = None,
 ) -> DataFrame:
     """Per date: n, Pearson IC and rank IC of score and target."""
     date = [*by, "asof_date"]
     usable = predictions.filter(F.col(score).isNotNull()).select(
         *date, "security_id", F.col(score).alias("_score"), F.col("target").alias("_target")
     )
-    if rows_per_group is None:
-        rows_per_group = largest_group(usable, date)
     ranked = usable
     for value, rank in (("_score", "_score_rank"), ("_target", "_target_rank")):
-        ranked = with_average_rank(ranked, rank, value, date, rows_per_group=rows_per_group)
+        ranked = with_average_rank(ranked, rank, value, date)
     return ranked.groupBy(*date).agg(
         F.count(F.lit(1)).alias("n"),
         correlation(F.col("_score"), F.col("_target")).alias("ic"),
@@ -86,7 +83,6 @@ def portfolio_legs(
     score: str = "score_raw",
     by: Sequence[str] = (),
     quantiles: int = QUANTILES,
-    rows_per_group: int | None = None,
 ) -> DataFrame:
     """Members of the bottom and top quantile of each date with their weights."""
     date = [*by, "asof_date"]
@@ -99,7 +95,6 @@ def portfolio_legs(
         ["_score", "security_id"],
         date,
         size="n",
-        rows_per_group=rows_per_group,
     )
     groups = F.least(F.lit(quantiles), F.col("n"))
     leg = F.greatest(F.lit(1), F.floor(F.col("n") / F.col("groups")))
@@ -122,7 +117,6 @@ def daily_portfolio(
     by: Sequence[str] = (),
     quantiles: int = QUANTILES,
     costs_bps: Sequence[float] = COSTS_BPS,
-    rows_per_group: int | None = None,
 ) -> DataFrame:
     """Per date: quantile spread, turnover against the previous usable date, net of costs.
 
@@ -130,7 +124,7 @@ def daily_portfolio(
     summing per security then gives the weight changes without a self join.
     """
     date = [*by, "asof_date"]
-    legs = portfolio_legs(predictions, score, by, quantiles, rows_per_group)
+    legs = portfolio_legs(predictions, score, by, quantiles)
     usable = (
         predictions.filter(F.col(score).isNotNull())
         .groupBy(*date)
@@ -206,13 +200,10 @@ def score_summary(
     by: Sequence[str],
     score: str = "score_raw",
     costs_bps: Sequence[float] = COSTS_BPS,
-    rows_per_group: int | None = None,
 ) -> DataFrame:
     """One row per group: IC and rank IC statistics next to the portfolio averages."""
     date = [*by, "asof_date"]
-    if rows_per_group is None:
-        rows_per_group = largest_group(predictions, date)
-    stats = daily_ic(predictions, score, by, rows_per_group).groupBy(*by).agg(
+    stats = daily_ic(predictions, score, by).groupBy(*by).agg(
         *[
             column.alias(f"{series}_{name.removesuffix('_ratio')}")
             for series in ("ic", "rank_ic")
@@ -220,7 +211,7 @@ def score_summary(
         ]
     )
     book = daily_portfolio(
-        predictions, score, by, costs_bps=costs_bps, rows_per_group=rows_per_group
+        predictions, score, by, costs_bps=costs_bps
     )
     summary = aggregate_portfolio(book, by).withColumnRenamed("dates", "portfolio_dates")
     return stats.join(summary, list(by), "left")
@@ -234,7 +225,7 @@ def stability_by_industry(predictions: DataFrame, **options) -> DataFrame:
     return score_summary(predictions.filter("industry_code IS NOT NULL"), ["industry_code"], **options)
 
 
-def size_buckets(predictions: DataFrame, rows_per_group: int | None = None) -> DataFrame:
+def size_buckets(predictions: DataFrame) -> DataFrame:
     """Terciles of each date's cross-section by log-cap, ties by security."""
     sized = with_position(
         predictions.filter("log_float_market_cap IS NOT NULL"),
@@ -242,7 +233,6 @@ def size_buckets(predictions: DataFrame, rows_per_group: int | None = None) -> D
         ["log_float_market_cap", "security_id"],
         ["asof_date"],
         size="_size",
-        rows_per_group=rows_per_group,
     )
     third = F.least(F.floor((F.col("_position") - 1) * 3 / F.col("_size")), F.lit(2)).cast("int")
     names = F.array(*[F.lit(name) for name in SIZE_BUCKETS])
@@ -250,7 +240,7 @@ def size_buckets(predictions: DataFrame, rows_per_group: int | None = None) -> D
 
 
 def stability_by_size(predictions: DataFrame, **options) -> DataFrame:
-    bucketed = size_buckets(predictions, options.get("rows_per_group"))
+    bucketed = size_buckets(predictions)
     return score_summary(bucketed, ["size_bucket"], **options)
 
 
@@ -272,13 +262,12 @@ def stacked_scores(predictions: DataFrame) -> DataFrame:
 def evaluate_scores(
     predictions: DataFrame,
     costs_bps: Sequence[float] = COSTS_BPS,
-    rows_per_group: int | None = None,
 ) -> dict[str, DataFrame]:
     """Daily and aggregated tables of both scores, keyed by score, in one pass each."""
     by, scores = ["score"], stacked_scores(predictions)
-    daily = daily_ic(scores, "value", by, rows_per_group)
+    daily = daily_ic(scores, "value", by)
     book = daily_portfolio(
-        scores, "value", by, costs_bps=costs_bps, rows_per_group=rows_per_group
+        scores, "value", by, costs_bps=costs_bps
     )
     # One row per date each; stored, since the tables and their averages are both results.
     daily, book = materialize(daily, "daily-ic"), materialize(book, "daily-portfolio")
@@ -295,11 +284,9 @@ def evaluate_predictions(
 ) -> dict[str, DataFrame]:
     """All metric tables of one stored prediction table.
 
-    The neutralized score has no rows where none is available. The largest date is
-    measured once, and bounds every sub-group.
+    The neutralized score has no rows where none is available.
     """
-    rows = largest_group(predictions, ["asof_date"])
-    options = {"costs_bps": costs_bps, "rows_per_group": rows}
+    options = {"costs_bps": costs_bps}
     return {
         **evaluate_scores(predictions, **options),
         "cross_section": cross_section_stats(predictions),
@@ -310,18 +297,18 @@ def evaluate_predictions(
 
 
 def compare_runs(
-    runs: DataFrame, expected_rows: DataFrame, rows_per_group: int | None = None
+    runs: DataFrame, expected_rows: DataFrame
 ) -> DataFrame:
     """One summary row per run of a stack of prediction tables.
 
-    ``expected_rows`` gives the split's row count per dataset (dataset_id, expected_rows).
+    ``expected_rows`` gives the split's row count per dataset (dataset_id, expected_rows). Runs
+    of different datasets, splits, samples or targets are not compared.
     """
     run = ["run_id"]
-    if rows_per_group is None:
-        rows_per_group = largest_group(runs, [*run, "asof_date"])
-    raw = score_summary(runs, run, rows_per_group=rows_per_group)
+    require_comparable(runs)
+    raw = score_summary(runs, run)
     neutral = aggregate_series(
-        daily_ic(runs, "score_neutralized", run, rows_per_group), "rank_ic", run
+        daily_ic(runs, "score_neutralized", run), "rank_ic", run
     ).select("run_id", F.col("mean").alias("neutralized_mean_rank_ic"))
     ready = cross_section_stats(runs, run).select("run_id", "research_ready")
     sizes = (

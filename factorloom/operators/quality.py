@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import ContractError, is_finite
+from factorloom.functions.session import materialize
 from factorloom.sources.tables import StandardTables
 
+# Keys and columns that may not be NULL, per table contract.
 KEYS = {
     "bars": ["security_id", "trade_date"],
     "universe": ["security_id", "trade_date"],
@@ -34,6 +36,7 @@ NOT_NULL = {
     "corporate_actions": ["security_id", "ex_date", "action_type", "known_at", "source_revision"],
     "delistings": ["security_id", "delist_date", "last_trade_date", "known_at", "source_revision"],
 }
+# Prediction columns that may not be NULL.
 PREDICTION_NOT_NULL = [
     "security_id",
     "symbol",
@@ -162,6 +165,25 @@ def contract_report(frame: DataFrame, table: str) -> DataFrame:
     )
 
 
+def require_contract(frame: DataFrame, table: str) -> DataFrame:
+    """The table itself, if one report over it finds no broken rule."""
+    found = {k: v for k, v in contract_report(frame, table).first().asDict().items() if v}
+    if found:
+        raise ContractError(f"{table} breaks its contract: {found}")
+    return frame
+
+
+def checked(frame: DataFrame, table: str) -> DataFrame:
+    """Store a built table once and check its contract on the stored rows."""
+    return require_contract(materialize(frame, f"checked-{table}"), table)
+
+
+def require_unique(frame: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    if not duplicate_keys(frame, keys).isEmpty():
+        raise ContractError(f"{what} repeats {list(keys)}")
+    return frame
+
+
 def table_audit(frame: DataFrame, date_column: str, table: str) -> DataFrame:
     """One row: rows, distinct securities, date range, NULLs per column (non-zero only)."""
     # A first exchange on security_id replaces a distinct count over all rows.
@@ -208,7 +230,7 @@ def bundle_audit(tables: StandardTables) -> DataFrame:
 def prediction_report(predictions: DataFrame) -> DataFrame:
     """One row of violation counts of a prediction table; all zero when it is valid.
 
-    ``models`` and ``datasets`` must both be 1.
+    ``models`` and ``datasets`` count distinct values and must both be 1; an empty table has 0.
     """
     c = F.col
     nulls = any_of([c(n).isNull() for n in PREDICTION_NOT_NULL])
@@ -219,16 +241,14 @@ def prediction_report(predictions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_copies"),
         F.count_if(nulls).alias("_nulls"),
         F.count_if(finite).alias("_bad"),
-        F.min("dataset_id").alias("_low"),
-        F.max("dataset_id").alias("_high"),
     )
+    datasets = predictions.agg(F.count_distinct("dataset_id")).scalar()
     return keyed.agg(
         F.coalesce(F.sum("_nulls"), F.lit(0)).alias("null_rows"),
         F.count_if(c("_copies") > 1).alias("duplicate_keys"),
         F.coalesce(F.sum("_bad"), F.lit(0)).alias("non_finite_rows"),
-        F.when(F.min("model_id") < F.max("model_id"), 2).otherwise(1).alias("models"),
-        F.when(F.min("_low") < F.max("_high"), 2).otherwise(1).alias("datasets"),
-    )
+        F.count_distinct("model_id").alias("models"),
+    ).withColumn("datasets", datasets)
 
 
 def require_predictions(predictions: DataFrame) -> DataFrame:
@@ -311,15 +331,19 @@ def index_audit(inference_index: DataFrame) -> DataFrame:
     ).withColumn("contains_target", F.lit("target" in inference_index.columns))
 
 
-def temporal_violations(index: DataFrame) -> DataFrame:
-    """Rows that would look ahead; for a target-free index, windows not ending at asof."""
+def looks_ahead(index: DataFrame) -> Column:
+    """Whether a row looks ahead; for a target-free index, whether its window misses asof."""
     c = F.col
     if "label_start" in index.columns:
         ahead = c("asof_date") >= c("label_start")
         if "feature_end" in index.columns:
             ahead = ahead | (c("feature_end") > c("asof_date"))
-        return index.filter(ahead)
-    return index.filter(c("feature_end") != c("asof_date"))
+        return ahead
+    return c("feature_end") != c("asof_date")
+
+
+def temporal_violations(index: DataFrame) -> DataFrame:
+    return index.filter(looks_ahead(index))
 
 
 def join_cardinality(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -374,22 +398,67 @@ def verify_targets(predictions: DataFrame, index: DataFrame, tolerance: float =
 
 
 def same_samples(runs: DataFrame, run: str = "run_id") -> DataFrame:
-    """Keys on which runs disagree: absent from some run, or with another target.
+    """Keys on which runs disagree: absent from some run, repeated in one, or with another target.
 
     ``runs`` stacks the prediction tables of all runs; NULL targets count as equal.
     """
     # NULL runs cannot occur; the run list is read once as a scalar.
     total = runs.select(run).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    per_key = runs.groupBy("security_id", "asof_date").agg(
-        F.count(F.lit(1)).alias("runs"),
+    per_run = runs.groupBy("security_id", "asof_date", run).agg(
+        F.count(F.lit(1)).alias("rows"),
         F.count("target").alias("_known"),
-        F.min("target").alias("target_min"),
-        F.max("target").alias("target_max"),
+        F.min("target").alias("_low"),
+        F.max("target").alias("_high"),
+    )
+    per_key = per_run.groupBy("security_id", "asof_date").agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.sum("rows").alias("rows"),
+        F.sum("_known").alias("_known"),
+        F.min("_low").alias("target_min"),
+        F.max("_high").alias("target_max"),
     )
     known = (F.col("_known") == 0) | (
-        (F.col("_known") == F.col("runs")) & (F.col("target_min") == F.col("target_max"))
+        (F.col("_known") == F.col("rows")) & (F.col("target_min") == F.col("target_max"))
+    )
+    once_each = (F.col("runs") == total) & (F.col("rows") == total)
+    return per_key.filter(~once_each | ~known).drop("_known")
+
+
+def require_comparable(runs: DataFrame, run: str = "run_id") -> DataFrame:
+    """The runs, if they share dataset, split, keys and targets."""
+    scope = same_run_scope(runs, run).first()
+    if not scope["comparable"]:
+        raise ContractError(f"runs are not comparable: {scope.asDict()}")
+    if not same_samples(runs, run).isEmpty():
+        raise ContractError("runs differ in their samples or targets")
+    return runs
+
+
+def unequal_cells(cells: DataFrame) -> DataFrame:
+    """Keys of a fold that some seed and model lacks, repeats, or gives another target.
+
+    ``cells`` stacks the predictions of all runs of a matrix.
+    """
+    planned = cells.select("fold_id", "seed", "model_key").distinct().groupBy("fold_id").agg(
+        F.count(F.lit(1)).alias("planned")
+    )
+    per_key = cells.groupBy("fold_id", "security_id", "asof_date").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("seed", "model_key").alias("cells"),
+        F.count("target").alias("_known"),
+        F.min("target").alias("_low"),
+        F.max("target").alias("_high"),
+    )
+    same_target = (F.col("_known") == 0) | (
+        (F.col("_known") == F.col("rows")) & (F.col("_low") == F.col("_high"))
+    )
+    complete = (F.col("rows") == F.col("planned")) & (F.col("cells") == F.col("planned"))
+    # One row per fold.
+    return (
+        per_key.join(F.broadcast(planned), "fold_id")
+        .filter(~complete | ~same_target)
+        .select("fold_id", "security_id", "asof_date", "cells", "planned")
     )
-    return per_key.filter((F.col("runs") != total) | ~known).drop("_known")
 
 
 def same_run_scope(runs: DataFrame, run: str = "run_id") -> DataFrame:

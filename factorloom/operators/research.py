@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.columns import ContractError
 from factorloom.operators.metrics import net_name
-from factorloom.operators.quality import matrix_completeness, matrix_scope
+from factorloom.operators.quality import matrix_completeness, matrix_scope, unequal_cells
 from factorloom.operators.statistics import panel_mean_inference
 
 # Model keys and the comparisons the decisions rest on (left minus right).
@@ -231,16 +231,24 @@ def aggregate_research(
     seeds: Sequence[int],
     models: Sequence[str] = MODEL_KEYS,
     protocol: Protocol = Protocol(),
+    predictions: DataFrame | None = None,
+    split: str | None = None,
 ) -> dict[str, DataFrame]:
     """Check the matrix, then infer, compare and decide.
 
     ``cells`` has one row per run (with dataset_id, evaluation_split and
-    source_research_ready), ``daily`` the long daily metrics.
+    source_research_ready), ``daily`` the long daily metrics. With the stacked ``predictions``,
+    all cells of a fold must hold the same keys and targets; with ``split``, all runs must have
+    been evaluated on it.
     """
     problems = matrix_completeness(cells, folds, seeds, models)
     mixed = matrix_scope(cells).filter("datasets != 1 OR splits != 1")
     if not problems.isEmpty() or not mixed.isEmpty():
         raise ContractError("the research matrix is incomplete or mixes datasets or splits")
+    if split is not None and not cells.filter(F.col("evaluation_split") != split).isEmpty():
+        raise ContractError(f"a cell was not evaluated on the {split} split")
+    if predictions is not None and not unequal_cells(predictions).isEmpty():
+        raise ContractError("cells of a fold differ in their samples or targets")
     readiness = source_readiness(cells)
     gate = readiness.select("gate_failed").scalar()
     inferred = model_inference(daily, protocol)

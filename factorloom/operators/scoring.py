@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from factorloom.functions.columns import is_finite
 from factorloom.functions.session import materialize
 from factorloom.operators.neutralize import neutralize
+from factorloom.operators.quality import require_predictions
 
+# When a signal is known and when it can first be traded.
 SIGNAL_AVAILABLE = "after_close"
 EARLIEST_EXECUTION = "next_session_open"
 
@@ -30,8 +32,8 @@ def prediction_frame(
 ) -> DataFrame:
     """Samples with score, exposures and lineage, neutralised per date.
 
-    ``scores`` holds (sample_id, score_raw). A sample without a score stays NULL, which the
-    prediction contract reports.
+    ``scores`` holds (sample_id, score_raw). A sample without a score stays NULL, which breaks
+    the prediction contract and stops here.
     """
     keys = ["sample_id", "security_id", "symbol", "asof_date", "split", "target"]
     exposures = metadata.select("sample_id", "eligible", "industry_code", "log_float_market_cap")
@@ -43,7 +45,7 @@ def prediction_frame(
     )
     # Stored once: the neutralisation reads it for its sums and for the residuals.
     stored = materialize(_with_lineage(joined, model_id, checkpoint_hash, dataset_id), "scored")
-    return neutralize(stored)
+    return require_predictions(materialize(neutralize(stored), "predictions"))
 
 
 def live_factor_frame(

@@ -5,12 +5,16 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.columns import CHANNELS
-from factorloom.operators.features import fit_robust_scalers
+from factorloom.functions.columns import CHANNELS, ContractError
+from factorloom.functions.session import materialize
+from factorloom.operators.features import apply_robust_scaler, fit_robust_scalers
+from factorloom.operators.indexes import sample_index
+from factorloom.operators.tabular import WINDOWS, multiscale_features
 
 
 @dataclass(frozen=True)
@@ -111,6 +115,52 @@ def walk_forward_scalers(
     return fit_robust_scalers(features, {f.fold_id: f.train_end for f in folds}, channels)
 
 
+@dataclass(frozen=True)
+class FoldData:
+    """What one fold trains and is judged on, built with its own scaler and split."""
+
+    fold_id: str
+    features: DataFrame
+    samples: DataFrame
+    tabular: DataFrame
+
+
+def walk_forward_datasets(
+    raw_features: DataFrame,
+    labels: DataFrame,
+    universe: DataFrame,
+    folds: Sequence[SplitDates],
+    *,
+    context_length: int,
+    windows: Sequence[int] = WINDOWS,
+    channels: Sequence[str] = CHANNELS,
+) -> list[FoldData]:
+    """Features, sample index and tabular features of every fold.
+
+    ``labels`` have no split yet. The scalers of all folds come from one pass over the raw
+    features, each from rows up to its own train_end; folds are few.
+    """
+    scalers = materialize(walk_forward_scalers(raw_features, folds, channels), "fold-scalers")
+    split = walk_forward_splits(labels, session_dates(universe), folds)
+    datasets = []
+    for fold in folds:
+        own = scalers.filter(F.col("fold_id") == fold.fold_id)
+        features = apply_robust_scaler(raw_features, own, channels)
+        rows = split.filter(F.col("fold_id") == fold.fold_id).drop("fold_id")
+        samples = sample_index(features, rows, universe, context_length)
+        tabular = multiscale_features(
+            features, samples, channels=channels, windows=windows, context_length=context_length
+        )
+        datasets.append(FoldData(fold.fold_id, features, samples, tabular))
+    return datasets
+
+
+def stack_folds(datasets: Sequence[FoldData], table: str) -> DataFrame:
+    """One table of all folds, keyed by fold_id."""
+    parts = [getattr(d, table).withColumn("fold_id", F.lit(d.fold_id)) for d in datasets]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _tail_start(sample_index: DataFrame, fraction: float, keep: int) -> DataFrame:
     """One row: number of train dates and the first date of the chronological tail."""
     dates = sample_index.filter("split = 'train'").select("asof_date").distinct()
@@ -136,7 +186,10 @@ def _checked_start(sample_index: DataFrame, fraction: float, keep: int):
 
 
 def inner_selection_split(sample_index: DataFrame, fraction: float) -> DataFrame:
-    """Split train rows into train_fit and inner_selection; overlapping labels are purged."""
+    """Split train rows into train_fit and inner_selection; overlapping labels are purged.
+
+    An empty part, or fit labels that reach the selection, stop the job.
+    """
     if not 0 < fraction < 0.5:
         raise ValueError("fraction must satisfy 0 < fraction < 0.5")
     start = _checked_start(sample_index, fraction, 2)
@@ -146,7 +199,13 @@ def inner_selection_split(sample_index: DataFrame, fraction: float) -> DataFrame
         .when(train & (F.col("label_end") < start), "train_fit")
         .when(~train, F.col("split"))
     )
-    return sample_index.withColumn("split", part).filter("split IS NOT NULL")
+    protocol = sample_index.withColumn("split", part).filter("split IS NOT NULL")
+    audit = inner_selection_audit(sample_index, protocol).first()
+    if not audit["fit_rows"] or not audit["selection_rows"]:
+        raise ContractError("the inner split leaves an empty fit or selection part")
+    if not audit["disjoint"]:
+        raise ContractError("fit labels reach into the inner selection")
+    return protocol
 
 
 def inner_selection_audit(sample_index: DataFrame, protocol: DataFrame) -> DataFrame:
@@ -180,12 +239,21 @@ def _range(split: str, prefix: str):
 
 
 def pretraining_split(sample_index: DataFrame, fraction: float) -> DataFrame:
-    """Train rows only: the last dates become pretrain_selection, the others pretrain_train."""
+    """Train rows only: the last dates become pretrain_selection, the others pretrain_train.
+
+    An empty part, or a selection that reaches valid or test dates, stops the job.
+    """
     start = _checked_start(sample_index, fraction, 1)
-    return sample_index.filter("split = 'train'").withColumn(
+    protocol = sample_index.filter("split = 'train'").withColumn(
         "split",
         F.when(F.col("asof_date") >= start, "pretrain_selection").otherwise("pretrain_train"),
     )
+    audit = pretraining_audit(sample_index, protocol).first()
+    if not audit["pretrain_rows"] or not audit["selection_rows"]:
+        raise ContractError("the pretraining split leaves an empty part")
+    if not audit["disjoint"]:
+        raise ContractError("the pretraining selection reaches the formal valid or test part")
+    return protocol
 
 
 def pretraining_audit(sample_index: DataFrame, protocol: DataFrame) -> DataFrame:

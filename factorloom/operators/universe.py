@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.columns import by_security, full_window
 from factorloom.functions.ranking import with_position
 from factorloom.functions.session import materialize
+from factorloom.operators.quality import checked
 from factorloom.sources.payloads import lookup, map_exchange, normalize_security_type
 
 ADV_SESSIONS = 20
@@ -52,7 +53,9 @@ def build_security_ranges(bars: DataFrame, calendar: DataFrame) -> DataFrame:
         F.bool_or("is_delisted_source").alias("eventually_delisted"),
         first_known("exchange_source"),
         first_known("security_type_source"),
-        F.min_by("symbol", "trade_date").alias("fallback_symbol"),
+        F.min_by("symbol", F.when(F.col("symbol").isNotNull(), F.col("trade_date"))).alias(
+            "fallback_symbol"
+        ),
         F.min_by("identity_quality", "trade_date").alias("identity_quality"),
         F.min_by("provider_symbol", "trade_date").alias("provider_symbol"),
     )
@@ -101,16 +104,9 @@ def attach_observations(grid: DataFrame, bars: DataFrame) -> DataFrame:
         observed.repartition("security_id"), ["security_id", "trade_date"], "left"
     )
     past = by_security().rowsBetween(Window.unboundedPreceding, 0)
-    # Before the first known symbol: the earliest one after it.
-    later = by_security().rowsBetween(0, Window.unboundedFollowing)
-    return joined.withColumn(
-        "symbol",
-        F.coalesce(
-            F.last("observed_symbol", ignorenulls=True).over(past),
-            F.first("observed_symbol", ignorenulls=True).over(later),
-            F.col("fallback_symbol"),
-        ),
-    )
+    # Before the first known symbol: that symbol, from the security's range.
+    carried = F.last("observed_symbol", ignorenulls=True).over(past)
+    return joined.withColumn("symbol", F.coalesce(carried, "fallback_symbol"))
 
 
 def adv20(grid: DataFrame, sessions: int = ADV_SESSIONS) -> DataFrame:
@@ -153,12 +149,7 @@ def eligible_candidate(
     return grid.withColumn("eligible_candidate", F.coalesce(passes, F.lit(False)))
 
 
-def daily_liquidity_topk(
-    grid: DataFrame,
-    max_daily_symbols: int | None = None,
-    *,
-    rows_per_group: int | None = None,
-) -> DataFrame:
+def daily_liquidity_topk(grid: DataFrame, max_daily_symbols: int | None = None) -> DataFrame:
     """Rank each date's candidates by adv20, ties by security; the first K are eligible."""
     if max_daily_symbols is None:
         return grid.withColumns(
@@ -167,12 +158,12 @@ def daily_liquidity_topk(
                 "eligible": F.col("eligible_candidate"),
             }
         )
+    # Candidates first, so that their positions are their ranks.
     ranked = with_position(
         grid,
         "_rank",
-        [F.desc("adv20_usd"), "security_id"],
-        ["trade_date", "eligible_candidate"],
-        rows_per_group=rows_per_group,
+        [F.desc("eligible_candidate"), F.desc("adv20_usd"), "security_id"],
+        ["trade_date"],
     )
     rank = F.when(F.col("eligible_candidate"), F.col("_rank"))
     return ranked.withColumns(
@@ -215,8 +206,12 @@ def build_universe(
     min_price: float,
     min_adv20_usd: float,
     max_daily_symbols: int | None = None,
+    check: bool = True,
 ) -> DataFrame:
-    """The full grid with listing states and eligibility, from bars alone."""
+    """The full grid with listing states and eligibility, from bars alone.
+
+    It is stored and must keep its contract, unless told otherwise.
+    """
     # Stored once: the bars are scanned for their dates a single time.
     calendar = materialize(session_calendar(bars), "calendar")
     grid = session_grid(build_security_ranges(bars, calendar), calendar)
@@ -234,9 +229,10 @@ def build_universe(
         min_adv20_usd=min_adv20_usd,
     )
     if max_daily_symbols is not None:
-        # The ranking measures its groups first; a stored grid is not computed twice.
+        # The sort samples its input first; a stored grid is not computed twice.
         grid = materialize(grid, "grid")
-    return daily_liquidity_topk(grid, max_daily_symbols).select(*UNIVERSE_COLUMNS)
+    universe = daily_liquidity_topk(grid, max_daily_symbols).select(*UNIVERSE_COLUMNS)
+    return checked(universe, "universe") if check else universe
 
 
 def impute_delistings(
@@ -246,6 +242,7 @@ def impute_delistings(
     exchange_returns: dict[str, float] = DELISTING_RETURNS,
     default_return: float = DEFAULT_DELISTING_RETURN,
     source_revision: str,
+    check: bool = True,
 ) -> DataFrame:
     """A marked delisting return per exchange for each security that left the market."""
     last_rows = (
@@ -262,7 +259,7 @@ def impute_delistings(
         )
     )
     penalty = lookup(F.col("exchange"), exchange_returns, F.lit(float(default_return)))
-    return last_rows.join(dates, "security_id").select(
+    delistings = last_rows.join(dates, "security_id").select(
         "security_id",
         "delist_date",
         "last_trade_date",
@@ -274,3 +271,4 @@ def impute_delistings(
         F.concat(F.lit("exchange_penalty:"), "exchange").alias("imputation_method"),
         "exchange",
     )
+    return checked(delistings, "delistings") if check else delistings

@@ -42,7 +42,7 @@ def context_windows(
     grid = features.select("security_id", "trade_date", step.alias("_step"))
     framed = (
         grid.repartition("security_id")
-        .join(marks.repartition("security_id"), ["security_id", "trade_date"], "left")
+        .join(marks.repartition("security_id"), ["security_id", "trade_date"], "full")
         .withColumn("_steps", F.collect_list("_step").over(trailing(context_length)))
         .filter("sample_id IS NOT NULL")
     )
@@ -129,30 +129,37 @@ def masked_patch_sample(patches: DataFrame, *, ratio: float, seed: int, epoch: i
     ).drop("_chosen")
 
 
+LOSSES = ("mse", "huber")
+
+
 def masked_reconstruction_loss(
     patches: DataFrame,
     *,
     prediction: str = "prediction",
-    loss: str = "mse",
+    losses: Sequence[str] = LOSSES,
     huber_delta: float = 1.0,
 ) -> DataFrame:
-    """One row: mean element loss over masked and observed elements, and their number.
+    """One row per loss: its mean over masked and observed elements, and their number.
 
     Input rows hold arrays ``prediction``, ``patch_values``, ``patch_mask`` and a flag
     ``masked``. Elements are unrolled inside each task and combined map-side.
     """
-    if loss not in ("mse", "huber"):
-        raise ValueError("loss must be mse or huber")
+    if not losses or not set(losses) <= set(LOSSES):
+        raise ValueError(f"losses must be among {LOSSES}")
     pairs = F.arrays_zip(
         F.col(prediction).alias("p"), F.col("patch_values").alias("a"), F.col("patch_mask").alias("o")
     )
     elements = patches.filter("masked").select(F.inline(pairs)).filter("o")
     gap = F.col("p").cast("double") - F.col("a").cast("double")
-    if loss == "mse":
-        element = gap * gap
-    else:
-        outer = huber_delta * (F.abs(gap) - 0.5 * huber_delta)
-        element = F.when(F.abs(gap) <= huber_delta, 0.5 * gap * gap).otherwise(outer)
-    return elements.agg(
-        F.avg(element).alias("loss"), F.count(F.lit(1)).alias("valid_elements")
+    outer = huber_delta * (F.abs(gap) - 0.5 * huber_delta)
+    element = {
+        "mse": gap * gap,
+        "huber": F.when(F.abs(gap) <= huber_delta, 0.5 * gap * gap).otherwise(outer),
+    }
+    # All losses in one pass over the elements.
+    wide = elements.agg(
+        F.count(F.lit(1)).alias("valid_elements"), *[F.avg(element[name]).alias(name) for name in losses]
+    )
+    return wide.unpivot(["valid_elements"], list(losses), "loss_name", "loss").select(
+        "loss_name", "loss", "valid_elements"
     )

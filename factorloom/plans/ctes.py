@@ -448,12 +448,50 @@ TABLES: dict[str, str] = {
             round(coalesce(t.r_close__mean_20, 0.0), 9) AS score_raw
         FROM metadata m JOIN tabular t USING (sample_id)""",
     "predictions": neutral("scored"),
+    "fold_train_long": f"""
+        SELECT fold_id, channel, value FROM (
+            SELECT fold_id, {', '.join(CHANNELS)} FROM raw_features, {fold_rows(FOLDS)}
+            WHERE trade_date <= train_end)
+        UNPIVOT (value FOR channel IN ({', '.join(CHANNELS)}))""",
+    "fold_scalers": """
+        SELECT fold_id, channel, lo, hi, quantile_cont(v, 0.5) AS median,
+            CASE WHEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 > 1e-12
+                THEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 ELSE 1.0 END AS scale
+        FROM (SELECT fold_id, channel, lo, hi, least(greatest(value, lo), hi) AS v
+              FROM fold_train_long JOIN (SELECT fold_id, channel, quantile_cont(value, 0.005) AS lo,
+                  quantile_cont(value, 0.995) AS hi FROM fold_train_long GROUP BY fold_id, channel)
+              USING (fold_id, channel))
+        GROUP BY fold_id, channel, lo, hi""",
+    "fold_parameters": f"""
+        SELECT fold_id, {', '.join(
+            f"max(CASE WHEN channel = '{c}' THEN {v} END) AS {c}_{v}"
+            for c in CHANNELS for v in ('lo', 'hi', 'median', 'scale'))}
+        FROM fold_scalers GROUP BY fold_id""",
+    "fold_features": f"""
+        SELECT fold_id, security_id, symbol, trade_date, {', '.join(
+            f"CASE WHEN {c} IS NOT NULL THEN (least(greatest({c}, {c}_lo), {c}_hi) - {c}_median) "
+            f"/ {c}_scale END AS {c}" for c in CHANNELS)},
+            {', '.join('observed_' + c for c in CHANNELS)} FROM raw_features, fold_parameters""",
+    "fold_rolled": f"""
+        SELECT fold_id, security_id, trade_date AS asof_date, {', '.join(_rolled(c) for c in CHANNELS)}
+        FROM fold_features WINDOW {_frames.replace('PARTITION BY', 'PARTITION BY fold_id,')}""",
+    "fold_samples": """
+        SELECT l.fold_id, u.security_id || '|' || strftime(u.trade_date, '%Y-%m-%d') AS sample_id,
+            u.security_id, u.symbol, u.trade_date AS asof_date, feature_start,
+            u.trade_date AS feature_end, label_start, label_end, split, target, raw_return,
+            benchmark_return, crosses_delisting, u.industry_code,
+            CASE WHEN float_market_cap > 0 THEN ln(float_market_cap) END AS log_float_market_cap
+        FROM universe u JOIN window_starts USING (security_id, trade_date)
+        JOIN fold_labels l ON l.security_id = u.security_id AND l.asof_date = u.trade_date
+        WHERE feature_start IS NOT NULL AND target IS NOT NULL AND split IS NOT NULL
+            AND u.eligible""",
+    "fold_tabular": """
+        SELECT r.*, s.sample_id, s.symbol, s.split, s.target, s.industry_code,
+            s.log_float_market_cap
+        FROM fold_rolled r JOIN fold_samples s USING (fold_id, security_id, asof_date)""",
     "cell_scores": f"""
         SELECT *, CASE {' '.join(_model_score(m) for m in MODEL_SCORES)} END AS score_raw
-        FROM (SELECT t.*, v.fold_id, m.industry_code, m.log_float_market_cap, model_key, seed
-              FROM tabular t JOIN (SELECT * FROM fold_labels WHERE split = 'valid') v
-                  ON v.security_id = t.security_id AND v.asof_date = t.asof_date
-              JOIN metadata m ON m.sample_id = t.sample_id,
+        FROM (SELECT t.*, model_key, seed FROM (SELECT * FROM fold_tabular WHERE split = 'valid') t,
               (VALUES {', '.join(f"('{m}')" for m in MODEL_SCORES)}) AS a(model_key),
               (VALUES {', '.join(f"(CAST({s} AS BIGINT))" for s in SEEDS)}) AS b(seed))""",
     "cell_predictions": neutral(

@@ -251,6 +251,39 @@ def _(s: Stage) -> DataFrame:
     return sp.walk_forward_scalers(s.raw_features, FOLDS)
 
 
+@query(
+    "e15_fold_features",
+    f"""SELECT fold_id, security_id, trade_date, {d(*CHANNELS)},
+        {', '.join('observed_' + c for c in CHANNELS)} FROM fold_features""",
+)
+def _(s: Stage) -> DataFrame:
+    return s.fold_features.drop("symbol")
+
+
+@query(
+    "e15_fold_samples",
+    f"""SELECT fold_id, sample_id, security_id, symbol, asof_date, feature_start, feature_end,
+        label_start, label_end, split, {d('target', 'raw_return', 'benchmark_return')},
+        crosses_delisting FROM fold_samples""",
+)
+def _(s: Stage) -> DataFrame:
+    return s.fold_samples
+
+
+_FOLD_TABULAR = multiscale_columns(CHANNELS, WINDOWS, CONTEXT)
+
+
+@query(
+    "e15_fold_tabular",
+    f"""SELECT fold_id, sample_id, security_id, symbol, asof_date, split, {d('target')},
+        {d(*_FOLD_TABULAR)} FROM fold_tabular""",
+)
+def _(s: Stage) -> DataFrame:
+    return s.fold_tabular.select(
+        "fold_id", "sample_id", "security_id", "symbol", "asof_date", "split", "target", *_FOLD_TABULAR
+    )
+
+
 @query(
     "e16_select_asof",
     """SELECT sample_id, asof_date, 'latest' AS pick FROM live

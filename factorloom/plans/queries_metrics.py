@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.ranking import with_average_rank
 from factorloom.operators import metrics as mt
 from factorloom.operators import neutralize as nt
+from factorloom.operators import quality as q
 from factorloom.operators import research as rs
 from factorloom.operators import statistics as st
 from factorloom.operators.evaluation import evaluate_prediction_table
@@ -124,12 +125,22 @@ def _(s: Stage) -> DataFrame:
     return mt.cross_section_stats(s.predictions)
 
 
-_YEARS = "(SELECT *, year(asof_date) AS year FROM predictions)"
-_INDUSTRIES = "(SELECT * FROM predictions WHERE industry_code IS NOT NULL)"
-_SIZES = """(SELECT *, CASE ntile(3) OVER (PARTITION BY asof_date
+_VALID = "(SELECT * FROM predictions WHERE split = 'valid')"
+
+
+def _years(source: str) -> str:
+    return f"(SELECT *, year(asof_date) AS year FROM {source})"
+
+
+def _industries(source: str) -> str:
+    return f"(SELECT * FROM {source} WHERE industry_code IS NOT NULL)"
+
+
+def _sizes(source: str) -> str:
+    return f"""(SELECT *, CASE ntile(3) OVER (PARTITION BY asof_date
         ORDER BY log_float_market_cap, security_id) WHEN 1 THEN 'small' WHEN 2 THEN 'mid'
         ELSE 'large' END AS size_bucket
-    FROM predictions WHERE log_float_market_cap IS NOT NULL)"""
+    FROM {source} WHERE log_float_market_cap IS NOT NULL)"""
 
 
 def _summary(source: str, by: str, key: str | None = None) -> str:
@@ -149,57 +160,119 @@ def _summary(source: str, by: str, key: str | None = None) -> str:
     return f"SELECT * {key or ''} FROM {parts[0]} JOIN {parts[1]} USING ({by}) LEFT JOIN {means} USING ({by})"
 
 
-@query("g11_stability_by_year", _summary(_YEARS, "year", "REPLACE (CAST(year AS BIGINT) AS year)"))
+@query("g11_stability_by_year", _summary(_years("predictions"), "year", "REPLACE (CAST(year AS BIGINT) AS year)"))
 def _(s: Stage) -> DataFrame:
     return mt.stability_by_year(s.predictions)
 
 
-@query("g12_stability_by_industry", _summary(_INDUSTRIES, "industry_code"))
+@query("g12_stability_by_industry", _summary(_industries("predictions"), "industry_code"))
 def _(s: Stage) -> DataFrame:
     return mt.stability_by_industry(s.predictions)
 
 
-@query("g13_stability_by_size", _summary(_SIZES, "size_bucket"))
+@query("g13_stability_by_size", _summary(_sizes("predictions"), "size_bucket"))
 def _(s: Stage) -> DataFrame:
     return mt.stability_by_size(s.predictions)
 
 
-def _score_rows(score: str, name: str) -> str:
-    daily = f"({ic('predictions', score=score)})"
+def _scores(statement) -> str:
+    """The statement for the raw and for the neutralized score."""
     return " UNION ALL ".join(
-        f"SELECT '{name}' AS score, '{v}' AS series, dates, {d(*STATS)} FROM ({series(daily, v)})"
+        f"SELECT '{name}' AS score, * FROM ({statement(f'score_{name}')})" for name in ("raw", "neutralized")
+    )
+
+
+def _ic_rows(source: str):
+    return lambda score: " UNION ALL ".join(
+        f"SELECT '{v}' AS series, dates, {d(*STATS)} FROM ({series('(' + ic(source, score=score) + ')', v)})"
         for v in ("ic", "rank_ic")
     )
 
 
-@query(
+def _evaluation_sql(source: str) -> dict[str, str]:
+    """Every table of an evaluation, by name."""
+
+    def legs(score: str) -> str:
+        return book(source, score=score)
+
+    return {
+        "ic": _scores(_ic_rows(source)),
+        "daily_ic": _scores(
+            lambda score: f"SELECT asof_date, n, {d('ic', 'rank_ic')} FROM ({ic(source, score=score)})"
+        ),
+        "daily_portfolio": _scores(
+            lambda score: f"SELECT asof_date, n, groups, {d(*BOOK)} FROM ({legs(score)})"
+        ),
+        "portfolio": _scores(
+            lambda score: f"SELECT dates, {d(*MEANS)} FROM ({book_mean('(' + legs(score) + ')')})"
+        ),
+        "by_year": _summary(_years(source), "year", "REPLACE (CAST(year AS BIGINT) AS year)"),
+        "by_industry": _summary(_industries(source), "industry_code"),
+        "by_size": _summary(_sizes(source), "size_bucket"),
+    }
+
+
+def _register(prefix: str, main: str, statements: dict[str, str], tables) -> None:
+    """One query for each result table; ``main`` has the plain name."""
+    for name, sql in statements.items():
+        query(prefix if name == main else f"{prefix}_{name}", sql)(lambda s, n=name: tables(s)[n])
+
+
+def _evaluated(s: Stage) -> dict[str, DataFrame]:
+    return s.result("evaluated", lambda: mt.evaluate_predictions(s.predictions))
+
+
+_CROSS_SECTION = """SELECT count(*) AS dates, min(n) AS minimum, median(n)::DOUBLE AS median,
+        round6(avg(n)) AS mean, max(n) AS maximum"""
+
+_register(
     "g14_evaluate_predictions",
-    _score_rows("score_raw", "raw") + " UNION ALL " + _score_rows("score_neutralized", "neutralized"),
+    "ic",
+    {
+        **_evaluation_sql("predictions"),
+        "cross_section": f"""{_CROSS_SECTION}, count(*) >= 20 AND median(n) >= 20 AS research_ready
+            FROM (SELECT asof_date, count(*) AS n FROM predictions GROUP BY asof_date)""",
+    },
+    _evaluated,
 )
-def _(s: Stage) -> DataFrame:
-    return mt.evaluate_predictions(s.predictions)["ic"]
 
 
-@query(
+def _judged(s: Stage) -> dict[str, DataFrame]:
+    """The valid rows against the index; the source is ready in one case and not in the other."""
+
+    def build() -> dict[str, DataFrame]:
+        valid, dataset = s.predictions.filter("split = 'valid'"), LINEAGE["dataset_id"]
+        tables = evaluate_prediction_table(valid, s.samples, dataset, source_ready=False)
+        ready = mt.cross_section_stats(s.predictions)
+        gate = q.readiness_gate(F.col("research_ready"), F.lit(True))
+        tables["ready_case"] = ready.select("dates", gate.alias("research_ready"))
+        return tables
+
+    return s.result("judged", build)
+
+
+_register(
     "g15_evaluate_prediction_table",
-    """SELECT count(*) AS dates, min(n) AS minimum, median(n)::DOUBLE AS median,
-        round6(avg(n)) AS mean, max(n) AS maximum, false AS research_ready,
-        count(*) >= 20 AND median(n) >= 20 AS statistical_ready, false AS source_research_ready
-    FROM (SELECT asof_date, count(*) AS n FROM predictions WHERE split = 'valid' GROUP BY asof_date)""",
+    "cross_section",
+    {
+        **_evaluation_sql(_VALID),
+        "cross_section": f"""{_CROSS_SECTION}, false AS research_ready,
+            count(*) >= 20 AND median(n) >= 20 AS statistical_ready, false AS source_research_ready
+            FROM (SELECT asof_date, count(*) AS n FROM {_VALID} GROUP BY asof_date)""",
+        "coverage": """SELECT 'valid' AS split, count(*) AS expected_rows, count(*) AS prediction_rows,
+            CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS unexpected_rows,
+            1.0::DOUBLE AS coverage, 1.0::DOUBLE AS minimum_required, true AS passed
+            FROM samples WHERE split = 'valid'""",
+        "ready_case": """SELECT count(*) AS dates, count(*) >= 20 AND median(n) >= 20 AS research_ready
+            FROM (SELECT asof_date, count(*) AS n FROM predictions GROUP BY asof_date)""",
+    },
+    _judged,
 )
-def _(s: Stage) -> DataFrame:
-    tables = evaluate_prediction_table(
-        s.predictions.filter("split = 'valid'"),
-        s.samples,
-        LINEAGE["dataset_id"],
-        source_ready=False,
-    )
-    return tables["cross_section"]
 
 
-_RUNS = """(SELECT 'forward' AS run_id, * FROM predictions
+_RUNS = f"""(SELECT 'forward' AS run_id, * FROM {_VALID}
     UNION ALL SELECT 'backward', * REPLACE (-score_raw AS score_raw,
-        -score_neutralized AS score_neutralized) FROM predictions)"""
+        -score_neutralized AS score_neutralized) FROM {_VALID})"""
 
 
 @query(
@@ -207,7 +280,7 @@ _RUNS = """(SELECT 'forward' AS run_id, * FROM predictions
     f"""SELECT run_id, 'momentum' AS model_id, 1.0::DOUBLE AS coverage, a.mean_ic, b.mean_rank_ic,
         b.rank_icir, p.gross_q_high_minus_low, p.mean_turnover, z.neutralized_mean_rank_ic,
         (SELECT count(*) >= 20 AND median(c) >= 20
-            FROM (SELECT count(*) AS c FROM predictions GROUP BY asof_date)) AS research_ready
+            FROM (SELECT count(*) AS c FROM {_VALID} GROUP BY asof_date)) AS research_ready
     FROM (SELECT run_id, round6(mean) AS mean_ic
             FROM ({series('(' + ic(_RUNS, 'run_id, ') + ')', 'ic', 'run_id, ')})) a
     JOIN (SELECT run_id, round6(mean) AS mean_rank_ic, round6(ir) AS rank_icir
@@ -219,10 +292,9 @@ _RUNS = """(SELECT 'forward' AS run_id, * FROM predictions
          ) z USING (run_id)""",
 )
 def _(s: Stage) -> DataFrame:
-    expected = s.samples.agg(F.count(F.lit(1)).alias("expected_rows")).withColumn(
-        "dataset_id", F.lit(LINEAGE["dataset_id"])
-    )
-    return mt.compare_runs(two_runs(s), expected)
+    expected = s.samples.filter("split = 'valid'").agg(F.count(F.lit(1)).alias("expected_rows"))
+    expected = expected.withColumn("dataset_id", F.lit(LINEAGE["dataset_id"]))
+    return mt.compare_runs(two_runs(s).filter("split = 'valid'"), expected)
 
 
 # Research statistics over the fold x seed x model matrix
@@ -349,15 +421,16 @@ _OVERALL = f"""(SELECT (SELECT mean FROM {_MODELS} WHERE model_key = 'e3' AND me
         (SELECT mean FROM {_MODELS} WHERE model_key = 'e3' AND metric = 'net_20bps') AS net_20bps_mean,
         (SELECT positive_cell_ratio FROM {_SHARES} WHERE comparison = 'overall_e3_vs_e1')
         AS e3_vs_e1_positive_cell_ratio)"""
-_OVERALL_REASONS = """concat_ws('; ',
+_CRITERIA = """concat_ws('; ',
         CASE WHEN NOT coalesce(raw_rank_ic_mean > 0, false) THEN 'E3 raw Rank IC is not positive' END,
         CASE WHEN NOT coalesce(neutralized_rank_ic_mean > 0, false)
             THEN 'E3 neutralized Rank IC is unavailable or not positive' END,
         CASE WHEN NOT coalesce(net_20bps_mean > 0, false)
             THEN 'E3 net Q5-Q1 at 20 bps is not positive' END,
         CASE WHEN e3_vs_e1_positive_cell_ratio < 0.5
-            THEN 'E3 does not beat E1 in enough fold/seed cells' END,
-        'source provenance is missing or not explicitly research-ready')"""
+            THEN 'E3 does not beat E1 in enough fold/seed cells' END)"""
+_SOURCE = "'source provenance is missing or not explicitly research-ready'"
+_OVERALL_REASONS = f"concat_ws('; ', nullif({_CRITERIA}, ''), {_SOURCE})"
 
 
 @query(
@@ -376,20 +449,56 @@ def _(s: Stage) -> DataFrame:
     return verdict.withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query(
+def _aggregated(s: Stage) -> dict[str, DataFrame]:
+    return s.result(
+        "aggregated",
+        lambda: rs.aggregate_research(
+            s.cells,
+            s.cell_daily,
+            folds=[f.fold_id for f in FOLDS],
+            seeds=SEEDS,
+            protocol=PROTOCOL,
+            predictions=s.cell_predictions,
+            split="valid",
+        ),
+    )
+
+
+# A fold's source counts as ready with enough valid dates and names.
+_READY = """(SELECT fold_id, count(*) >= 20 AND median(n) >= 20 AS ready
+    FROM (SELECT fold_id, asof_date, count(*) AS n FROM fold_samples WHERE split = 'valid' GROUP BY ALL)
+    GROUP BY fold_id)"""
+_GATE = f"(SELECT NOT bool_and(ready) FROM {_READY})"
+_GATED = f"concat_ws('; ', nullif({_REASONS}, ''), CASE WHEN {_GATE} THEN {_SOURCE} END)"
+_GATED_OVERALL = f"concat_ws('; ', nullif({_CRITERIA}, ''), CASE WHEN {_GATE} THEN {_SOURCE} END)"
+
+_register(
     "h9_aggregate_research",
-    f"""SELECT model_key, metric, n, {d(*INFERENCE)}, lags, non_overlapping_n, {d(*STRIDED)}
-    FROM {_MODELS}""",
+    "models",
+    {
+        "models": f"""SELECT model_key, metric, n, {d(*INFERENCE)}, lags, non_overlapping_n,
+            {d(*STRIDED)} FROM {_MODELS}""",
+        "paired_deltas": f"""SELECT comparison, cell_count, {d('positive_cell_ratio')}, n,
+            {d(*INFERENCE)}, lags, non_overlapping_n, {d(*STRIDED)} FROM {_DELTAS}""",
+        "decisions": f"""SELECT comparison, {_GATED} = '' AS passed,
+            CASE WHEN {_GATED} = '' THEN 'go' ELSE 'no_go' END AS status, {_GATED} AS reasons,
+            round6(mean) AS mean_delta, {d('positive_cell_ratio')},
+            0.5::DOUBLE AS minimum_positive_cell_ratio FROM {_DELTAS}
+            WHERE comparison <> '{rs.OVERALL}'""",
+        "overall": f"""SELECT {d('raw_rank_ic_mean', 'neutralized_rank_ic_mean', 'net_20bps_mean',
+            'e3_vs_e1_positive_cell_ratio')}, {_GATED_OVERALL} AS reasons,
+            {_GATED_OVERALL} = '' AS passed,
+            CASE WHEN {_GATED_OVERALL} = '' THEN 'go' ELSE 'no_go' END AS status FROM {_OVERALL}""",
+        "source_readiness": f"""SELECT bool_and(ready) AS all_cells_explicitly_ready,
+            bool_or(NOT ready) AS explicitly_blocked, NOT bool_and(ready) AS gate_failed FROM {_READY}""",
+    },
+    lambda s: {
+        name: frame.withColumn("reasons", F.array_join("reasons", "; "))
+        if "reasons" in frame.columns
+        else frame
+        for name, frame in _aggregated(s).items()
+    },
 )
-def _(s: Stage) -> DataFrame:
-    tables = rs.aggregate_research(
-        s.cells,
-        s.cell_daily,
-        folds=[f.fold_id for f in FOLDS],
-        seeds=SEEDS,
-        protocol=PROTOCOL,
-    )
-    return tables["models"]
 
 
 # The end-to-end flagship

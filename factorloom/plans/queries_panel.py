@@ -11,6 +11,7 @@ from factorloom.operators import features as ft
 from factorloom.operators import tabular as tb
 from factorloom.operators import universe as un
 from factorloom.operators import windows as wn
+from factorloom.operators.indexes import inference_index
 from factorloom.plans import payload_stage as p
 from factorloom.plans.ctes import d, n
 from factorloom.plans.registry import on_grid, query
@@ -331,6 +332,40 @@ def _(s: Stage) -> DataFrame:
     )
 
 
+# All default windows that the calendar can fill.
+LONG = 60
+LONG_WINDOWS = [w for w in tb.WINDOWS if w <= LONG]
+
+
+def _long_sql() -> str:
+    columns = []
+    for c in CHANNELS:
+        columns.append(f"round6({c}) AS {c}__last")
+        for w in LONG_WINDOWS:
+            over = f"OVER (PARTITION BY security_id ORDER BY trade_date ROWS {w - 1} PRECEDING)"
+            for stat, fn in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")):
+                columns.append(
+                    f"round6(CASE WHEN count({c}) {over} = {w} THEN {fn}({c}) {over} END) "
+                    f"AS {c}__{stat}_{w}"
+                )
+    return ", ".join(columns)
+
+
+@query(
+    "d12_multiscale_long_windows",
+    f"""SELECT r.* FROM (SELECT security_id, trade_date AS asof_date, {_long_sql()} FROM features) r
+    JOIN universe u ON u.security_id = r.security_id AND u.trade_date = r.asof_date
+    JOIN (SELECT security_id, trade_date, lag(trade_date, {LONG - 1}) OVER (PARTITION BY security_id
+        ORDER BY trade_date) AS start FROM universe) w
+        ON w.security_id = r.security_id AND w.trade_date = r.asof_date
+    WHERE u.eligible AND w.start IS NOT NULL""",
+)
+def _(s: Stage) -> DataFrame:
+    index = inference_index(s.features, s.universe, LONG)
+    rows = tb.multiscale_inference_features(s.features, index, context_length=LONG)
+    return rows.drop("sample_id", "symbol")
+
+
 @query(
     "d13_multiscale_inference_features",
     f"""SELECT l.sample_id, security_id, l.symbol, asof_date, {d(*TABULAR)}
@@ -355,7 +390,7 @@ def _(s: Stage) -> DataFrame:
     return tb.fit_tabular_preprocessor(s.tabular.filter("split = 'train'"), TABULAR)
 
 
-STANDARD = ("r_close__mean_20", "vol20__last", "dollar_volume_z20__std_5")
+STANDARD = TABULAR
 
 
 @query(
@@ -491,8 +526,4 @@ def _(s: Stage) -> DataFrame:
     rows = wn.explode_patches(_patches(s)).withColumns(
         {"masked": F.col("patch_index") % 3 == 0, "prediction": constant}
     )
-    mse, huber = (
-        wn.masked_reconstruction_loss(rows, loss=name).withColumn("loss_name", F.lit(name))
-        for name in ("mse", "huber")
-    )
-    return mse.unionByName(huber).withColumn("loss", on_grid(F.col("loss"), 4))
+    return wn.masked_reconstruction_loss(rows).withColumn("loss", on_grid(F.col("loss"), 4))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.functions.columns import CHANNELS
 from factorloom.functions.session import fresh_path, materialize
 from factorloom.operators import quality as q
 from factorloom.operators.metrics import cross_section_stats
@@ -25,7 +26,7 @@ from factorloom.plans.stage import (
 )
 from factorloom.sources import payloads
 from factorloom.sources.snapshot import DatasetConfig, read_snapshot, write_snapshot
-from factorloom.sources.tables import StandardTables, coerce_date, read_standard_tables
+from factorloom.sources.tables import BARS, StandardTables, coerce_date, read_standard_tables
 
 BAR_SQL = d("open", "high", "low", "close", "volume", "dollar_volume", "adj_factor")
 SAMPLE_COLUMNS = f"""sample_id, security_id, symbol, asof_date, feature_start, feature_end,
@@ -155,14 +156,15 @@ def _(s: Stage) -> DataFrame:
     FROM bars""",
 )
 def _(s: Stage) -> DataFrame:
-    columns = ["security_id", "trade_date", "close"]
+    columns = BARS.fieldNames()
     extra = {"NASDAQ": ["provider_symbol"], "NYSE": ["identity_quality"], "AMEX": []}
     return payloads.union_batches(
         [
             s.bars.filter(F.col("exchange_source") == market).select(*columns, *more)
             for market, more in extra.items()
-        ]
-    )
+        ],
+        "bars",
+    ).select("security_id", "trade_date", "close", "provider_symbol", "identity_quality")
 
 
 def _snapshot(s: Stage) -> str:
@@ -175,22 +177,28 @@ def _snapshot(s: Stage) -> str:
     return folder
 
 
-@query(
-    "a7_write_snapshot",
-    f"""SELECT security_id, trade_date, {d('r_close', 'range', 'vol20', 'dollar_volume_z20')}
-    FROM features""",
-)
-def _(s: Stage) -> DataFrame:
-    _, frames = read_snapshot(s.spark, _snapshot(s), names=("features",))
-    return frames["features"].select(
-        "security_id", "trade_date", "r_close", "range", "vol20", "dollar_volume_z20"
-    )
+# Every artifact of the snapshot, as written and read again.
+_ARTIFACTS = {
+    "features": f"""SELECT security_id, symbol, trade_date, {d(*CHANNELS)},
+        {', '.join('observed_' + c for c in CHANNELS)} FROM features""",
+    "labels": f"""SELECT asof_date, security_id, label_start, label_end,
+        {d('raw_return', 'benchmark_return', 'target')}, crosses_delisting, split FROM labels""",
+    "sample_index": f"SELECT {SAMPLE_COLUMNS} FROM samples",
+    "sample_metadata": f"""SELECT sample_id, security_id, symbol, asof_date, split, eligible,
+        industry_code, {d('float_market_cap', 'log_float_market_cap')} FROM metadata""",
+    "inference_index": f"""SELECT sample_id, security_id, symbol, asof_date, feature_start,
+        feature_end, eligible, industry_code, {d('float_market_cap', 'log_float_market_cap')} FROM live""",
+}
 
 
-@query("a8_read_snapshot", f"SELECT {SAMPLE_COLUMNS} FROM samples")
-def _(s: Stage) -> DataFrame:
-    _, frames = read_snapshot(s.spark, _snapshot(s), names=("sample_index",))
-    return frames["sample_index"]
+def _artifact(name: str):
+    return lambda s: read_snapshot(s.spark, _snapshot(s), names=(name,))[1][name]
+
+
+query("a7_write_snapshot", _ARTIFACTS["features"])(_artifact("features"))
+query("a8_read_snapshot", _ARTIFACTS["sample_index"])(_artifact("sample_index"))
+for _name in ("labels", "sample_metadata", "inference_index"):
+    query(f"a8_read_snapshot_{_name}", _ARTIFACTS[_name])(_artifact(_name))
 
 
 @query(
@@ -501,15 +509,38 @@ def two_runs(s: Stage) -> DataFrame:
     return one.unionByName(two)
 
 
+@query(
+    "b10_prediction_scopes",
+    """SELECT count(DISTINCT k % 3) AS models, count(DISTINCT k % 2) AS datasets,
+        (SELECT count(DISTINCT model_id) FROM (SELECT 'momentum' AS model_id FROM predictions
+            WHERE split = 'none')) AS models_of_none
+    FROM (SELECT CAST(substring(security_id, 5) AS BIGINT) AS k FROM predictions)""",
+)
+def _(s: Stage) -> DataFrame:
+    # Planted: three models and two datasets in one table, and a table without rows.
+    k = security_number()
+    mixed = s.predictions.withColumns(
+        {
+            "model_id": F.concat(F.lit("m"), (k % 3).cast("string")),
+            "dataset_id": F.concat(F.lit("d"), (k % 2).cast("string")),
+        }
+    )
+    none = q.prediction_report(s.predictions.filter("split = 'none'")).select("models").scalar()
+    return q.prediction_report(mixed).select("models", "datasets").withColumn("models_of_none", none)
+
+
 @query(
     "b17_same_samples",
-    """SELECT security_id, asof_date, CASE WHEN k % 8 = 0 THEN 1 ELSE 2 END::BIGINT AS runs
+    """SELECT security_id, asof_date, CASE WHEN k % 8 = 0 THEN 1 ELSE 2 END::BIGINT AS runs,
+        CASE WHEN k % 8 = 0 AND k % 3 = 0 THEN 2 WHEN k % 8 = 0 THEN 1 WHEN k % 3 = 0 THEN 3
+            ELSE 2 END::BIGINT AS rows
     FROM (SELECT *, CAST(substring(security_id, 5) AS BIGINT) AS k FROM samples)
-    WHERE k % 8 = 0 OR k % 7 = 0""",
+    WHERE k % 8 = 0 OR k % 7 = 0 OR k % 3 = 0""",
 )
 def _(s: Stage) -> DataFrame:
     k, second = security_number(), F.col("run_id") == "backward"
-    # Planted in the second run: every eighth security is missing, every seventh moved.
+    # Planted in the second run: every eighth security is missing, every seventh moved; in the
+    # first, every third is there twice.
     runs = (
         two_runs(s)
         .filter(~(second & (k % 8 == 0)))
@@ -517,7 +548,8 @@ def _(s: Stage) -> DataFrame:
             "target", F.when(second & (k % 7 == 0), F.col("target") + 1).otherwise(F.col("target"))
         )
     )
-    return q.same_samples(runs).select("security_id", "asof_date", "runs")
+    again = runs.filter(~second & (k % 3 == 0))
+    return q.same_samples(runs.unionByName(again)).select("security_id", "asof_date", "runs", "rows")
 
 
 @query(

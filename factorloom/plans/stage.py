@@ -11,18 +11,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.functions.columns import log_if_positive
 from factorloom.functions.session import fresh_path, materialize, tune
 from factorloom.operators.features import apply_robust_scaler, build_features, fit_robust_scaler
 from factorloom.operators.indexes import inference_index, sample_index, sample_metadata
 from factorloom.operators.labels import build_labels
-from factorloom.operators.metrics import daily_ic, daily_portfolio, net_name
+from factorloom.operators.metrics import (
+    cross_section_stats,
+    daily_ic,
+    daily_portfolio,
+    net_name,
+)
 from factorloom.operators.neutralize import neutralize
 from factorloom.operators.research import MODEL_KEYS, NEUTRALIZED, RAW
 from factorloom.operators.scoring import momentum_score, prediction_frame
 from factorloom.operators.splits import (
+    FoldData,
     SplitDates,
     assign_splits,
     session_dates,
+    stack_folds,
+    walk_forward_datasets,
     walk_forward_splits,
 )
 from factorloom.operators.tabular import multiscale_features
@@ -121,6 +130,8 @@ class Stage:
         self.sf_dir = sf_dir
         self.snapshot_root = fresh_path(spark, "snapshots")
         self._stored: dict[str, DataFrame] = {}
+        self._folds: list[FoldData] = []
+        self._results: dict[str, dict[str, DataFrame]] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -130,6 +141,12 @@ class Stage:
             self._stored[name] = materialize(build(), name)
         return self._stored[name]
 
+    def result(self, name: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+        """Several tables that one call builds, kept for all queries that read one of them."""
+        if name not in self._results:
+            self._results[name] = build()
+        return self._results[name]
+
     @property
     def bars(self) -> DataFrame:
         return self._once("bars", lambda: derive_bars(self.table("lineitem")))
@@ -230,17 +247,45 @@ class Stage:
 
         return self._once("predictions", build)
 
+    def _fold_table(self, table: str) -> DataFrame:
+        if not self._folds:
+            self._folds = walk_forward_datasets(
+                self.raw_features,
+                self.plain_labels,
+                self.universe,
+                FOLDS,
+                context_length=CONTEXT,
+                windows=WINDOWS,
+            )
+        return self._once(f"fold-{table}", lambda: stack_folds(self._folds, table))
+
+    @property
+    def fold_features(self) -> DataFrame:
+        return self._fold_table("features")
+
+    @property
+    def fold_samples(self) -> DataFrame:
+        return self._fold_table("samples")
+
+    @property
+    def fold_tabular(self) -> DataFrame:
+        return self._fold_table("tabular")
+
     @property
     def cell_predictions(self) -> DataFrame:
         """Valid rows of every fold, scored by every model and seed."""
 
         def build() -> DataFrame:
-            valid = self.fold_labels.filter("split = 'valid'").select(
-                "fold_id", "security_id", "asof_date"
-            )
             features = sorted({f for weights in MODEL_SCORES.values() for f in weights})
-            rows = self.tabular.select("sample_id", "security_id", "asof_date", "target", *features)
-            exposures = self.metadata.select("sample_id", "industry_code", "log_float_market_cap")
+            rows = self.fold_tabular.filter("split = 'valid'").select(
+                "fold_id", "security_id", "asof_date", "target", *features
+            )
+            exposures = self.universe.select(
+                "security_id",
+                F.col("trade_date").alias("asof_date"),
+                "industry_code",
+                log_if_positive(F.col("float_market_cap")).alias("log_float_market_cap"),
+            )
             cell = F.explode(
                 F.array(
                     *[
@@ -257,8 +302,7 @@ class Stage:
                 ]
             )
             scored = (
-                rows.join(valid, ["security_id", "asof_date"])
-                .join(exposures, "sample_id")
+                rows.join(exposures, ["security_id", "asof_date"])
                 .withColumn("_cell", cell)
                 .select("*", "_cell.*")
                 .withColumn("score_raw", score)
@@ -301,17 +345,22 @@ class Stage:
 
     @property
     def cells(self) -> DataFrame:
-        """One row per cell of the matrix, with lineage and the source flag."""
+        """One row per cell of the matrix, with lineage and the readiness of its fold."""
+        valid = self.fold_samples.filter("split = 'valid'")
+        ready = cross_section_stats(valid, ["fold_id"]).select(
+            "fold_id", F.col("research_ready").alias("source_research_ready")
+        )
         return (
             self.cell_predictions.groupBy("fold_id", "seed", "model_key")
             .agg(F.count(F.lit(1)).alias("rows"))
+            .join(F.broadcast(ready), "fold_id")
             .select(
                 "fold_id",
                 "seed",
                 "model_key",
                 F.concat(F.lit("ds-"), "fold_id").alias("dataset_id"),
                 F.lit("valid").alias("evaluation_split"),
-                F.lit(True).alias("source_research_ready"),
+                "source_research_ready",
                 "rows",
             )
         )

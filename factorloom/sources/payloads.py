@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.session import materialize
+from factorloom.operators.quality import checked
 
 # One JSON object per provider symbol, holding the symbol's list of daily rows.
 EOD_SCHEMA = """
@@ -103,7 +104,11 @@ def payload_rows(payload: DataFrame) -> DataFrame:
 def build_metadata_index(
     symbols: DataFrame, exchange_code: str, precedence: Column | str = "precedence"
 ) -> DataFrame:
-    """One metadata row per provider symbol: the row of highest precedence wins."""
+    """One metadata row per provider symbol: the row of highest precedence wins.
+
+    Rows of equal precedence are told apart by their contents, so the winner never depends on
+    the order in which tasks see them.
+    """
     named = symbols.filter(F.col("Code") != "").withColumn(
         "provider_symbol", provider_symbol(F.col("Code"), exchange_code)
     )
@@ -119,7 +124,7 @@ def build_metadata_index(
     # max_by combines on the map side, so copies of one symbol never meet in one task.
     return (
         named.groupBy("provider_symbol")
-        .agg(F.max_by(row, ordering).alias("m"))
+        .agg(F.max_by(row, F.struct(ordering, row)).alias("m"))
         .select("provider_symbol", "m.*")
     )
 
@@ -140,11 +145,20 @@ def _with_identity(rows: DataFrame, metadata: DataFrame, provider: str) -> DataF
 
 
 def map_eod_bars(
-    rows: DataFrame, metadata: DataFrame, *, provider: str, source_revision: str, ingested_at: str
+    rows: DataFrame,
+    metadata: DataFrame,
+    *,
+    provider: str,
+    source_revision: str,
+    ingested_at: str,
+    check: bool = True,
 ) -> DataFrame:
-    """Daily payload rows to bars; the adjustment factor is adjusted over raw close."""
+    """Daily payload rows to bars; the adjustment factor is adjusted over raw close.
+
+    The bars are stored and must keep their contract, unless told otherwise.
+    """
     adjusted = F.coalesce(F.col("adjusted_close"), F.col("close"))
-    return _with_identity(rows, metadata, provider).select(
+    bars = _with_identity(rows, metadata, provider).select(
         "security_id",
         display_symbol(F.col("provider_symbol")).alias("symbol"),
         F.try_to_date("date", "yyyy-MM-dd").alias("trade_date"),
@@ -166,6 +180,7 @@ def map_eod_bars(
         F.col("security_type").alias("security_type_source"),
         F.coalesce("is_delisted", F.lit(False)).alias("is_delisted_source"),
     )
+    return checked(bars, "bars") if check else bars
 
 
 def map_dividends(
@@ -220,16 +235,24 @@ def map_corporate_actions(
     *,
     provider: str,
     source_revision: str,
+    check: bool = True,
 ) -> DataFrame:
+    """Both kinds of actions, stored and checked unless told otherwise."""
     keep = {"provider": provider, "source_revision": source_revision}
-    return map_dividends(dividends, metadata, **keep).unionByName(
+    actions = map_dividends(dividends, metadata, **keep).unionByName(
         map_splits(splits, metadata, **keep)
     )
+    return checked(actions, "corporate_actions") if check else actions
 
 
-def union_batches(parts: list[DataFrame]) -> DataFrame:
-    """Stack batches mapped separately; a column missing in one is NULL there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def union_batches(parts: list[DataFrame], table: str | None = None) -> DataFrame:
+    """Stack batches mapped separately; a column missing in one is NULL there.
+
+    With the name of a standard table, the whole must keep that contract: batches that are
+    sound alone may still repeat each other's keys.
+    """
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return checked(whole, table) if table else whole
 
 
 def discover_candidates(
@@ -239,8 +262,14 @@ def discover_candidates(
     exchange_code: str,
     exchanges: list[str],
     security_types: list[str],
+    position: str | None = None,
 ) -> DataFrame:
-    """In-scope symbols of both lists, one row each; the delisted row overrides."""
+    """In-scope symbols of both lists, one row each; the delisted row overrides.
+
+    ``position`` names the place of a row in its list: of several rows in the overriding list the
+    last one wins. Rows without a place, or at the same one, are told apart by their contents.
+    """
+    place = F.col(position) if position else F.lit(None).cast("long")
     listed = active.withColumn("_is_delisted", F.lit(False)).unionByName(
         delisted.withColumn("_is_delisted", F.lit(True))
     )
@@ -252,7 +281,7 @@ def discover_candidates(
         scoped.withColumn("provider_symbol", provider_symbol(F.col("Code"), exchange_code))
         .groupBy("provider_symbol")
         .agg(
-            F.max_by(row, F.col("_is_delisted")).alias("m"),
+            F.max_by(row, F.struct("_is_delisted", place.alias("place"), row)).alias("m"),
             F.bool_or(~F.col("_is_delisted")).alias("in_active"),
             F.bool_or("_is_delisted").alias("in_delisted"),
         )

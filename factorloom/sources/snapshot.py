@@ -23,12 +23,12 @@ from factorloom.operators.indexes import inference_index, sample_index, sample_m
 from factorloom.operators.labels import build_labels
 from factorloom.operators.quality import (
     bundle_audit,
-    duplicate_keys,
     feature_audit,
     index_audit,
     label_audit,
+    looks_ahead,
+    require_contract,
     split_counts,
-    temporal_violations,
 )
 from factorloom.operators.splits import SplitDates, assign_splits, session_dates
 from factorloom.sources.tables import StandardTables
@@ -56,9 +56,10 @@ def canonical_json(value: Any) -> str:
 def content_hash(frame: DataFrame) -> str:
     """Identity of a table's rows whatever their order or file layout.
 
-    Two differently seeded sums of row hashes and the row count, combined map-side.
+    Two differently seeded sums of row hashes and the row count, combined map-side. The hash
+    skips NULL, so every column brings its null flag along.
     """
-    columns = sorted(frame.columns)
+    columns = [part for c in sorted(frame.columns) for part in (F.col(c), F.col(c).isNull())]
 
     def total(*salt):
         return F.sum(F.xxhash64(*salt, *columns).cast("decimal(38,0)")).cast("string")
@@ -93,6 +94,17 @@ def write_json(spark: SparkSession, document: dict[str, Any], path: str) -> None
     text.coalesce(1).write.mode("overwrite").text(path)
 
 
+def index_report(index: DataFrame) -> DataFrame:
+    """One row: repeated sample ids and rows that look ahead."""
+    keyed = index.groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("_copies"), F.count_if(looks_ahead(index)).alias("_ahead")
+    )
+    return keyed.agg(
+        F.count_if(F.col("_copies") > 1).alias("duplicates"),
+        F.coalesce(F.sum("_ahead"), F.lit(0)).alias("ahead"),
+    )
+
+
 def _rows(frame: DataFrame) -> list[dict[str, Any]]:
     return [row.asDict(recursive=True) for row in frame.collect()]
 
@@ -103,13 +115,18 @@ def write_snapshot(
     root: str,
     source_manifest: dict[str, Any] | None = None,
 ) -> tuple[str, dict[str, Any]]:
-    """Build every artifact, or return the committed snapshot of the same content."""
+    """Build every artifact, or return the committed snapshot of the same content.
+
+    The bundle must keep its contracts; what was committed has passed them.
+    """
     spark = tables.bars.sparkSession
     dataset_id, identity = dataset_identity(tables, config)
     folder = f"{root.rstrip('/')}/{dataset_id}"
     committed = read_json(spark, f"{folder}/manifest.json")
     if committed is not None:
         return folder, committed
+    for name, frame in tables.items():
+        require_contract(frame, name)
 
     def store(frame: DataFrame, name: str) -> DataFrame:
         path = f"{folder}/{name}"
@@ -138,9 +155,11 @@ def write_snapshot(
     )
     store(sample_metadata(samples, tables.universe), "sample_metadata")
     for name, index in (("sample_index", samples), ("inference_index", live)):
-        if not duplicate_keys(index, ["sample_id"]).isEmpty():
+        # One pass answers both questions.
+        report = index_report(index).first()
+        if report["duplicates"]:
             raise ContractError(f"{name} contains duplicate sample_id values")
-        if not temporal_violations(index).isEmpty():
+        if report["ahead"]:
             raise ContractError(f"{name} contains look-ahead rows")
 
     # One-row reports and one row per channel, table or split.

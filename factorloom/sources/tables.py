@@ -10,42 +10,75 @@ from pyspark.sql import types as T
 
 from factorloom.functions.columns import ContractError, require_columns
 
-_TYPES = {
-    "S": T.StringType(),
-    "D": T.DateType(),
-    "F": T.DoubleType(),
-    "B": T.BooleanType(),
-    "L": T.LongType(),
-}
-
-
-def _schema(spec: str) -> T.StructType:
-    pairs = (item.split(":") for item in spec.split())
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
-
-
 # Required columns of each standard table.
-BARS = _schema(
-    "security_id:S symbol:S trade_date:D open:F high:F low:F close:F volume:F "
-    "dollar_volume:F adj_factor:F source_revision:S"
+BARS = (
+    T.StructType()
+    .add("security_id", "string")
+    .add("symbol", "string")
+    .add("trade_date", "date")
+    .add("open", "double")
+    .add("high", "double")
+    .add("low", "double")
+    .add("close", "double")
+    .add("volume", "double")
+    .add("dollar_volume", "double")
+    .add("adj_factor", "double")
+    .add("source_revision", "string")
 )
-UNIVERSE = _schema(
-    "security_id:S symbol:S trade_date:D listed_days:L exchange:S security_type:S "
-    "is_primary_listing:B is_listed:B is_delisted:B is_halted:B industry_code:S "
-    "float_market_cap:F close:F adv20_usd:F eligible:B"
+UNIVERSE = (
+    T.StructType()
+    .add("security_id", "string")
+    .add("symbol", "string")
+    .add("trade_date", "date")
+    .add("listed_days", "long")
+    .add("exchange", "string")
+    .add("security_type", "string")
+    .add("is_primary_listing", "boolean")
+    .add("is_listed", "boolean")
+    .add("is_delisted", "boolean")
+    .add("is_halted", "boolean")
+    .add("industry_code", "string")
+    .add("float_market_cap", "double")
+    .add("close", "double")
+    .add("adv20_usd", "double")
+    .add("eligible", "boolean")
 )
-CORPORATE_ACTIONS = _schema(
-    "security_id:S ex_date:D action_type:S price_factor:F volume_factor:F cash_amount:F "
-    "known_at:D source_revision:S"
+CORPORATE_ACTIONS = (
+    T.StructType()
+    .add("security_id", "string")
+    .add("ex_date", "date")
+    .add("action_type", "string")
+    .add("price_factor", "double")
+    .add("volume_factor", "double")
+    .add("cash_amount", "double")
+    .add("known_at", "date")
+    .add("source_revision", "string")
 )
-DELISTINGS = _schema(
-    "security_id:S delist_date:D last_trade_date:D delisting_return:F terminal_value:F "
-    "known_at:D source_revision:S"
+DELISTINGS = (
+    T.StructType()
+    .add("security_id", "string")
+    .add("delist_date", "date")
+    .add("last_trade_date", "date")
+    .add("delisting_return", "double")
+    .add("terminal_value", "double")
+    .add("known_at", "date")
+    .add("source_revision", "string")
 )
-PREDICTIONS = _schema(
-    "security_id:S symbol:S asof_date:D score_raw:F score_neutralized:F target:F split:S "
-    "model_id:S checkpoint_hash:S dataset_id:S eligible:B industry_code:S "
-    "log_float_market_cap:F"
+PREDICTIONS = (
+    T.StructType()
+    .add("security_id", "string")
+    .add("symbol", "string")
+    .add("asof_date", "date")
+    .add("score_raw", "double")
+    .add("score_neutralized", "double")
+    .add("target", "double")
+    .add("split", "string")
+    .add("model_id", "string")
+    .add("checkpoint_hash", "string")
+    .add("dataset_id", "string")
+    .add("eligible", "boolean")
+    .add("industry_code", "string")
+    .add("log_float_market_cap", "double")
 )
 
 STANDARD = {
@@ -107,11 +140,8 @@ def read_standard_tables(
         **{name: conform(spark.read.parquet(path), name) for name, path in paths.items() if path}
     )
     if check:
-        from factorloom.operators.quality import contract_report
+        from factorloom.operators.quality import require_contract
 
         for name, frame in bundle.items():
-            broken = contract_report(frame, name).first().asDict()
-            found = {rule: count for rule, count in broken.items() if count}
-            if found:
-                raise ContractError(f"{name} breaks its contract: {found}")
+            require_contract(frame, name)
     return bundle

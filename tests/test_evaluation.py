@@ -7,7 +7,6 @@ import pytest
 from conftest import BAR_COLUMNS, UNIVERSE_COLUMNS, bar_rows, rows, universe_rows, weekdays
 from pyspark.sql import functions as F
 
-from factorloom.functions import ranking
 from factorloom.functions.columns import ContractError
 from factorloom.operators import metrics as mt
 from factorloom.operators import quality as q
@@ -37,13 +36,7 @@ def predictions(spark):
     return spark.createDataFrame(data, COLUMNS)
 
 
-@pytest.fixture(params=["window", "sort"])
-def way(request, monkeypatch):
-    if request.param == "sort":
-        monkeypatch.setattr(ranking, "WINDOW_ROWS", 0)
-
-
-def test_ic_and_portfolio_by_hand(predictions, way):
+def test_ic_and_portfolio_by_hand(predictions):
     ic = mt.daily_ic(predictions).orderBy("asof_date").collect()
     assert [r["ic"] for r in ic] == pytest.approx([1, -1])
     assert [r["rank_ic"] for r in ic] == pytest.approx([1, -1])
@@ -54,7 +47,7 @@ def test_ic_and_portfolio_by_hand(predictions, way):
     assert [r["groups"] for r in book] == [5, 5]
 
 
-def test_turnover_matches_a_history(spark, way):
+def test_turnover_matches_a_history(spark):
     rng = np.random.default_rng(2)
     days, data = weekdays(12), []
     for day in days:
@@ -132,7 +125,7 @@ def test_missing_exposures_stay_missing(predictions):
     assert audit["quality"].startswith("unavailable_missing") and audit["dates"] == 2
 
 
-def test_all_metric_tables(predictions, way):
+def test_all_metric_tables(predictions):
     tables = mt.evaluate_predictions(neutralize(predictions))
     assert tables["cross_section"].first()["research_ready"] is False
     assert tables["by_industry"].count() == 2 and tables["by_year"].count() == 1

@@ -8,19 +8,11 @@ import pytest
 from conftest import weekdays
 from pyspark.sql import functions as F
 
-from factorloom.functions import ranking
 from factorloom.functions.quantiles import order_statistics
 from factorloom.functions.ranking import with_average_rank, with_position
 from factorloom.functions.rolling import STATISTICS, rolling_name, with_rolling
 
 
-@pytest.fixture(params=["window", "sort"])
-def way(request, monkeypatch):
-    if request.param == "sort":
-        monkeypatch.setattr(ranking, "WINDOW_ROWS", 0)
-    return request.param
-
-
 def skewed(spark, seed=3):
     """A third of all rows on one date, a third of its scores tied."""
     rng = random.Random(seed)
@@ -35,7 +27,7 @@ def skewed(spark, seed=3):
     ).repartition(6)
 
 
-def test_position_and_size(spark, way):
+def test_position_and_size(spark):
     table, frame = skewed(spark)
     got = with_position(frame, "pos", [F.desc("score"), "id"], ["date"], size="n").toPandas()
     table = table.sort_values(["date", "score", "id"], ascending=[True, False, True])
@@ -47,7 +39,7 @@ def test_position_and_size(spark, way):
     assert (merged.pos_x == merged.pos_y).all() and (merged.n_x == merged.n_y).all()
 
 
-def test_global_position(spark, way):
+def test_global_position(spark):
     table, frame = skewed(spark)
     got = with_position(frame, "pos", ["date", "id"], size="n").orderBy("pos").toPandas()
     assert got.pos.tolist() == list(range(1, len(table) + 1))
@@ -55,7 +47,7 @@ def test_global_position(spark, way):
     assert set(got.n) == {len(table)}
 
 
-def test_average_rank(spark, way):
+def test_average_rank(spark):
     table, frame = skewed(spark)
     got = with_average_rank(frame, "rank", "score", ["date"], unique=["id"]).toPandas()
     table["rank"] = table.groupby("date", dropna=False)["score"].rank(method="average")
