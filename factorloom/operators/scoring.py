@@ -118,7 +118,12 @@ def _as_vector(tabular: DataFrame) -> DataFrame:
 
 
 def fit_linear_baseline(
-    tabular: DataFrame, *, epsilon: float = 1.35, penalty: float = 1e-3, iterations: int = 100
+    tabular: DataFrame,
+    *,
+    epsilon: float = 1.35,
+    penalty: float = 1e-3,
+    iterations: int = 100,
+    tolerance: float = 1e-4,
 ) -> Model:
     """Linear baseline with Huber loss on the train_fit rows of a transformed table."""
     train = _as_vector(tabular.filter("split = 'train_fit'"))
@@ -129,6 +134,7 @@ def fit_linear_baseline(
         epsilon=epsilon,
         regParam=penalty,
         maxIter=iterations,
+        tol=tolerance,
     ).fit(train)
 
 

@@ -213,6 +213,27 @@ def _(s: Stage) -> DataFrame:
     return plan.select("sample_id", "batch_id")
 
 
+@query(
+    "e14_sequence_batch_sizes",
+    f"""SELECT b AS batch_id, count(*) AS rows, count(*) AS samples
+    FROM (SELECT (row_number() OVER (ORDER BY sample_id) - 1) // {BATCH} AS b FROM samples) GROUP BY b""",
+)
+def _(s: Stage) -> DataFrame:
+    plan = sm.sequence_batches(s.samples, batch_size=BATCH, seed=SEED, epoch=1)
+    return plan.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("sample_id").alias("samples")
+    )
+
+
+@query(
+    "e13_date_grouped_samples",
+    "SELECT sample_id, CAST(1 AS BIGINT) AS batches FROM samples",
+)
+def _(s: Stage) -> DataFrame:
+    plan = sm.date_grouped_batches(s.samples, batch_size=BATCH, seed=SEED, epoch=1)
+    return plan.groupBy("sample_id").agg(F.count("batch_id").alias("batches"))
+
+
 @query(
     "e14_ordered_sequence_batches",
     f"""SELECT sample_id, (row_number() OVER (ORDER BY asof_date, security_id) - 1) // {BATCH}
@@ -350,18 +371,58 @@ def _vectors(s: Stage) -> DataFrame:
     return materialize(wide.select("sample_id", "split", "target", "vector"), "vectors")
 
 
+def _baselines(s: Stage) -> dict[str, DataFrame]:
+    """Scores of both fitted baselines, and the rows they were fitted on."""
+
+    def build() -> dict[str, DataFrame]:
+        vectors = _vectors(s)
+        models = {"linear": sc.fit_linear_baseline(vectors), "tree": sc.fit_tree_baseline(vectors, seed=SEED)}
+        scores = {k: materialize(sc.score_table(m, vectors), f"{k}-scores") for k, m in models.items()}
+        return {"vectors": vectors, **scores}
+
+    return s.result("baselines", build)
+
+
 @query("f3_fit_linear_baseline")
 def _(s: Stage) -> DataFrame:
-    vectors = _vectors(s)
-    model = sc.fit_linear_baseline(vectors)
-    return sc.score_table(model, vectors)
+    return _baselines(s)["linear"]
 
 
 @query("f3_fit_tree_baseline")
 def _(s: Stage) -> DataFrame:
-    vectors = _vectors(s)
-    model = sc.fit_tree_baseline(vectors, seed=SEED, rounds=5)
-    return sc.score_table(model, vectors)
+    return _baselines(s)["tree"]
+
+
+@query(
+    "f3_baseline_bounds",
+    """SELECT model, true AS complete, true AS finite, true AS fit_beats_mean
+    FROM (VALUES ('linear'), ('tree')) m(model) WHERE (SELECT count(*) FROM tabular) > 0""",
+)
+def _(s: Stage) -> DataFrame:
+    """Every row has a finite score, and on fitted rows no larger absolute or squared error than
+    the best constant has."""
+    found = _baselines(s)
+    rows = found["vectors"].select("sample_id", "split", "target")
+    fitted = F.col("split") == "train_fit"
+    center = rows.filter(fitted).agg(F.avg("target").alias("mean"), F.percentile("target", 0.5).alias("median"))
+    best = center.first()
+
+    def judged(name: str) -> DataFrame:
+        gap = F.col("target") - F.col("score_raw")
+        error = {
+            "linear": (F.abs(gap), F.abs(F.col("target") - best["median"])),
+            "tree": (gap * gap, F.pow(F.col("target") - best["mean"], 2)),
+        }[name]
+        own, constant = (F.avg(F.when(fitted, e)) for e in error)
+        score = F.col("score_raw")
+        return rows.join(found[name], "sample_id", "left").agg(
+            F.lit(name).alias("model"),
+            (F.count("score_raw") == F.count("sample_id")).alias("complete"),
+            F.bool_and(score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))).alias("finite"),
+            (own <= constant * 1.01).alias("fit_beats_mean"),
+        )
+
+    return judged("linear").unionByName(judged("tree"))
 
 
 @query(

@@ -512,6 +512,19 @@ def _(s: Stage) -> DataFrame:
     return masked.select("sample_id", "channel", "patch_index", "masked")
 
 
+@query(
+    "d18_masked_patch_counts",
+    f"""SELECT sample_id, channel, CAST({PATCHES} AS BIGINT) AS patches,
+        CAST({PATCHES} - floor({PATCHES} * 0.6) AS BIGINT) AS masked
+    FROM samples, (VALUES {', '.join(f"('{c}')" for c in CHANNELS)}) c(channel)""",
+)
+def _(s: Stage) -> DataFrame:
+    drawn = wn.masked_patch_sample(_patches(s), ratio=0.4, seed=17)
+    return drawn.groupBy("sample_id", "channel").agg(
+        F.count(F.lit(1)).alias("patches"), F.count_if("masked").alias("masked")
+    )
+
+
 @query(
     "d18_masked_reconstruction_loss",
     f"""SELECT loss_name, round4(avg(CASE WHEN loss_name = 'mse' THEN g * g

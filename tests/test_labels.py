@@ -188,9 +188,22 @@ def test_patches_mask_and_loss(spark):
     inputs = flat.withColumns(
         {"masked": F.col("patch_index") < 2, "prediction": F.array(F.lit(5.0))}
     )
-    loss = wn.masked_reconstruction_loss(inputs).first()
-    assert (loss["loss"], loss["valid_elements"]) == (9.0, 1)
-    assert wn.masked_reconstruction_loss(inputs, loss="huber").first()["loss"] == 2.5
+    losses = {r["loss_name"]: (r["loss"], r["valid_elements"]) for r in wn.masked_reconstruction_loss(inputs).collect()}
+    assert losses == {"mse": (9.0, 1), "huber": (2.5, 1)}
+    with pytest.raises(ValueError):
+        wn.masked_reconstruction_loss(inputs, losses=["mae"])
+
+
+def test_sample_without_features_stops(spark):
+    days = [dt.date(2024, 1, d) for d in (1, 2, 3)]
+    features = spark.createDataFrame([("a", d, 1.0, True) for d in days], "security_id string, trade_date date, x double, observed_x boolean")
+    index = spark.createDataFrame(
+        [("a|1", "a", "A", days[2], days[0], "train", 0.1), ("b|1", "b", "B", days[2], days[0], "train", 0.1)],
+        "sample_id string, security_id string, symbol string, asof_date date, feature_start date, split string, target double",
+    )
+    assert wn.context_windows(features, index.limit(1), channels=["x"], context_length=3).count() == 1
+    with pytest.raises(Exception, match="window bounds disagree"):
+        wn.context_windows(features, index, channels=["x"], context_length=3).collect()
 
 
 @pytest.mark.parametrize("drop_last", [False, True])
