@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +36,9 @@ from factorloom.functions.session import materialize
 from factorloom.llm.common import bucket, table, text_slices, tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-RANK_BUCKETS = 8192
-SAMPLE_ROWS = 8192
-CACHED = 1 << 18
+RANK_BUCKETS = 1 << 14
+SAMPLE_ROWS = 32_768
+CACHED = 1 << 19
 LONG_WORD = 128
 NO_RANK = (1 << 31) - 1
 
@@ -76,70 +77,68 @@ def _bucket_of(token: str) -> int:
     return (mixed - (1 << 64) if mixed >> 63 else mixed) % RANK_BUCKETS
 
 
-def rank_lookup(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
-    """A function from a string of bytes (one code point each) to its rank or NO_RANK."""
+def rank_table(ranks: dict[bytes, int]) -> Column:
+    """The ranks as buckets of maps; a token is a string with one code point for each byte."""
     dealt: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
     for token, rank in ranks.items():
         name = token.decode("latin-1")
         dealt[_bucket_of(name)][name] = rank
     # A constant, so the optimizer reads it once and leaves a literal.
-    literal = F.from_json(F.lit(json.dumps(dealt)), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(dealt)), "array<map<string,int>>")
 
-    def look_up(token: Column) -> Column:
-        own = F.get(literal, F.pmod(F.xxhash64(token), F.lit(RANK_BUCKETS)).cast("int"))
-        return F.coalesce(F.element_at(own, token), F.lit(NO_RANK))
 
-    return look_up
+def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """Token ids of each word of an array; an empty word has none. The table is there once."""
+    return _let(rank_table(ranks), lambda ranked: F.transform(words, lambda w: _fold(w, ranked)))
 
 
-def fold_word(word: Column, rank: Callable[[Column], Column]) -> Column:
+def _fold(word: Column, table: Column) -> Column:
     """Token ids of one word, as an array of ints.
 
-    The state is the parts and the ranks of neighbouring parts joined; a merge replaces two
-    parts and looks up the two ranks beside them.
+    The state is the parts and the ranks of neighbouring parts joined, with a dummy at both
+    ends: ranks[j] is that of parts j - 1 and j. A merge replaces two parts by one and three
+    ranks by two.
     """
-    none = F.array().cast("array<int>")
 
-    def pairs(parts: Column) -> Column:
-        count = F.size(parts)
-        return F.zip_with(
-            F.slice(parts, 1, count - 1), F.slice(parts, 2, count), lambda a, b: rank(F.concat(a, b))
-        )
+    def rank(token: Column) -> Column:
+        own = F.get(table, F.pmod(F.xxhash64(token), F.lit(RANK_BUCKETS)).cast("int"))
+        return F.coalesce(F.element_at(own, token), F.lit(NO_RANK))
+
+    def pair(parts: Column, at: Column) -> Column:
+        return rank(F.concat(F.get(parts, at - 1), F.get(parts, at)))
 
     def merge(state: Column, at: Column) -> Column:
         parts, ranks = state["parts"], state["ranks"]
-        count = F.size(parts)
 
         def joined(token: Column) -> Column:
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), token)))).otherwise(none)
-            right = F.when(at < count - 1, F.array(rank(F.concat(token, F.get(parts, at + 1))))).otherwise(none)
+            left = rank(F.concat(F.get(parts, at - 2), token))
+            right = rank(F.concat(token, F.get(parts, at + 1)))
+            rest = F.size(parts)
             return F.struct(
-                F.concat(F.slice(parts, 1, at - 1), F.array(token), F.slice(parts, at + 2, count)).alias("parts"),
-                F.concat(
-                    F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, count)
-                ).alias("ranks"),
+                F.concat(F.slice(parts, 1, at - 1), F.array(token), F.slice(parts, at + 2, rest)).alias("parts"),
+                F.concat(F.slice(ranks, 1, at - 1), F.array(left, right), F.slice(ranks, at + 3, rest)).alias("ranks"),
             )
 
         return _let(F.concat(F.get(parts, at - 1), F.get(parts, at)), joined)
 
     def step(state: Column, _: Column) -> Column:
-        least = F.array_min(state["ranks"])
         return _let(
-            least,
-            lambda low: F.when(low.isNull() | (low == NO_RANK), state).otherwise(
-                _let(F.array_position(state["ranks"], low).cast("int"), lambda at: merge(state, at))
+            F.array_min(state["ranks"]),
+            lambda low: F.when(low == NO_RANK, state).otherwise(
+                _let((F.array_position(state["ranks"], low) - 1).cast("int"), lambda at: merge(state, at))
             ),
         )
 
-    def whole(latin: Column) -> Column:
-        def from_parts(parts: Column) -> Column:
-            return F.aggregate(
-                F.slice(parts, 2, F.size(parts)),
-                F.struct(parts.alias("parts"), pairs(parts).alias("ranks")),
-                step,
-                lambda state: F.transform(state["parts"], rank),
-            )
+    def from_parts(parts: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(parts))
+        return F.aggregate(
+            F.slice(parts, 2, F.size(parts)),
+            F.struct(parts.alias("parts"), F.transform(places, lambda at: pair(parts, at)).alias("ranks")),
+            step,
+            lambda state: F.transform(state["parts"], rank),
+        )
 
+    def whole(latin: Column) -> Column:
         return _let(
             rank(latin),
             lambda own: F.when(own != NO_RANK, F.array(own)).otherwise(
@@ -147,7 +146,10 @@ def fold_word(word: Column, rank: Callable[[Column], Column]) -> Column:
             ),
         )
 
-    return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
+    none = F.array().cast("array<int>")
+    return F.when(word == "", none).otherwise(
+        _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
+    )
 
 
 # --- splitting -------------------------------------------------------------------------------
@@ -238,10 +240,11 @@ def _count_batches(splitter_of: Callable[[], Splitter]):
 class Cache:
     """Ids of frequent words, in one array: word k has ids[starts[k] : starts[k + 1]]."""
 
-    def __init__(self, words: list[str], ids: list[list[int]]):
-        self.words = words
-        self.ids = np.array([i for own in ids for i in own], np.int32)
-        self.starts = np.concatenate([[0], np.cumsum([len(own) for own in ids])]).astype(np.int64)
+    def __init__(self, words: pa.ChunkedArray, ids: pa.ChunkedArray):
+        self.words = words.to_pylist()
+        self.ids = ids.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        sizes = pc.list_value_length(ids).to_numpy().astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
 class _Places(dict):
@@ -338,7 +341,7 @@ def _assemble_batches(cache_ids: np.ndarray, cache_starts: np.ndarray, ranks: di
 
 
 def frequent_words(
-    docs: DataFrame, splitter_of: Callable[[], Splitter], rank: Callable[[Column], Column], cached: int = CACHED
+    docs: DataFrame, splitter_of: Callable[[], Splitter], ranks: dict[bytes, int], cached: int = CACHED
 ) -> Cache:
     """The most frequent distinct words of a sample of documents and their folded ids."""
     total = max(docs.count(), 1)
@@ -358,9 +361,11 @@ def frequent_words(
         if held + words > cached:
             break
         least, held = count, held + words
-    kept = counts.filter(F.col("n") >= least).select("word", fold_word(F.col("word"), rank).alias("ids"))
-    rows = sorted((r["word"], r["ids"]) for r in kept.collect())
-    return Cache([w for w, _ in rows], [ids for _, ids in rows])
+    kept = counts.filter(F.col("n") >= least).select(
+        "word", F.get(fold_words(F.array("word"), ranks), F.lit(0)).alias("ids")
+    )
+    found = kept.toArrow()
+    return Cache(found["word"], found["ids"])
 
 
 def encode_texts(
@@ -373,21 +378,18 @@ def encode_texts(
     tune(docs.sparkSession)
     path, pattern = path or vocabulary_path(), pattern or split_pattern()
     ranks = read_ranks(path)
-    rank = rank_lookup(ranks)
 
     def splitter_of() -> Splitter:
         return Splitter(pattern)
 
     wanted = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    cache = frequent_words(wanted, splitter_of, rank)
+    cache = frequent_words(wanted, splitter_of, ranks)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema if f.name != "text")
     split = wanted.mapInArrow(
         _split_batches(splitter_of, cache.words),
         f"{schema}, _codes binary, _words array<string>, _long array<string>",
     )
-    folded = F.transform(
-        "_words", lambda w: F.when(w == "", F.array().cast("array<int>")).otherwise(fold_word(w, rank))
-    )
+    folded = fold_words(F.col("_words"), ranks)
     return split.select(*keep, "_codes", "_long", folded.alias("_ids")).mapInArrow(
         _assemble_batches(cache.ids, cache.starts, ranks), f"{schema}, ids binary"
     )

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_data import messy_documents
 
@@ -140,7 +141,8 @@ def test_op4(spark, messy, no_documents, library):
 
 
 def test_bpe_without_cached_words(spark, messy, library, monkeypatch):
-    monkeypatch.setattr(bpe, "frequent_words", lambda *_: bpe.Cache([], []))
+    empty = pa.chunked_array([], pa.string()), pa.chunked_array([], pa.list_(pa.int32()))
+    monkeypatch.setattr(bpe, "frequent_words", lambda *_: bpe.Cache(*empty))
     docs = spark.read.parquet(f"{messy}/documents.parquet")
     found = [(r["doc_id"], r["ids"]) for r in bpe.encode_texts(docs).collect()]
     expected = [
