@@ -219,21 +219,42 @@ def _(s: Stage) -> DataFrame:
     ORDER BY liquidity_rank LIMIT 20""",
 )
 def _(s: Stage) -> DataFrame:
-    top = payloads.select_top_liquid(
-        p.part_symbols(s),
-        p.bulk_rows(s),
-        k=20,
-        exchange_code="US",
-        exchanges=["NASDAQ", "NYSE"],
-        security_types=["Common Stock"],
-        min_price=5.0,
-        min_avg_volume=100.0,
-    )
-    return top.select(
+    return _top_liquid(s).select(
         "provider_symbol", "close", "avgvol_200d", "dollar_liquidity_200d", "liquidity_rank"
     )
 
 
+_LIQUID = {
+    "exchanges": ["NASDAQ", "NYSE"],
+    "security_types": ["Common Stock"],
+    "min_price": 5.0,
+    "min_avg_volume": 100.0,
+}
+
+
+def _top_liquid(s: Stage) -> DataFrame:
+    return payloads.select_top_liquid(
+        p.part_symbols(s), p.bulk_rows(s), k=20, exchange_code="US", **_LIQUID
+    )
+
+
+@query(
+    "c13_top_liquid_audit",
+    """WITH bulk AS (SELECT p_partkey AS k, p_retailprice AS close, v FROM part JOIN (SELECT l_partkey,
+            sum(l_quantity) AS v FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey),
+        passing AS (SELECT *, close * v AS liquidity FROM bulk WHERE k % 13 <> 0 AND k % 3 < 2
+            AND k % 5 <> 0 AND close >= 5 AND v >= 100),
+        chosen AS (SELECT * FROM passing ORDER BY liquidity DESC, 'P' || k LIMIT 20)
+    SELECT count(*) AS selected, '2001-11-01' AS date_min, '2001-11-01' AS date_max,
+        round6(max(liquidity)) AS liquidity_max, round6(min(liquidity)) AS liquidity_min,
+        (SELECT count(*) FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 5 <> 0) AS in_scope_symbols,
+        (SELECT count(*) FROM bulk) AS bulk_rows, (SELECT count(*) FROM passing) AS passing_rows
+    FROM chosen""",
+)
+def _(s: Stage) -> DataFrame:
+    return payloads.top_liquid_audit(_top_liquid(s), p.part_symbols(s), p.bulk_rows(s), **_LIQUID)
+
+
 # Features
 
 

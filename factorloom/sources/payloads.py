@@ -318,6 +318,30 @@ def select_top_liquid(
     check: bool = True,
 ) -> DataFrame:
     """The k most liquid in-scope symbols by close x average volume, ties by code."""
+    rows = _liquid_rows(metadata, bulk, exchanges, security_types, min_price, min_avg_volume)
+    # k rows; stored, so that the check does not rank the market twice.
+    top = materialize(rows.orderBy(F.desc("dollar_liquidity_200d"), "code").limit(k), "top")
+    if check and top.count() < k:
+        raise ValueError(f"fewer than {k} symbols pass the liquidity floors")
+    # At most k rows remain.
+    ranked = F.row_number().over(Window.orderBy(F.desc("dollar_liquidity_200d"), "code"))
+    return top.withColumns(
+        {
+            "provider_symbol": provider_symbol(F.col("code"), exchange_code),
+            "liquidity_rank": ranked.cast("long"),
+        }
+    )
+
+
+def _liquid_rows(
+    metadata: DataFrame,
+    bulk: DataFrame,
+    exchanges: list[str],
+    security_types: list[str],
+    min_price: float,
+    min_avg_volume: float,
+) -> DataFrame:
+    """Bulk rows of in-scope symbols above both floors, with their dollar liquidity."""
     scoped = (
         _in_scope(metadata, exchanges, security_types)
         .select(F.upper(F.btrim("Code")).alias("code"))
@@ -325,7 +349,7 @@ def select_top_liquid(
     )
     close = F.col("close").try_cast("double")
     volume = F.col("avgvol_200d").try_cast("double")
-    rows = (
+    return (
         bulk.select(
             F.upper(F.btrim("code")).alias("code"),
             close.alias("close"),
@@ -337,16 +361,33 @@ def select_top_liquid(
         .join(scoped, "code", "left_semi")
         .withColumn("dollar_liquidity_200d", F.col("close") * F.col("avgvol_200d"))
     )
-    # k rows; stored, so that the check does not rank the market twice.
-    top = materialize(rows.orderBy(F.desc("dollar_liquidity_200d"), "code").limit(k), "top")
-    if check and top.count() < k:
-        raise ValueError(f"fewer than {k} symbols pass the liquidity floors")
-    # At most k rows remain.
-    ranked = F.row_number().over(Window.orderBy(F.desc("dollar_liquidity_200d"), "code"))
-    return top.withColumns(
+
+
+def top_liquid_audit(
+    top: DataFrame,
+    metadata: DataFrame,
+    bulk: DataFrame,
+    *,
+    exchanges: list[str],
+    security_types: list[str],
+    min_price: float,
+    min_avg_volume: float,
+) -> DataFrame:
+    """One row: how many symbols each step keeps, and dates and liquidity of the selection."""
+    scoped = _in_scope(metadata, exchanges, security_types)
+    passing = _liquid_rows(metadata, bulk, exchanges, security_types, min_price, min_avg_volume)
+    count = F.count(F.lit(1))
+    return top.agg(
+        count.alias("selected"),
+        F.min("asof_date").alias("date_min"),
+        F.max("asof_date").alias("date_max"),
+        F.max("dollar_liquidity_200d").alias("liquidity_max"),
+        F.min("dollar_liquidity_200d").alias("liquidity_min"),
+    ).withColumns(
         {
-            "provider_symbol": provider_symbol(F.col("code"), exchange_code),
-            "liquidity_rank": ranked.cast("long"),
+            "in_scope_symbols": scoped.agg(F.count_distinct(F.upper(F.btrim("Code")))).scalar(),
+            "bulk_rows": bulk.agg(count).scalar(),
+            "passing_rows": passing.agg(count).scalar(),
         }
     )
 
