@@ -104,22 +104,16 @@ def _fold(word: Column, table: Column) -> Column:
         own = F.get(table, F.pmod(F.xxhash64(token), F.lit(RANK_BUCKETS)).cast("int"))
         return F.coalesce(F.element_at(own, token), F.lit(NO_RANK))
 
-    def pair(parts: Column, at: Column) -> Column:
-        return rank(F.concat(F.get(parts, at - 1), F.get(parts, at)))
-
     def merge(state: Column, at: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
-
-        def joined(token: Column) -> Column:
-            left = rank(F.concat(F.get(parts, at - 2), token))
-            right = rank(F.concat(token, F.get(parts, at + 1)))
-            rest = F.size(parts)
-            return F.struct(
-                F.concat(F.slice(parts, 1, at - 1), F.array(token), F.slice(parts, at + 2, rest)).alias("parts"),
-                F.concat(F.slice(ranks, 1, at - 1), F.array(left, right), F.slice(ranks, at + 3, rest)).alias("ranks"),
-            )
-
-        return _let(F.concat(F.get(parts, at - 1), F.get(parts, at)), joined)
+        parts, ranks, rest = state["parts"], state["ranks"], F.lit(LONG_WORD + 1)
+        # Joining again costs less than holding the joined token in an array.
+        token = F.concat(F.get(parts, at - 1), F.get(parts, at))
+        left = rank(F.concat(F.get(parts, at - 2), token))
+        right = rank(F.concat(token, F.get(parts, at + 1)))
+        return F.struct(
+            F.concat(F.slice(parts, 1, at - 1), F.array(token), F.slice(parts, at + 2, rest)).alias("parts"),
+            F.concat(F.slice(ranks, 1, at - 1), F.array(left, right), F.slice(ranks, at + 3, rest)).alias("ranks"),
+        )
 
     def step(state: Column, _: Column) -> Column:
         return _let(
@@ -130,10 +124,13 @@ def _fold(word: Column, table: Column) -> Column:
         )
 
     def from_parts(parts: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(parts))
+        count, end = F.size(parts), F.array(F.lit(NO_RANK))
+        pairs = F.zip_with(
+            F.slice(parts, 1, count - 1), F.slice(parts, 2, count), lambda a, b: rank(F.concat(a, b))
+        )
         return F.aggregate(
-            F.slice(parts, 2, F.size(parts)),
-            F.struct(parts.alias("parts"), F.transform(places, lambda at: pair(parts, at)).alias("ranks")),
+            F.slice(parts, 2, count),
+            F.struct(parts.alias("parts"), F.concat(end, pairs, end).alias("ranks")),
             step,
             lambda state: F.transform(state["parts"], rank),
         )
@@ -297,45 +294,45 @@ def _split_batches(splitter_of: Callable[[], Splitter], words: list[str]):
     return run
 
 
+def _with_long_words(batch: pa.RecordBatch, ranks: dict[bytes, int]) -> pa.Array:
+    """The folded ids, with those of long words (empty to the fold) put in."""
+    folded, far = batch.column("_ids"), batch.column("_long")
+    if not pc.sum(pc.list_value_length(far)).as_py():
+        return folded
+    filled = []
+    for own, words in zip(folded.to_pylist(), map(iter, far.to_pylist())):
+        filled.append([ids or heap_merge(next(words).encode(), ranks) for ids in own])
+    return pa.array(filled, pa.list_(pa.list_(pa.int32())))
+
+
 def _assemble_batches(cache_ids: np.ndarray, cache_starts: np.ndarray, ranks: dict[bytes, int]):
+    """Replace places by ids: of cached words, or of the document's own folded words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cache_sizes = len(cache_starts) - 1, np.append(np.diff(cache_starts), 0)
         for batch in batches:
             names = [n for n in batch.schema.names if not n.startswith("_")]
-            out = []
-            for codes, folded, far in zip(*(batch.column(n).to_pylist() for n in ("_codes", "_ids", "_long"))):
-                own = np.frombuffer(codes, np.int32)
-                if folded:
-                    if far:
-                        words = iter(far)
-                        folded = [ids or heap_merge(next(words).encode(), ranks) for ids in folded]
-                    more = np.concatenate([np.asarray(ids, np.int32) for ids in folded])
-                    sizes = np.array([len(ids) for ids in folded])
-                    ends = np.cumsum(sizes)
-                    cached = own < known
-                    first = np.where(cached, 0, len(cache_ids))
-                    place = np.where(cached, own, 0)
-                    new = np.where(cached, 0, own - known)
-                    first = np.where(cached, cache_starts[place], first + (ends - sizes)[new])
-                    length = np.where(cached, cache_sizes[place], sizes[new])
-                else:
-                    more = np.zeros(0, np.int32)
-                    first = cache_starts[own]
-                    length = cache_sizes[own]
-                total = int(length.sum())
-                at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(total)
-                if len(more):
-                    ids = np.where(
-                        at < len(cache_ids),
-                        cache_ids[np.minimum(at, max(len(cache_ids) - 1, 0))] if len(cache_ids) else 0,
-                        more[np.maximum(at - len(cache_ids), 0)],
-                    )
-                else:
-                    ids = cache_ids[at]
-                out.append(ids.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [*map(batch.column, names), pa.array(out, pa.binary())], names=[*names, "ids"]
-            )
+            sizes = pc.binary_length(batch.column("_codes")).to_numpy() // 4
+            places = np.frombuffer(b"".join(batch.column("_codes").to_pylist()), np.int32)
+            folded = _with_long_words(batch, ranks)
+            inner = folded.flatten()
+            new_ids = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            new_sizes = np.append(pc.list_value_length(inner).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+            new_starts = np.cumsum(new_sizes) - new_sizes + len(cache_ids)
+            counts = pc.list_value_length(folded).to_numpy()
+            first_new = np.repeat(np.cumsum(counts) - counts, sizes)
+            cached = places < known
+            own = np.where(cached, places, 0)
+            new = np.where(cached, len(new_sizes) - 1, first_new + places - known)
+            length = np.where(cached, cache_sizes[own], new_sizes[new])
+            start = np.where(cached, cache_starts[own], new_starts[new])
+            ends = np.cumsum(length)
+            at = np.repeat(start - ends + length, length) + np.arange(int(length.sum()))
+            ids = np.concatenate([cache_ids, new_ids])[at].astype("<u4")
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])] * 4
+            buffers = [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids.tobytes())]
+            packed = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, buffers).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), packed], names=[*names, "ids"])
 
     return run
 
@@ -353,15 +350,19 @@ def frequent_words(
         .agg(F.sum("n").alias("n")),
         "word-counts",
     )
-    # The least count that keeps at most ``cached`` words, from a table of word counts by power.
+    # All words from a least count on, from a table of word counts; of the words one below, the
+    # share that still fits, by hash.
     step = F.least(F.col("n"), F.lit(1000))
-    sizes = sorted(((r["step"], r["words"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    least, held = 1001, 0
-    for count, words in sizes:
+    table_ = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, held, share = 1001, 0, 0.0
+    for count, words in sorted(((r["step"], r["words"]) for r in table_), reverse=True):
         if held + words > cached:
+            share = (cached - held) / words
             break
         least, held = count, held + words
-    kept = counts.filter(F.col("n") >= least).select(
+    fits = bucket(F.col("word"), "cached", 1 << 20) < int(share * (1 << 20))
+    below = (F.col("n") < least) & (F.col("n") >= least - 1) & fits
+    kept = counts.filter((F.col("n") >= least) | below).select(
         "word", F.get(fold_words(F.array("word"), ranks), F.lit(0)).alias("ids")
     )
     found = kept.toArrow()
