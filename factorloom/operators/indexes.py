@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.columns import by_security, log_if_positive, sample_key
 from factorloom.operators.quality import require_unique
+from factorloom.sources.tables import INFERENCE_INDEX, SAMPLE_INDEX
 
 
 def window_bounds(features: DataFrame, context_length: int) -> DataFrame:
@@ -40,21 +41,8 @@ def sample_index(
         .filter("feature_start IS NOT NULL")
         .join(labels.repartition("security_id"), keys)
         .join(listed.repartition("security_id"), keys)
-        .select(
-            sample_key().alias("sample_id"),
-            "security_id",
-            "symbol",
-            F.col("trade_date").alias("asof_date"),
-            "feature_start",
-            "feature_end",
-            "label_start",
-            "label_end",
-            "split",
-            "target",
-            "raw_return",
-            "benchmark_return",
-            "crosses_delisting",
-        )
+        .withColumns({"sample_id": sample_key(), "asof_date": F.col("trade_date")})
+        .select(*SAMPLE_INDEX.fieldNames())
     )
 
 
@@ -68,18 +56,14 @@ def inference_index(features: DataFrame, universe: DataFrame, context_length: in
         window_bounds(features, context_length)
         .filter("feature_start IS NOT NULL")
         .join(listed.repartition("security_id"), keys)
-        .select(
-            sample_key().alias("sample_id"),
-            "security_id",
-            "symbol",
-            F.col("trade_date").alias("asof_date"),
-            "feature_start",
-            "feature_end",
-            "eligible",
-            "industry_code",
-            "float_market_cap",
-            log_if_positive(F.col("float_market_cap")).alias("log_float_market_cap"),
+        .withColumns(
+            {
+                "sample_id": sample_key(),
+                "asof_date": F.col("trade_date"),
+                "log_float_market_cap": log_if_positive(F.col("float_market_cap")),
+            }
         )
+        .select(*INFERENCE_INDEX.fieldNames())
     )
 
 

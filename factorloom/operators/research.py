@@ -125,6 +125,9 @@ def paired_delta(
     return counted.join(pooled, "comparison")
 
 
+# The texts of reasons below are fixed values: they are part of the decision tables.
+
+
 def _verdict(frame: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
     none = F.array().cast("array<string>")
     reasons = F.concat(

@@ -117,6 +117,10 @@ def listed_days(grid: DataFrame) -> DataFrame:
     return grid.withColumn("listed_days", F.row_number().over(by_security()).cast("long"))
 
 
+# How sure a row's trading state is.
+OBSERVED, IMPUTED, ASSUMED_HALT = "observed_bar", "imputed_delisted_session", "missing_bar_assumed_halt"
+
+
 def trade_status(grid: DataFrame) -> DataFrame:
     past_end = F.col("trade_date") > F.col("last_trade_date")
     gone = F.col("eventually_delisted") & past_end
@@ -128,9 +132,9 @@ def trade_status(grid: DataFrame) -> DataFrame:
             "is_halted": ~gone & F.col("close").isNull(),
             "industry_code": F.lit(None).cast("string"),
             "float_market_cap": F.lit(None).cast("double"),
-            "trade_status_quality": F.when(F.col("close").isNotNull(), "observed_bar")
-            .when(gone, "imputed_delisted_session")
-            .otherwise("missing_bar_assumed_halt"),
+            "trade_status_quality": F.when(F.col("close").isNotNull(), OBSERVED)
+            .when(gone, IMPUTED)
+            .otherwise(ASSUMED_HALT),
         }
     )
 
@@ -174,6 +178,7 @@ def daily_liquidity_topk(grid: DataFrame, max_daily_symbols: int | None = None)
     ).drop("_rank")
 
 
+# Columns of the universe, in table order.
 UNIVERSE_COLUMNS = (
     "security_id",
     "symbol",

@@ -42,6 +42,7 @@ EXCHANGE_CODES = {
 # Security type aliases after normalisation.
 COMMON_STOCK_ALIASES = ("common_stock", "common", "stock")
 
+# Fixed value: how adj_factor was derived.
 ADJUSTMENT_BASIS = "adjusted_close_over_raw_close_splits_and_dividends"
 
 

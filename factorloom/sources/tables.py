@@ -81,6 +81,37 @@ PREDICTIONS = (
     .add("log_float_market_cap", "double")
 )
 
+# Columns of the sample index and of the target-free inference index.
+SAMPLE_INDEX = (
+    T.StructType()
+    .add("sample_id", "string")
+    .add("security_id", "string")
+    .add("symbol", "string")
+    .add("asof_date", "date")
+    .add("feature_start", "date")
+    .add("feature_end", "date")
+    .add("label_start", "date")
+    .add("label_end", "date")
+    .add("split", "string")
+    .add("target", "double")
+    .add("raw_return", "double")
+    .add("benchmark_return", "double")
+    .add("crosses_delisting", "boolean")
+)
+INFERENCE_INDEX = (
+    T.StructType()
+    .add("sample_id", "string")
+    .add("security_id", "string")
+    .add("symbol", "string")
+    .add("asof_date", "date")
+    .add("feature_start", "date")
+    .add("feature_end", "date")
+    .add("eligible", "boolean")
+    .add("industry_code", "string")
+    .add("float_market_cap", "double")
+    .add("log_float_market_cap", "double")
+)
+
 STANDARD = {
     "bars": BARS,
     "universe": UNIVERSE,
