@@ -70,7 +70,7 @@ LIST_TAGS = frozenset("ul ol dl table div section article main nav aside select"
 
 # Parts of class and id names, and roles, that mark boilerplate.
 DROP_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner toc "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer masthead topbar toolbar comment comments reply replies disqus respond discussion related "
@@ -79,6 +79,12 @@ DROP_NAMES = frozenset(
 DROP_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split()
 )
+# On an article itself only these count: classes of articles also list topics and layouts.
+ARTICLE_DROP_NAMES = frozenset(
+    "ad ads advert sponsored promo comment comments reply replies related recommended hidden".split()
+)
+# Marks outside an article; inside one they belong to it.
+OUTSIDE_DROP_NAMES = frozenset("header copyright disclaimer legal".split())
 _NEGATIONS = frozenset(("has", "with", "no", "without", "is"))
 
 _TOKEN = re.compile(
@@ -89,6 +95,7 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MAIN = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", re.IGNORECASE)
 _MARKS = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
 _PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -99,11 +106,12 @@ class Block:
     text: str
     links: int  # characters inside links
     dropped: bool  # by its place
-    root: int  # number of the article it stands in, 0 for none
+    root: int  # number of the article or main part it stands in, 0 for none
+    article: bool  # in an article element
     label: str = field(default="")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, names: frozenset[str] = DROP_NAMES) -> bool:
     """Whether class, id, role or style name the element as boilerplate or hide it."""
     if not _MARKS.search(attributes):
         return False
@@ -118,7 +126,7 @@ def _marked(attributes: str) -> bool:
         if name in ("class", "id"):
             for word in value.split():
                 parts = [p.lower() for p in _PARTS.split(word) if p]
-                if parts and parts[0] not in _NEGATIONS and not DROP_NAMES.isdisjoint(parts):
+                if parts and parts[0] not in _NEGATIONS and not names.isdisjoint(parts):
                     return True
     return False
 
@@ -137,7 +145,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 link = " ".join(html.unescape("".join(linked)).split())
-                found.append(Block(text, len(link), dropped > 0, articles if roots else 0))
+                found.append(Block(text, len(link), dropped > 0, articles if roots else 0, in_article > 0))
             parts.clear()
             linked.clear()
 
@@ -207,14 +215,19 @@ def blocks(page: str) -> list[Block]:
             links = 0 if name not in ("p", "div") else links
         if name in VOID_TAGS or attributes.endswith("/"):
             continue
-        drops = (name in DROP_TAGS and not (name == "header" and in_article)) or (
-            name not in ("html", "body", "main") and _marked(attributes)
-        )
+        if name in ("html", "body", "main"):
+            drops = False
+        elif name == "article":
+            drops = _marked(attributes, ARTICLE_DROP_NAMES)
+        else:
+            inside = name == "header" and roots
+            names = DROP_NAMES if roots else DROP_NAMES | OUTSIDE_DROP_NAMES
+            drops = (name in DROP_TAGS and not inside) or _marked(attributes, names)
         if not (block or drops):
             continue
         if drops and not block:
             flush()
-        root = name in ROOT_TAGS and not drops
+        root = not drops and (name in ROOT_TAGS or _MAIN.search(attributes) is not None)
         if root and not roots:
             articles += 1
         stack.append((name, drops, root))
@@ -263,6 +276,9 @@ def classify(found: list[Block]) -> list[Block]:
     is good. With no decided neighbour the same holds. Blocks of an article look only at blocks
     of that article that their place has not dropped.
     """
+    if any(b.article and not b.dropped for b in found):
+        for b in found:
+            b.root *= b.article
     has_root = any(b.root and not b.dropped for b in found)
     first = [_first_pass(b, has_root) for b in found]
     groups: dict[int, list[int]] = {}

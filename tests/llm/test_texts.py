@@ -267,6 +267,19 @@ def test_page_without_article():
     assert html_text.main_text(f"<body>{body}</body>") == f"{story} Yes. {story}"
 
 
+def test_page_shapes():
+    story = STORY.strip()
+    around = f"<div class='page-header'><p>{STORY}</p></div>%s<div id=sidebar><p>{STORY}</p></div>"
+    inner = f"<h1>Flood</h1><p>{STORY}</p>"
+    for body in (
+        f"<main><div class='entry-header'>{inner}</div><section class='comment-list'><p>{STORY}</p></section></main>",
+        f"<div role=main>{inner}<div class=toc><a href=#a>A</a></div></div>",
+        f"<main><p>{STORY}</p><article class='post tags-news'>{inner}<article class=comment><p>{STORY}</p></article></article></main>",
+        f"<article><header>{inner}</header><div class='notice'>{STORY}</div><nav><a href=/>Up</a></nav></article>",
+    ):
+        assert html_text.main_text(around % body) == f"Flood {story}", body
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
