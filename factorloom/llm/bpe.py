@@ -305,10 +305,28 @@ def _with_long_words(batch: pa.RecordBatch, ranks: dict[bytes, int]) -> pa.Array
     return pa.array(filled, pa.list_(pa.list_(pa.int32())))
 
 
-def _assemble_batches(cache_ids: np.ndarray, cache_starts: np.ndarray, ranks: dict[bytes, int]):
+def _token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def _joined(ids: pa.Array, tokens: list[bytes]) -> pa.Array:
+    """The binary pieces of each array of ids, concatenated."""
+    texts = (
+        b"".join(map(tokens.__getitem__, np.frombuffer(own, "<u4").tolist())) for own in ids.to_pylist()
+    )
+    return pa.array(texts, pa.binary())
+
+
+def _assemble_batches(
+    cache_ids: np.ndarray, cache_starts: np.ndarray, ranks: dict[bytes, int], decode: bool
+):
     """Replace places by ids: of cached words, or of the document's own folded words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _token_bytes(ranks) if decode else []
         known, cache_sizes = len(cache_starts) - 1, np.append(np.diff(cache_starts), 0)
         for batch in batches:
             names = [n for n in batch.schema.names if not n.startswith("_")]
@@ -332,7 +350,10 @@ def _assemble_batches(cache_ids: np.ndarray, cache_starts: np.ndarray, ranks: di
             cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])] * 4
             buffers = [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids.tobytes())]
             packed = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, buffers).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), packed], names=[*names, "ids"])
+            more = {"ids": packed, **({"decoded": _joined(packed, tokens)} if decode else {})}
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, names), *more.values()], names=[*names, *more]
+            )
 
     return run
 
@@ -341,9 +362,8 @@ def frequent_words(
     docs: DataFrame, splitter_of: Callable[[], Splitter], ranks: dict[bytes, int], cached: int = CACHED
 ) -> Cache:
     """The most frequent distinct words of a sample of documents and their folded ids."""
-    total = max(docs.count(), 1)
-    share = min(1 << 20, int(SAMPLE_ROWS / total * (1 << 20)) + 1)
-    sample = docs.select("text").filter(bucket(F.col("text"), "words", 1 << 20) < share)
+    # By rows, not by texts: copies of one text must not come in together.
+    sample = docs.select("text").filter(F.rand(17) < SAMPLE_ROWS / max(docs.count(), 1))
     counts = materialize(
         sample.mapInArrow(_count_batches(splitter_of), "word string, n long")
         .groupBy("word")
@@ -353,9 +373,9 @@ def frequent_words(
     # All words from a least count on, from a table of word counts; of the words one below, the
     # share that still fits, by hash.
     step = F.least(F.col("n"), F.lit(1000))
-    table_ = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
     least, held, share = 1001, 0, 0.0
-    for count, words in sorted(((r["step"], r["words"]) for r in table_), reverse=True):
+    for count, words in sorted(((r["step"], r["words"]) for r in sizes), reverse=True):
         if held + words > cached:
             share = (cached - held) / words
             break
@@ -374,8 +394,13 @@ def encode_texts(
     keep: tuple[str, ...] = ("doc_id",),
     path: str | None = None,
     pattern: str | None = None,
+    decode: bool = False,
 ) -> DataFrame:
-    """``keep`` columns and ``ids``: token ids of each whole text, little-endian 32-bit."""
+    """``keep`` columns and ``ids``: token ids of each whole text, little-endian 32-bit.
+
+    With ``decode`` also ``decoded``, the bytes of the ids: the same as ``decode_ids`` gives,
+    without further Python workers beside those that put the ids in place.
+    """
     tune(docs.sparkSession)
     path, pattern = path or vocabulary_path(), pattern or split_pattern()
     ranks = read_ranks(path)
@@ -392,7 +417,8 @@ def encode_texts(
     )
     folded = fold_words(F.col("_words"), ranks)
     return split.select(*keep, "_codes", "_long", folded.alias("_ids")).mapInArrow(
-        _assemble_batches(cache.ids, cache.starts, ranks), f"{schema}, ids binary"
+        _assemble_batches(cache.ids, cache.starts, ranks, decode),
+        f"{schema}, ids binary" + ", decoded binary" * decode,
     )
 
 
@@ -400,13 +426,9 @@ def _decode_batches(tokens: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [n for n in batch.schema.names if n != "ids"]
-            texts = [
-                b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                for ids in batch.column("ids").to_pylist()
-            ]
+            ids = batch.column("ids")
             yield pa.RecordBatch.from_arrays(
-                [*map(batch.column, names), batch.column("ids"), pa.array(texts, pa.binary())],
-                names=[*names, "ids", "decoded"],
+                [*map(batch.column, names), ids, _joined(ids, tokens)], names=[*names, "ids", "decoded"]
             )
 
     return run
@@ -414,10 +436,7 @@ def _decode_batches(tokens: list[bytes]):
 
 def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Add ``decoded``: the bytes of the ids, piece by piece."""
-    ranks = read_ranks(path or vocabulary_path())
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
+    tokens = _token_bytes(read_ranks(path or vocabulary_path()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "ids")
     return encoded.select(*[c for c in encoded.columns if c != "ids"], "ids").mapInArrow(
         _decode_batches(tokens), f"{schema}, ids binary, decoded binary"
@@ -426,7 +445,7 @@ def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    coded = decode_ids(encode_texts(docs))
+    coded = encode_texts(docs, decode=True)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

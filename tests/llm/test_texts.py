@@ -144,7 +144,10 @@ def test_bpe_without_cached_words(spark, messy, library, monkeypatch):
     empty = pa.chunked_array([], pa.string()), pa.chunked_array([], pa.list_(pa.int32()))
     monkeypatch.setattr(bpe, "frequent_words", lambda *_: bpe.Cache(*empty))
     docs = spark.read.parquet(f"{messy}/documents.parquet")
-    found = [(r["doc_id"], r["ids"]) for r in bpe.encode_texts(docs).collect()]
+    coded = bpe.encode_texts(docs)
+    found = [(r["doc_id"], r["ids"]) for r in coded.collect()]
+    texts = [(r["doc_id"], bytes(r["decoded"])) for r in bpe.decode_ids(coded).collect()]
+    assert by_id(texts) == by_id((i, (t or "").encode()) for i, t, *_ in messy_documents())
     expected = [
         (i, np.array(library.encode_ordinary(t or ""), "<u4").tobytes()) for i, t, *_ in messy_documents()
     ]
