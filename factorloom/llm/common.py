@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Python passes hold at most about this many bytes of text at a time (one text at least).
 SLICE_BYTES = 1 << 20
 
+SHINGLE_SEED = 42
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
 
 # Rows of an Arrow batch; texts of the usual length then make batches of a few MB.
 RUNTIME = {
@@ -65,6 +70,24 @@ def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, stop - start)
 
 
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of every shingle of the text, repeats included."""
+    words = text.translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, SHINGLE_SEED)], np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends[: len(words) - width]]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter(
+        (digest(joined[a : b - 1], SHINGLE_SEED) for a, b in zip(starts, ends[width - 1 :])),
+        np.uint64,
+        len(starts),
+    )
+
+
 def bucket(column: Column, seed: str, buckets: int) -> Column:
     """Seeded bucket of a value; the same on every layout."""
     return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(buckets))

@@ -19,51 +19,30 @@ of null ids has a null id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.session import materialize
-from factorloom.llm.common import Shield, table, text_buffers, text_slices, tune
+from factorloom.llm.common import Shield, shingle_hashes, table, text_buffers, text_slices, tune
 from factorloom.llm.components import connected_components
+from factorloom.llm.jaccard import similar_documents
 
 SHINGLE = 4
 DISTANCE = 4
-SEED = 42
 BITS = 64
 TRIE_ROWS = 4096
 SPLITS = 4
 LEAF = 8
 PAIRS_AT_ONCE = 1 << 19
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
 
 # --- fingerprints --------------------------------------------------------------------------
 
 
-def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
-    """XXH64 of every shingle of the text, repeats included."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[: len(words) - width]]
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter(
-        (digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :])),
-        np.uint64,
-        len(starts),
-    )
-
-
 def majority(hashes: np.ndarray) -> int:
     """Bit b is 1 if more than half of the hashes have it set."""
     counts = np.zeros(BITS, np.int64)
@@ -77,7 +56,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in text_slices(batches):
         raw, offsets = text_buffers(batch.column("text"))
         values = [
-            majority(shingle_hashes(raw[a:b].tobytes())) for a, b in zip(offsets[:-1], offsets[1:])
+            majority(shingle_hashes(raw[a:b].tobytes(), SHINGLE)) for a, b in zip(offsets[:-1], offsets[1:])
         ]
         names = [n for n in batch.schema.names if n != "text"]
         signed = pa.array(np.array(values, np.uint64).view(np.int64))
@@ -313,8 +292,8 @@ def link_fingerprints(
     return links
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``_fingerprint`` and ``component_id`` of every document."""
+def near_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The contract of ``op10``: ``keep`` columns, ``_fingerprint`` and ``component_id`` of every document."""
     tune(docs.sparkSession)
     prints = materialize(fingerprints(docs, keep), "fingerprints")
     classes = materialize(
@@ -330,6 +309,11 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     return prints.join(named, prints["_fingerprint"] == named["fp"]).drop("fp")
 
 
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The groups of the pipeline's stage, by five-word Jaccard similarity (see ``jaccard``)."""
+    return similar_documents(docs, keep)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component stays, with all its columns: the one with the least id.
 
@@ -340,10 +324,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     shield = Shield(docs, "doc_id", "text")
     keyed = shield.docs.withColumn("_text_key", F.xxhash64("text"))
     found = near_duplicates(keyed, keep=("doc_id", "_text_key"))
-    # A component of null ids only has no component_id; its fingerprints keep it apart.
     whole = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_text_key"))
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("_fingerprint"))]
-    stays = found.groupBy(*group).agg(F.min(whole).alias("_first")).select(
+    stays = found.groupBy("_group").agg(F.min(whole).alias("_first")).select(
         F.col("_first.doc_id").alias("_id"), F.col("_first._text_key").alias("_key")
     )
     kept = keyed.join(
@@ -357,7 +339,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select(
+    return near_fingerprints(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.lpad(F.lower(F.hex("_fingerprint")), 16, "0").alias("fingerprint"),
         "component_id",
