@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import weekdays
+from panel_data import weekdays
 from pyspark.sql import functions as F
 
 from factorloom.functions.quantiles import order_statistics

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import BAR_COLUMNS, UNIVERSE_COLUMNS, bar_rows, universe_rows, weekdays
+from panel_data import BAR_COLUMNS, UNIVERSE_COLUMNS, bar_rows, universe_rows, weekdays
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import CHANNELS, ContractError

@@ -4,7 +4,7 @@ import datetime as dt
 import math
 
 import pytest
-from conftest import rows, weekdays
+from panel_data import rows, weekdays
 from pyspark.sql import functions as F
 
 from factorloom.operators import windows as wn

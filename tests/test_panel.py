@@ -4,7 +4,7 @@ import datetime as dt
 import math
 
 import pytest
-from conftest import BAR_COLUMNS, bar_rows, rows, universe_rows, weekdays
+from panel_data import BAR_COLUMNS, bar_rows, rows, universe_rows, weekdays
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import CHANNELS, ContractError

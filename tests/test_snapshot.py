@@ -1,7 +1,7 @@
 """Standard tables, content-addressed snapshots and baseline models."""
 
 import pytest
-from conftest import rows
+from panel_data import rows
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import ContractError
