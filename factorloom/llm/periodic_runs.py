@@ -247,7 +247,7 @@ WITH docs AS (
 ), seeds AS (
     SELECT row, doc_id, words, len(words)::BIGINT AS n, h, h // 10 AS g FROM docs
 ), loops AS (
-    SELECT row, doc_id, words, n, coalesce(h % 10 = 0 AND n > 0, false) AS looped,
+    SELECT row, doc_id, words, n, doc_id IS NOT NULL AND h % 10 = 0 AND n > 0 AS looped,
         CASE WHEN n > 0 THEN g % n ELSE 0 END AS a,
         CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p
     FROM seeds
