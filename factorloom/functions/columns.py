@@ -72,6 +72,15 @@ def sample_key(security: str = "security_id", date: str = "trade_date") -> Colum
     return F.concat_ws("|", F.col(security), F.date_format(date, "yyyy-MM-dd"))
 
 
+def seeded_draw(seed: str, *values: Column | str) -> Column:
+    """A pseudo-random text that orders rows: md5 of the seed and the values, joined by bars.
+
+    The same in every engine that has md5, on any layout.
+    """
+    columns = [F.col(v) if isinstance(v, str) else v for v in values]
+    return F.md5(F.concat_ws("|", F.lit(seed), *[c.cast("string") for c in columns]).cast("binary"))
+
+
 def by_security(order: str = "trade_date") -> Window:
     """One security's history. Its length is bounded by the session calendar."""
     return Window.partitionBy("security_id").orderBy(order)

@@ -30,30 +30,54 @@ def with_position(
 
     The sorted rows are stored once: counts and rows then see the same partitions.
     """
-    stamped = materialize(
-        frame.orderBy(*group, *order).withColumn("_stamp", F.monotonically_increasing_id()),
-        "sorted",
+    stored = stamped(frame.orderBy(*group, *order), "sorted")
+    return numbered(stored, name, group, size=size, together=True).select(
+        *frame.columns, name, *([size] if size else [])
+    )
+
+
+def stamped(ordered: DataFrame, label: str) -> DataFrame:
+    """A sorted table, stored once, with the partition and place of each row."""
+    return materialize(
+        ordered.withColumn("_stamp", F.monotonically_increasing_id()), label
     ).withColumn("_part", F.shiftright("_stamp", _PARTITION_SHIFT))
-    within = F.col("_stamp") - F.shiftleft(F.col("_part"), _PARTITION_SHIFT)
-    # A partition holds few groups whole: the rows of each group in each partition, counted
-    # once, give every group's start in every partition.
-    counts = stamped.groupBy("_part", *group).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(within).alias("_first")
+
+
+def numbered(
+    stored: DataFrame,
+    name: str,
+    group: Sequence[str],
+    *,
+    size: str | None = None,
+    together: bool = False,
+) -> DataFrame:
+    """The 1-based position of each row of a stamped table among its group's rows.
+
+    Any group will do, also one that the sort does not know: its rows are counted in the stored
+    order, in each partition and in the partitions before. Where the sort keeps a group's rows
+    ``together``, the place in the partition is enough and no row is exchanged.
+    """
+    place = F.col("_stamp") - F.shiftleft(F.col("_part"), _PARTITION_SHIFT)
+    if not together:
+        # Rows of one group in one partition: as many as a sort partition holds at most.
+        place = F.row_number().over(Window.partitionBy("_part", *group).orderBy("_stamp")) - 1
+    rows = stored.withColumn("_place", place)
+    first = F.min("_place") if together else F.lit(0)
+    counts = (rows if together else stored).groupBy("_part", *group).agg(
+        F.count(F.lit(1)).alias("_rows"), first.alias("_first")
     )
     by_group = Window.partitionBy(*group)
     earlier = by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumns(
         {
             "_offset": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first"),
-            "_size": F.sum("_rows").over(by_group),
+            "_members": F.sum("_rows").over(by_group),
         }
-    ).select("_part", *group, "_offset", "_size")
-    placed = _join_same(stamped, starts, ["_part", *group]).withColumn(
-        name, within + F.col("_offset") + 1
-    )
+    ).drop("_rows", "_first")
+    placed = join_same(rows, starts, ["_part", *group]).withColumn(name, F.col("_place") + F.col("_offset") + 1)
     if size:
-        placed = placed.withColumn(size, F.col("_size"))
-    return placed.select(*frame.columns, name, *([size] if size else []))
+        placed = placed.withColumn(size, F.col("_members"))
+    return placed.drop("_place", "_offset", "_members", "_part", "_stamp")
 
 
 def with_average_rank(
@@ -69,10 +93,10 @@ def with_average_rank(
     ties = placed.groupBy(*group, value).agg(
         (F.min("_position") + (F.count(F.lit(1)) - 1) / 2).alias(name)
     )
-    return _join_same(placed, ties, [*group, value]).select(*frame.columns, name)
+    return join_same(placed, ties, [*group, value]).select(*frame.columns, name)
 
 
-def _join_same(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_same(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join each row to its group; a NULL key is a group of its own, as in a window."""
     marks = {key: f"_key_{key}" for key in keys}
     renamed = groups.withColumnsRenamed(marks)

@@ -19,12 +19,16 @@ from factorloom.functions.columns import (
     trailing,
 )
 from factorloom.functions.quantiles import order_statistics
+from factorloom.operators.quality import one_per_key
 
 MIN_SCALE = 1e-12
 
 
 def feature_panel(bars: DataFrame, universe: DataFrame) -> DataFrame:
-    """The universe grid with adjusted prices; sessions without a bar stay as NULL rows."""
+    """The universe grid with adjusted prices; sessions without a bar stay as NULL rows.
+
+    One bar and one state of a security and session: a repeated key on either side stops the job.
+    """
     prices = bars.select(
         "security_id",
         "trade_date",
@@ -34,9 +38,9 @@ def feature_panel(bars: DataFrame, universe: DataFrame) -> DataFrame:
     )
     grid = universe.select("security_id", "symbol", "trade_date")
     # Both sides are laid out by security, which the join and all later windows share.
-    return grid.repartition("security_id").join(
-        prices.repartition("security_id"), ["security_id", "trade_date"], "left"
-    )
+    keys = ["security_id", "trade_date"]
+    bars_once = one_per_key(prices.repartition("security_id"), keys, "bars")
+    return one_per_key(grid.repartition("security_id"), keys, "universe").join(bars_once, keys, "left")
 
 
 def with_returns(panel: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import by_security, log_if_positive, sample_key
-from factorloom.operators.quality import require_unique
+from factorloom.operators.quality import checked_join, require_unique
 from factorloom.sources.tables import INFERENCE_INDEX, SAMPLE_INDEX
 
 
@@ -68,7 +68,7 @@ def inference_index(features: DataFrame, universe: DataFrame, context_length: in
 
 
 def sample_metadata(index: DataFrame, universe: DataFrame) -> DataFrame:
-    """Point-in-time exposures of each sample."""
+    """Point-in-time exposures of each sample; a repeated state of a session stops the job."""
     exposures = universe.select(
         "security_id",
         F.col("trade_date").alias("asof_date"),
@@ -76,9 +76,12 @@ def sample_metadata(index: DataFrame, universe: DataFrame) -> DataFrame:
         "industry_code",
         "float_market_cap",
     )
+    rows = index.select("sample_id", "security_id", "symbol", "asof_date", "split")
+    keys = ["security_id", "asof_date"]
     return (
-        index.select("sample_id", "security_id", "symbol", "asof_date", "split")
-        .join(exposures, ["security_id", "asof_date"], "left")
+        checked_join(rows, exposures, keys, "m:1", "left", ("index", "universe"))
+        .select("security_id", "asof_date", "sample_id", "symbol", "split", "eligible", "industry_code",
+                "float_market_cap")
         .withColumn("log_float_market_cap", log_if_positive(F.col("float_market_cap")))
     )
 

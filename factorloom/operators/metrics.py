@@ -6,12 +6,13 @@ Every function takes ``by``: extra group columns under which all state restarts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import correlation, rank_correlation
-from factorloom.functions.ranking import with_average_rank, with_position
+from factorloom.functions.ranking import join_same, numbered, stamped, with_position
 from factorloom.functions.session import materialize
 from factorloom.operators.quality import require_comparable
 
@@ -30,24 +31,97 @@ def net_name(cost: float) -> str:
     return f"net_{cost:g}bps"
 
 
+@dataclass(frozen=True)
+class Section:
+    """A score judged inside each date, or inside each ``part`` (a column) of each date."""
+
+    name: str
+    score: str
+    part: str | None = None
+
+
+def ranked_sections(
+    predictions: DataFrame, sections: Sequence[Section], by: Sequence[str] = ()
+) -> DataFrame:
+    """Position and average ranks of every row in every section it belongs to.
+
+    Columns: ``by``, asof_date, section, part (empty without parts), security_id, score, target,
+    position, n, score_rank, target_rank. Rows without a score or a part are in no such section.
+
+    All scores and the target are put under each other and sorted once, by date and value, over
+    range partitions that may cut a date anywhere. A section's rows keep that order, so the
+    position in any section is a running count of its rows in the partition, shifted by its
+    rows in earlier partitions: one stored sort serves every grouping.
+    """
+    date = [*by, "asof_date"]
+    scores = sorted({section.score for section in sections})
+
+    def members(measure: str) -> Column:
+        found = []
+        for section in sections:
+            if measure not in ("target", section.score):
+                continue
+            held = F.col(section.score).isNotNull()
+            part = F.lit("") if section.part is None else F.col(section.part).cast("string")
+            place = F.struct(F.lit(section.name).alias("section"), part.alias("part"))
+            found.append(F.when(held & part.isNotNull(), place))
+        return F.filter(F.array(*found), lambda place: place.isNotNull())
+
+    stacked = predictions.select(
+        *date,
+        "security_id",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"), members(m).alias("sections")
+                    )
+                    for m in (*scores, "target")
+                ]
+            )
+        ).alias("m"),
+    ).select(*date, "security_id", "m.*")
+    ordered = stacked.filter(F.size("sections") > 0).orderBy("measure", *date, "value", "security_id")
+    stored = stamped(ordered, "sections")
+    rows = stored.select(*stored.columns, F.inline("sections")).drop("sections")
+    group = ["measure", "section", "part", *date]
+    placed = numbered(rows, "position", group, size="n")
+    ties = placed.groupBy(*group, "value").agg(
+        (F.min("position") + (F.count(F.lit(1)) - 1) / 2).alias("rank")
+    )
+    ranked = join_same(placed, ties, [*group, "value"])
+    own = F.col("measure") != "target"
+
+    def of(measure: Column, column: str, name: str) -> Column:
+        return F.max(F.when(measure, F.col(column))).alias(name)
+
+    return ranked.groupBy(*date, "section", "part", "security_id").agg(
+        of(own, "value", "score"),
+        of(~own, "value", "target"),
+        of(own, "position", "position"),
+        of(own, "n", "n"),
+        of(own, "rank", "score_rank"),
+        of(~own, "rank", "target_rank"),
+    )
+
+
+def section_ic(ranked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per section, part and date: n, Pearson IC and rank IC."""
+    return ranked.groupBy(*by, "section", "part", "asof_date").agg(
+        F.count(F.lit(1)).alias("n"),
+        correlation(F.col("score"), F.col("target")).alias("ic"),
+        rank_correlation(F.col("score_rank"), F.col("target_rank")).alias("rank_ic"),
+    )
+
+
 def daily_ic(
     predictions: DataFrame,
     score: str = "score_raw",
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Per date: n, Pearson IC and rank IC of score and target."""
-    date = [*by, "asof_date"]
-    usable = predictions.filter(F.col(score).isNotNull()).select(
-        *date, "security_id", F.col(score).alias("_score"), F.col("target").alias("_target")
-    )
-    ranked = usable
-    for value, rank in (("_score", "_score_rank"), ("_target", "_target_rank")):
-        ranked = with_average_rank(ranked, rank, value, date)
-    return ranked.groupBy(*date).agg(
-        F.count(F.lit(1)).alias("n"),
-        correlation(F.col("_score"), F.col("_target")).alias("ic"),
-        rank_correlation(F.col("_score_rank"), F.col("_target_rank")).alias("rank_ic"),
-    )
+    ranked = ranked_sections(predictions, [Section("all", score)], by)
+    return section_ic(ranked, by).drop("section", "part")
 
 
 def _series_columns(value: str, annualization: int) -> dict[str, Column]:
@@ -96,9 +170,16 @@ def portfolio_legs(
         date,
         size="n",
     )
+    return quantile_legs(placed.withColumnRenamed("_position", "position"), quantiles).select(
+        *date, "security_id", "target", "n", "groups", "is_top", "is_bottom", "weight"
+    )
+
+
+def quantile_legs(placed: DataFrame, quantiles: int = QUANTILES) -> DataFrame:
+    """The rows of the bottom and top quantile by ``position`` of ``n``, with their weights."""
     groups = F.least(F.lit(quantiles), F.col("n"))
     leg = F.greatest(F.lit(1), F.floor(F.col("n") / F.col("groups")))
-    top, bottom = F.col("_position") > F.col("n") - F.col("leg"), F.col("_position") <= F.col("leg")
+    top, bottom = F.col("position") > F.col("n") - F.col("leg"), F.col("position") <= F.col("leg")
     share = 1 / F.col("leg").cast("double")
     return (
         placed.filter("n >= 2")
@@ -107,7 +188,6 @@ def portfolio_legs(
         .withColumns({"is_top": top, "is_bottom": bottom})
         .filter("is_top OR is_bottom")
         .withColumn("weight", F.when(F.col("is_top"), share).otherwise(-share))
-        .select(*date, "security_id", "target", "n", "groups", "is_top", "is_bottom", "weight")
     )
 
 
@@ -123,14 +203,15 @@ def daily_portfolio(
     Each weight is emitted at its own date and, negated, at the group's next usable date:
     summing per security then gives the weight changes without a self join.
     """
+    return book_of(portfolio_legs(predictions, score, by, quantiles), by, costs_bps)
+
+
+def book_of(
+    legs: DataFrame, by: Sequence[str] = (), costs_bps: Sequence[float] = COSTS_BPS
+) -> DataFrame:
+    """The daily portfolio of quantile legs."""
     date = [*by, "asof_date"]
-    legs = portfolio_legs(predictions, score, by, quantiles)
-    usable = (
-        predictions.filter(F.col(score).isNotNull())
-        .groupBy(*date)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter("_n >= 2")
-    )
+    usable = legs.select(*date).distinct()
     # One row per group and date.
     order = Window.partitionBy(*by).orderBy("asof_date")
     following = usable.select(*date, F.lead("asof_date").over(order).alias("_next"))
@@ -195,6 +276,19 @@ def cross_section_stats(predictions: DataFrame, by: Sequence[str] = ()) -> DataF
     return stats.withColumn("research_ready", ready)
 
 
+def _summary(daily: DataFrame, book: DataFrame, by: Sequence[str]) -> DataFrame:
+    """IC and rank IC statistics next to the portfolio averages."""
+    stats = daily.groupBy(*by).agg(
+        *[
+            column.alias(f"{series}_{name.removesuffix('_ratio')}")
+            for series in ("ic", "rank_ic")
+            for name, column in _series_columns(series, ANNUALIZATION).items()
+        ]
+    )
+    means = aggregate_portfolio(book, by).withColumnRenamed("dates", "portfolio_dates")
+    return stats.join(means, list(by), "left")
+
+
 def score_summary(
     predictions: DataFrame,
     by: Sequence[str],
@@ -202,19 +296,9 @@ def score_summary(
     costs_bps: Sequence[float] = COSTS_BPS,
 ) -> DataFrame:
     """One row per group: IC and rank IC statistics next to the portfolio averages."""
-    date = [*by, "asof_date"]
-    stats = daily_ic(predictions, score, by).groupBy(*by).agg(
-        *[
-            column.alias(f"{series}_{name.removesuffix('_ratio')}")
-            for series in ("ic", "rank_ic")
-            for name, column in _series_columns(series, ANNUALIZATION).items()
-        ]
-    )
-    book = daily_portfolio(
-        predictions, score, by, costs_bps=costs_bps
-    )
-    summary = aggregate_portfolio(book, by).withColumnRenamed("dates", "portfolio_dates")
-    return stats.join(summary, list(by), "left")
+    ranked = materialize(ranked_sections(predictions, [Section("all", score)], by), "ranked")
+    book = book_of(quantile_legs(ranked), by, costs_bps)
+    return _summary(section_ic(ranked, by), book, by)
 
 
 def stability_by_year(predictions: DataFrame, **options) -> DataFrame:
@@ -244,55 +328,57 @@ def stability_by_size(predictions: DataFrame, **options) -> DataFrame:
     return score_summary(bucketed, ["size_bucket"], **options)
 
 
-def stacked_scores(predictions: DataFrame) -> DataFrame:
-    """One row per prediction and score it has, raw or neutralized."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(name).alias("score"), F.col(f"score_{name}").alias("value"))
-            for name in ("raw", "neutralized")
-        ]
-    )
-    return (
-        predictions.select("security_id", "asof_date", "target", F.explode(pairs).alias("s"))
-        .filter("s.value IS NOT NULL")
-        .select("security_id", "asof_date", "target", "s.*")
-    )
-
-
-def evaluate_scores(
-    predictions: DataFrame,
-    costs_bps: Sequence[float] = COSTS_BPS,
-) -> dict[str, DataFrame]:
-    """Daily and aggregated tables of both scores, keyed by score, in one pass each."""
-    by, scores = ["score"], stacked_scores(predictions)
-    daily = daily_ic(scores, "value", by)
-    book = daily_portfolio(
-        scores, "value", by, costs_bps=costs_bps
-    )
-    # One row per date each; stored, since the tables and their averages are both results.
-    daily, book = materialize(daily, "daily-ic"), materialize(book, "daily-portfolio")
-    return {
-        "daily_ic": daily,
-        "daily_portfolio": book,
-        "ic": aggregate_ic(daily, by),
-        "portfolio": aggregate_portfolio(book, by),
-    }
+def _restarted(book: DataFrame, costs_bps: Sequence[float]) -> DataFrame:
+    """A daily book whose years start anew: no turnover on a year's first date."""
+    first = F.row_number().over(Window.partitionBy("year").orderBy("asof_date")) == 1
+    kept = book.select("year", "asof_date", "n", "groups", SPREAD, "turnover")
+    return net_of_cost(kept.withColumn("turnover", F.when(~first, F.col("turnover"))), costs_bps)
 
 
 def evaluate_predictions(
     predictions: DataFrame, costs_bps: Sequence[float] = COSTS_BPS
 ) -> dict[str, DataFrame]:
-    """All metric tables of one stored prediction table.
+    """All metric tables of one stored prediction table, from one ranking of all its scores.
 
     The neutralized score has no rows where none is available.
     """
-    options = {"costs_bps": costs_bps}
+    unsized = predictions.filter("log_float_market_cap IS NULL")
+    sized = size_buckets(predictions).unionByName(unsized.withColumn("size_bucket", F.lit(None).cast("string")))
+    sections = [
+        Section("raw", "score_raw"),
+        Section("neutralized", "score_neutralized"),
+        Section("industry_code", "score_raw", "industry_code"),
+        Section("size_bucket", "score_raw", "size_bucket"),
+    ]
+    ranked = materialize(ranked_sections(sized, sections), "ranked")
+    by = ["section", "part"]
+    # One row per section, part and date each; stored, since several tables are read off them.
+    daily = materialize(section_ic(ranked), "daily-ic")
+    book = materialize(book_of(quantile_legs(ranked), by, costs_bps), "daily-portfolio")
+
+    def whole(frame: DataFrame) -> DataFrame:
+        scores = frame.filter(F.col("section").isin("raw", "neutralized"))
+        return scores.drop("part").withColumnRenamed("section", "score")
+
+    def parts(name: str) -> DataFrame:
+        own = [f.filter(F.col("section") == name).withColumnRenamed("part", name) for f in (daily, book)]
+        return _summary(*own, [name])
+
+    def years() -> DataFrame:
+        own = [
+            f.filter("section = 'raw'").withColumn("year", F.year("asof_date")).drop(*by) for f in (daily, book)
+        ]
+        return _summary(own[0], _restarted(own[1], costs_bps), ["year"])
+
     return {
-        **evaluate_scores(predictions, **options),
+        "daily_ic": whole(daily),
+        "daily_portfolio": whole(book),
+        "ic": aggregate_ic(whole(daily), ["score"]),
+        "portfolio": aggregate_portfolio(whole(book), ["score"]),
         "cross_section": cross_section_stats(predictions),
-        "by_year": stability_by_year(predictions, **options),
-        "by_industry": stability_by_industry(predictions, **options),
-        "by_size": stability_by_size(predictions, **options),
+        "by_year": years(),
+        "by_industry": parts("industry_code"),
+        "by_size": parts("size_bucket"),
     }
 
 
@@ -306,10 +392,14 @@ def compare_runs(
     """
     run = ["run_id"]
     require_comparable(runs)
-    raw = score_summary(runs, run)
-    neutral = aggregate_series(
-        daily_ic(runs, "score_neutralized", run), "rank_ic", run
-    ).select("run_id", F.col("mean").alias("neutralized_mean_rank_ic"))
+    sections = [Section("raw", "score_raw"), Section("neutralized", "score_neutralized")]
+    ranked = materialize(ranked_sections(runs, sections, run), "ranked")
+    daily = materialize(section_ic(ranked, run), "daily-ic")
+    book = book_of(quantile_legs(ranked.filter("section = 'raw'")), run)
+    raw = _summary(daily.filter("section = 'raw'"), book, run)
+    neutral = aggregate_series(daily.filter("section = 'neutralized'"), "rank_ic", run).select(
+        "run_id", F.col("mean").alias("neutralized_mean_rank_ic")
+    )
     ready = cross_section_stats(runs, run).select("run_id", "research_ready")
     sizes = (
         runs.groupBy("run_id")

@@ -141,6 +141,16 @@ def _verdict(frame: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame
     )
 
 
+# The reasons that the decision tables print.
+DELTA_NOT_POSITIVE = "paired mean Rank IC delta is not positive"
+RATIO_BELOW = "positive fold/seed cell ratio is below the configured threshold"
+SOURCE_NOT_READY = "source provenance is missing or not explicitly research-ready"
+RAW_NOT_POSITIVE = "E3 raw Rank IC is not positive"
+NEUTRALIZED_NOT_POSITIVE = "E3 neutralized Rank IC is unavailable or not positive"
+NET_NOT_POSITIVE = "E3 net Q5-Q1 at {cost:g} bps is not positive"
+TOO_FEW_CELLS = "E3 does not beat E1 in enough fold/seed cells"
+
+
 def _not_positive(value: str) -> Column:
     return ~F.coalesce(F.col(value) > 0, F.lit(False))
 
@@ -150,14 +160,14 @@ def decide(
 ) -> DataFrame:
     """Go or no-go per comparison, with the reasons against."""
     rules = [
-        (_not_positive("mean"), "paired mean Rank IC delta is not positive"),
+        (_not_positive("mean"), DELTA_NOT_POSITIVE),
         (
             F.col("positive_cell_ratio") < protocol.minimum_positive_cell_ratio,
-            "positive fold/seed cell ratio is below the configured threshold",
+            RATIO_BELOW,
         ),
         (
             source_gate_failed & F.lit(protocol.require_source_ready),
-            "source provenance is missing or not explicitly research-ready",
+            SOURCE_NOT_READY,
         ),
     ]
     return _verdict(deltas, rules).select(
@@ -195,23 +205,23 @@ def overall_decision(
         .withColumn("e3_vs_e1_positive_cell_ratio", ratio)
     )
     rules = [
-        (_not_positive("raw_rank_ic_mean"), "E3 raw Rank IC is not positive"),
+        (_not_positive("raw_rank_ic_mean"), RAW_NOT_POSITIVE),
         (
             F.lit(protocol.require_neutralized_positive)
             & _not_positive("neutralized_rank_ic_mean"),
-            "E3 neutralized Rank IC is unavailable or not positive",
+            NEUTRALIZED_NOT_POSITIVE,
         ),
         (
             _not_positive(f"{net}_mean"),
-            f"E3 net Q5-Q1 at {protocol.cost_bps:g} bps is not positive",
+            NET_NOT_POSITIVE.format(cost=protocol.cost_bps),
         ),
         (
             F.col("e3_vs_e1_positive_cell_ratio") < protocol.minimum_positive_cell_ratio,
-            "E3 does not beat E1 in enough fold/seed cells",
+            TOO_FEW_CELLS,
         ),
         (
             source_gate_failed & F.lit(protocol.require_source_ready),
-            "source provenance is missing or not explicitly research-ready",
+            SOURCE_NOT_READY,
         ),
     ]
     return _verdict(summary, rules)

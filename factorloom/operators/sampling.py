@@ -6,11 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.functions.columns import seeded_draw
 from factorloom.functions.ranking import with_position
 
 
-def _shuffle_key(seed: int, epoch: int, *columns: str) -> Column:
-    return F.xxhash64(F.lit(seed + epoch), *columns)
+def _shuffle_key(seed: int, epoch: int, column: str) -> Column:
+    return seeded_draw(f"{seed}:{epoch}", column)
 
 
 def sequence_batches(
@@ -53,7 +54,7 @@ def date_grouped_batches(
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
     sizes = index.groupBy("asof_date").agg(F.count(F.lit(1)).alias("rows"))
-    position = _shuffle_key(seed, epoch, "asof_date") if shuffle else F.lit(0).cast("long")
+    position = _shuffle_key(seed, epoch, "asof_date") if shuffle else F.lit("")
     dates = sizes.withColumns({"_order": position, "_all": F.lit(1)})
 
     def pack(table: pd.DataFrame) -> pd.DataFrame:

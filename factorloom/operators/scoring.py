@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.columns import is_finite
 from factorloom.functions.session import materialize
 from factorloom.operators.neutralize import neutralize
-from factorloom.operators.quality import require_predictions
+from factorloom.operators.quality import one_per_key, require_predictions
 
 # When a signal is known and when it can first be traded.
 SIGNAL_AVAILABLE = "after_close"
@@ -33,14 +33,15 @@ def prediction_frame(
     """Samples with score, exposures and lineage, neutralised per date.
 
     ``scores`` holds (sample_id, score_raw). A sample without a score stays NULL, which breaks
-    the prediction contract and stops here.
+    the prediction contract and stops here, as does a sample with two scores or exposures.
     """
     keys = ["sample_id", "security_id", "symbol", "asof_date", "split", "target"]
     exposures = metadata.select("sample_id", "eligible", "industry_code", "log_float_market_cap")
+    found = scores.select("sample_id", F.col("score_raw").cast("double"))
     joined = (
         rows.select(*keys)
-        .join(scores.select("sample_id", F.col("score_raw").cast("double")), "sample_id", "left")
-        .join(exposures, "sample_id", "left")
+        .join(one_per_key(found, ["sample_id"], "scores"), "sample_id", "left")
+        .join(one_per_key(exposures, ["sample_id"], "metadata"), "sample_id", "left")
         .drop("sample_id")
     )
     # Stored once: the neutralisation reads it for its sums and for the residuals.
@@ -64,7 +65,7 @@ def live_factor_frame(
             "industry_code",
             "log_float_market_cap",
         )
-        .join(scores.select("sample_id", "score_raw"), "sample_id", "left")
+        .join(one_per_key(scores.select("sample_id", "score_raw"), ["sample_id"], "scores"), "sample_id", "left")
         .withColumn(
             "score_raw", F.when(F.coalesce(is_finite(score), F.lit(False)), score).otherwise(bad)
         )
@@ -142,23 +143,54 @@ def fit_tree_baseline(
     tabular: DataFrame,
     *,
     seed: int,
-    rounds: int = 20,
+    rounds: int = 500,
+    patience: int = 30,
     depth: int = 3,
     learning_rate: float = 0.05,
-    tolerance: float = 1e-3,
 ) -> Model:
-    """Boosted trees on train_fit, stopped early by the inner_selection rows."""
+    """Boosted trees on train_fit, cut at the round with the least selection error.
+
+    Boosting stops once ``patience`` rounds bring no better error on inner_selection. Trees are
+    grown in stretches that double, each judged by its staged predictions on the selection
+    rows; a seeded fit of k rounds holds the first k trees of a longer one, so the result is
+    what one fit stopped at its best round gives. Without selection rows all rounds are kept.
+    """
+    if rounds < 1 or patience < 1:
+        raise ValueError("rounds and patience must be positive")
     rows = _as_vector(tabular.filter("split IN ('train_fit', 'inner_selection')"))
-    return GBTRegressor(
-        labelCol="target",
-        predictionCol="score_raw",
-        validationIndicatorCol="is_selection",
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=learning_rate,
-        validationTol=tolerance,
-        seed=seed,
-    ).fit(rows.withColumn("is_selection", F.col("split") == "inner_selection"))
+    train = rows.filter("split = 'train_fit'").select("features", "target")
+    selection = rows.filter("split = 'inner_selection'").select("features", "target")
+
+    def boosted(trees: int) -> Model:
+        return GBTRegressor(
+            labelCol="target",
+            predictionCol="score_raw",
+            maxIter=trees,
+            maxDepth=depth,
+            stepSize=learning_rate,
+            seed=seed,
+        ).fit(train)
+
+    if selection.isEmpty():
+        return boosted(rounds)
+    grown = min(rounds, 2 * patience)
+    while True:
+        model = boosted(grown)
+        best, stopped = best_round(model.evaluateEachIteration(selection, "squared"), patience)
+        if stopped or grown == rounds:
+            return model if best == grown else boosted(best)
+        grown = min(rounds, 2 * grown)
+
+
+def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The round (from 1) of the least error seen before patience runs out, and whether it did."""
+    best = 0
+    for number, error in enumerate(errors):
+        if error < errors[best]:
+            best = number
+        elif number - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
 
 def score_table(model: Model, tabular: DataFrame) -> DataFrame:

@@ -153,8 +153,15 @@ def eligible_candidate(
     return grid.withColumn("eligible_candidate", F.coalesce(passes, F.lit(False)))
 
 
-def daily_liquidity_topk(grid: DataFrame, max_daily_symbols: int | None = None) -> DataFrame:
-    """Rank each date's candidates by adv20, ties by security; the first K are eligible."""
+def daily_liquidity_topk(
+    grid: DataFrame, max_daily_symbols: int | None = None, *, rank_all: bool = True
+) -> DataFrame:
+    """Rank each date's candidates by adv20, ties by security; the first K are eligible.
+
+    ``rank_all=False`` ranks only those K. Each task then keeps its best K of a date, the kept
+    rows are merged, and nothing else is sorted or exchanged by date. Otherwise the ranks of
+    all candidates come from a sort of their keys alone; the grid itself is only joined.
+    """
     if max_daily_symbols is None:
         return grid.withColumns(
             {
@@ -162,20 +169,21 @@ def daily_liquidity_topk(grid: DataFrame, max_daily_symbols: int | None = None)
                 "eligible": F.col("eligible_candidate"),
             }
         )
-    # Candidates first, so that their positions are their ranks.
-    ranked = with_position(
-        grid,
-        "_rank",
-        [F.desc("eligible_candidate"), F.desc("adv20_usd"), "security_id"],
-        ["trade_date"],
-    )
-    rank = F.when(F.col("eligible_candidate"), F.col("_rank"))
-    return ranked.withColumns(
-        {
-            "liquidity_rank": rank,
-            "eligible": F.coalesce(rank <= max_daily_symbols, F.lit(False)),
-        }
-    ).drop("_rank")
+    keys, best = ["security_id", "trade_date"], [F.desc("adv20_usd"), F.col("security_id")]
+    candidates = grid.filter("eligible_candidate").select(*keys, "adv20_usd")
+    if rank_all:
+        ranked = with_position(candidates, "liquidity_rank", best, ["trade_date"])
+    else:
+        # The limit on a row number is applied inside each task before the exchange.
+        place = F.row_number().over(Window.partitionBy("trade_date").orderBy(*best))
+        ranked = candidates.withColumn("liquidity_rank", place).filter(
+            F.col("liquidity_rank") <= max_daily_symbols
+        )
+    ranks = ranked.select(*keys, F.col("liquidity_rank").cast("long").alias("liquidity_rank"))
+    joined = grid.drop("liquidity_rank", "eligible").join(ranks, keys, "left")
+    first = F.coalesce(F.col("liquidity_rank") <= max_daily_symbols, F.lit(False))
+    return joined.select(*[c for c in grid.columns if c not in ("liquidity_rank", "eligible")], "liquidity_rank",
+                         first.alias("eligible"))
 
 
 # Columns of the universe, in table order.

@@ -7,58 +7,113 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.columns import CHANNELS, is_finite, trailing
+from factorloom.functions.columns import CHANNELS, by_security, is_finite, seeded_draw
+from factorloom.functions.session import materialize
 
 
-def context_windows(
+def pack_series(
     features: DataFrame,
-    index: DataFrame,
     *,
-    channels: Sequence[str] = CHANNELS,
     context_length: int,
-    split: str | None = None,
+    channels: Sequence[str] = CHANNELS,
+    chunk_length: int | None = None,
 ) -> DataFrame:
-    """Per sample the last ``context_length`` rows as ``values`` and ``observed_mask`` arrays.
+    """The grid as a store of series: one row per security and chunk of its sessions.
 
-    Unobserved values are 0. A window that does not start at ``feature_start`` stops the job.
-    The narrow index is joined before the frames, so the arrays are never exchanged.
+    A row holds ``dates``, ``values`` and ``observed_mask`` in step order: ``home`` steps carried
+    over from before, then the chunk's own (four contexts of them unless ``chunk_length`` is given).
+    Every window of up to ``context_length`` rows that ends in a chunk lies inside its row, so a
+    sample is cut out by its offset. Rows are bounded by the lengths, the store is the grid once
+    and a quarter. Unobserved values are 0; keys of ``features`` are unique.
     """
-    rows = index if split is None else index.filter(F.col("split") == split)
-    carried = [c for c in ("sample_id", "feature_start", "target") if c in rows.columns]
-    marks = rows.select("security_id", F.col("asof_date").alias("trade_date"), *carried)
+    if context_length < 1:
+        raise ValueError("context_length must be positive")
+    size, overlap = chunk_length or 4 * context_length, context_length - 1
+    if size < max(1, overlap):
+        raise ValueError("a chunk must hold at least context_length - 1 rows")
 
     def observed(channel: str) -> Column:
         seen = F.coalesce(is_finite(F.col(channel).cast("float")), F.lit(False))
         flag = f"observed_{channel}"
         return seen & F.col(flag) if flag in features.columns else seen
 
-    step = F.struct(
+    place = F.row_number().over(by_security()) - 1
+    steps = features.select(
+        "security_id",
         F.col("trade_date").alias("date"),
+        place.alias("place"),
         F.array(
             *[F.when(observed(c), F.col(c).cast("float")).otherwise(F.lit(0.0).cast("float")) for c in channels]
         ).alias("values"),
         F.array(*[observed(c) for c in channels]).alias("mask"),
     )
-    grid = features.select("security_id", "trade_date", step.alias("_step"))
-    framed = (
-        grid.repartition("security_id")
-        .join(marks.repartition("security_id"), ["security_id", "trade_date"], "full")
-        .withColumn("_steps", F.collect_list("_step").over(trailing(context_length)))
-        .filter("sample_id IS NOT NULL")
+    home = F.floor(F.col("place") / size).cast("int")
+    carried = F.col("place") % size >= size - overlap
+    dealt = steps.withColumn("chunk", F.explode(F.when(carried, F.array(home, home + 1)).otherwise(F.array(home))))
+    packed = dealt.groupBy("security_id", "chunk").agg(
+        F.sort_array(F.collect_list(F.struct("place", "date", "values", "mask"))).alias("steps")
     )
-    matches = (F.size("_steps") == context_length) & (
-        F.get("_steps", F.lit(0))["date"] == F.col("feature_start")
+    return packed.select(
+        "security_id",
+        "chunk",
+        (F.col("chunk") * size - F.get("steps", F.lit(0))["place"]).alias("home"),
+        F.col("steps.date").alias("dates"),
+        F.col("steps.values").alias("values"),
+        F.col("steps.mask").alias("observed_mask"),
+    ).filter(F.size("dates") > F.col("home"))
+
+
+def cut_windows(
+    packed: DataFrame, index: DataFrame, *, context_length: int, split: str | None = None
+) -> DataFrame:
+    """Per sample of ``index`` its window out of the packed series; arrays for samples only.
+
+    Samples find chunk and offset by security and date, in a narrow join; each is then cut from
+    its chunk's arrays. A sample without a full window that starts at ``feature_start`` stops the
+    job.
+    """
+    rows = index if split is None else index.filter(F.col("split") == split)
+    carried = [c for c in ("sample_id", "feature_start", "target") if c in rows.columns]
+    marks = rows.select("security_id", "asof_date", *carried)
+    places = packed.select("security_id", "chunk", "home", F.posexplode("dates").alias("_at", "asof_date")).filter(
+        F.col("_at") >= F.col("home")
     )
+    placed = marks.join(places.drop("home"), ["security_id", "asof_date"], "left")
+    met = placed.join(packed.drop("home"), ["security_id", "chunk"], "left")
+    first = F.col("_at") - (context_length - 1)
+    matches = F.coalesce((first >= 0) & (F.get("dates", first) == F.col("feature_start")), F.lit(False))
     broken = F.raise_error(F.concat(F.lit("window bounds disagree: "), "sample_id"))
-    checked = framed.withColumn(
-        "sample_id", F.when(matches, F.col("sample_id")).otherwise(broken.cast("string"))
-    )
-    return checked.select(
+
+    def window(name: str) -> Column:
+        return F.slice(F.col(name), first + 1, F.lit(context_length)).alias(name)
+
+    return met.select(
         "security_id",
-        F.col("trade_date").alias("asof_date"),
-        *carried,
-        F.transform("_steps", lambda s: s["values"]).alias("values"),
-        F.transform("_steps", lambda s: s["mask"]).alias("observed_mask"),
+        "asof_date",
+        *[
+            F.when(matches, F.col(c)).otherwise(broken.cast("string")).alias(c) if c == "sample_id" else c
+            for c in carried
+        ],
+        *[window(c) for c in ("values", "observed_mask")],
+    )
+
+
+def context_windows(
+    features: DataFrame,
+    index: DataFrame,
+    *,
+    channels: Sequence[str] = CHANNELS,
+    context_length: int,
+    split: str | None = None,
+) -> DataFrame:
+    """Per sample the last ``context_length`` rows as ``values`` and ``observed_mask`` arrays.
+
+    Packs the series, stores them and cuts the samples out; use ``pack_series`` and
+    ``cut_windows`` to read one store for several indexes or epochs.
+    """
+    packed = pack_series(features, context_length=context_length, channels=channels)
+    return cut_windows(
+        materialize(packed, "packed-series"), index, context_length=context_length, split=split
     )
 
 
@@ -111,14 +166,14 @@ def explode_patches(patches: DataFrame) -> DataFrame:
 
 
 def masked_patch_sample(patches: DataFrame, *, ratio: float, seed: int, epoch: int = 0) -> DataFrame:
-    """One row per patch; a fixed share of each row's patches is masked, by a seeded hash."""
+    """One row per patch; a fixed share of each row's patches is masked, by a seeded draw."""
     if not 0 < ratio < 1:
         raise ValueError("ratio must satisfy 0 < ratio < 1")
     total = F.size("patches")
     masked = total - F.floor(total * F.lit(1.0 - ratio)).cast("int")
 
     def draw(p: Column) -> Column:
-        place = F.xxhash64("sample_id", "channel", p, F.lit(seed), F.lit(epoch))
+        place = seeded_draw(f"{seed}:{epoch}", "sample_id", "channel", p)
         return F.struct(place.alias("place"), p.alias("patch"))
 
     drawn = F.sort_array(F.transform(F.sequence(F.lit(0), total - 1), draw))

@@ -6,19 +6,10 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from factorloom.functions.columns import CHANNELS
-from factorloom.plans.stage import (
-    CONTEXT,
-    FOLDS,
-    HORIZON,
-    LAG,
-    MODEL_SCORES,
-    SEEDS,
-    SPLIT,
-    UNIVERSE_RULES,
-    WINDOWS,
-)
+from factorloom.plans.stage import HORIZON, LAG, MONTHS, SEEDS, UNIVERSE_RULES, Layout
 
 
 # Compared doubles lie on a grid of 1e-6 whose cell borders avoid decimal ties, which the
@@ -226,9 +217,9 @@ def hac(source: str, lags: int, stride: int, offset: int, by: str, fold: str) ->
             {'GROUP BY ' + part if part else ''}))"""
 
 
-def _rolled(c: str) -> str:
+def _rolled(c: str, windows) -> str:
     parts = [f"{c} AS {c}__last"]
-    for w in WINDOWS:
+    for w in windows:
         for stat, fn in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")):
             parts.append(
                 f"CASE WHEN count({c}) OVER w{w} = {w} THEN {fn}({c}) OVER w{w} END "
@@ -237,8 +228,8 @@ def _rolled(c: str) -> str:
     return ", ".join(parts)
 
 
-def _model_score(model: str) -> str:
-    base = " + ".join(f"{w} * coalesce({f}, 0)" for f, w in MODEL_SCORES[model].items())
+def _model_score(model: str, weights) -> str:
+    base = " + ".join(f"{w} * coalesce({f}, 0)" for f, w in weights)
     offset = "CAST(substring(security_id, 5) AS BIGINT) * seed % 1009 / 1009.0 * 0.5"
     return f"WHEN model_key = '{model}' THEN round(0.0 + {base} + {offset}, 9)"
 
@@ -251,282 +242,291 @@ _scaled = ", ".join(
     for c in CHANNELS
 )
 _flags = ", ".join(f"{c} IS NOT NULL AS observed_{c}" for c in CHANNELS)
-_frames = ", ".join(
-    f"w{w} AS (PARTITION BY security_id ORDER BY trade_date ROWS {w - 1} PRECEDING)" for w in WINDOWS
-)
 _w = "PARTITION BY security_id ORDER BY trade_date"
 
-TABLES: dict[str, str] = {
-    "li": """
-        SELECT l_suppkey AS k, CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date,
-            l_extendedprice / nullif(l_quantity, 0) AS p, l_quantity AS q, l_extendedprice AS e,
-            l_discount AS d,
-            row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS o
-        FROM lineitem
-        WHERE NOT (l_suppkey % 10 = 9 AND l_shipdate >= TIMESTAMP '2000-01-01')""",
-    "bars": """
-        SELECT 'sec:' || k AS security_id, 'S' || k AS symbol, trade_date, arg_min(p, o) AS open,
-            max(p) AS high, min(p) AS low, arg_max(p, o) AS close, sum(q) AS volume,
-            sum(e) AS dollar_volume, 1 - avg(d) AS adj_factor, 'tpch' AS source_revision,
-            CASE k % 3 WHEN 0 THEN 'NASDAQ' WHEN 1 THEN 'NYSE' ELSE 'AMEX' END AS exchange_source,
-            CASE WHEN k % 17 = 0 THEN 'ETF' ELSE 'Common Stock' END AS security_type_source,
-            'provider_symbol_fallback' AS identity_quality, 'S' || k || '.US' AS provider_symbol,
-            k % 10 = 9 AS is_delisted_source
-        FROM li GROUP BY k, trade_date""",
-    "cal": """
-        SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS next_session
-        FROM (SELECT DISTINCT trade_date FROM bars)""",
-    "ranges": """
-        SELECT r.*, CASE WHEN eventually_delisted THEN coalesce(next_session, last_trade_date)
-            ELSE (SELECT max(trade_date) FROM cal) END AS range_end
-        FROM (SELECT security_id, min(trade_date) AS first_trade_date,
-                max(trade_date) AS last_trade_date, bool_or(is_delisted_source) AS eventually_delisted,
-                arg_min(exchange_source, trade_date) AS exchange_source,
-                arg_min(security_type_source, trade_date) AS security_type_source,
-                arg_min(symbol, trade_date) AS fallback_symbol,
-                arg_min(identity_quality, trade_date) AS identity_quality,
-                arg_min(provider_symbol, trade_date) AS provider_symbol
-              FROM bars GROUP BY security_id) r
-        LEFT JOIN cal ON cal.trade_date = r.last_trade_date""",
-    "grid": """
-        SELECT r.*, c.trade_date FROM ranges r
-        JOIN cal c ON c.trade_date BETWEEN r.first_trade_date AND r.range_end""",
-    "observed": f"""
-        SELECT g.*, b.close, b.dollar_volume,
-            coalesce(last_value(b.symbol IGNORE NULLS) OVER (PARTITION BY g.security_id
-                ORDER BY g.trade_date), g.fallback_symbol) AS symbol,
-            CASE WHEN count(b.dollar_volume) OVER w20 = 20 THEN avg(b.dollar_volume) OVER w20 END
-                AS adv20_usd,
-            row_number() OVER (PARTITION BY g.security_id ORDER BY g.trade_date) AS listed_days
-        FROM grid g LEFT JOIN bars b USING (security_id, trade_date)
-        WINDOW w20 AS (PARTITION BY g.security_id ORDER BY g.trade_date ROWS 19 PRECEDING)""",
-    "states": """
-        SELECT *, true AS is_primary_listing,
-            NOT (eventually_delisted AND trade_date > last_trade_date) AS is_listed,
-            eventually_delisted AND trade_date > last_trade_date AS is_delisted,
-            NOT (eventually_delisted AND trade_date > last_trade_date) AND close IS NULL AS is_halted,
-            CASE WHEN close IS NOT NULL THEN 'observed_bar'
-                 WHEN eventually_delisted AND trade_date > last_trade_date
-                 THEN 'imputed_delisted_session' ELSE 'missing_bar_assumed_halt'
-                 END AS trade_status_quality,
-            CASE exchange_source WHEN 'NASDAQ' THEN 'XNAS' WHEN 'NYSE' THEN 'XNYS'
-                WHEN 'AMEX' THEN 'XASE' END AS exchange,
-            CASE security_type_source WHEN 'Common Stock' THEN 'common_stock' ELSE 'etf' END
-                AS security_type
-        FROM observed""",
-    "candidates": f"""
-        SELECT *, coalesce(security_type = 'common_stock'
-            AND listed_days >= {UNIVERSE_RULES['min_listed_sessions']}
-            AND close >= {UNIVERSE_RULES['min_price']}
-            AND adv20_usd >= {UNIVERSE_RULES['min_adv20_usd']}
-            AND is_listed AND NOT is_halted, false) AS eligible
-        FROM states""",
-    "exposures": """
-        SELECT 'sec:' || s_suppkey AS security_id, r_name AS industry_code,
-            s_acctbal AS float_market_cap
-        FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
-        LEFT JOIN region ON n_regionkey = r_regionkey""",
-    "universe": "SELECT * FROM candidates LEFT JOIN exposures USING (security_id)",
-    "delistings": """
-        SELECT l.security_id, u.delist_date, l.last_trade_date,
-            CASE u.exchange WHEN 'XNAS' THEN -0.55 WHEN 'XNYS' THEN -0.30 WHEN 'XASE' THEN -0.30
-                ELSE -0.50 END::DOUBLE AS delisting_return,
-            CAST(NULL AS DOUBLE) AS terminal_value, u.delist_date AS known_at,
-            'tpch' AS source_revision, true AS is_imputed,
-            'exchange_penalty:' || u.exchange AS imputation_method, u.exchange
-        FROM (SELECT security_id, max(trade_date) AS last_trade_date FROM bars
-              WHERE is_delisted_source GROUP BY security_id) l
-        JOIN (SELECT security_id, min(trade_date) AS delist_date, min(exchange) AS exchange
-              FROM universe WHERE is_delisted GROUP BY security_id) u USING (security_id)""",
-    "panel": """
-        SELECT u.security_id, u.symbol, u.trade_date, open * adj_factor AS ao, high * adj_factor AS ah,
-            low * adj_factor AS al, b.close * adj_factor AS ac, volume, b.dollar_volume
-        FROM universe u LEFT JOIN bars b USING (security_id, trade_date)""",
-    "returns": f"""
-        SELECT *, {ln_ratio('ac', 'pc')} AS r_close, {ln_ratio('ao', 'pc')} AS r_gap,
-            {ln_ratio('ac', 'ao')} AS r_intraday, {ln_ratio('ah', 'al')} AS range,
-            lv - plv AS dlog_volume,
-            CASE WHEN size = 20 THEN (dollar_volume - (w[10] + w[11]) / 2) * 1.349
-                / nullif(w[15] - w[6], 0) END AS dollar_volume_z20
-        FROM (SELECT *, lag(ac) OVER ({_w}) AS pc,
-                CASE WHEN volume > -1 THEN ln(1 + volume) END AS lv,
-                lag(CASE WHEN volume > -1 THEN ln(1 + volume) END) OVER ({_w}) AS plv,
-                count(dollar_volume) OVER w20 AS size,
-                list_sort(list(dollar_volume) OVER w20) AS w
-              FROM panel WINDOW w20 AS ({_w} ROWS 19 PRECEDING))""",
-    "raw_features": f"""
-        SELECT security_id, symbol, trade_date, {', '.join(CHANNELS)}, {_flags}
-        FROM (SELECT *, CASE WHEN count(r_close) OVER w20 = 20
-                THEN stddev_pop(r_close) OVER w20 END AS vol20
-              FROM returns WINDOW w20 AS ({_w} ROWS 19 PRECEDING))""",
-    "train_long": f"""
-        SELECT channel, value FROM (
-            SELECT {', '.join(CHANNELS)} FROM raw_features
-            WHERE trade_date <= DATE '{SPLIT.train_end}')
-        UNPIVOT (value FOR channel IN ({', '.join(CHANNELS)}))""",
-    "scaler": """
-        SELECT channel, lo, hi, quantile_cont(v, 0.5) AS median,
-            CASE WHEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 > 1e-12
-                THEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 ELSE 1.0 END AS scale,
-            count(*) AS observations
-        FROM (SELECT channel, lo, hi, least(greatest(value, lo), hi) AS v
-              FROM train_long JOIN (SELECT channel, quantile_cont(value, 0.005) AS lo,
-                  quantile_cont(value, 0.995) AS hi FROM train_long GROUP BY channel)
-              USING (channel))
-        GROUP BY channel, lo, hi""",
-    "features": f"""
-        SELECT security_id, symbol, trade_date, {_scaled},
-            {', '.join('observed_' + c for c in CHANNELS)} FROM raw_features""",
-    "sessions": f"""
-        SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS session,
-            lead(trade_date, {LAG}) OVER (ORDER BY trade_date) AS label_start,
-            lead(trade_date, {HORIZON}) OVER (ORDER BY trade_date) AS label_end
-        FROM (SELECT DISTINCT trade_date FROM universe)""",
-    "normal_returns": f"""
-        SELECT u.security_id, u.trade_date, u.eligible, s.label_start, s.label_end,
-            a.open * a.adj_factor AS entry_value, z.close * z.adj_factor AS normal_exit
-        FROM universe u JOIN sessions s USING (trade_date)
-        LEFT JOIN bars a ON a.security_id = u.security_id AND a.trade_date = s.label_start
-        LEFT JOIN bars z ON z.security_id = u.security_id AND z.trade_date = s.label_end""",
-    "terms": """
-        SELECT security_id, delist_date, coalesce(terminal_value,
-            close * adj_factor * (1 + delisting_return)) AS terminal_value
-        FROM delistings x LEFT JOIN bars b USING (security_id)
-        WHERE b.trade_date = x.last_trade_date""",
-    "exits": """
-        SELECT p.*, coalesce(delist_date > trade_date AND delist_date <= label_end, false)
-            AS crosses_delisting,
-            CASE WHEN coalesce(delist_date > trade_date AND delist_date <= label_end, false)
-                THEN terminal_value ELSE normal_exit END AS exit_value
-        FROM normal_returns p LEFT JOIN terms USING (security_id)""",
-    "plain_labels": f"""
-        SELECT trade_date AS asof_date, security_id, label_start, label_end, raw_return,
-            benchmark_return, raw_return - benchmark_return AS target, crosses_delisting, eligible
-        FROM (SELECT *, avg(CASE WHEN eligible THEN raw_return END) OVER (PARTITION BY trade_date)
-                AS benchmark_return
-              FROM (SELECT *, {ln_ratio('exit_value', 'entry_value')} AS raw_return FROM exits))""",
-    "base_bounds": fold_bounds([SPLIT]),
-    "labels": f"""
-        SELECT l.*, {split_case('b.')} AS split FROM plain_labels l, base_bounds b""",
-    "bounds": fold_bounds(FOLDS),
-    "fold_labels": f"""
-        SELECT l.*, b.fold_id, {split_case('b.')} AS split FROM plain_labels l, bounds b""",
-    "window_starts": f"""
-        SELECT security_id, trade_date,
-            lag(trade_date, {CONTEXT - 1}) OVER ({_w}) AS feature_start FROM universe""",
-    "samples": """
-        SELECT u.security_id || '|' || strftime(u.trade_date, '%Y-%m-%d') AS sample_id,
-            u.security_id, u.symbol, u.trade_date AS asof_date, feature_start,
-            u.trade_date AS feature_end, label_start, label_end, split, target, raw_return,
-            benchmark_return, crosses_delisting
-        FROM universe u JOIN window_starts USING (security_id, trade_date)
-        JOIN labels l ON l.security_id = u.security_id AND l.asof_date = u.trade_date
-        WHERE feature_start IS NOT NULL AND target IS NOT NULL AND split IS NOT NULL
-            AND u.eligible""",
-    "live": """
-        SELECT u.security_id || '|' || strftime(u.trade_date, '%Y-%m-%d') AS sample_id,
-            u.security_id, u.symbol, u.trade_date AS asof_date, feature_start,
-            u.trade_date AS feature_end, u.eligible, industry_code, float_market_cap,
-            CASE WHEN float_market_cap > 0 THEN ln(float_market_cap) END AS log_float_market_cap
-        FROM universe u JOIN window_starts USING (security_id, trade_date)
-        WHERE feature_start IS NOT NULL AND u.eligible""",
-    "metadata": """
-        SELECT s.sample_id, s.security_id, s.symbol, s.asof_date, s.split, u.eligible,
-            u.industry_code, u.float_market_cap,
-            CASE WHEN float_market_cap > 0 THEN ln(float_market_cap) END AS log_float_market_cap
-        FROM samples s LEFT JOIN universe u
-            ON u.security_id = s.security_id AND u.trade_date = s.asof_date""",
-    "rolled": f"""
-        SELECT security_id, trade_date AS asof_date, {', '.join(_rolled(c) for c in CHANNELS)}
-        FROM features WINDOW {_frames}""",
-    "tabular": """
-        SELECT r.*, s.sample_id, s.symbol, s.split, s.target
-        FROM rolled r JOIN samples s USING (security_id, asof_date)""",
-    "scored": """
-        SELECT m.security_id, m.symbol, m.asof_date, m.split, t.target, m.eligible,
-            m.industry_code, m.log_float_market_cap,
-            round(coalesce(t.r_close__mean_20, 0.0), 9) AS score_raw
-        FROM metadata m JOIN tabular t USING (sample_id)""",
-    "predictions": neutral("scored"),
-    "fold_train_long": f"""
-        SELECT fold_id, channel, value FROM (
-            SELECT fold_id, {', '.join(CHANNELS)} FROM raw_features, {fold_rows(FOLDS)}
-            WHERE trade_date <= train_end)
-        UNPIVOT (value FOR channel IN ({', '.join(CHANNELS)}))""",
-    "fold_scalers": """
-        SELECT fold_id, channel, lo, hi, quantile_cont(v, 0.5) AS median,
-            CASE WHEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 > 1e-12
-                THEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 ELSE 1.0 END AS scale
-        FROM (SELECT fold_id, channel, lo, hi, least(greatest(value, lo), hi) AS v
-              FROM fold_train_long JOIN (SELECT fold_id, channel, quantile_cont(value, 0.005) AS lo,
-                  quantile_cont(value, 0.995) AS hi FROM fold_train_long GROUP BY fold_id, channel)
-              USING (fold_id, channel))
-        GROUP BY fold_id, channel, lo, hi""",
-    "fold_parameters": f"""
-        SELECT fold_id, {', '.join(
-            f"max(CASE WHEN channel = '{c}' THEN {v} END) AS {c}_{v}"
-            for c in CHANNELS for v in ('lo', 'hi', 'median', 'scale'))}
-        FROM fold_scalers GROUP BY fold_id""",
-    "fold_features": f"""
-        SELECT fold_id, security_id, symbol, trade_date, {', '.join(
-            f"CASE WHEN {c} IS NOT NULL THEN (least(greatest({c}, {c}_lo), {c}_hi) - {c}_median) "
-            f"/ {c}_scale END AS {c}" for c in CHANNELS)},
-            {', '.join('observed_' + c for c in CHANNELS)} FROM raw_features, fold_parameters""",
-    "fold_rolled": f"""
-        SELECT fold_id, security_id, trade_date AS asof_date, {', '.join(_rolled(c) for c in CHANNELS)}
-        FROM fold_features WINDOW {_frames.replace('PARTITION BY', 'PARTITION BY fold_id,')}""",
-    "fold_samples": """
-        SELECT l.fold_id, u.security_id || '|' || strftime(u.trade_date, '%Y-%m-%d') AS sample_id,
-            u.security_id, u.symbol, u.trade_date AS asof_date, feature_start,
-            u.trade_date AS feature_end, label_start, label_end, split, target, raw_return,
-            benchmark_return, crosses_delisting, u.industry_code,
-            CASE WHEN float_market_cap > 0 THEN ln(float_market_cap) END AS log_float_market_cap
-        FROM universe u JOIN window_starts USING (security_id, trade_date)
-        JOIN fold_labels l ON l.security_id = u.security_id AND l.asof_date = u.trade_date
-        WHERE feature_start IS NOT NULL AND target IS NOT NULL AND split IS NOT NULL
-            AND u.eligible""",
-    "fold_tabular": """
-        SELECT r.*, s.sample_id, s.symbol, s.split, s.target, s.industry_code,
-            s.log_float_market_cap
-        FROM fold_rolled r JOIN fold_samples s USING (fold_id, security_id, asof_date)""",
-    "cell_scores": f"""
-        SELECT *, CASE {' '.join(_model_score(m) for m in MODEL_SCORES)} END AS score_raw
-        FROM (SELECT t.*, model_key, seed FROM (SELECT * FROM fold_tabular WHERE split = 'valid') t,
-              (VALUES {', '.join(f"('{m}')" for m in MODEL_SCORES)}) AS a(model_key),
-              (VALUES {', '.join(f"(CAST({s} AS BIGINT))" for s in SEEDS)}) AS b(seed))""",
-    "cell_predictions": neutral(
-        "(SELECT fold_id, seed, model_key, security_id, asof_date, target, score_raw, "
-        "industry_code, log_float_market_cap FROM cell_scores)",
-        "fold_id, seed, model_key, ",
-    ),
-    "cell_ic": ic("cell_predictions", "fold_id, seed, model_key, "),
-    "cell_neutral_ic": ic("cell_predictions", "fold_id, seed, model_key, ", "score_neutralized"),
-    "cell_book": book("cell_predictions", "fold_id, seed, model_key, ", costs=(20,)),
-    "cell_daily": """
-        SELECT fold_id, seed, model_key, asof_date, 'raw_rank_ic' AS metric, rank_ic AS value
-        FROM cell_ic
-        UNION ALL SELECT fold_id, seed, model_key, asof_date, 'neutralized_rank_ic', rank_ic
-        FROM cell_neutral_ic
-        UNION ALL SELECT fold_id, seed, model_key, asof_date, 'net_20bps', net_20bps
-        FROM cell_book""",
-}
-
-_NAME = re.compile(r"\b(" + "|".join(TABLES) + r")\b")
-
-
-def with_tables(sql: str) -> str:
+@cache
+def table_sql(layout: Layout) -> dict[str, str]:
+    """Every stage table of a layout by name, each before those that read it."""
+    frames = ", ".join(
+        f"w{w} AS (PARTITION BY security_id ORDER BY trade_date ROWS {w - 1} PRECEDING)" for w in layout.windows
+    )
+
+    def security(supplier: str) -> str:
+        return supplier if layout.suppliers == 1 else f"(({supplier} - 1) // {layout.suppliers})"
+
+    return {
+        "li": f"""
+            SELECT {security('l_suppkey')} AS k, CAST(date_trunc('{layout.period}', l_shipdate) AS DATE) AS trade_date,
+                l_extendedprice / nullif(l_quantity, 0) AS p, l_quantity AS q, l_extendedprice AS e,
+                l_discount AS d,
+                row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS o
+            FROM lineitem
+            WHERE NOT ({security('l_suppkey')} % 10 = 9 AND l_shipdate >= TIMESTAMP '2000-01-01')""",
+        "bars": """
+            SELECT 'sec:' || k AS security_id, 'S' || k AS symbol, trade_date, arg_min(p, o) AS open,
+                max(p) AS high, min(p) AS low, arg_max(p, o) AS close, sum(q) AS volume,
+                sum(e) AS dollar_volume, 1 - avg(d) AS adj_factor, 'tpch' AS source_revision,
+                CASE k % 3 WHEN 0 THEN 'NASDAQ' WHEN 1 THEN 'NYSE' ELSE 'AMEX' END AS exchange_source,
+                CASE WHEN k % 17 = 0 THEN 'ETF' ELSE 'Common Stock' END AS security_type_source,
+                'provider_symbol_fallback' AS identity_quality, 'S' || k || '.US' AS provider_symbol,
+                k % 10 = 9 AS is_delisted_source
+            FROM li GROUP BY k, trade_date""",
+        "cal": """
+            SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS next_session
+            FROM (SELECT DISTINCT trade_date FROM bars)""",
+        "ranges": """
+            SELECT r.*, CASE WHEN eventually_delisted THEN coalesce(next_session, last_trade_date)
+                ELSE (SELECT max(trade_date) FROM cal) END AS range_end
+            FROM (SELECT security_id, min(trade_date) AS first_trade_date,
+                    max(trade_date) AS last_trade_date, bool_or(is_delisted_source) AS eventually_delisted,
+                    arg_min(exchange_source, trade_date) AS exchange_source,
+                    arg_min(security_type_source, trade_date) AS security_type_source,
+                    arg_min(symbol, trade_date) AS fallback_symbol,
+                    arg_min(identity_quality, trade_date) AS identity_quality,
+                    arg_min(provider_symbol, trade_date) AS provider_symbol
+                  FROM bars GROUP BY security_id) r
+            LEFT JOIN cal ON cal.trade_date = r.last_trade_date""",
+        "grid": """
+            SELECT r.*, c.trade_date FROM ranges r
+            JOIN cal c ON c.trade_date BETWEEN r.first_trade_date AND r.range_end""",
+        "observed": f"""
+            SELECT g.*, b.close, b.dollar_volume,
+                coalesce(last_value(b.symbol IGNORE NULLS) OVER (PARTITION BY g.security_id
+                    ORDER BY g.trade_date), g.fallback_symbol) AS symbol,
+                CASE WHEN count(b.dollar_volume) OVER w20 = 20 THEN avg(b.dollar_volume) OVER w20 END
+                    AS adv20_usd,
+                row_number() OVER (PARTITION BY g.security_id ORDER BY g.trade_date) AS listed_days
+            FROM grid g LEFT JOIN bars b USING (security_id, trade_date)
+            WINDOW w20 AS (PARTITION BY g.security_id ORDER BY g.trade_date ROWS 19 PRECEDING)""",
+        "states": """
+            SELECT *, true AS is_primary_listing,
+                NOT (eventually_delisted AND trade_date > last_trade_date) AS is_listed,
+                eventually_delisted AND trade_date > last_trade_date AS is_delisted,
+                NOT (eventually_delisted AND trade_date > last_trade_date) AND close IS NULL AS is_halted,
+                CASE WHEN close IS NOT NULL THEN 'observed_bar'
+                     WHEN eventually_delisted AND trade_date > last_trade_date
+                     THEN 'imputed_delisted_session' ELSE 'missing_bar_assumed_halt'
+                     END AS trade_status_quality,
+                CASE exchange_source WHEN 'NASDAQ' THEN 'XNAS' WHEN 'NYSE' THEN 'XNYS'
+                    WHEN 'AMEX' THEN 'XASE' END AS exchange,
+                CASE security_type_source WHEN 'Common Stock' THEN 'common_stock' ELSE 'etf' END
+                    AS security_type
+            FROM observed""",
+        "candidates": f"""
+            SELECT *, coalesce(security_type = 'common_stock'
+                AND listed_days >= {UNIVERSE_RULES['min_listed_sessions']}
+                AND close >= {UNIVERSE_RULES['min_price']}
+                AND adv20_usd >= {UNIVERSE_RULES['min_adv20_usd']}
+                AND is_listed AND NOT is_halted, false) AS eligible
+            FROM states""",
+        "exposures": f"""
+            SELECT 'sec:' || {security('s_suppkey')} AS security_id, r_name AS industry_code,
+                s_acctbal AS float_market_cap
+            FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
+            LEFT JOIN region ON n_regionkey = r_regionkey
+            WHERE (s_suppkey - 1) % {layout.suppliers} = 0""",
+        "universe": "SELECT * FROM candidates LEFT JOIN exposures USING (security_id)",
+        "delistings": """
+            SELECT l.security_id, u.delist_date, l.last_trade_date,
+                CASE u.exchange WHEN 'XNAS' THEN -0.55 WHEN 'XNYS' THEN -0.30 WHEN 'XASE' THEN -0.30
+                    ELSE -0.50 END::DOUBLE AS delisting_return,
+                CAST(NULL AS DOUBLE) AS terminal_value, u.delist_date AS known_at,
+                'tpch' AS source_revision, true AS is_imputed,
+                'exchange_penalty:' || u.exchange AS imputation_method, u.exchange
+            FROM (SELECT security_id, max(trade_date) AS last_trade_date FROM bars
+                  WHERE is_delisted_source GROUP BY security_id) l
+            JOIN (SELECT security_id, min(trade_date) AS delist_date, min(exchange) AS exchange
+                  FROM universe WHERE is_delisted GROUP BY security_id) u USING (security_id)""",
+        "panel": """
+            SELECT u.security_id, u.symbol, u.trade_date, open * adj_factor AS ao, high * adj_factor AS ah,
+                low * adj_factor AS al, b.close * adj_factor AS ac, volume, b.dollar_volume
+            FROM universe u LEFT JOIN bars b USING (security_id, trade_date)""",
+        "returns": f"""
+            SELECT *, {ln_ratio('ac', 'pc')} AS r_close, {ln_ratio('ao', 'pc')} AS r_gap,
+                {ln_ratio('ac', 'ao')} AS r_intraday, {ln_ratio('ah', 'al')} AS range,
+                lv - plv AS dlog_volume,
+                CASE WHEN size = 20 THEN (dollar_volume - (w[10] + w[11]) / 2) * 1.349
+                    / nullif(w[15] - w[6], 0) END AS dollar_volume_z20
+            FROM (SELECT *, lag(ac) OVER ({_w}) AS pc,
+                    CASE WHEN volume > -1 THEN ln(1 + volume) END AS lv,
+                    lag(CASE WHEN volume > -1 THEN ln(1 + volume) END) OVER ({_w}) AS plv,
+                    count(dollar_volume) OVER w20 AS size,
+                    list_sort(list(dollar_volume) OVER w20) AS w
+                  FROM panel WINDOW w20 AS ({_w} ROWS 19 PRECEDING))""",
+        "raw_features": f"""
+            SELECT security_id, symbol, trade_date, {', '.join(CHANNELS)}, {_flags}
+            FROM (SELECT *, CASE WHEN count(r_close) OVER w20 = 20
+                    THEN stddev_pop(r_close) OVER w20 END AS vol20
+                  FROM returns WINDOW w20 AS ({_w} ROWS 19 PRECEDING))""",
+        "train_long": f"""
+            SELECT channel, value FROM (
+                SELECT {', '.join(CHANNELS)} FROM raw_features
+                WHERE trade_date <= DATE '{layout.split.train_end}')
+            UNPIVOT (value FOR channel IN ({', '.join(CHANNELS)}))""",
+        "scaler": """
+            SELECT channel, lo, hi, quantile_cont(v, 0.5) AS median,
+                CASE WHEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 > 1e-12
+                    THEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 ELSE 1.0 END AS scale,
+                count(*) AS observations
+            FROM (SELECT channel, lo, hi, least(greatest(value, lo), hi) AS v
+                  FROM train_long JOIN (SELECT channel, quantile_cont(value, 0.005) AS lo,
+                      quantile_cont(value, 0.995) AS hi FROM train_long GROUP BY channel)
+                  USING (channel))
+            GROUP BY channel, lo, hi""",
+        "features": f"""
+            SELECT security_id, symbol, trade_date, {_scaled},
+                {', '.join('observed_' + c for c in CHANNELS)} FROM raw_features""",
+        "sessions": f"""
+            SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS session,
+                lead(trade_date, {LAG}) OVER (ORDER BY trade_date) AS label_start,
+                lead(trade_date, {HORIZON}) OVER (ORDER BY trade_date) AS label_end
+            FROM (SELECT DISTINCT trade_date FROM universe)""",
+        "normal_returns": f"""
+            SELECT u.security_id, u.trade_date, u.eligible, s.label_start, s.label_end,
+                a.open * a.adj_factor AS entry_value, z.close * z.adj_factor AS normal_exit
+            FROM universe u JOIN sessions s USING (trade_date)
+            LEFT JOIN bars a ON a.security_id = u.security_id AND a.trade_date = s.label_start
+            LEFT JOIN bars z ON z.security_id = u.security_id AND z.trade_date = s.label_end""",
+        "terms": """
+            SELECT security_id, delist_date, coalesce(terminal_value,
+                close * adj_factor * (1 + delisting_return)) AS terminal_value
+            FROM delistings x LEFT JOIN bars b USING (security_id)
+            WHERE b.trade_date = x.last_trade_date""",
+        "exits": """
+            SELECT p.*, coalesce(delist_date > trade_date AND delist_date <= label_end, false)
+                AS crosses_delisting,
+                CASE WHEN coalesce(delist_date > trade_date AND delist_date <= label_end, false)
+                    THEN terminal_value ELSE normal_exit END AS exit_value
+            FROM normal_returns p LEFT JOIN terms USING (security_id)""",
+        "plain_labels": f"""
+            SELECT trade_date AS asof_date, security_id, label_start, label_end, raw_return,
+                benchmark_return, raw_return - benchmark_return AS target, crosses_delisting, eligible
+            FROM (SELECT *, avg(CASE WHEN eligible THEN raw_return END) OVER (PARTITION BY trade_date)
+                    AS benchmark_return
+                  FROM (SELECT *, {ln_ratio('exit_value', 'entry_value')} AS raw_return FROM exits))""",
+        "base_bounds": fold_bounds([layout.split]),
+        "labels": f"""
+            SELECT l.*, {split_case('b.')} AS split FROM plain_labels l, base_bounds b""",
+        "bounds": fold_bounds(layout.folds),
+        "fold_labels": f"""
+            SELECT l.*, b.fold_id, {split_case('b.')} AS split FROM plain_labels l, bounds b""",
+        "window_starts": f"""
+            SELECT security_id, trade_date,
+                lag(trade_date, {layout.context - 1}) OVER ({_w}) AS feature_start FROM universe""",
+        "samples": """
+            SELECT u.security_id || '|' || strftime(u.trade_date, '%Y-%m-%d') AS sample_id,
+                u.security_id, u.symbol, u.trade_date AS asof_date, feature_start,
+                u.trade_date AS feature_end, label_start, label_end, split, target, raw_return,
+                benchmark_return, crosses_delisting
+            FROM universe u JOIN window_starts USING (security_id, trade_date)
+            JOIN labels l ON l.security_id = u.security_id AND l.asof_date = u.trade_date
+            WHERE feature_start IS NOT NULL AND target IS NOT NULL AND split IS NOT NULL
+                AND u.eligible""",
+        "live": """
+            SELECT u.security_id || '|' || strftime(u.trade_date, '%Y-%m-%d') AS sample_id,
+                u.security_id, u.symbol, u.trade_date AS asof_date, feature_start,
+                u.trade_date AS feature_end, u.eligible, industry_code, float_market_cap,
+                CASE WHEN float_market_cap > 0 THEN ln(float_market_cap) END AS log_float_market_cap
+            FROM universe u JOIN window_starts USING (security_id, trade_date)
+            WHERE feature_start IS NOT NULL AND u.eligible""",
+        "metadata": """
+            SELECT s.sample_id, s.security_id, s.symbol, s.asof_date, s.split, u.eligible,
+                u.industry_code, u.float_market_cap,
+                CASE WHEN float_market_cap > 0 THEN ln(float_market_cap) END AS log_float_market_cap
+            FROM samples s LEFT JOIN universe u
+                ON u.security_id = s.security_id AND u.trade_date = s.asof_date""",
+        "rolled": f"""
+            SELECT security_id, trade_date AS asof_date, {', '.join(_rolled(c, layout.windows) for c in CHANNELS)}
+            FROM features WINDOW {frames}""",
+        "tabular": """
+            SELECT r.*, s.sample_id, s.symbol, s.split, s.target
+            FROM rolled r JOIN samples s USING (security_id, asof_date)""",
+        "scored": """
+            SELECT m.security_id, m.symbol, m.asof_date, m.split, t.target, m.eligible,
+                m.industry_code, m.log_float_market_cap,
+                round(coalesce(t.r_close__mean_20, 0.0), 9) AS score_raw
+            FROM metadata m JOIN tabular t USING (sample_id)""",
+        "predictions": neutral("scored"),
+        "fold_train_long": f"""
+            SELECT fold_id, channel, value FROM (
+                SELECT fold_id, {', '.join(CHANNELS)} FROM raw_features, {fold_rows(layout.folds)}
+                WHERE trade_date <= train_end)
+            UNPIVOT (value FOR channel IN ({', '.join(CHANNELS)}))""",
+        "fold_scalers": """
+            SELECT fold_id, channel, lo, hi, quantile_cont(v, 0.5) AS median,
+                CASE WHEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 > 1e-12
+                    THEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 ELSE 1.0 END AS scale
+            FROM (SELECT fold_id, channel, lo, hi, least(greatest(value, lo), hi) AS v
+                  FROM fold_train_long JOIN (SELECT fold_id, channel, quantile_cont(value, 0.005) AS lo,
+                      quantile_cont(value, 0.995) AS hi FROM fold_train_long GROUP BY fold_id, channel)
+                  USING (fold_id, channel))
+            GROUP BY fold_id, channel, lo, hi""",
+        "fold_parameters": f"""
+            SELECT fold_id, {', '.join(
+                f"max(CASE WHEN channel = '{c}' THEN {v} END) AS {c}_{v}"
+                for c in CHANNELS for v in ('lo', 'hi', 'median', 'scale'))}
+            FROM fold_scalers GROUP BY fold_id""",
+        "fold_features": f"""
+            SELECT fold_id, security_id, symbol, trade_date, {', '.join(
+                f"CASE WHEN {c} IS NOT NULL THEN (least(greatest({c}, {c}_lo), {c}_hi) - {c}_median) "
+                f"/ {c}_scale END AS {c}" for c in CHANNELS)},
+                {', '.join('observed_' + c for c in CHANNELS)} FROM raw_features, fold_parameters""",
+        "fold_rolled": f"""
+            SELECT fold_id, security_id, trade_date AS asof_date, {', '.join(_rolled(c, layout.windows) for c in CHANNELS)}
+            FROM fold_features WINDOW {frames.replace('PARTITION BY', 'PARTITION BY fold_id,')}""",
+        "fold_samples": """
+            SELECT l.fold_id, u.security_id || '|' || strftime(u.trade_date, '%Y-%m-%d') AS sample_id,
+                u.security_id, u.symbol, u.trade_date AS asof_date, feature_start,
+                u.trade_date AS feature_end, label_start, label_end, split, target, raw_return,
+                benchmark_return, crosses_delisting, u.industry_code,
+                CASE WHEN float_market_cap > 0 THEN ln(float_market_cap) END AS log_float_market_cap
+            FROM universe u JOIN window_starts USING (security_id, trade_date)
+            JOIN fold_labels l ON l.security_id = u.security_id AND l.asof_date = u.trade_date
+            WHERE feature_start IS NOT NULL AND target IS NOT NULL AND split IS NOT NULL
+                AND u.eligible""",
+        "fold_tabular": """
+            SELECT r.*, s.sample_id, s.symbol, s.split, s.target, s.industry_code,
+                s.log_float_market_cap
+            FROM fold_rolled r JOIN fold_samples s USING (fold_id, security_id, asof_date)""",
+        "cell_scores": f"""
+            SELECT *, CASE {' '.join(_model_score(m, w) for m, w in layout.model_scores)} END AS score_raw
+            FROM (SELECT t.*, model_key, seed FROM (SELECT * FROM fold_tabular WHERE split = 'valid') t,
+                  (VALUES {', '.join(f"('{m}')" for m, _ in layout.model_scores)}) AS a(model_key),
+                  (VALUES {', '.join(f"(CAST({s} AS BIGINT))" for s in SEEDS)}) AS b(seed))""",
+        "cell_predictions": neutral(
+            "(SELECT fold_id, seed, model_key, security_id, asof_date, target, score_raw, "
+            "industry_code, log_float_market_cap FROM cell_scores)",
+            "fold_id, seed, model_key, ",
+        ),
+        "cell_ic": ic("cell_predictions", "fold_id, seed, model_key, "),
+        "cell_neutral_ic": ic("cell_predictions", "fold_id, seed, model_key, ", "score_neutralized"),
+        "cell_book": book("cell_predictions", "fold_id, seed, model_key, ", costs=(20,)),
+        "cell_daily": """
+            SELECT fold_id, seed, model_key, asof_date, 'raw_rank_ic' AS metric, rank_ic AS value
+            FROM cell_ic
+            UNION ALL SELECT fold_id, seed, model_key, asof_date, 'neutralized_rank_ic', rank_ic
+            FROM cell_neutral_ic
+            UNION ALL SELECT fold_id, seed, model_key, asof_date, 'net_20bps', net_20bps
+            FROM cell_book""",
+    }
+
+
+_NAME = re.compile(r"\b(" + "|".join(table_sql(MONTHS)) + r")\b")
+
+
+def with_tables(sql: str, layout: Layout = MONTHS) -> str:
     """The statement with every stage table it reads, directly or not, put in front."""
-    needed: set[str] = set()
+    tables, needed = table_sql(layout), set()
 
     def visit(text: str, own: str | None = None) -> None:
         for name in _NAME.findall(text):
             if name != own and name not in needed:
                 needed.add(name)
-                visit(TABLES[name], name)
+                visit(tables[name], name)
 
     visit(sql)
     sql = expand_rounding(sql)
     if not needed:
         return sql
-    parts = [f"{name} AS MATERIALIZED ({TABLES[name]})" for name in TABLES if name in needed]
+    parts = [f"{name} AS MATERIALIZED ({tables[name]})" for name in tables if name in needed]
     return "WITH " + ",\n".join(parts) + "\n" + sql.strip()

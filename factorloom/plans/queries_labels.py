@@ -16,7 +16,6 @@ from factorloom.operators import scoring as sc
 from factorloom.operators import splits as sp
 from factorloom.operators.tabular import (
     fit_tabular_preprocessor,
-    multiscale_columns,
     multiscale_inference_features,
     transform_tabular,
 )
@@ -24,13 +23,9 @@ from factorloom.plans.ctes import d, fold_bounds, ln_ratio, neutral
 from factorloom.plans.queries_tables import SAMPLE_COLUMNS
 from factorloom.plans.registry import query
 from factorloom.plans.stage import (
-    CONTEXT,
-    FOLDS,
     HORIZON,
     LAG,
     LINEAGE,
-    SPLIT,
-    WINDOWS,
     Stage,
 )
 
@@ -82,23 +77,24 @@ def _(s: Stage) -> DataFrame:
 
 @query(
     "e6_embargo_start",
-    f"SELECT fold_id, valid_start, test_start FROM ({fold_bounds((SPLIT, *FOLDS))})",
+    lambda l: f"SELECT fold_id, valid_start, test_start FROM ({fold_bounds((l.split, *l.folds))})",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
-    starts = sp.embargo_start(s.calendar, (SPLIT, *FOLDS))
+    starts = sp.embargo_start(s.calendar, (s.layout.split, *s.layout.folds))
     return starts.select("fold_id", "valid_start", "test_start")
 
 
-@query("e7_assign_splits", "SELECT security_id, asof_date, split FROM labels")
+@query("e7_assign_splits", "SELECT security_id, asof_date, split FROM labels", weekly=True)
 def _(s: Stage) -> DataFrame:
-    return sp.assign_splits(s.plain_labels, s.calendar, SPLIT).select(
+    return sp.assign_splits(s.plain_labels, s.calendar, s.layout.split).select(
         "security_id", "asof_date", "split"
     )
 
 
-@query("e8_sample_index", f"SELECT {SAMPLE_COLUMNS} FROM samples")
+@query("e8_sample_index", f"SELECT {SAMPLE_COLUMNS} FROM samples", weekly=True)
 def _(s: Stage) -> DataFrame:
-    return ix.sample_index(s.features, s.labels, s.universe, CONTEXT)
+    return ix.sample_index(s.features, s.labels, s.universe, s.layout.context)
 
 
 @query(
@@ -107,7 +103,7 @@ def _(s: Stage) -> DataFrame:
         industry_code, {d('float_market_cap', 'log_float_market_cap')} FROM live""",
 )
 def _(s: Stage) -> DataFrame:
-    return ix.inference_index(s.features, s.universe, CONTEXT)
+    return ix.inference_index(s.features, s.universe, s.layout.context)
 
 
 @query(
@@ -186,7 +182,37 @@ def _(s: Stage) -> DataFrame:
     return sp.pretraining_audit(s.samples, sp.pretraining_split(s.samples, FRACTION))
 
 
-@query("e13_date_grouped_batches")
+_ORDER = f"md5('{SEED}:1|' || sample_id), sample_id"
+# Dates in their seeded order, packed one after the other: open batch and its rows so far.
+_PACKED = f"""(WITH RECURSIVE dates AS (
+        SELECT asof_date, count(*) AS n,
+            row_number() OVER (ORDER BY md5('{SEED}:1|' || strftime(asof_date, '%Y-%m-%d')), asof_date) AS i
+        FROM samples GROUP BY asof_date
+    ), packed AS (
+        SELECT 0::BIGINT AS i, NULL::DATE AS asof_date, 0::BIGINT AS n, 0::BIGINT AS first_batch,
+            0::BIGINT AS last_batch, 0::BIGINT AS batch, 0::BIGINT AS filled
+        UNION ALL
+        SELECT i, asof_date, n, first_batch, last_batch,
+            CASE WHEN held = {BATCH} THEN last_batch + 1 ELSE last_batch END,
+            CASE WHEN held = {BATCH} THEN 0 ELSE held END
+        FROM (SELECT *, first_batch + whole + CASE WHEN moved THEN 1 ELSE 0 END AS last_batch,
+                CASE WHEN moved THEN 0 ELSE start END + rest AS held
+            FROM (SELECT *, rest > 0 AND start + rest > {BATCH} AS moved
+                FROM (SELECT d.i, d.asof_date, d.n, d.n // {BATCH} AS whole, d.n % {BATCH} AS rest,
+                        p.batch + CASE WHEN d.n >= {BATCH} AND p.filled > 0 THEN 1 ELSE 0 END AS first_batch,
+                        CASE WHEN d.n >= {BATCH} THEN 0 ELSE p.filled END AS start
+                    FROM packed p JOIN dates d ON d.i = p.i + 1)))
+    )
+    SELECT asof_date, n, first_batch, last_batch FROM packed WHERE i > 0)"""
+
+
+@query(
+    "e13_date_grouped_batches",
+    f"""SELECT sample_id, asof_date, CASE WHEN i // {BATCH} < n // {BATCH} THEN first_batch + i // {BATCH}
+        ELSE last_batch END AS batch_id
+    FROM (SELECT sample_id, asof_date, row_number() OVER (PARTITION BY asof_date ORDER BY {_ORDER}) - 1 AS i
+        FROM samples) JOIN {_PACKED} USING (asof_date)""",
+)
 def _(s: Stage) -> DataFrame:
     plan = sm.date_grouped_batches(s.samples, batch_size=BATCH, seed=SEED, epoch=1)
     return plan.select("sample_id", "asof_date", "batch_id")
@@ -207,7 +233,10 @@ def _(s: Stage) -> DataFrame:
     )
 
 
-@query("e14_sequence_batches")
+@query(
+    "e14_sequence_batches",
+    f"SELECT sample_id, (row_number() OVER (ORDER BY {_ORDER}) - 1) // {BATCH} AS batch_id FROM samples",
+)
 def _(s: Stage) -> DataFrame:
     plan = sm.sequence_batches(s.samples, batch_size=BATCH, seed=SEED, epoch=1)
     return plan.select("sample_id", "batch_id")
@@ -249,7 +278,7 @@ def _(s: Stage) -> DataFrame:
     "SELECT fold_id, security_id, asof_date, split FROM fold_labels",
 )
 def _(s: Stage) -> DataFrame:
-    folds = sp.walk_forward_splits(s.plain_labels, s.calendar, FOLDS)
+    folds = sp.walk_forward_splits(s.plain_labels, s.calendar, s.layout.folds)
     return folds.select("fold_id", "security_id", "asof_date", "split")
 
 
@@ -267,9 +296,13 @@ def _fold_scaler(fold) -> str:
     GROUP BY channel, lo, hi"""
 
 
-@query("e15_walk_forward_scalers", " UNION ALL ".join(_fold_scaler(f) for f in FOLDS))
+@query(
+    "e15_walk_forward_scalers",
+    lambda l: " UNION ALL ".join(_fold_scaler(f) for f in l.folds),
+    weekly=True,
+)
 def _(s: Stage) -> DataFrame:
-    return sp.walk_forward_scalers(s.raw_features, FOLDS)
+    return sp.walk_forward_scalers(s.raw_features, s.layout.folds)
 
 
 @query(
@@ -286,22 +319,21 @@ def _(s: Stage) -> DataFrame:
     f"""SELECT fold_id, sample_id, security_id, symbol, asof_date, feature_start, feature_end,
         label_start, label_end, split, {d('target', 'raw_return', 'benchmark_return')},
         crosses_delisting FROM fold_samples""",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     return s.fold_samples
 
 
-_FOLD_TABULAR = multiscale_columns(CHANNELS, WINDOWS, CONTEXT)
-
-
 @query(
     "e15_fold_tabular",
-    f"""SELECT fold_id, sample_id, security_id, symbol, asof_date, split, {d('target')},
-        {d(*_FOLD_TABULAR)} FROM fold_tabular""",
+    lambda l: f"""SELECT fold_id, sample_id, security_id, symbol, asof_date, split, {d('target')},
+        {d(*l.columns)} FROM fold_tabular""",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     return s.fold_tabular.select(
-        "fold_id", "sample_id", "security_id", "symbol", "asof_date", "split", "target", *_FOLD_TABULAR
+        "fold_id", "sample_id", "security_id", "symbol", "asof_date", "split", "target", *s.layout.columns
     )
 
 
@@ -354,7 +386,7 @@ _live_scored = """(SELECT l.security_id, l.symbol, l.asof_date, l.eligible, l.in
 )
 def _(s: Stage) -> DataFrame:
     tabular = multiscale_inference_features(
-        s.features, s.live, channels=["r_close"], windows=[20], context_length=CONTEXT
+        s.features, s.live, channels=["r_close"], windows=[20], context_length=s.layout.context
     )
     scores = tabular.select("sample_id", sc.momentum_score("r_close__mean_20").alias("score_raw"))
     return sc.live_factor_frame(s.live, scores, **LINEAGE)
@@ -362,7 +394,7 @@ def _(s: Stage) -> DataFrame:
 
 def _vectors(s: Stage) -> DataFrame:
     """Tabular rows with inner splits, standardised on train_fit only."""
-    columns = multiscale_columns(CHANNELS, WINDOWS, CONTEXT)
+    columns = s.layout.columns
     inner = sp.inner_selection_split(s.samples, FRACTION).select("sample_id", "split")
     rows = s.tabular.drop("split").join(inner, "sample_id")
     fitted = fit_tabular_preprocessor(rows.filter("split = 'train_fit'"), columns)
@@ -383,12 +415,12 @@ def _baselines(s: Stage) -> dict[str, DataFrame]:
     return s.result("baselines", build)
 
 
-@query("f3_fit_linear_baseline")
+@query("f3_fit_linear_baseline", weekly=True)
 def _(s: Stage) -> DataFrame:
     return _baselines(s)["linear"]
 
 
-@query("f3_fit_tree_baseline")
+@query("f3_fit_tree_baseline", weekly=True)
 def _(s: Stage) -> DataFrame:
     return _baselines(s)["tree"]
 
@@ -397,6 +429,7 @@ def _(s: Stage) -> DataFrame:
     "f3_baseline_bounds",
     """SELECT model, true AS complete, true AS finite, true AS fit_beats_mean
     FROM (VALUES ('linear'), ('tree')) m(model) WHERE (SELECT count(*) FROM tabular) > 0""",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     """Every row has a finite score, and on fitted rows no larger absolute or squared error than

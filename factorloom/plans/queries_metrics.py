@@ -15,7 +15,7 @@ from factorloom.operators.evaluation import evaluate_prediction_table
 from factorloom.plans.ctes import book, book_mean, d, hac, ic, neutral, series
 from factorloom.plans.queries_tables import two_runs
 from factorloom.plans.registry import query
-from factorloom.plans.stage import FOLDS, LINEAGE, SEEDS, Stage
+from factorloom.plans.stage import LINEAGE, SEEDS, Stage
 
 NETS = ("net_0bps", "net_10bps", "net_20bps", "net_50bps")
 BOOK = ("gross_q_high_minus_low", "turnover", *NETS)
@@ -212,10 +212,10 @@ def _evaluation_sql(source: str) -> dict[str, str]:
     }
 
 
-def _register(prefix: str, main: str, statements: dict[str, str], tables) -> None:
+def _register(prefix: str, main: str, statements: dict[str, str], tables, weekly: bool = False) -> None:
     """One query for each result table; ``main`` has the plain name."""
     for name, sql in statements.items():
-        query(prefix if name == main else f"{prefix}_{name}", sql)(lambda s, n=name: tables(s)[n])
+        query(prefix if name == main else f"{prefix}_{name}", sql, weekly=weekly)(lambda s, n=name: tables(s)[n])
 
 
 def _evaluated(s: Stage) -> dict[str, DataFrame]:
@@ -309,6 +309,7 @@ _CELL = "fold_id, seed, model_key, metric, "
 @query(
     "h1_newey_west_mean",
     f"SELECT {_CELL} n, {d(*INFERENCE)}, lags FROM ({hac(_SINGLE, *HAC, _CELL, 'one')})",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     return st.newey_west_mean(s.cell_daily, lags=3, by=CELL)
@@ -327,6 +328,7 @@ _STRIDE_T = "CASE WHEN standard_error > 0 THEN mean / standard_error END"
     "h2_non_overlapping_mean",
     f"""SELECT {_CELL} n, {d('mean', 'standard_error')}, round6({_STRIDE_T}) AS t_stat
     FROM {_STRIDE}""",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     return st.non_overlapping_mean(s.cell_daily, stride=2, offset=1, by=CELL)
@@ -340,6 +342,7 @@ def _(s: Stage) -> DataFrame:
         round6(CASE WHEN o.standard_error > 0 THEN o.mean / o.standard_error END)
             AS non_overlapping_t_stat
     FROM ({hac(_SINGLE, *HAC, _CELL, 'one')}) h JOIN {_STRIDE} o USING ({_CELL.rstrip(', ')})""",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     return st.series_inference(s.cell_daily, lags=3, stride=2, offset=1, by=CELL)
@@ -352,6 +355,7 @@ _GROUP = "seed, model_key, metric, "
     "h4_panel_mean_inference",
     f"""SELECT {_GROUP} n, {d(*INFERENCE)}, lags, non_overlapping_n, {d(*STRIDED)}
     FROM ({hac('cell_daily', *HAC, _GROUP, 'fold_id')})""",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     return st.panel_mean_inference(
@@ -363,7 +367,7 @@ _SEEDS = """(SELECT model_key, metric, fold_id, asof_date, avg(value) AS value F
     WHERE value IS NOT NULL GROUP BY ALL)"""
 
 
-@query("h5_seed_average", f"SELECT model_key, metric, fold_id, asof_date, {d('value')} FROM {_SEEDS}")
+@query("h5_seed_average", f"SELECT model_key, metric, fold_id, asof_date, {d('value')} FROM {_SEEDS}", weekly=True)
 def _(s: Stage) -> DataFrame:
     return rs.seed_average(s.cell_daily)
 
@@ -390,6 +394,7 @@ _DELTAS = f"""(SELECT * FROM {_SHARES} JOIN ({hac(_DELTA_DAYS, *HAC, 'comparison
     "h6_paired_delta",
     f"""SELECT comparison, cell_count, {d('positive_cell_ratio')}, n, {d(*INFERENCE)}, lags,
         non_overlapping_n, {d(*STRIDED)} FROM {_DELTAS}""",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     return rs.paired_delta(s.cell_daily, PROTOCOL)
@@ -407,6 +412,7 @@ _REASONS = """concat_ws('; ',
         CASE WHEN {_REASONS} = '' THEN 'go' ELSE 'no_go' END AS status, {_REASONS} AS reasons,
         round6(mean) AS mean_delta, {d('positive_cell_ratio')},
         0.5::DOUBLE AS minimum_positive_cell_ratio FROM {_DELTAS}""",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     decided = rs.decide(rs.paired_delta(s.cell_daily, PROTOCOL), F.lit(False), PROTOCOL)
@@ -438,6 +444,7 @@ _OVERALL_REASONS = f"concat_ws('; ', nullif({_CRITERIA}, ''), {_SOURCE})"
     f"""SELECT {d('raw_rank_ic_mean', 'neutralized_rank_ic_mean', 'net_20bps_mean',
                  'e3_vs_e1_positive_cell_ratio')},
         {_OVERALL_REASONS} AS reasons, false AS passed, 'no_go' AS status FROM {_OVERALL}""",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     verdict = rs.overall_decision(
@@ -455,7 +462,7 @@ def _aggregated(s: Stage) -> dict[str, DataFrame]:
         lambda: rs.aggregate_research(
             s.cells,
             s.cell_daily,
-            folds=[f.fold_id for f in FOLDS],
+            folds=[f.fold_id for f in s.layout.folds],
             seeds=SEEDS,
             protocol=PROTOCOL,
             predictions=s.cell_predictions,
@@ -498,6 +505,7 @@ _register(
         else frame
         for name, frame in _aggregated(s).items()
     },
+    weekly=True,
 )
 
 

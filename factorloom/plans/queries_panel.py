@@ -15,7 +15,7 @@ from factorloom.operators.indexes import inference_index
 from factorloom.plans import payload_stage as p
 from factorloom.plans.ctes import d, n
 from factorloom.plans.registry import on_grid, query
-from factorloom.plans.stage import CONTEXT, REVISION, SPLIT, UNIVERSE_RULES, WINDOWS, Stage
+from factorloom.plans.stage import CONTEXT, REVISION, UNIVERSE_RULES, Layout, Stage
 from factorloom.sources import payloads
 
 KEYS = ["security_id", "trade_date"]
@@ -65,13 +65,16 @@ def _(s: Stage) -> DataFrame:
 
 @query(
     "c6_map_exchange",
-    f"""SELECT name, CASE exchange WHEN 'NASDAQ' THEN 'XNAS' WHEN 'NYSE' THEN 'XNYS'
+    f"""SELECT name, is_delisted, CASE exchange WHEN 'NASDAQ' THEN 'XNAS' WHEN 'NYSE' THEN 'XNYS'
         WHEN 'AMEX' THEN 'XASE' ELSE 'US' END AS market
-    FROM {p.SYMBOL_ROWS_SQL} WHERE NOT is_delisted""",
+    FROM {p.SYMBOL_ROWS_SQL}""",
 )
 def _(s: Stage) -> DataFrame:
-    rows = p.symbol_rows(s).filter("NOT IsDelisted")
-    return rows.select(F.col("Name").alias("name"), payloads.map_exchange(F.lower("Exchange")).alias("market"))
+    return p.symbol_rows(s).select(
+        F.col("Name").alias("name"),
+        F.col("IsDelisted").alias("is_delisted"),
+        payloads.map_exchange(F.lower("Exchange")).alias("market"),
+    )
 
 
 @query(
@@ -123,6 +126,20 @@ def _(s: Stage) -> DataFrame:
     return un.daily_liquidity_topk(candidates, TOP).select(*KEYS, "liquidity_rank", "eligible")
 
 
+@query(
+    "c10_daily_liquidity_first",
+    f"""SELECT security_id, trade_date, CASE WHEN eligible AND rank <= {TOP} THEN rank END AS liquidity_rank,
+        eligible AND rank <= {TOP} AS eligible
+    FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, eligible
+            ORDER BY adv20_usd DESC NULLS LAST, security_id) AS rank FROM universe)""",
+)
+def _(s: Stage) -> DataFrame:
+    """Only the first of each date ranked, by bounded lists of each task."""
+    candidates = s.universe.select(*KEYS, "adv20_usd", F.col("eligible").alias("eligible_candidate"))
+    first = un.daily_liquidity_topk(candidates, TOP, rank_all=False)
+    return first.select(*KEYS, "liquidity_rank", "eligible")
+
+
 @query(
     "c_build_universe",
     f"""SELECT security_id, symbol, trade_date, {n('listed_days')}, exchange, security_type, is_listed,
@@ -329,7 +346,7 @@ def _(s: Stage) -> DataFrame:
         observations AS train_observations FROM scaler""",
 )
 def _(s: Stage) -> DataFrame:
-    return ft.fit_robust_scaler(s.raw_features, SPLIT.train_end)
+    return ft.fit_robust_scaler(s.raw_features, s.layout.split.train_end)
 
 
 @query(
@@ -340,20 +357,18 @@ def _(s: Stage) -> DataFrame:
     return ft.apply_robust_scaler(s.raw_features, s.scaler).select(*KEYS, *CHANNELS)
 
 
-TABULAR = tb.multiscale_columns(CHANNELS, WINDOWS, CONTEXT)
-
-
 @query(
     "d12_multiscale_features",
-    f"SELECT sample_id, security_id, symbol, asof_date, split, {d('target', *TABULAR)} FROM tabular",
+    lambda l: f"SELECT sample_id, security_id, symbol, asof_date, split, {d('target', *l.columns)} FROM tabular",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     return tb.multiscale_features(
-        s.features, s.samples, windows=WINDOWS, context_length=CONTEXT
+        s.features, s.samples, windows=s.layout.windows, context_length=s.layout.context
     )
 
 
-# All default windows that the calendar can fill.
+# All default windows that the months can fill.
 LONG = 60
 LONG_WINDOWS = [w for w in tb.WINDOWS if w <= LONG]
 
@@ -389,46 +404,50 @@ def _(s: Stage) -> DataFrame:
 
 @query(
     "d13_multiscale_inference_features",
-    f"""SELECT l.sample_id, security_id, l.symbol, asof_date, {d(*TABULAR)}
+    lambda l: f"""SELECT l.sample_id, security_id, l.symbol, asof_date, {d(*l.columns)}
     FROM rolled JOIN live l USING (security_id, asof_date)""",
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
     return tb.multiscale_inference_features(
-        s.features, s.live, windows=WINDOWS, context_length=CONTEXT
+        s.features, s.live, windows=s.layout.windows, context_length=s.layout.context
     )
 
 
 @query(
     "d14_fit_tabular_preprocessor",
-    " UNION ALL ".join(
+    lambda l: " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round6(coalesce(avg({c}), 0)) AS mean, "
         f"round6(CASE WHEN stddev_pop({c}) > 1e-12 THEN stddev_pop({c}) ELSE 1 END) AS scale "
         "FROM tabular WHERE split = 'train'"
-        for c in TABULAR
+        for c in l.columns
     ),
+    weekly=True,
 )
 def _(s: Stage) -> DataFrame:
-    return tb.fit_tabular_preprocessor(s.tabular.filter("split = 'train'"), TABULAR)
+    return tb.fit_tabular_preprocessor(s.tabular.filter("split = 'train'"), s.layout.columns)
 
 
-STANDARD = TABULAR
+def _standard_sql(l: Layout) -> str:
+    shown = ", ".join(
+        f"round4(CAST(CAST(CASE WHEN {c} IS NOT NULL THEN ({c} - {c}_mean) / {c}_scale ELSE 0 END AS FLOAT) "
+        f"AS DOUBLE)) AS z{i}, CASE WHEN {c} IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS m{i}"
+        for i, c in enumerate(l.columns)
+    )
+    fitted = ", ".join(
+        f"coalesce(avg({c}), 0) AS {c}_mean, CASE WHEN stddev_pop({c}) > 1e-12 THEN stddev_pop({c}) ELSE 1 END "
+        f"AS {c}_scale"
+        for c in l.columns
+    )
+    return f"SELECT sample_id, {shown} FROM tabular, (SELECT {fitted} FROM tabular WHERE split = 'train')"
 
 
-@query(
-    "d15_transform_tabular",
-    "SELECT sample_id, "
-    + ", ".join(
-        f"round4(CAST(CAST(CASE WHEN {c} IS NOT NULL THEN ({c} - (SELECT avg({c}) FROM tabular "
-        f"WHERE split = 'train')) / (SELECT stddev_pop({c}) FROM tabular WHERE split = 'train') "
-        f"ELSE 0 END AS FLOAT) AS DOUBLE)) AS z{i}, CASE WHEN {c} IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS m{i}"
-        for i, c in enumerate(STANDARD)
-    )
-    + " FROM tabular",
-)
+@query("d15_transform_tabular", _standard_sql, weekly=True)
 def _(s: Stage) -> DataFrame:
-    fitted = tb.fit_tabular_preprocessor(s.tabular.filter("split = 'train'"), STANDARD)
-    vectors = tb.transform_tabular(s.tabular, fitted, STANDARD)
-    width = len(STANDARD)
+    columns = s.layout.columns
+    fitted = tb.fit_tabular_preprocessor(s.tabular.filter("split = 'train'"), columns)
+    vectors = tb.transform_tabular(s.tabular, fitted, columns)
+    width = len(columns)
     return vectors.select(
         "sample_id",
         *[on_grid(F.col("vector")[i], 4).alias(f"z{i}") for i in range(width)],
@@ -443,7 +462,7 @@ PATCHES = wn.patch_count(CONTEXT, LENGTH, STRIDE)
 
 
 def _windows(s: Stage) -> DataFrame:
-    return wn.context_windows(s.features, s.samples, context_length=CONTEXT)
+    return wn.cut_windows(s.packed, s.samples, context_length=s.layout.context)
 
 
 def _steps(channels, index: str) -> str:
@@ -485,7 +504,76 @@ def _(s: Stage) -> DataFrame:
 
 @query("d16_inference_windows", _window_sql("live"))
 def _(s: Stage) -> DataFrame:
-    return _window_rows(wn.context_windows(s.features, s.live, context_length=CONTEXT))
+    return _window_rows(wn.context_windows(s.features, s.live, context_length=s.layout.context))
+
+
+def _packed_sql(l: Layout) -> str:
+    size, overlap = l.context, l.context - 1
+    sums = ", ".join(
+        f"round4(sum(CAST(CAST(coalesce({c}, 0) AS FLOAT) AS DOUBLE))) AS {c}, count({c}) AS observed_{c}"
+        for c in CHANNELS
+    )
+    return f"""SELECT security_id, chunk, count(*) FILTER (i < chunk * {size}) AS home, count(*) AS steps,
+        min(trade_date) AS first_date, max(trade_date) AS last_date, {sums}
+    FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY trade_date) - 1 AS i FROM features) f
+    JOIN range(100) c(chunk) ON i >= chunk * {size} - {overlap} AND i < (chunk + 1) * {size}
+    GROUP BY security_id, chunk HAVING max(i) >= chunk * {size}"""
+
+
+@query("d16_packed_series", _packed_sql, weekly=True)
+def _(s: Stage) -> DataFrame:
+    """The store of series: bounds and sums of each chunk."""
+
+    def total(i: int):
+        return F.aggregate("values", F.lit(0.0), lambda a, v: a + v[i].cast("double"))
+
+    def seen(i: int):
+        return F.size(F.filter("observed_mask", lambda m: m[i]))
+
+    return s.packed.select(
+        "security_id",
+        "chunk",
+        "home",
+        F.size("dates").alias("steps"),
+        F.array_min("dates").alias("first_date"),
+        F.array_max("dates").alias("last_date"),
+        *[on_grid(total(i), 4).alias(c) for i, c in enumerate(CHANNELS)],
+        *[seen(i).cast("long").alias(f"observed_{c}") for i, c in enumerate(CHANNELS)],
+    )
+
+
+def _window_sums_sql(l: Layout) -> str:
+    """Sums over each sample's window, and its first and last step."""
+    frame = f"OVER (PARTITION BY security_id ORDER BY trade_date ROWS {l.context - 1} PRECEDING)"
+    values = ", ".join(
+        f"sum(CAST(CAST(coalesce({c}, 0) AS FLOAT) AS DOUBLE)) {frame} AS {c}, count({c}) {frame} AS observed_{c}, "
+        f"CAST(CAST(coalesce({c}, 0) AS FLOAT) AS DOUBLE) AS last_{c}"
+        for c in CHANNELS
+    )
+    shown = ", ".join(f"round4({c}) AS {c}, observed_{c}, round4(last_{c}) AS last_{c}" for c in CHANNELS)
+    return f"""SELECT sample_id, CAST({l.context} AS BIGINT) AS steps, {shown}
+    FROM samples s JOIN (SELECT security_id, trade_date, {values} FROM features) f
+        ON f.security_id = s.security_id AND f.trade_date = s.asof_date"""
+
+
+@query("d16_window_sums", _window_sums_sql, weekly=True)
+def _(s: Stage) -> DataFrame:
+    """Windows of the sample index out of the store, summed up."""
+    last = F.element_at("values", -1)
+
+    def total(i: int):
+        return F.aggregate("values", F.lit(0.0), lambda a, v: a + v[i].cast("double"))
+
+    return _windows(s).select(
+        "sample_id",
+        F.size("values").cast("long").alias("steps"),
+        *[on_grid(total(i), 4).alias(c) for i, c in enumerate(CHANNELS)],
+        *[
+            F.size(F.filter("observed_mask", lambda m, i=i: m[i])).cast("long").alias(f"observed_{c}")
+            for i, c in enumerate(CHANNELS)
+        ],
+        *[on_grid(last[i], 4).alias(f"last_{c}") for i, c in enumerate(CHANNELS)],
+    )
 
 
 def _patches(s: Stage) -> DataFrame:
@@ -527,7 +615,13 @@ def _(s: Stage) -> DataFrame:
     )
 
 
-@query("d18_masked_patch_sample")
+@query(
+    "d18_masked_patch_sample",
+    f"""SELECT sample_id, channel, patch_index, row_number() OVER (PARTITION BY sample_id, channel
+            ORDER BY md5('17:0|' || sample_id || '|' || channel || '|' || patch_index), patch_index)
+            <= {PATCHES} - floor({PATCHES} * 0.6) AS masked
+    FROM samples, (VALUES {', '.join(f"('{c}')" for c in CHANNELS)}) c(channel), range({PATCHES}) r(patch_index)""",
+)
 def _(s: Stage) -> DataFrame:
     masked = wn.masked_patch_sample(_patches(s), ratio=0.4, seed=17)
     return masked.select("sample_id", "channel", "patch_index", "masked")

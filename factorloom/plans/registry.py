@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factorloom.plans.ctes import BORDER, with_tables
-from factorloom.plans.stage import Stage, stage
+from factorloom.plans.stage import MONTHS, WEEKS, Layout, Stage, stage
 
-_plans: dict[str, Callable[[Stage], DataFrame]] = {}
+_plans: dict[str, tuple[Callable[[Stage], DataFrame], Layout]] = {}
 _sql: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | Callable[[Layout], str] | None = None, *, weekly: bool = False):
+    """Register a plan over the monthly stage, and as ``name_weekly`` over the weekly one.
+
+    ``sql`` may depend on the layout.
+    """
+
     def register(plan: Callable[[Stage], DataFrame]):
-        _plans[name] = plan
-        if sql is not None:
-            _sql[name] = with_tables(sql)
+        for layout, own in ((MONTHS, name), (WEEKS, f"{name}_weekly"))[: 2 if weekly else 1]:
+            _plans[own] = plan, layout
+            if sql is not None:
+                _sql[own] = with_tables(sql if isinstance(sql, str) else sql(layout), layout)
         return plan
 
     return register
@@ -45,10 +51,10 @@ def tidy(frame: DataFrame) -> DataFrame:
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(plan: Callable[[Stage], DataFrame]):
-        return lambda spark, sf_dir: tidy(plan(stage(spark, sf_dir)))
+    def bind(plan: Callable[[Stage], DataFrame], layout: Layout):
+        return lambda spark, sf_dir: tidy(plan(stage(spark, sf_dir, layout)))
 
-    return {name: bind(plan) for name, plan in _plans.items()}
+    return {name: bind(*found) for name, found in _plans.items()}
 
 
 def oracle_queries() -> dict[str, str]:

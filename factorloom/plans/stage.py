@@ -1,26 +1,31 @@
 """Stage tables derived from the given tables, each built once per session and stored.
 
-One supplier plays a security and one calendar month of shipments a session.
+One supplier plays a security and one calendar month of shipments a session; in the second layout
+five suppliers and one week, which gives a calendar long enough for every default window.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.functions.columns import log_if_positive
+from factorloom.functions.columns import CHANNELS, log_if_positive
 from factorloom.functions.session import fresh_path, materialize, tune
 from factorloom.operators.features import apply_robust_scaler, build_features, fit_robust_scaler
 from factorloom.operators.indexes import inference_index, sample_index, sample_metadata
 from factorloom.operators.labels import build_labels
 from factorloom.operators.metrics import (
+    Section,
+    book_of,
     cross_section_stats,
-    daily_ic,
-    daily_portfolio,
     net_name,
+    quantile_legs,
+    ranked_sections,
+    section_ic,
 )
 from factorloom.operators.neutralize import neutralize
 from factorloom.operators.research import MODEL_KEYS, NEUTRALIZED, RAW
@@ -34,51 +39,104 @@ from factorloom.operators.splits import (
     walk_forward_datasets,
     walk_forward_splits,
 )
-from factorloom.operators.tabular import multiscale_features
+from factorloom.operators.tabular import WINDOWS, multiscale_columns, multiscale_features
 from factorloom.operators.universe import build_universe, impute_delistings
+from factorloom.operators.windows import pack_series
 
 REVISION = "tpch"
-CONTEXT = 24
-WINDOWS = (5, 20)
 LAG, HORIZON = 1, 5
 UNIVERSE_RULES = {"min_listed_sessions": 24, "min_price": 1.0, "min_adv20_usd": 1.0}
-SPLIT = SplitDates(dt.date(1998, 12, 1), dt.date(2000, 6, 1), dt.date(2001, 9, 1), 2)
-FOLDS = (
-    SplitDates(dt.date(1998, 1, 1), dt.date(1999, 2, 1), dt.date(1999, 9, 1), 2, "fold_a"),
-    SplitDates(dt.date(1999, 2, 1), dt.date(2000, 3, 1), dt.date(2000, 10, 1), 2, "fold_b"),
-    SplitDates(dt.date(2000, 3, 1), dt.date(2001, 3, 1), dt.date(2001, 9, 1), 2, "fold_c"),
-)
 SEEDS = (17, 42, 73)
 LINEAGE = {"model_id": "momentum", "checkpoint_hash": "none", "dataset_id": "base"}
 
-# Features behind the deterministic scores that stand in for the four models.
-MODEL_SCORES = {
-    "e0": {"r_close__mean_20": 1.0},
-    "e1": {"vol20__last": 1.0},
-    "e2": {"r_gap__mean_5": 1.0, "range__last": -0.5},
-    "e3": {"r_close__mean_20": -1.0, "vol20__last": 0.5},
-}
 
-_stages: dict[tuple[str, str], "Stage"] = {}
+@dataclass(frozen=True)
+class Layout:
+    """How the given tables become a panel: securities, sessions, windows and splits."""
+
+    name: str
+    period: str  # of shipments in a session
+    suppliers: int  # consecutive suppliers of a security
+    context: int
+    windows: tuple[int, ...]
+    split: SplitDates
+    folds: tuple[SplitDates, ...]
+    # Features behind the deterministic scores that stand in for the four models.
+    model_scores: tuple[tuple[str, tuple[tuple[str, float], ...]], ...]
+
+    @property
+    def columns(self) -> list[str]:
+        return multiscale_columns(CHANNELS, self.windows, self.context)
+
+
+MONTHS = Layout(
+    name="months",
+    period="month",
+    suppliers=1,
+    context=24,
+    windows=(5, 20),
+    split=SplitDates(dt.date(1998, 12, 1), dt.date(2000, 6, 1), dt.date(2001, 9, 1), 2),
+    folds=(
+        SplitDates(dt.date(1998, 1, 1), dt.date(1999, 2, 1), dt.date(1999, 9, 1), 2, "fold_a"),
+        SplitDates(dt.date(1999, 2, 1), dt.date(2000, 3, 1), dt.date(2000, 10, 1), 2, "fold_b"),
+        SplitDates(dt.date(2000, 3, 1), dt.date(2001, 3, 1), dt.date(2001, 9, 1), 2, "fold_c"),
+    ),
+    model_scores=(
+        ("e0", (("r_close__mean_20", 1.0),)),
+        ("e1", (("vol20__last", 1.0),)),
+        ("e2", (("r_gap__mean_5", 1.0), ("range__last", -0.5))),
+        ("e3", (("r_close__mean_20", -1.0), ("vol20__last", 0.5))),
+    ),
+)
+
+# Some 357 sessions, so that every default window fits; five suppliers trade in nearly every week.
+WEEKS = Layout(
+    name="weeks",
+    period="week",
+    suppliers=5,
+    context=252,
+    windows=WINDOWS,
+    split=SplitDates(dt.date(2000, 12, 4), dt.date(2001, 5, 7), dt.date(2001, 10, 29), 5),
+    folds=(
+        SplitDates(dt.date(2000, 7, 17), dt.date(2000, 11, 6), dt.date(2001, 3, 5), 2, "fold_a"),
+        SplitDates(dt.date(2000, 10, 2), dt.date(2001, 2, 12), dt.date(2001, 6, 4), 2, "fold_b"),
+        SplitDates(dt.date(2000, 12, 18), dt.date(2001, 5, 7), dt.date(2001, 10, 29), 2, "fold_c"),
+    ),
+    model_scores=(
+        ("e0", (("r_close__mean_252", 1.0),)),
+        ("e1", (("vol20__mean_120", 1.0),)),
+        ("e2", (("r_gap__mean_60", 1.0), ("range__last", -0.5))),
+        ("e3", (("r_close__mean_120", -1.0), ("vol20__last", 0.5))),
+    ),
+)
+CONTEXT, SPLIT, FOLDS = MONTHS.context, MONTHS.split, MONTHS.folds
+
+_stages: dict[tuple[str, str, str], "Stage"] = {}
 
 
-def stage(spark: SparkSession, sf_dir: str) -> "Stage":
-    key = (spark.sparkContext.applicationId, sf_dir)
+def stage(spark: SparkSession, sf_dir: str, layout: Layout = MONTHS) -> "Stage":
+    key = (spark.sparkContext.applicationId, sf_dir, layout.name)
     if key not in _stages:
-        _stages[key] = Stage(tune(spark), sf_dir)
+        _stages[key] = Stage(tune(spark), sf_dir, layout)
     return _stages[key]
 
 
-def derive_bars(lineitem: DataFrame) -> DataFrame:
-    """Monthly bars per supplier; suppliers ending in 9 leave the market in 2000."""
+def _security(supplier: str, suppliers: int) -> Column:
+    """Consecutive suppliers share a security."""
+    return F.col(supplier) if suppliers == 1 else F.expr(f"({supplier} - 1) div {suppliers}")
+
+
+def derive_bars(lineitem: DataFrame, layout: Layout = MONTHS) -> DataFrame:
+    """Bars per security and session; securities ending in 9 leave the market in 2000."""
     c = F.col
     price = F.try_divide("l_extendedprice", "l_quantity")
     order = F.struct(
         "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"
     )
-    key = c("l_suppkey")
+    key = c("_key")
+    lineitem = lineitem.withColumn("_key", _security("l_suppkey", layout.suppliers))
     kept = lineitem.filter(~((key % 10 == 9) & (c("l_shipdate") >= F.lit(dt.datetime(2000, 1, 1)))))
-    months = kept.groupBy(key, F.trunc("l_shipdate", "month").alias("trade_date")).agg(
+    months = kept.groupBy(key, F.trunc("l_shipdate", layout.period).alias("trade_date")).agg(
         F.min_by(price, order).alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
@@ -113,10 +171,10 @@ def security_number() -> Column:
     return F.substring("security_id", 5, 20).cast("long")
 
 
-def model_score(model: str, seed: Column) -> Column:
+def model_score(weights: Sequence[tuple[str, float]], seed: Column) -> Column:
     """Weighted features plus a small seeded offset per security, rounded to 9 digits."""
     base = F.lit(0.0)
-    for feature, weight in MODEL_SCORES[model].items():
+    for feature, weight in weights:
         base = base + weight * F.coalesce(F.col(feature), F.lit(0.0))
     offset = (security_number() * seed) % 1009 / F.lit(1009.0) * 0.5
     return F.round(base + offset, 9)
@@ -125,8 +183,9 @@ def model_score(model: str, seed: Column) -> Column:
 class Stage:
     """Lazily built stage tables; each attribute is stored on first use."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, layout: Layout = MONTHS):
         self.spark = spark
+        self.layout = layout
         self.sf_dir = sf_dir
         self.snapshot_root = fresh_path(spark, "snapshots")
         self._stored: dict[str, DataFrame] = {}
@@ -149,16 +208,18 @@ class Stage:
 
     @property
     def bars(self) -> DataFrame:
-        return self._once("bars", lambda: derive_bars(self.table("lineitem")))
+        return self._once("bars", lambda: derive_bars(self.table("lineitem"), self.layout))
 
     def exposures(self) -> DataFrame:
-        """Region as industry and account balance as market cap, per security."""
+        """Region as industry and account balance as market cap, of a security's first supplier."""
+        suppliers = self.layout.suppliers
         return (
             self.table("supplier")
+            .filter((F.col("s_suppkey") - 1) % suppliers == 0)
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
             .select(
-                F.concat(F.lit("sec:"), F.col("s_suppkey").cast("string")).alias("security_id"),
+                F.concat(F.lit("sec:"), _security("s_suppkey", suppliers).cast("string")).alias("security_id"),
                 F.col("r_name").alias("industry_code"),
                 F.col("s_acctbal").alias("float_market_cap"),
             )
@@ -186,7 +247,7 @@ class Stage:
 
     @property
     def scaler(self) -> DataFrame:
-        return self._once("scaler", lambda: fit_robust_scaler(self.raw_features, SPLIT.train_end))
+        return self._once("scaler", lambda: fit_robust_scaler(self.raw_features, self.layout.split.train_end))
 
     @property
     def features(self) -> DataFrame:
@@ -206,24 +267,33 @@ class Stage:
     @property
     def labels(self) -> DataFrame:
         return self._once(
-            "labels", lambda: assign_splits(self.plain_labels, self.calendar, SPLIT)
+            "labels", lambda: assign_splits(self.plain_labels, self.calendar, self.layout.split)
         )
 
     @property
     def fold_labels(self) -> DataFrame:
         return self._once(
-            "fold-labels", lambda: walk_forward_splits(self.plain_labels, self.calendar, FOLDS)
+            "fold-labels", lambda: walk_forward_splits(self.plain_labels, self.calendar, self.layout.folds)
         )
 
     @property
     def samples(self) -> DataFrame:
         return self._once(
-            "samples", lambda: sample_index(self.features, self.labels, self.universe, CONTEXT)
+            "samples", lambda: sample_index(self.features, self.labels, self.universe, self.layout.context)
         )
 
     @property
     def live(self) -> DataFrame:
-        return self._once("live", lambda: inference_index(self.features, self.universe, CONTEXT))
+        return self._once("live", lambda: inference_index(self.features, self.universe, self.layout.context))
+
+    @property
+    def packed(self) -> DataFrame:
+        """The scaled features as a store of series; chunks of one context, so that a calendar as
+        short as these has several."""
+        context = self.layout.context
+        return self._once(
+            "packed", lambda: pack_series(self.features, context_length=context, chunk_length=context)
+        )
 
     @property
     def metadata(self) -> DataFrame:
@@ -234,7 +304,7 @@ class Stage:
         return self._once(
             "tabular",
             lambda: multiscale_features(
-                self.features, self.samples, windows=WINDOWS, context_length=CONTEXT
+                self.features, self.samples, windows=self.layout.windows, context_length=self.layout.context
             ),
         )
 
@@ -253,9 +323,9 @@ class Stage:
                 self.raw_features,
                 self.plain_labels,
                 self.universe,
-                FOLDS,
-                context_length=CONTEXT,
-                windows=WINDOWS,
+                self.layout.folds,
+                context_length=self.layout.context,
+                windows=self.layout.windows,
             )
         return self._once(f"fold-{table}", lambda: stack_folds(self._folds, table))
 
@@ -276,7 +346,8 @@ class Stage:
         """Valid rows of every fold, scored by every model and seed."""
 
         def build() -> DataFrame:
-            features = sorted({f for weights in MODEL_SCORES.values() for f in weights})
+            scores = dict(self.layout.model_scores)
+            features = sorted({f for weights in scores.values() for f, _ in weights})
             rows = self.fold_tabular.filter("split = 'valid'").select(
                 "fold_id", "security_id", "asof_date", "target", *features
             )
@@ -297,7 +368,7 @@ class Stage:
             )
             score = F.coalesce(
                 *[
-                    F.when(F.col("model_key") == m, model_score(m, F.col("seed")))
+                    F.when(F.col("model_key") == m, model_score(scores[m], F.col("seed")))
                     for m in MODEL_KEYS
                 ]
             )
@@ -329,17 +400,15 @@ class Stage:
         def build() -> DataFrame:
             cells, by = self.cell_predictions, ["fold_id", "seed", "model_key"]
             net = net_name(20.0)
-            raw = daily_ic(cells, by=by).withColumnsRenamed({"rank_ic": RAW})
-            neutral = daily_ic(cells, "score_neutralized", by).withColumnsRenamed(
-                {"rank_ic": NEUTRALIZED}
-            )
-            book = daily_portfolio(cells, by=by, costs_bps=[20.0])
+            sections = [Section(RAW, "score_raw"), Section(NEUTRALIZED, "score_neutralized")]
+            ranked = materialize(ranked_sections(cells, sections, by), "ranked")
             keys = [*by, "asof_date"]
-            long = [
-                frame.select(*keys, F.lit(name).alias("metric"), F.col(name).alias("value"))
-                for frame, name in ((raw, RAW), (neutral, NEUTRALIZED), (book, net))
-            ]
-            return long[0].unionByName(long[1]).unionByName(long[2])
+            series = section_ic(ranked, by).select(
+                *keys, F.col("section").alias("metric"), F.col("rank_ic").alias("value")
+            )
+            legs = quantile_legs(ranked.filter(F.col("section") == RAW))
+            book = book_of(legs, by, costs_bps=[20.0])
+            return series.unionByName(book.select(*keys, F.lit(net).alias("metric"), F.col(net).alias("value")))
 
         return self._once("cell-daily", build)
 

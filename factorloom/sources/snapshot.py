@@ -1,8 +1,11 @@
 """Immutable dataset snapshots named by their content.
 
-Artifacts are Parquet directories below ``root/dataset_id``. The manifest is written last
-and is the commit marker: a directory without one is not a snapshot and is written again.
-This needs no rename, so it holds on object stores, and a lost executor only repeats tasks.
+Every writer builds its artifacts (Parquet directories) in an attempt folder of its own below
+``root/dataset_id``. What is published is a manifest, one small file added to a table of
+manifests, as the last step: a snapshot without one does not exist yet. Writers never touch
+each other's files and never replace any. Where two of one identity overlap, both may publish;
+readers take the first manifest, and a writer that finds one returns it. This needs no rename
+of folders, so it holds on object stores, and a lost executor only repeats tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import uuid
 from dataclasses import asdict, dataclass
 from typing import Any
 
@@ -34,6 +38,7 @@ from factorloom.operators.splits import SplitDates, assign_splits, session_dates
 from factorloom.sources.tables import StandardTables
 
 SCHEMA_VERSION = 3
+MANIFESTS = "manifests"
 ARTIFACTS = ("features", "labels", "sample_index", "sample_metadata", "inference_index")
 
 
@@ -89,9 +94,9 @@ def read_json(spark: SparkSession, path: str) -> dict[str, Any] | None:
     return json.loads(rows[0][0]) if rows else None
 
 
-def write_json(spark: SparkSession, document: dict[str, Any], path: str) -> None:
+def write_json(spark: SparkSession, document: dict[str, Any], path: str, mode: str = "error") -> None:
     text = spark.createDataFrame([(canonical_json(document),)], "value string")
-    text.coalesce(1).write.mode("overwrite").text(path)
+    text.coalesce(1).write.mode(mode).text(path)
 
 
 def index_report(index: DataFrame) -> DataFrame:
@@ -115,22 +120,23 @@ def write_snapshot(
     root: str,
     source_manifest: dict[str, Any] | None = None,
 ) -> tuple[str, dict[str, Any]]:
-    """Build every artifact, or return the committed snapshot of the same content.
+    """Build every artifact, or return the published snapshot of the same content.
 
-    The bundle must keep its contracts; what was committed has passed them.
+    The bundle must keep its contracts; what was published has passed them.
     """
     spark = tables.bars.sparkSession
     dataset_id, identity = dataset_identity(tables, config)
     folder = f"{root.rstrip('/')}/{dataset_id}"
-    committed = read_json(spark, f"{folder}/manifest.json")
-    if committed is not None:
-        return folder, committed
+    published = published_manifest(spark, folder)
+    if published is not None:
+        return folder, published
+    attempt = uuid.uuid4().hex
     for name, frame in tables.items():
         require_contract(frame, name)
 
     def store(frame: DataFrame, name: str) -> DataFrame:
-        path = f"{folder}/{name}"
-        frame.write.mode("overwrite").parquet(path)
+        path = f"{folder}/{attempt}/{name}"
+        frame.write.parquet(path)
         return spark.read.schema(frame.schema).parquet(path)
 
     # The raw features are read by the scaler fit and by its application.
@@ -171,30 +177,43 @@ def write_snapshot(
         "inference_index": _rows(index_audit(live)),
         "scaler": _rows(scaler),
     }
-    write_json(spark, audit, f"{folder}/audit.json")
+    write_json(spark, audit, f"{folder}/{attempt}/audit.json")
     if source_manifest is not None:
-        write_json(spark, source_manifest, f"{folder}/source_manifest.json")
+        write_json(spark, source_manifest, f"{folder}/{attempt}/source_manifest.json")
     manifest = {
         **json.loads(canonical_json(identity)),
         "dataset_id": dataset_id,
+        "attempt": attempt,
         "created_at": dt.datetime.now(dt.timezone.utc).isoformat(),
         "artifacts": [*ARTIFACTS, "scaler", "audit.json"],
         "has_source_manifest": source_manifest is not None,
     }
-    write_json(spark, manifest, f"{folder}/manifest.json")
-    return folder, manifest
+    if published_manifest(spark, folder) is None:
+        write_json(spark, manifest, f"{folder}/{MANIFESTS}", mode="append")
+    return folder, published_manifest(spark, folder)
+
+
+def published_manifest(spark: SparkSession, folder: str) -> dict[str, Any] | None:
+    """The first manifest of a snapshot, or None where none is published."""
+    try:
+        rows = spark.read.text(f"{folder}/{MANIFESTS}").collect()
+    except AnalysisException:
+        return None
+    found = [json.loads(row[0]) for row in rows]
+    return min(found, key=lambda m: (m["created_at"], m["attempt"]), default=None)
 
 
 def read_snapshot(
     spark: SparkSession, folder: str, *, minimum_schema: int = 2, names: tuple[str, ...] = ARTIFACTS
 ) -> tuple[dict[str, Any], dict[str, DataFrame]]:
-    """The manifest and the wanted artifacts of a committed snapshot."""
-    manifest = read_json(spark, f"{folder}/manifest.json")
+    """The manifest and the wanted artifacts of a published snapshot."""
+    manifest = published_manifest(spark, folder)
     if manifest is None:
-        raise FileNotFoundError(f"no committed snapshot in {folder}")
+        raise FileNotFoundError(f"no published snapshot in {folder}")
     if manifest.get("schema_version", 0) < minimum_schema:
         raise ContractError(f"snapshot schema {minimum_schema} or later is required")
-    return manifest, {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+    own = f"{folder}/{manifest['attempt']}"
+    return manifest, {name: spark.read.parquet(f"{own}/{name}") for name in names}
 
 
 def read_signal_snapshot(spark: SparkSession, folder: str):
@@ -206,5 +225,6 @@ def read_signal_snapshot(spark: SparkSession, folder: str):
 
 def source_research_ready(spark: SparkSession, folder: str) -> bool | None:
     """The source manifest's readiness flag, NULL where unknown."""
-    payload = read_json(spark, f"{folder}/source_manifest.json") or {}
+    manifest = published_manifest(spark, folder) or {}
+    payload = read_json(spark, f"{folder}/{manifest.get('attempt')}/source_manifest.json") or {}
     return (payload.get("selection") or {}).get("research_ready")
