@@ -9,6 +9,11 @@ of all frames at a time; other frames one by one.
 
 All arithmetic that decides bytes is on integers or on single IEEE operations, so equal samples
 give equal streams on any layout.
+
+Defined results: a null or empty text is a payload of 192 spaces, so a stream of one frame, and
+counts no bytes of its own; a text of any length is one stream, encoded and decoded whole,
+alone in its slice above about 1 MB; repeated rows and equal texts give equal values; ids may be of
+any type and null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -650,6 +655,16 @@ def _media_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Record
             yield batch.slice(start, stop - start), media[start:stop]
 
 
+def block_rows(stream: bytes, samples: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
+    """(block, first_sample, n_samples, byte_offset, pcm) of each frame of a decoded stream."""
+    info = Stream(stream)
+    step = info.block * info.channels
+    pcm, width = samples.astype("<i2").tobytes(), 2 * info.channels
+    for number, offset in enumerate(offsets.tolist()):
+        part = pcm[number * 2 * step : (number + 1) * 2 * step]
+        yield number, number * info.block, len(part) // width, offset, part
+
+
 def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name = None
     for batch, media in _media_slices(batches):
@@ -657,11 +672,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         present = [i for i, m in enumerate(media) if m is not None]
         rows: list[tuple] = []
         for i, (samples, offsets) in zip(present, decode([media[i] for i in present])):
-            info = Stream(media[i])
-            step = info.block * info.channels
-            for number, offset in enumerate(offsets):
-                pcm = samples[number * step : (number + 1) * step].astype("<i2").tobytes()
-                rows.append((i, number, number * info.block, len(pcm) // 2 // info.channels, int(offset), pcm))
+            rows += [(i, *block) for block in block_rows(media[i], samples, offsets)]
         columns = list(zip(*rows)) if rows else [[] for _ in range(6)]
         keys = batch.column(name).take(pa.array(columns[0], pa.int64()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -685,41 +696,61 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def describe(samples: np.ndarray, offsets: np.ndarray) -> str:
+def describe(samples: np.ndarray, frames: int) -> str:
     """Whole-number features: frames, range, sum, energy, sign changes."""
     wide = samples.astype(np.int64)
     turns = int(((wide[1:] < 0) != (wide[:-1] < 0)).sum())
     low, high = (int(wide.min()), int(wide.max())) if len(wide) else (0, 0)
     return (
-        f"frames={len(offsets)};min={low};max={high};sum={int(wide.sum())};"
+        f"frames={frames};min={low};max={high};sum={int(wide.sum())};"
         f"energy={int((wide * wide).sum())};turns={turns}"
     )
 
 
+DIGEST = {
+    "payload_bytes": "long",
+    "payload_sha256": "string",
+    "tail_crc32": "long",
+    "media_bytes": "long",
+    "media_sha256": "string",
+    "feature": "string",
+    "n_blocks": "long",
+    "seek_sha256": "string",
+}
+
+
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the block rows of each stream hold, put together again in their order."""
     for batch, media in _media_slices(batches):
-        columns: list[list] = [[], [], [], [], [], []]
-        for stream, (samples, offsets) in zip(media, decode(media)):
+        columns: list[list] = [[] for _ in DIGEST]
+        for stream, (decoded, offsets) in zip(media, decode(media)):
+            blocks = list(block_rows(stream, decoded, offsets))
+            samples = np.frombuffer(b"".join(b[-1] for b in blocks), "<i2")
             payload = (samples.astype(np.int8).view(np.uint8) ^ 0x80).tobytes()
+            seeks = "".join([f"{first}:{offset}\n" for _, first, _, offset, _ in blocks])
             row = (
                 len(payload),
                 hashlib.sha256(payload).hexdigest(),
                 zlib.crc32(payload[-16:]),
                 len(stream),
                 hashlib.sha256(stream).hexdigest(),
-                describe(samples, offsets),
+                describe(samples, len(blocks)),
+                len(blocks),
+                hashlib.sha256(seeks.encode()).hexdigest(),
             )
             for column, value in zip(columns, row):
                 column.append(value)
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield _with(batch, "media", names, [pa.array(c, k) for c, k in zip(columns, kinds)])
+        kinds = [pa.int64() if kind == "long" else pa.string() for kind in DIGEST.values()]
+        yield _with(batch, "media", list(DIGEST), [pa.array(c, k) for c, k in zip(columns, kinds)])
+
+
+def media_digests(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Digests of each text's stream and of its PCM blocks: payload, features, seek table."""
+    media = encode_text_media(docs, key)
+    kind = media.schema[key].dataType.simpleString()
+    added = ", ".join(f"{name} {kind}" for name, kind in DIGEST.items())
+    return media.mapInArrow(_digest_batches, f"`{key}` {kind}, n_bytes long, {added}")
 
 
 def op2_flac_media(spark, sf_dir: str) -> DataFrame:
-    media = encode_text_media(table(spark, sf_dir, "documents"))
-    return media.mapInArrow(
-        _digest_batches,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string",
-    )
+    return media_digests(table(spark, sf_dir, "documents"))

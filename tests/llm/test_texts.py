@@ -102,6 +102,17 @@ def test_op2(spark, messy, no_documents):
         )
     found = QUERIES["op2_flac_media"](spark, messy).collect()
     assert by_id(tuple(r)[:5] for r in found) == by_id(expected)
+    features = {}
+    for doc_id, text, *_ in messy_documents():
+        raw = (text or "").encode()
+        samples = [b - 128 for b in raw + b" " * (-len(raw) % 192 if raw else 192)]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+        features[hashlib.sha256(bytes(v + 128 for v in samples)).hexdigest()] = (
+            f"frames={len(samples) // 192};min={min(samples)};max={max(samples)};sum={sum(samples)};"
+            f"energy={sum(v * v for v in samples)};turns={turns}",
+            len(samples) // 192,
+        )
+    assert all((r["feature"], r["n_blocks"]) == features[r["payload_sha256"]] for r in found)
     assert len({r["media_sha256"] for r in found}) == len({r["payload_sha256"] for r in found})
     assert QUERIES["op2_flac_media"](spark, no_documents).count() == 0
 
@@ -114,6 +125,18 @@ def test_flac_blocks_can_be_sought(spark, messy):
     whole = next(t for i, t, *_ in messy_documents() if i == 6).encode()
     assert text[: len(whole)] == whole and text[len(whole) :].strip() == b""
     assert [b["first_sample"] for b in blocks] == [192 * k for k in range(len(blocks))]
+    stream = bytes(media.filter("doc_id = 6").first()["media"])
+    assert all(stream[b["byte_offset"] : b["byte_offset"] + 2] == b"\xff\xf8" for b in blocks)
+    digest = flac.media_digests(spark.read.parquet(f"{messy}/documents.parquet").filter("doc_id = 6")).first()
+    seeks = "".join(f"{b['first_sample']}:{b['byte_offset']}\n" for b in blocks)
+    assert digest["seek_sha256"] == hashlib.sha256(seeks.encode()).hexdigest()
+
+
+def test_media_of_any_id(spark):
+    docs = spark.createDataFrame([("a", "x"), (None, None), ("a", "x")], "name string, text string")
+    rows = flac.media_digests(docs, "name").collect()
+    assert sorted(str(r["name"]) for r in rows) == ["None", "a", "a"]
+    assert {r["payload_bytes"] for r in rows} == {192} and len({r["media_sha256"] for r in rows}) == 2
 
 
 # --- tokens ----------------------------------------------------------------------------------
