@@ -564,14 +564,14 @@ def _(s: Stage) -> DataFrame:
     def total(i: int):
         return F.aggregate("values", F.lit(0.0), lambda a, v: a + v[i].cast("double"))
 
+    def seen(i: int):
+        return F.size(F.filter("observed_mask", lambda m: m[i]))
+
     return _windows(s).select(
         "sample_id",
         F.size("values").cast("long").alias("steps"),
         *[on_grid(total(i), 4).alias(c) for i, c in enumerate(CHANNELS)],
-        *[
-            F.size(F.filter("observed_mask", lambda m, i=i: m[i])).cast("long").alias(f"observed_{c}")
-            for i, c in enumerate(CHANNELS)
-        ],
+        *[seen(i).cast("long").alias(f"observed_{c}") for i, c in enumerate(CHANNELS)],
         *[on_grid(last[i], 4).alias(f"last_{c}") for i, c in enumerate(CHANNELS)],
     )
 
