@@ -47,7 +47,7 @@ SCALE = 1_000_000
 SAMPLE_BYTES = 16 << 20  # text of the sample, about
 SAMPLE_LONGEST = 1 << 20  # bytes of a document in the sample at most
 BITS = 1 << 26  # of each bit map; 8 MB
-HELD = 1 << 20  # distinct phrases a task holds
+HELD = 1 << 19  # distinct phrases a task holds
 VOCABULARY = 1 << 21  # distinct words a task holds: three word numbers fit in 63 bits
 CHUNK = 1 << 18  # words counted at a time
 
