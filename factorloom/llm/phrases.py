@@ -33,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.functions.ranking import with_position
 from factorloom.functions.session import materialize
 from factorloom.llm.common import table, text_slices, tune
 
@@ -364,13 +365,14 @@ def collocations(
         .filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
         .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     )
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    # Sorted over range partitions: a language may hold any share of the phrases.
+    best = [F.desc("score"), F.desc("a"), "phrase"]
     totals = counts.filter("size = 0").select("lang", "n")
     return (
-        kept.withColumn("rank", F.row_number().over(best).cast("long"))
+        with_position(kept, "rank", best, ["lang"])
         .filter(F.col("rank") <= top)
         .join(F.broadcast(totals), "lang")
-        .select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+        .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
     )
 
 
