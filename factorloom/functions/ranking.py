@@ -39,8 +39,8 @@ def with_position(
 def stamped(ordered: DataFrame, label: str) -> DataFrame:
     """A sorted table, stored once, with the partition and place of each row."""
     return materialize(
-        ordered.withColumn("_stamp", F.monotonically_increasing_id()), label
-    ).withColumn("_part", F.shiftright("_stamp", _PARTITION_SHIFT))
+        ordered.withColumn("__stamp", F.monotonically_increasing_id()), label
+    ).withColumn("__part", F.shiftright("__stamp", _PARTITION_SHIFT))
 
 
 def numbered(
@@ -57,27 +57,27 @@ def numbered(
     order, in each partition and in the partitions before. Where the sort keeps a group's rows
     ``together``, the place in the partition is enough and no row is exchanged.
     """
-    place = F.col("_stamp") - F.shiftleft(F.col("_part"), _PARTITION_SHIFT)
+    place = F.col("__stamp") - F.shiftleft(F.col("__part"), _PARTITION_SHIFT)
     if not together:
         # Rows of one group in one partition: as many as a sort partition holds at most.
-        place = F.row_number().over(Window.partitionBy("_part", *group).orderBy("_stamp")) - 1
-    rows = stored.withColumn("_place", place)
-    first = F.min("_place") if together else F.lit(0)
-    counts = (rows if together else stored).groupBy("_part", *group).agg(
-        F.count(F.lit(1)).alias("_rows"), first.alias("_first")
+        place = F.row_number().over(Window.partitionBy("__part", *group).orderBy("__stamp")) - 1
+    rows = stored.withColumn("__place", place)
+    first = F.min("__place") if together else F.lit(0)
+    counts = (rows if together else stored).groupBy("__part", *group).agg(
+        F.count(F.lit(1)).alias("__rows"), first.alias("__first")
     )
     by_group = Window.partitionBy(*group)
-    earlier = by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumns(
         {
-            "_offset": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first"),
-            "_members": F.sum("_rows").over(by_group),
+            "__offset": F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first"),
+            "__members": F.sum("__rows").over(by_group),
         }
-    ).drop("_rows", "_first")
-    placed = join_same(rows, starts, ["_part", *group]).withColumn(name, F.col("_place") + F.col("_offset") + 1)
+    ).drop("__rows", "__first")
+    placed = join_same(rows, starts, ["__part", *group]).withColumn(name, F.col("__place") + F.col("__offset") + 1)
     if size:
-        placed = placed.withColumn(size, F.col("_members"))
-    return placed.drop("_place", "_offset", "_members", "_part", "_stamp")
+        placed = placed.withColumn(size, F.col("__members"))
+    return placed.drop("__place", "__offset", "__members", "__part", "__stamp")
 
 
 def with_average_rank(
