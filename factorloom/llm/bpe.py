@@ -7,7 +7,7 @@ least rank. The map is dealt into literal buckets by hash, since a lookup in a S
 
 The most frequent distinct words of a seeded sample of documents are folded once and sent to all
 tasks, at most ``CACHED`` of them. That bound affects speed only: what is not among them is folded
-with the document, once for each distinct word of it. Words of more than ``LONG_WORD`` bytes,
+by the task that meets it, once for all its documents up to ``HELD`` such words. Words of more than ``LONG_WORD`` bytes,
 where the fold's cost grows with the square, are merged by a heap instead; the result is the same.
 Decoding concatenates the binary pieces of the ids.
 
@@ -39,6 +39,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 RANK_BUCKETS = 1 << 14
 SAMPLE_ROWS = 32_768
 CACHED = 1 << 19
+HELD = 1 << 18
 LONG_WORD = 128
 NO_RANK = (1 << 31) - 1
 
@@ -251,31 +252,44 @@ class _Places(dict):
         super().__init__((w, i) for i, w in enumerate(words))
         self.known = len(words)
         self.new: list[str] = []
+        self.told = 0
 
     def __missing__(self, word: str) -> int:
         place = self[word] = self.known + len(self.new)
         self.new.append(word)
         return place
 
-    def forget(self) -> list[str]:
-        new, self.new = self.new, []
-        for word in new:
+    def untold(self) -> list[str]:
+        """The words met since this was last asked."""
+        words, self.told = self.new[self.told :], len(self.new)
+        return words
+
+    def forget(self) -> None:
+        for word in self.new:
             del self[word]
-        return new
+        self.new, self.told = [], 0
 
 
 def _split_batches(splitter_of: Callable[[], Splitter], words: list[str]):
-    """Replace texts by the places of their pieces and the words that are not cached."""
+    """Replace texts by the places of their pieces and the words that are new to the task.
+
+    Places go on through the rows of a task, in their order; ``_round`` counts how often the
+    task has forgotten its words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, places = splitter_of(), _Places(words)
+        split, places, rounds = splitter_of(), _Places(words), 0
         for batch in text_slices(batches):
             names = [n for n in batch.schema.names if n != "text"]
-            codes, fresh, long_words = [], [], []
+            codes, fresh, long_words, own_rounds = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = np.fromiter(map(places.__getitem__, split(text or "")), np.int32)
-                new = places.forget()
+                new = places.untold()
                 codes.append(found.tobytes())
+                own_rounds.append(rounds)
+                if len(places.new) > HELD:
+                    places.forget()
+                    rounds += 1
                 # A long word is an empty word to the fold; its text goes beside.
                 is_long = [len(w) * 4 > LONG_WORD and len(w.encode()) > LONG_WORD for w in new]
                 fresh.append(["" if far else w for w, far in zip(new, is_long)])
@@ -287,8 +301,9 @@ def _split_batches(splitter_of: Callable[[], Splitter], words: list[str]):
                     pa.array(codes, pa.binary()),
                     pa.array(fresh, strings),
                     pa.array(long_words, strings),
+                    pa.array(own_rounds, pa.int32()),
                 ],
-                names=[*names, "_codes", "_words", "_long"],
+                names=[*names, "_codes", "_words", "_long", "_round"],
             )
 
     return run
@@ -323,30 +338,32 @@ def _joined(ids: pa.Array, tokens: list[bytes]) -> pa.Array:
 def _assemble_batches(
     cache_ids: np.ndarray, cache_starts: np.ndarray, ranks: dict[bytes, int], decode: bool
 ):
-    """Replace places by ids: of cached words, or of the document's own folded words."""
+    """Replace places by ids: of cached words, or of words that the task has met so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _token_bytes(ranks) if decode else []
         known, cache_sizes = len(cache_starts) - 1, np.append(np.diff(cache_starts), 0)
-        for batch in batches:
+        held_ids, held_sizes, held_round = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+        for batch in _by_round(batches):
+            if held_round != (held_round := batch.column("_round")[0].as_py()):
+                held_ids, held_sizes = held_ids[:0], held_sizes[:0]
             names = [n for n in batch.schema.names if not n.startswith("_")]
             sizes = pc.binary_length(batch.column("_codes")).to_numpy() // 4
             places = np.frombuffer(b"".join(batch.column("_codes").to_pylist()), np.int32)
-            folded = _with_long_words(batch, ranks)
-            inner = folded.flatten()
-            new_ids = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            new_sizes = np.append(pc.list_value_length(inner).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+            inner = _with_long_words(batch, ranks).flatten()
+            held_ids = np.concatenate([held_ids, inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+            own_sizes = pc.list_value_length(inner).to_numpy(zero_copy_only=False).astype(np.int64)
+            held_sizes = np.concatenate([held_sizes, own_sizes])
+            new_sizes = np.append(held_sizes, 0)
             new_starts = np.cumsum(new_sizes) - new_sizes + len(cache_ids)
-            counts = pc.list_value_length(folded).to_numpy()
-            first_new = np.repeat(np.cumsum(counts) - counts, sizes)
             cached = places < known
             own = np.where(cached, places, 0)
-            new = np.where(cached, len(new_sizes) - 1, first_new + places - known)
+            new = np.where(cached, len(held_sizes), places - known)
             length = np.where(cached, cache_sizes[own], new_sizes[new])
             start = np.where(cached, cache_starts[own], new_starts[new])
             ends = np.cumsum(length)
             at = np.repeat(start - ends + length, length) + np.arange(int(length.sum()))
-            ids = np.concatenate([cache_ids, new_ids])[at].astype("<u4")
+            ids = np.concatenate([cache_ids, held_ids])[at].astype("<u4")
             cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])] * 4
             buffers = [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids.tobytes())]
             packed = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, buffers).cast(pa.binary())
@@ -358,6 +375,16 @@ def _assemble_batches(
     return run
 
 
+def _by_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where ``_round`` changes."""
+    for batch in batches:
+        rounds = batch.column("_round").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(rounds)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            if stop > start:
+                yield batch.slice(start, stop - start)
+
+
 def frequent_words(
     docs: DataFrame, splitter_of: Callable[[], Splitter], ranks: dict[bytes, int], cached: int = CACHED
 ) -> Cache:
@@ -413,10 +440,10 @@ def encode_texts(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema if f.name != "text")
     split = wanted.mapInArrow(
         _split_batches(splitter_of, cache.words),
-        f"{schema}, _codes binary, _words array<string>, _long array<string>",
+        f"{schema}, _codes binary, _words array<string>, _long array<string>, _round int",
     )
     folded = fold_words(F.col("_words"), ranks)
-    return split.select(*keep, "_codes", "_long", folded.alias("_ids")).mapInArrow(
+    return split.select(*keep, "_codes", "_long", "_round", folded.alias("_ids")).mapInArrow(
         _assemble_batches(cache.ids, cache.starts, ranks, decode),
         f"{schema}, ids binary" + ", decoded binary" * decode,
     )
