@@ -22,8 +22,10 @@ SHINGLE_SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-# Rows of an Arrow batch; texts of the usual length then make batches of a few MB.
+# Rows of an Arrow batch; texts of the usual length then make batches of a few MB. The driver keeps the
+# text of every plan it has run, with all constants spelt out: a bound keeps that small.
 RUNTIME = {
+    "spark.sql.maxPlanStringLength": "8192",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.adaptive.enabled": "true",
