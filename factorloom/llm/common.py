@@ -39,6 +39,16 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def let_go(spark: SparkSession) -> None:
+    """Free what finished plans hold.
+
+    Spark drops the shuffles and broadcasts of a plan once the driver has collected its handles,
+    which it would do every half an hour; rounds of small jobs leave many before that.
+    """
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

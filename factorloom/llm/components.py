@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.session import materialize
+from factorloom.llm.common import let_go
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -65,4 +66,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+    let_go(edges.sparkSession)
     return current
