@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
+SMALL = "/root/testdata/sf0.01"
+
+
 def by_id(rows):
     return sorted(rows, key=repr)
 
@@ -346,3 +350,37 @@ def test_op1(spark, write, no_documents):
     expected = [(i, u, html_text.main_text(h), len(html_text.main_text(h))) for i, u, h in rows]
     assert by_id(map(tuple, found.collect())) == by_id(expected)
     assert QUERIES["op1_main_text"](spark, no_documents).count() == 0
+
+
+class Article(HTMLParser):
+    """The text of a page's article by the standard library: words only, blocks part them."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag not in ("b", "i", "a", "em", "span"):
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        if tag not in ("b", "i", "a", "em", "span"):
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+
+def test_op1_against_another_extractor(spark):
+    """All pages of the small tables hold one article: its words, and nothing else, come out."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    found = {r["page_id"]: r["text"] for r in QUERIES["op1_main_text"](spark, SMALL).collect()}
+    assert len(found) == len(pages) > 200
+    for page in pages:
+        assert page["html"].count("<article") == 1
+        reader = Article()
+        reader.feed(page["html"])
+        assert found[page["page_id"]] == " ".join("".join(reader.parts).split())
