@@ -1,8 +1,11 @@
 """Held-out recall and false alarms of op3 at its threshold, overall and per language."""
 
+import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from factorloom.llm import toxicity
 from factorloom.llm.queries import QUERIES
@@ -36,3 +39,43 @@ def test_fit_reaches_the_least_loss(monkeypatch):
     slopes = [np.append(full.T @ e / 300, e.mean()) for e in (error, first)]
     slopes[0][:-1] += toxicity.RIDGE * (weights - 1)
     assert np.linalg.norm(slopes[0]) <= 1.01 * toxicity.TOLERANCE * np.linalg.norm(slopes[1])
+
+
+def plain_bucket(ngram):
+    """The hash of one n-gram by its definition, in whole numbers."""
+    mask, mixed = (1 << 32) - 1, ord(ngram[0]) * 0x9E3779B1 & ((1 << 32) - 1)
+    for char in ngram[1:]:
+        mixed = (mixed * 0x85EBCA6B + ord(char) * 0xC2B2AE35) & mask
+    return ((mixed ^ (mixed >> 15)) * 0x2C1B3C6D & mask) >> (32 - toxicity.BITS)
+
+
+def test_log_count_ratios_by_hand(spark, monkeypatch):
+    """With every feature at weight one, the model's weights are the log-count ratios."""
+    texts = ["you are bad", "YOU bad bad", "a fine day", "", "fine, fine day", None, "bad day"]
+    labels = [1, 1, 0, 0, 0, 0, 1]
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda rows, columns, values, answers, width: (np.ones(width), 0.0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, marks, F.lit(True))
+    counts = {0: Counter(), 1: Counter()}
+    for text, label in zip(texts, labels):
+        low = (text or "").lower()
+        counts[label].update({plain_bucket(low[i : i + n]) for n in (3, 4, 5) for i in range(len(low) - n + 1)})
+    sizes = Counter(labels)
+    prior = {k: toxicity.PRIOR * sizes[k] / len(labels) for k in (0, 1)}
+    expected = {
+        b: math.log((counts[1][b] + prior[1]) / (counts[0][b] + prior[0])) - math.log(sizes[1] / sizes[0])
+        for b in {*counts[0], *counts[1]}
+    }
+    got = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    assert len(expected) > 50 and set(expected) <= set(got)
+    assert all(got[b] == round(expected.get(b, 0.0) * toxicity.UNIT) for b in got)
+
+
+def test_long_text_scores_as_its_parts_say():
+    """A text of some hundred thousand letters is scored whole: its end counts as its start does."""
+    full = np.zeros(toxicity.BUCKETS, np.int32)
+    full[plain_bucket("zzz")] = toxicity.UNIT
+    clean = "ab " * 60_000
+    first, last, none = toxicity.scores(pa.array(["zzz" + clean, clean + "zzz", clean]), full, 0.0)
+    assert none == 0.5 < first and abs(first - last) < 1e-9
