@@ -7,7 +7,7 @@ least rank. The map is dealt into literal buckets by hash, since a lookup in a S
 
 The most frequent distinct words of a seeded sample of documents are folded once and sent to all
 tasks, at most ``CACHED`` of them. That bound affects speed only: what is not among them is folded
-by the task that meets it, once for all its documents up to ``HELD`` such words. Words of more than ``LONG_WORD`` bytes,
+by the task that meets it, once for all its documents up to ``held`` such words. Words of more than ``LONG_WORD`` bytes,
 where the fold's cost grows with the square, are merged by a heap instead; the result is the same.
 Decoding concatenates the binary pieces of the ids.
 
@@ -270,7 +270,7 @@ class _Places(dict):
         self.new, self.told = [], 0
 
 
-def _split_batches(splitter_of: Callable[[], Splitter], words: list[str]):
+def _split_batches(splitter_of: Callable[[], Splitter], words: list[str], held: int):
     """Replace texts by the places of their pieces and the words that are new to the task.
 
     Places go on through the rows of a task, in their order; ``_round`` counts how often the
@@ -287,7 +287,7 @@ def _split_batches(splitter_of: Callable[[], Splitter], words: list[str]):
                 new = places.untold()
                 codes.append(found.tobytes())
                 own_rounds.append(rounds)
-                if len(places.new) > HELD:
+                if len(places.new) > held:
                     places.forget()
                     rounds += 1
                 # A long word is an empty word to the fold; its text goes beside.
@@ -422,11 +422,13 @@ def encode_texts(
     path: str | None = None,
     pattern: str | None = None,
     decode: bool = False,
+    held: int = HELD,
 ) -> DataFrame:
     """``keep`` columns and ``ids``: token ids of each whole text, little-endian 32-bit.
 
     With ``decode`` also ``decoded``, the bytes of the ids: the same as ``decode_ids`` gives,
-    without further Python workers beside those that put the ids in place.
+    without further Python workers beside those that put the ids in place. ``held`` bounds the
+    words that a task remembers, at some 200 bytes each; it changes no result.
     """
     tune(docs.sparkSession)
     path, pattern = path or vocabulary_path(), pattern or split_pattern()
@@ -439,7 +441,7 @@ def encode_texts(
     cache = frequent_words(wanted, splitter_of, ranks)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema if f.name != "text")
     split = wanted.mapInArrow(
-        _split_batches(splitter_of, cache.words),
+        _split_batches(splitter_of, cache.words, held),
         f"{schema}, _codes binary, _words array<string>, _long array<string>, _round int",
     )
     folded = fold_words(F.col("_words"), ranks)

@@ -186,12 +186,11 @@ def test_words_are_folded_once_by_a_task(spark, library, monkeypatch, held):
     """Later rows use the ids of words that earlier rows of the task brought, until it forgets them."""
     empty = pa.chunked_array([], pa.string()), pa.chunked_array([], pa.list_(pa.int32()))
     monkeypatch.setattr(bpe, "frequent_words", lambda *_: bpe.Cache(*empty))
-    monkeypatch.setattr(bpe, "HELD", held)
     draw = random.Random(4)
     words = ["the", " the", "über", "abcdefghij", "x" * 200, "中文字", "q1w2", "tion", "supercalifragilistic", ""]
     texts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 9))) for _ in range(700)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    found = {r["doc_id"]: (bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode_texts(docs, decode=True).collect()}
+    found = {r["doc_id"]: (bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode_texts(docs, decode=True, held=held).collect()}
     for i, text in enumerate(texts):
         assert found[i] == (np.array(library.encode_ordinary(text), "<u4").tobytes(), text.encode())
 
