@@ -198,7 +198,7 @@ def hac(source: str, lags: int, stride: int, offset: int, by: str, fold: str) ->
         f" + CASE WHEN {used} >= {k} THEN 2 * (1 - {k} / ({used} + 1.0)) * s{k} ELSE 0 END"
         for k in range(1, lags + 1)
     )
-    return f"""
+    found = f"""
     SELECT {by} n, mean, se AS standard_error, CASE WHEN se > 0 THEN mean / se END AS t_stat,
         CASE WHEN n = 1 THEN 0 ELSE {used} END AS lags,
         m AS non_overlapping_n, sm AS non_overlapping_mean, sse AS non_overlapping_standard_error,
@@ -215,6 +215,14 @@ def hac(source: str, lags: int, stride: int, offset: int, by: str, fold: str) ->
                         row_number() OVER ({over} ORDER BY asof_date) - 1 AS pos
                     FROM {source} WHERE value IS NOT NULL))
             {'GROUP BY ' + part if part else ''}))"""
+    if not part:
+        return found
+    # A group without a value has no rows to average, but is still a group.
+    return f"""
+    SELECT {by} coalesce(n, 0) AS n, mean, standard_error, t_stat, coalesce(lags, {lags}) AS lags,
+        coalesce(non_overlapping_n, 0) AS non_overlapping_n, non_overlapping_mean,
+        non_overlapping_standard_error, non_overlapping_t_stat
+    FROM (SELECT DISTINCT {part} FROM {source}) LEFT JOIN ({found}) USING ({part})"""
 
 
 def _rolled(c: str, windows) -> str:
