@@ -1,9 +1,10 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: MinHash finds, sets confirm.
+"""Near-duplicates by the exact Jaccard similarity of word shingles: fingerprints and MinHash find, sets confirm.
 
 Two texts are linked if their sets of ``WIDTH``-word shingles have a Jaccard similarity of at
 least ``SIMILAR``. Texts of one set are one class. A class has ``BANDS`` x ``ROWS`` MinHash bytes;
 classes that agree in a band share a bucket. At similarity 0.8 a pair shares no bucket with
-probability 2e-8, and less above. What is found is confirmed on the whole sets.
+probability 2e-8, and less above. Classes whose fingerprints are linked (``simhash``) share one
+more bucket, numbered after the bands. What is found is confirmed on the whole sets.
 
 A bucket's classes are first confirmed along a chain in hashed order, so a large group of copies
 costs one pair a class, not all pairs. Buckets that then still hold several components are
@@ -20,7 +21,7 @@ and are one class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.session import materialize
-from factorloom.llm.common import shingle_hashes, text_buffers, text_slices, tune
+from factorloom.llm.common import let_go, shingle_hashes, text_buffers, text_slices, tune
 from factorloom.llm.components import connected_components
 
 WIDTH = 5
@@ -62,18 +63,28 @@ def _class_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        raw, offsets = text_buffers(batch.column("text"))
-        ids, sizes, marks = [], [], []
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            hashes = shingle_set(raw[a:b].tobytes())
-            ids.append(_class_of(hashes))
-            sizes.append(len(hashes))
-            marks.append(signature(hashes).tobytes() if len(hashes) else b"")
-        names = [n for n in batch.schema.names if n != "text"]
-        own = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, names), *own], [*names, "_class", "_size", "_marks"])
+def _class_batches(fingerprint: Callable[[bytes], int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            raw, offsets = text_buffers(batch.column("text"))
+            ids, sizes, marks, prints = [], [], [], []
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                text = raw[a:b].tobytes()
+                hashes = shingle_set(text)
+                ids.append(_class_of(hashes))
+                sizes.append(len(hashes))
+                marks.append(signature(hashes).tobytes() if len(hashes) else b"")
+                prints.append(fingerprint(text))
+            names = [n for n in batch.schema.names if n != "text"]
+            own = {
+                "_class": pa.array(ids, pa.int64()),
+                "_size": pa.array(sizes, pa.int64()),
+                "_marks": pa.array(marks, pa.binary()),
+                "_fingerprint": pa.array(np.array(prints, np.uint64).view(np.int64)),
+            }
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *own.values()], [*names, *own])
+
+    return run
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +134,8 @@ def cell_links(
 ) -> tuple[list[int], list[int]]:
     """Rows (i, j) of a cell that are similar, one pair for each two components they join.
 
-    Pairs that share an earlier band belong to that bucket. ``second`` marks the rows of the
-    cell's second block; a cell ``across`` two blocks only compares rows of the first with rows
+    Pairs that share an earlier band belong to that bucket; pairs that share none belong to that
+    of their fingerprints (``BANDS``). ``second`` marks the rows of the cell's second block; a cell ``across`` two blocks only compares rows of the first with rows
     of the second.
     """
     part, whole = SIMILAR
@@ -143,7 +154,8 @@ def cell_links(
         agree = marks[i] == marks[j]
         total = agree.sum(axis=1)
         near = total >= AGREE
-        near &= agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        shared = agree.reshape(-1, BANDS, ROWS).all(axis=2)
+        near &= np.where(shared.any(axis=1), shared.argmax(axis=1), BANDS) == band
         best = np.flatnonzero(near)[np.argsort(-total[near], kind="stable")]
         for x, y in zip(i[best].tolist(), j[best].tolist()):
             if group[x] != group[y] and similar(sets[x], sets[y]):
@@ -222,10 +234,11 @@ def _links_of_open_buckets(
 # --- documents -----------------------------------------------------------------------------
 
 
-def similar_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
+def similar_classes(texts: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
     """(node, root) of the components of similar classes.
 
-    ``texts`` are (_row_key, text); ``classes`` have a _row_key that holds their set.
+    ``texts`` are (_row_key, text); ``classes`` have a _row_key that holds their set; ``linked``
+    are (_class, group), where classes of a group have linked fingerprints.
     """
     keys = [
         F.xxhash64(F.lit(band), F.substring("_marks", band * ROWS + 1, ROWS)) for band in range(BANDS)
@@ -233,6 +246,13 @@ def similar_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
     dealt = classes.filter("_size > 0").select(
         F.col("_class").alias("id"), "_size", F.posexplode(F.array(*keys)).alias("band", "bucket")
     )
+    alike = linked.join(classes.filter("_size > 0"), "_class").select(
+        F.col("_class").alias("id"),
+        "_size",
+        F.lit(BANDS).alias("band"),
+        F.xxhash64(F.lit(BANDS), "group").alias("bucket"),
+    )
+    dealt = dealt.unionByName(alike)
     chain = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "id"), "id")
     crowded = materialize(
         dealt.withColumn("before", F.lag("id").over(chain))
@@ -264,9 +284,15 @@ def similar_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return connected_components(found.unionAll(rest))
 
 
-def similar_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def similar_documents(
+    docs: DataFrame,
+    fingerprint: Callable[[bytes], int],
+    linked: Callable[[DataFrame], DataFrame],
+    keep: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
     """``keep`` columns, ``_group`` and ``component_id`` of every document.
 
+    ``linked`` gives the group of each of the distinct fingerprints: (fp) to (fp, group).
     A component's id is its least doc_id; null ids are ignored, and a component of null ids has
     a null id. ``_group`` is never null.
     """
@@ -275,7 +301,10 @@ def similar_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> D
     texts = docs.select(*keep, F.xxhash64("doc_id", text).alias("_row_key"), text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
     marked = materialize(
-        texts.mapInArrow(_class_batches, f"{schema}, _class long, _size long, _marks binary"), "shingle-marks"
+        texts.mapInArrow(
+            _class_batches(fingerprint), f"{schema}, _class long, _size long, _marks binary, _fingerprint long"
+        ),
+        "shingle-marks",
     )
     classes = materialize(
         marked.groupBy("_class").agg(
@@ -286,7 +315,14 @@ def similar_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> D
         ),
         "shingle-classes",
     )
-    stars = similar_classes(texts.select("_row_key", "text"), classes)
+    # Texts of one set may have several fingerprints; empty sets have their class already.
+    prints = materialize(
+        marked.filter("_size > 0").select("_class", F.col("_fingerprint").alias("fp")).distinct(), "class-fingerprints"
+    )
+    groups = linked(materialize(prints.select("fp").distinct(), "fingerprint-values"))
+    alike = materialize(prints.join(groups, "fp").select("_class", "group").distinct(), "fingerprint-groups")
+    let_go(docs.sparkSession)
+    stars = similar_classes(texts.select("_row_key", "text"), classes, alike)
     rooted = classes.join(stars.withColumnRenamed("node", "_class"), "_class", "left").select(
         "_class", "first_id", F.coalesce("root", "_class").alias("_group")
     )

@@ -14,6 +14,9 @@ whatever the data: no group is unbounded, and none is cut.
 Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows
 have equal results. A component's id is its least doc_id; null ids are ignored, and a component
 of null ids has a null id.
+
+The pipeline's stage takes the same fingerprints and links, but drops no document for them alone:
+linked texts are held against each other by their exact similarity (``jaccard``).
 """
 
 from __future__ import annotations
@@ -52,12 +55,15 @@ def majority(hashes: np.ndarray) -> int:
     return sum(1 << b for b in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
+def fingerprint(text: bytes) -> int:
+    """The fingerprint of one whole text."""
+    return majority(shingle_hashes(text, SHINGLE))
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         raw, offsets = text_buffers(batch.column("text"))
-        values = [
-            majority(shingle_hashes(raw[a:b].tobytes(), SHINGLE)) for a, b in zip(offsets[:-1], offsets[1:])
-        ]
+        values = [fingerprint(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
         names = [n for n in batch.schema.names if n != "text"]
         signed = pa.array(np.array(values, np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays([*map(batch.column, names), signed], [*names, "_fingerprint"])
@@ -292,6 +298,16 @@ def link_fingerprints(
     return links
 
 
+def linked_fingerprints(values: DataFrame) -> DataFrame:
+    """(fp, group) of all fingerprints ``fp`` (distinct longs) that have a link; linked ones share a group.
+
+    A trie hangs what it links on one fingerprint, the group; a fingerprint may be in several.
+    """
+    links = link_fingerprints(values).filter("a != b")
+    ends = F.array(F.struct(F.col("a").alias("fp"), F.col("b").alias("group")), F.struct(F.col("b").alias("fp"), F.col("b").alias("group")))
+    return links.select(F.inline(ends)).distinct()
+
+
 def near_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The contract of ``op10``: ``keep`` columns, ``_fingerprint`` and ``component_id`` of every document."""
     tune(docs.sparkSession)
@@ -310,8 +326,11 @@ def near_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> D
 
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The groups of the pipeline's stage, by five-word Jaccard similarity (see ``jaccard``)."""
-    return similar_documents(docs, keep)
+    """The groups of the pipeline's stage: texts of a five-word Jaccard similarity of 0.8 or more.
+
+    Linked fingerprints propose pairs, MinHash those beyond the distance; exact sets confirm both.
+    """
+    return similar_documents(docs, fingerprint, linked_fingerprints, keep)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from llm_data import DOCUMENTS, letters, messy_documents
 
@@ -86,3 +87,50 @@ def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame(rows, DOCUMENTS)
     assert corpus_pipeline.near_duplicates(spark, docs, SMALL).count() == 2
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SMALL).count() == 0
+
+
+def stored_classes(spark, texts, marks):
+    """(texts, classes) as the stage holds them, with the given MinHash bytes."""
+    sets = [jaccard.shingle_set(t.encode()) for t in texts]
+    rows = [(i, jaccard._class_of(s), len(s), bytearray(m)) for i, (s, m) in enumerate(zip(sets, marks))]
+    return (
+        spark.createDataFrame(list(enumerate(texts)), "_row_key long, text string"),
+        spark.createDataFrame(rows, "_row_key long, _class long, _size long, _marks binary"),
+    )
+
+
+def test_linked_fingerprints_propose_pairs_that_share_no_band(spark):
+    text = letters(5, 120)
+    texts = [text, edited(text, 1, random.Random(1)), letters(6, 120)]
+    marks = [bytes([place]) * (jaccard.BANDS * jaccard.ROWS) for place in range(3)]
+    rows, classes = stored_classes(spark, texts, marks)
+    ids = [r["_class"] for r in classes.orderBy("_row_key").collect()]
+    # The third class is linked, too, but its set is another.
+    linked = spark.createDataFrame([(i, 7) for i in ids], "_class long, group long")
+    assert jaccard.similar_classes(rows, classes, linked.limit(0)).isEmpty()
+    stars = {(r["node"], r["root"]) for r in jaccard.similar_classes(rows, classes, linked.filter(f"_class != {ids[2]}")).collect()}
+    assert stars == {(max(ids[:2]), min(ids[:2]))}
+    found = jaccard.similar_classes(rows, classes, linked).collect()
+    assert not any(ids[2] in (r["node"], r["root"]) for r in found)
+
+
+def test_cells_of_linked_fingerprints_take_pairs_without_a_band():
+    text = letters(7, 120)
+    sets = [jaccard.shingle_set(t.encode()) for t in (text, edited(text, 1, random.Random(2)))]
+    first = jaccard.signature(sets[0])
+    second = first.copy()
+    second[:: jaccard.ROWS] += 1
+    marks, roots = np.array([first, second]), np.array([1, 2])
+    none = np.zeros(2, bool)
+    assert jaccard.cell_links(marks, sets, roots, none, jaccard.BANDS, False) == ([0], [1])
+    assert jaccard.cell_links(marks, sets, roots, none, 0, False) == ([], [])
+
+
+def test_stage_links_the_fingerprints_of_all_texts(spark, monkeypatch):
+    seen, linked = [], simhash.linked_fingerprints
+    monkeypatch.setattr(simhash, "linked_fingerprints", lambda v: seen.append(v) or linked(v))
+    texts = [letters(s, 40) for s in range(6)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts, ""])), "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, docs, SMALL).count() == 7
+    expected = {simhash.fingerprint(t.encode()) for t in texts}
+    assert {r["fp"] % (1 << 64) for r in seen[0].collect()} == expected
