@@ -44,8 +44,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256); ids are little-endian 32-bit."""
-    # Executors that have run four stages have little room: their tasks remember few words.
-    coded = encode_texts(docs, decode=True, held=1 << 14)
+    # Executors that have run four stages have little room: their tasks hold few words.
+    coded = encode_texts(docs, decode=True, held=1 << 14, cached=1 << 17)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

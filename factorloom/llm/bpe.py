@@ -423,12 +423,14 @@ def encode_texts(
     pattern: str | None = None,
     decode: bool = False,
     held: int = HELD,
+    cached: int = CACHED,
 ) -> DataFrame:
     """``keep`` columns and ``ids``: token ids of each whole text, little-endian 32-bit.
 
     With ``decode`` also ``decoded``, the bytes of the ids: the same as ``decode_ids`` gives,
     without further Python workers beside those that put the ids in place. ``held`` bounds the
-    words that a task remembers, at some 200 bytes each; it changes no result.
+    words that a task remembers, ``cached`` those that it gets ready, at some 200 bytes each; they
+    change no result.
     """
     tune(docs.sparkSession)
     path, pattern = path or vocabulary_path(), pattern or split_pattern()
@@ -438,7 +440,7 @@ def encode_texts(
         return Splitter(pattern)
 
     wanted = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    cache = frequent_words(wanted, splitter_of, ranks)
+    cache = frequent_words(wanted, splitter_of, ranks, cached)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema if f.name != "text")
     split = wanted.mapInArrow(
         _split_batches(splitter_of, cache.words, held),
