@@ -9,6 +9,7 @@ import pytest
 from panel_data import rows, weekdays
 from pyspark.sql import functions as F
 
+from factorloom.functions import ranking
 from factorloom.functions.columns import ContractError, seeded_draw
 from factorloom.operators import metrics as mt
 from factorloom.operators import quality as q
@@ -19,6 +20,7 @@ from factorloom.operators.features import feature_panel
 from factorloom.operators.indexes import sample_metadata
 from factorloom.operators.scoring import best_round, fit_tree_baseline, prediction_frame, score_table
 from factorloom.operators.splits import SplitDates
+from factorloom.plans.stage import derive_bars
 from factorloom.sources import snapshot as sn
 from factorloom.sources.tables import StandardTables
 
@@ -314,3 +316,49 @@ def test_boosting_stops_at_its_best_round(spark):
     assert error(model) <= error(longer)
     stump = fit_tree_baseline(table.filter("split = 'train_fit'"), seed=3, rounds=kept, learning_rate=0.2)
     assert rows(score_table(stump, table), "sample_id") == rows(score_table(model, table), "sample_id")
+
+
+# --- ties across sort partitions, bars without a sort before their exchange ----------------------
+
+
+def test_ties_that_cross_sort_partitions_share_their_rank(spark):
+    values = [(g, f"s{i:03d}", None if i % 11 == 0 else float(i % 3) * (g != "flat")) for g in ("a", "b", "flat") for i in range(120)]
+    values.append(("c", "s000", float("nan")))
+    frame = spark.createDataFrame(values, "g string, security_id string, value double")
+    # Every partition of the table cuts a run of ties.
+    ordered = frame.repartitionByRange(7, "g", "value", "security_id").sortWithinPartitions("g", "value", "security_id")
+    stored = ranking.stamped(ordered, "test-ties")
+    assert stored.select("__part").distinct().count() > 4
+    placed = ranking.tie_ranked(stored, "position", "rank", "value", ["g"], size="n")
+    data = pd.DataFrame(values, columns=["g", "security_id", "value"])
+    key = data.value.fillna(1e9).where(~data.value.isna() | (data.g == "c"), -1e9)
+    data["expected"] = key.groupby(data.g).rank(method="average")
+    expected = {(r.g, r.security_id): r.expected for r in data.itertuples()}
+    found = {(r["g"], r["security_id"]): (r["rank"], r["n"]) for r in placed.collect()}
+    assert found == {k: (v, 1 if k[0] == "c" else 120) for k, v in expected.items()}
+    for g in ("a", "b", "flat"):
+        assert sorted(r["position"] for r in placed.filter(F.col("g") == g).collect()) == list(range(1, 121))
+
+
+def test_ranked_sections_exchange_rows_twice_only(spark):
+    """Once by partition and group, once by security; before also by value, on both sides of a join."""
+    data = [(dt.date(2020, 1, 1), f"s{i}", float(i % 4), float(i)) for i in range(20)]
+    frame = spark.createDataFrame(data, "asof_date date, security_id string, score_raw double, target double")
+    ranked = mt.ranked_sections(frame, [mt.Section("all", "score_raw")])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    assert ranked.filter("n != 20").isEmpty() and ranked.count() == 20
+
+
+def test_bars_are_exchanged_before_they_are_grouped(spark):
+    lines = spark.createDataFrame(
+        [(k, dt.datetime(1998, 1, d), o, 1, 1, float(d), 10.0 * d * k, 0.1) for k in (1, 2) for d in (3, 5) for o in (1, 2)],
+        "l_suppkey long, l_shipdate timestamp, l_orderkey long, l_linenumber int, l_partkey long,"
+        " l_quantity double, l_extendedprice double, l_discount double",
+    )
+    bars = derive_bars(lines)
+    plan = bars._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("REPARTITION_BY_COL" if "REPARTITION_BY_COL" in plan else "RepartitionByExpression") :]
+    assert "Aggregate" not in below
+    found = sorted((r["security_id"], r["open"], r["close"], r["volume"]) for r in bars.collect())
+    assert found == [("sec:1", 10.0, 10.0, 16.0), ("sec:2", 20.0, 20.0, 16.0)]
