@@ -362,3 +362,28 @@ def test_bars_are_exchanged_before_they_are_grouped(spark):
     assert "Aggregate" not in below
     found = sorted((r["security_id"], r["open"], r["close"], r["volume"]) for r in bars.collect())
     assert found == [("sec:1", 10.0, 10.0, 16.0), ("sec:2", 20.0, 20.0, 16.0)]
+
+
+def test_ranks_are_exact_when_places_are_cut(spark, monkeypatch):
+    """Ties, NULLs and one-valued dates over many parts; before, no group was numbered in parts."""
+    monkeypatch.setattr(ranking, "PART_ROWS", 8)
+    monkeypatch.setattr(ranking, "CUT_SAMPLE", 2)
+    day, flat = dt.date(2020, 1, 1), dt.date(2020, 1, 2)
+    data = [(day, f"s{i:03}", float(i * 7 % 23), None if i % 4 == 0 else float(i % 3)) for i in range(300)]
+    data += [(flat, f"s{i:03}", 0.5, float("nan") if i % 5 == 0 else 1.0) for i in range(300)]
+    frame = spark.createDataFrame(data, "asof_date date, security_id string, score_raw double, target double")
+    members = frame.withColumnRenamed("score_raw", "score")
+    _, _, starts = ranking.cut_places(members, ["asof_date"], ["score", "target"])
+    assert starts.groupBy("__place", "measure").count().filter("count > 5").count() == 4
+    found = mt.ranked_sections(frame, [mt.Section("all", "score_raw")]).collect()
+    assert len(found) == 600
+    table = pd.DataFrame(data, columns=["day", "key", "score", "target"]).sort_values(["day", "score", "key"])
+    order = [-1e9 if row[3] is None else 1e9 if row[3] != row[3] else row[3] for row in data]
+    table["order"] = pd.Series(order).reindex(table.index)
+    groups = table.groupby("day")
+    table["position"], table["score_rank"] = groups.cumcount() + 1, groups["score"].rank()
+    table["target_rank"] = groups["order"].rank()
+    expected = {(r.day, r.key): (r.position, 300, r.score_rank, r.target_rank) for r in table.itertuples()}
+    assert {
+        (r["asof_date"], r["security_id"]): (r["position"], r["n"], r["score_rank"], r["target_rank"]) for r in found
+    } == expected
