@@ -1,9 +1,10 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the bytes of distinct words.
 
 A text is split by the vocabulary's pattern into pieces ("words"), each encoded on its own. One
-Spark expression encodes a word: its bytes are an array of one-byte strings, the ranks are a
-literal map, and a fold merges, step by step, the leftmost neighbours whose joined bytes have the
-least rank. The map is dealt into literal buckets by hash, since a lookup in a Spark map is a scan.
+Spark expression encodes a word: its state is an array of the parts' starts with the ranks of
+neighbours, the ranks are a literal map, and a fold merges, step by step, the leftmost neighbours
+whose joined bytes have the least rank. The map is dealt into literal buckets by hash, since a lookup
+in a Spark map is a scan.
 
 The most frequent distinct words of a seeded sample of documents are folded once and sent to all
 tasks, at most ``CACHED`` of them. That bound affects speed only: what is not among them is folded
@@ -36,12 +37,13 @@ from factorloom.functions.session import materialize
 from factorloom.llm.common import bucket, table, text_slices, tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-RANK_BUCKETS = 1 << 14
+RANK_BUCKETS = 1 << 16
 SAMPLE_ROWS = 32_768
 CACHED = 1 << 19
 HELD = 1 << 18
 LONG_WORD = 128
-NO_RANK = (1 << 31) - 1
+START_BITS = 8  # of a start in a word of at most LONG_WORD bytes
+NO_RANK = (1 << (31 - START_BITS)) - 1
 
 
 # --- vocabulary ----------------------------------------------------------------------------
@@ -80,6 +82,8 @@ def _bucket_of(token: str) -> int:
 
 def rank_table(ranks: dict[bytes, int]) -> Column:
     """The ranks as buckets of maps; a token is a string with one code point for each byte."""
+    if max(ranks.values(), default=0) >= NO_RANK:
+        raise ValueError(f"ranks must be less than {NO_RANK}")
     dealt: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
     for token, rank in ranks.items():
         name = token.decode("latin-1")
@@ -96,51 +100,63 @@ def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
 def _fold(word: Column, table: Column) -> Column:
     """Token ids of one word, as an array of ints.
 
-    The state is the parts and the ranks of neighbouring parts joined, with a dummy at both
-    ends: ranks[j] is that of parts j - 1 and j. A merge replaces two parts by one and three
-    ranks by two.
+    The state is one array of ints, an entry for each part's start and one for the word's end: the
+    rank of the part joined with the one before it, and in the last bits the start. So the least
+    entry is the leftmost merge of least rank, and a part is a slice of the word. A merge drops an
+    entry and renews the ranks beside it.
     """
 
     def rank(token: Column) -> Column:
         own = F.get(table, F.pmod(F.xxhash64(token), F.lit(RANK_BUCKETS)).cast("int"))
         return F.coalesce(F.element_at(own, token), F.lit(NO_RANK))
 
-    def merge(state: Column, at: Column) -> Column:
-        parts, ranks, rest = state["parts"], state["ranks"], F.lit(LONG_WORD + 1)
-        # Joining again costs less than holding the joined token in an array.
-        token = F.concat(F.get(parts, at - 1), F.get(parts, at))
-        left = rank(F.concat(F.get(parts, at - 2), token))
-        right = rank(F.concat(token, F.get(parts, at + 1)))
-        return F.struct(
-            F.concat(F.slice(parts, 1, at - 1), F.array(token), F.slice(parts, at + 2, rest)).alias("parts"),
-            F.concat(F.slice(ranks, 1, at - 1), F.array(left, right), F.slice(ranks, at + 3, rest)).alias("ranks"),
-        )
+    def entry(rank: Column, start: Column) -> Column:
+        return F.shiftleft(rank, START_BITS).bitwiseOR(start)
 
-    def step(state: Column, _: Column) -> Column:
-        return _let(
-            F.array_min(state["ranks"]),
-            lambda low: F.when(low == NO_RANK, state).otherwise(
-                _let((F.array_position(state["ranks"], low) - 1).cast("int"), lambda at: merge(state, at))
-            ),
-        )
+    def start(own: Column) -> Column:
+        return own.bitwiseAND((1 << START_BITS) - 1)
+
+    def token(latin: Column, first: Column, end: Column) -> Column:
+        return F.substring(latin, start(first) + 1, start(end) - start(first))
 
-    def from_parts(parts: Column) -> Column:
-        count, end = F.size(parts), F.array(F.lit(NO_RANK))
-        pairs = F.zip_with(
-            F.slice(parts, 1, count - 1), F.slice(parts, 2, count), lambda a, b: rank(F.concat(a, b))
+    def merge(latin: Column, state: Column, at: Column) -> Column:
+        def near(steps: int) -> Column:
+            return F.get(state, at + steps)
+
+        # Beyond either end of the word an entry is null, and so is the token: it has no rank.
+        left = entry(rank(token(latin, near(-2), near(1))), start(near(-1)))
+        right = entry(rank(token(latin, near(-1), near(2))), start(near(1)))
+        return F.concat(
+            F.slice(state, 1, at - 1), F.array(left, right), F.slice(state, at + 3, F.lit(LONG_WORD + 1))
         )
+
+    def fold(latin: Column, size: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            return _let(
+                F.array_min(state),
+                lambda low: F.when(low >= NO_RANK << START_BITS, state).otherwise(
+                    _let((F.array_position(state, low) - 1).cast("int"), lambda at: merge(latin, state, at))
+                ),
+            )
+
+        inner, none = F.sequence(F.lit(1), size - 1), F.lit(NO_RANK)
+        pairs = F.transform(inner, lambda i: entry(rank(F.substring(latin, i, F.lit(2))), i))
         return F.aggregate(
-            F.slice(parts, 2, count),
-            F.struct(parts.alias("parts"), F.concat(end, pairs, end).alias("ranks")),
+            inner,
+            F.concat(F.array(entry(none, F.lit(0))), pairs, F.array(entry(none, size))),
             step,
-            lambda state: F.transform(state["parts"], rank),
+            lambda state: F.zip_with(
+                F.slice(state, 1, F.size(state) - 1),
+                F.slice(state, 2, F.size(state)),
+                lambda first, end: rank(token(latin, first, end)),
+            ),
         )
 
     def whole(latin: Column) -> Column:
         return _let(
             rank(latin),
-            lambda own: F.when(own != NO_RANK, F.array(own)).otherwise(
-                _let(F.split(latin, ""), from_parts)
+            lambda own: F.when((own != NO_RANK) | (F.length(latin) == 1), F.array(own)).otherwise(
+                fold(latin, F.length(latin))
             ),
         )
 

@@ -195,6 +195,20 @@ def test_words_are_folded_once_by_a_task(spark, library, monkeypatch, held):
         assert found[i] == (np.array(library.encode_ordinary(text), "<u4").tobytes(), text.encode())
 
 
+def test_fold_keeps_one_entry_a_part(spark, library):
+    """Words of every length the fold takes; a rank that does not fit an entry is refused."""
+    ranks = bpe.read_ranks(bpe.vocabulary_path())
+    draw = random.Random(6)
+    words = ["", "a", "é", "中"]
+    words += ["".join(draw.choice("abetions é中\0") for _ in range(draw.randint(2, 40))) for _ in range(200)]
+    words += [c * n for c in "az0" for n in (2, 3, 127, 128)]
+    docs = spark.createDataFrame([(words,)], "words array<string>")
+    found = docs.select(bpe.fold_words(docs["words"], ranks).alias("ids")).first()["ids"]
+    assert found == [library._encode_single_piece(w) if w else [] for w in words]
+    with pytest.raises(ValueError, match="ranks must be less"):
+        bpe.rank_table({b"a": bpe.NO_RANK})
+
+
 def test_long_words_by_heap(library):
     ranks = bpe.read_ranks(bpe.vocabulary_path())
     draw = random.Random(2)
