@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.session import materialize
-from factorloom.llm.common import let_go
+from factorloom.llm.common import stored
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -53,7 +52,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (a, b) that is not its component's least node."""
-    current = materialize(
+    current = stored(
         edges.filter("a != b")
         .select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
         .distinct(),
@@ -61,10 +60,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     seen = _checksum(current)
     while seen[0]:
-        current = materialize(_small(_large(current)), "stars")
+        current = stored(_small(_large(current)), "stars")
         now = _checksum(current)
         if now == seen:
             break
         seen = now
-    let_go(edges.sparkSession)
     return current

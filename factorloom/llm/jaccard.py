@@ -29,8 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.session import materialize
-from factorloom.llm.common import let_go, shingle_hashes, text_buffers, text_slices, tune
+from factorloom.llm.common import shingle_hashes, stored, text_buffers, text_slices, tune
 from factorloom.llm.components import connected_components
 
 WIDTH = 5
@@ -118,7 +117,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return materialize(both.mapInArrow(_confirm_batches, "a long, b long"), "similar-pairs")
+    return stored(both.mapInArrow(_confirm_batches, "a long, b long"), "similar-pairs")
 
 
 # --- buckets that hold several components --------------------------------------------------
@@ -198,7 +197,7 @@ def _links_of_open_buckets(
     named = crowded.join(stars.withColumnRenamed("node", "id"), "id", "left").select(
         "bucket", "band", "id", "_size", F.coalesce("root", "id").alias("root")
     )
-    named = materialize(named, "bucket-roots")
+    named = stored(named, "bucket-roots")
     # A bucket of two is one pair, and the chain had it.
     open_ = (
         named.groupBy("bucket")
@@ -214,7 +213,7 @@ def _links_of_open_buckets(
             F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("shingles") * 8 / CELL_BYTES)).alias("blocks"),
         )
     )
-    open_ = materialize(open_, "open-buckets")
+    open_ = stored(open_, "open-buckets")
     if open_.isEmpty():
         return None
     rows = named.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -228,7 +227,7 @@ def _links_of_open_buckets(
         .sortWithinPartitions("bucket", "low", "high")
         .mapInArrow(_cell_batches, "a long, b long")
     )
-    return materialize(found, "cell-links")
+    return stored(found, "cell-links")
 
 
 # --- documents -----------------------------------------------------------------------------
@@ -254,7 +253,7 @@ def similar_classes(texts: DataFrame, classes: DataFrame, linked: DataFrame) ->
     )
     dealt = dealt.unionByName(alike)
     chain = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "id"), "id")
-    crowded = materialize(
+    crowded = stored(
         dealt.withColumn("before", F.lag("id").over(chain))
         .withColumn("after", F.lead("id").over(chain))
         .filter("before is not null or after is not null")
@@ -263,7 +262,7 @@ def similar_classes(texts: DataFrame, classes: DataFrame, linked: DataFrame) ->
     )
     chosen = classes.join(crowded.select(F.col("id").alias("_class")).distinct(), "_class", "left_semi")
     # Repeated rows share a key; their sets are equal.
-    sets = materialize(
+    sets = stored(
         texts.join(chosen.select("_row_key"), "_row_key", "left_semi")
         .select("text")
         .mapInArrow(_set_batches, "id long, hashes binary")
@@ -300,13 +299,13 @@ def similar_documents(
     text = F.col("text").cast("string").alias("text")
     texts = docs.select(*keep, F.xxhash64("doc_id", text).alias("_row_key"), text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
-    marked = materialize(
+    marked = stored(
         texts.mapInArrow(
             _class_batches(fingerprint), f"{schema}, _class long, _size long, _marks binary, _fingerprint long"
         ),
         "shingle-marks",
     )
-    classes = materialize(
+    classes = stored(
         marked.groupBy("_class").agg(
             F.min("doc_id").alias("first_id"),
             F.min("_row_key").alias("_row_key"),
@@ -316,12 +315,11 @@ def similar_documents(
         "shingle-classes",
     )
     # Texts of one set may have several fingerprints; empty sets have their class already.
-    prints = materialize(
+    prints = stored(
         marked.filter("_size > 0").select("_class", F.col("_fingerprint").alias("fp")).distinct(), "class-fingerprints"
     )
-    groups = linked(materialize(prints.select("fp").distinct(), "fingerprint-values"))
-    alike = materialize(prints.join(groups, "fp").select("_class", "group").distinct(), "fingerprint-groups")
-    let_go(docs.sparkSession)
+    groups = linked(stored(prints.select("fp").distinct(), "fingerprint-values"))
+    alike = stored(prints.join(groups, "fp").select("_class", "group").distinct(), "fingerprint-groups")
     stars = similar_classes(texts.select("_row_key", "text"), classes, alike)
     rooted = classes.join(stars.withColumnRenamed("node", "_class"), "_class", "left").select(
         "_class", "first_id", F.coalesce("root", "_class").alias("_group")

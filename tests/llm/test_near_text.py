@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import corpus_pipeline
@@ -10,6 +11,8 @@ import pytest
 from llm_data import DOCUMENTS, letters, messy_documents
 
 from factorloom.llm import jaccard, simhash
+from factorloom.llm.common import let_go
+from factorloom.llm.components import connected_components
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -134,3 +137,32 @@ def test_stage_links_the_fingerprints_of_all_texts(spark, monkeypatch):
     assert corpus_pipeline.near_duplicates(spark, docs, SMALL).count() == 7
     expected = {simhash.fingerprint(t.encode()) for t in texts}
     assert {r["fp"] % (1 << 64) for r in seen[0].collect()} == expected
+
+
+def kept_shuffles(spark):
+    """Exchanges whose files Spark still keeps, after those that are free have gone."""
+    statuses = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    last = -1
+    for _ in range(20):
+        time.sleep(0.5)
+        if (now := statuses.size()) == last:
+            break
+        last = now
+    return last
+
+
+def test_finished_plans_leave_no_exchanges(spark, monkeypatch):
+    kept = []
+
+    def counted(edges):
+        kept.append(kept_shuffles(spark))
+        return connected_components(edges)
+
+    monkeypatch.setattr(jaccard, "connected_components", counted)
+    text = letters(7, 60)
+    docs = spark.createDataFrame([(i, f"{text} {letters(100 + i % 3, 4)}") for i in range(9)], "doc_id long, text string")
+    let_go(spark)
+    before = kept_shuffles(spark)
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {0}
+    # The plan that ended last may still be held by Spark's listeners.
+    assert kept[0] - before <= 1
